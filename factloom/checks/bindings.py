@@ -98,6 +98,99 @@ from (select p.repo, p.ty, d.name from b_part p join b_decl d on d.repo = p.repo
 group by repo, ty"""
 
 
+# -- documents as files, their lines as literals ------------------------------------------
+BINDINGS["b_doc"] = """
+select lang as repo, source || '/d' || cast(doc_id as string) || '.py' as path, text as content, doc_id, source, n_chars from documents"""
+BINDINGS["b_line"] = (
+    """select repo, path, cast(p + 1 as bigint) as line, txt from (select repo, path, split(content, chr(10)) as ls from b_doc) d
+    lateral view posexplode(ls) as p, txt""",
+    """select repo, path, cast(line as bigint) as line, txt from (select repo, path, unnest(ls) as txt, generate_subscripts(ls, 1) as line
+    from (select repo, path, string_split(content, chr(10)) as ls from b_doc))""",
+)
+
+# -- pages as routes and calls ---------------------------------------------------------
+BINDINGS["b_page"] = """
+select page_id, url, html, split_part(regexp_replace(url, '^https?://', ''), '/', 2) as repo,
+  regexp_replace(url, '^https?://[^/]+', '') as local, split_part(split_part(split_part(url, '/', 5), '?', 1), '#', 1) as num from pages"""
+BINDINGS["b_groute"] = """
+select distinct repo, path, method, route, handler from (
+  select repo, 'p/' || cast(page_id as string) || '.ts' as path, 'GET' as method, '/' || repo || '/:id' as route, 'show_' || repo as handler from b_page where page_id % 10 = 3
+  union all select repo, 'p/' || cast(page_id as string) || '.ts', 'POST', '/' || repo || '/' || num, 'page_' || num from b_page
+  union all select repo, 'p/' || cast(page_id as string) || '.ts', 'GET', '/{slug}', 'slug' from b_page where page_id % 50 = 7
+  union all select repo, 'p/' || cast(page_id as string) || '.ts', 'GET', '/' || repo || '/' || num || '/', 'tail_' || num from b_page where page_id % 4 = 1) r"""
+BINDINGS["b_gcall"] = (
+    """select repo, 'p/' || cast(page_id as string) || '.ts' as file, url as called from b_page
+    union all select repo, file, h as called from (select repo, 'p/' || cast(page_id as string) || '.ts' as file, regexp_extract_all(html, 'href="([^"]+)"', 1) as hs from b_page)
+      lateral view explode(hs) as h""",
+    """select repo, 'p/' || cast(page_id as string) || '.ts' as file, url as called from b_page
+    union all select repo, 'p/' || cast(page_id as string) || '.ts', unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) from b_page""",
+)
+BINDINGS["b_obs"] = """
+select repo, local as path, cast(case when page_id % 4 = 0 then 500 when page_id % 9 = 0 then 404 else 200 end as bigint) as status from b_page"""
+BINDINGS["b_word"] = f"""
+select distinct repo, name from (select repo, {_cap('w1')} as name from b_part union all select repo, w2 from b_part union all select repo, ty from b_part) w"""
+
+# -- star schema as a dependency graph -------------------------------------------------
+BINDINGS["b_cust"] = """
+select c_custkey as ck, 'r' || cast(n_regionkey as string) as repo, n_nationkey as nk, n_regionkey as rk, c_mktsegment as seg from customer join nation on c_nationkey = n_nationkey"""
+BINDINGS["b_supp"] = """
+select s_suppkey as sk, 'r' || cast(n_regionkey as string) as repo, n_nationkey as nk, n_regionkey as rk from supplier join nation on s_nationkey = n_nationkey"""
+BINDINGS["b_order"] = """
+select o_orderkey as ok, ck, nk, rk, repo, o_orderstatus as st, o_orderpriority as pri, o_totalprice as price from orders join b_cust on o_custkey = ck"""
+BINDINGS["b_item"] = """
+select l_orderkey as ok, cast(l_linenumber as bigint) as ln, l_suppkey as sk, l_partkey as pk, ck, nk, rk, repo, st, l_quantity as qty,
+  l_returnflag as rf, 'l/' || cast(l_orderkey as string) || '-' || cast(l_linenumber as string) as path from lineitem join b_order on l_orderkey = ok"""
+BINDINGS["b_edge"] = """
+select 'r' || cast(n_regionkey as string) as repo, 'n/' || cast(n_nationkey as string) as from_path, 'r/' || cast(n_regionkey as string) as to_path from nation
+union all select repo, 'c/' || cast(ck as string), 'n/' || cast(nk as string) from b_cust
+union all select repo, 's/' || cast(sk as string), 'n/' || cast(nk as string) from b_supp
+union all select repo, 'o/' || cast(ok as string), 'c/' || cast(ck as string) from b_order
+union all select repo, path, 'o/' || cast(ok as string) from b_item
+union all select repo, path, 's/' || cast(sk as string) from b_item"""
+BINDINGS["b_gsym"] = """
+select 'r' || cast(r_regionkey as string) as repo, 'r/' || cast(r_regionkey as string) as path, 'Region' || cast(r_regionkey as string) as name, 'Class' as kind from region
+union all select 'r' || cast(n_regionkey as string), 'n/' || cast(n_nationkey as string), 'Nation' || cast(n_nationkey as string), 'Class' from nation
+union all select repo, 'c/' || cast(ck as string), 'Customer' || cast(ck as string), 'Class' from b_cust
+union all select repo, 's/' || cast(sk as string), 'Supplier' || cast(sk as string), 'Interface' from b_supp
+union all select repo, 'o/' || cast(ok as string), 'place_order', 'Function' from b_order"""
+BINDINGS["b_call"] = """
+select repo, 'o/' || cast(ok as string) as from_path, 'place_order' as caller, 'Region' || cast(rk as string) as callee from b_order where st = 'F'
+union all select repo, path, 'ship', 'Customer' || cast(ck as string) from b_item where rf = 'R'"""
+# The same star as a catalog: concepts with relations, usage, routes and calls.
+BINDINGS["b_gdecl"] = """
+select repo, path, cast(1 as bigint) as line, name, kind, fields, relations, table_name from (
+  select 'r' || cast(r_regionkey as string) as repo, 'r/' || cast(r_regionkey as string) as path, 'Region' || cast(r_regionkey as string) as name,
+    'rust' as kind, '' as fields, '' as relations, cast(null as string) as table_name from region
+  union all select 'r' || cast(n_regionkey as string), 'n/' || cast(n_nationkey as string), 'Nation' || cast(n_nationkey as string), 'django', 'id,name', 'Region' || cast(n_regionkey as string), null from nation
+  union all select repo, 'c/' || cast(ck as string), 'Customer' || cast(ck as string), 'prisma', 'id,nation', 'Nation' || cast(nk as string), 'customer' || cast(ck as string) from b_cust
+  union all select repo, 's/' || cast(sk as string), 'Supplier' || cast(sk as string), 'sql', '', 'Nation' || cast(nk as string), 'Supplier' || cast(sk as string) from b_supp) d"""
+BINDINGS["b_ghit"] = """
+select repo, 'Customer' || cast(ck as string) as name, 'o/' || cast(ok as string) as path, 'tree-sitter' as kind from b_order
+union all select repo, 'Supplier' || cast(sk as string), path, case when ln % 2 = 0 then 'raw-sql' else 'tree-sitter' end from b_item
+union all select repo, 'Supplier' || cast(sk as string), path, 'raw-sql' from b_item where rf = 'A'"""
+BINDINGS["b_sroute"] = """
+select repo, 'c/' || cast(ck as string) as path, 'GET' as method, '/customers/' || cast(ck as string) || '/{part}' as route, 'Customer' || cast(ck as string) as handler from b_cust"""
+BINDINGS["b_scall"] = """
+select repo, 'o/' || cast(ok as string) as file, 'http://api/Customers/' || cast(ck as string) || '/orders?st=' || st as called from b_order where st <> 'P'"""
+
+# -- module imports -----------------------------------------------------------------------
+BINDINGS["b_mfile"] = """
+select distinct repo, path from (
+  select repo, 'src/' || w1 || '/m' || cast(pk as string) || '.ts' as path from b_part
+  union all select repo, 'src/core/' || w2 || '.rs' from b_part where sz > 10
+  union all select repo, 'src/core/' || w1 || '/mod.rs' from b_part
+  union all select repo, 'src/' || w2 || '.ts' from b_part
+  union all select repo, 'src/' || w2 || '/index.ts' from b_part where sz > 35
+  union all select repo, 'packages/' || w1 || '/src/index.ts' from b_part where sz > 25
+  union all select repo, 'packages/' || w1 || '/sub/m' || cast(pk as string) || '.ts' from b_part where sz > 25) f"""
+BINDINGS["b_mimp"] = """
+select repo, 'src/' || w1 || '/m' || cast(pk as string) || '.ts' as from_path, case pk % 9
+  when 0 then './m' || cast(pk as string) when 1 then './missing' when 2 then 'res://src/' || w1 || '/m' || cast(pk as string) || '.ts'
+  when 3 then 'crate::core::' || w2 when 4 then '@acme/' || w1 when 5 then '@acme/' || w1 || '/sub/m' || cast(pk as string) || '.ts'
+  when 6 then '../../src/./' || w1 || '//m' || cast(pk as string) when 7 then '../' || w2 else 'crate::core::' || w1 end as to_module, pk, w1, w2 from b_part"""
+BINDINGS["b_mpkg"] = "select distinct repo, '@acme/' || w1 as name, 'packages/' || w1 as dir from b_part"
+
+
 def _used(text: str) -> list[str]:
     return [v for v in BINDINGS if re.search(rf"\b{v}\b", text)]
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from factloom.checks import names
+from factloom.checks import graph, names
 from factloom.checks.bindings import with_views
 
-MODULES = (names,)
+MODULES = (names, graph)
 QUERIES: dict = {}
 ORACLES: dict = {}
 for _m in MODULES:
