@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from factloom.checks import graph, names
+from factloom.checks import graph, history_checks, names, reports
 from factloom.checks.bindings import with_views
 
-MODULES = (names, graph)
+MODULES = (names, graph, reports, history_checks)
 QUERIES: dict = {}
 ORACLES: dict = {}
 for _m in MODULES:
