@@ -137,28 +137,28 @@ union all select repo, 'o/' || cast(ok as string), 'c/' || cast(ck as string) fr
 union all select repo, path, 'o/' || cast(ok as string) from b_item
 union all select repo, path, 's/' || cast(sk as string) from b_item"""
 BINDINGS["b_gsym"] = """
-select 'r' || cast(r_regionkey as string) as repo, 'r/' || cast(r_regionkey as string) as path, 'Region' || cast(r_regionkey as string) as name, 'Class' as kind from region
-union all select 'r' || cast(n_regionkey as string), 'n/' || cast(n_nationkey as string), 'Nation' || cast(n_nationkey as string), 'Class' from nation
-union all select repo, 'c/' || cast(ck as string), 'Customer' || cast(ck as string), 'Class' from b_cust
-union all select repo, 's/' || cast(sk as string), 'Supplier' || cast(sk as string), 'Interface' from b_supp
+select 'r' || cast(r_regionkey as string) as repo, 'r/' || cast(r_regionkey as string) as path, cast(r_regionkey as string) || 'Region' as name, 'Class' as kind from region
+union all select 'r' || cast(n_regionkey as string), 'n/' || cast(n_nationkey as string), cast(n_nationkey as string) || 'Nation', 'Class' from nation
+union all select repo, 'c/' || cast(ck as string), cast(ck as string) || 'Customer', 'Class' from b_cust
+union all select repo, 's/' || cast(sk as string), cast(sk as string) || 'Supplier', 'Interface' from b_supp
 union all select repo, 'o/' || cast(ok as string), 'place_order', 'Function' from b_order"""
 BINDINGS["b_call"] = """
-select repo, 'o/' || cast(ok as string) as from_path, 'place_order' as caller, 'Region' || cast(rk as string) as callee from b_order where st = 'F'
-union all select repo, path, 'ship', 'Customer' || cast(ck as string) from b_item where rf = 'R'"""
+select repo, 'o/' || cast(ok as string) as from_path, 'place_order' as caller, cast(rk as string) || 'Region' as callee from b_order where st = 'F'
+union all select repo, path, 'ship', cast(ck as string) || 'Customer' from b_item where rf = 'R'"""
 # The same star as a catalog: concepts with relations, usage, routes and calls.
 BINDINGS["b_gdecl"] = """
 select repo, path, cast(1 as bigint) as line, name, kind, fields, relations, table_name from (
-  select 'r' || cast(r_regionkey as string) as repo, 'r/' || cast(r_regionkey as string) as path, 'Region' || cast(r_regionkey as string) as name,
+  select 'r' || cast(r_regionkey as string) as repo, 'r/' || cast(r_regionkey as string) as path, cast(r_regionkey as string) || 'Region' as name,
     'rust' as kind, '' as fields, '' as relations, cast(null as string) as table_name from region
-  union all select 'r' || cast(n_regionkey as string), 'n/' || cast(n_nationkey as string), 'Nation' || cast(n_nationkey as string), 'django', 'id,name', 'Region' || cast(n_regionkey as string), null from nation
-  union all select repo, 'c/' || cast(ck as string), 'Customer' || cast(ck as string), 'prisma', 'id,nation', 'Nation' || cast(nk as string), 'customer' || cast(ck as string) from b_cust
-  union all select repo, 's/' || cast(sk as string), 'Supplier' || cast(sk as string), 'sql', '', 'Nation' || cast(nk as string), 'Supplier' || cast(sk as string) from b_supp) d"""
+  union all select 'r' || cast(n_regionkey as string), 'n/' || cast(n_nationkey as string), cast(n_nationkey as string) || 'Nation', 'django', 'id,name', cast(n_regionkey as string) || 'Region', null from nation
+  union all select repo, 'c/' || cast(ck as string), cast(ck as string) || 'Customer', 'prisma', 'id,nation', cast(nk as string) || 'Nation', 'customer' || cast(ck as string) from b_cust
+  union all select repo, 's/' || cast(sk as string), cast(sk as string) || 'Supplier', 'sql', '', cast(nk as string) || 'Nation', cast(sk as string) || 'Supplier' from b_supp) d"""
 BINDINGS["b_ghit"] = """
-select repo, 'Customer' || cast(ck as string) as name, 'o/' || cast(ok as string) as path, 'tree-sitter' as kind from b_order
-union all select repo, 'Supplier' || cast(sk as string), path, case when ln % 2 = 0 then 'raw-sql' else 'tree-sitter' end from b_item
-union all select repo, 'Supplier' || cast(sk as string), path, 'raw-sql' from b_item where rf = 'A'"""
+select repo, cast(ck as string) || 'Customer' as name, 'o/' || cast(ok as string) as path, 'tree-sitter' as kind from b_order
+union all select repo, cast(sk as string) || 'Supplier', path, case when ln % 2 = 0 then 'raw-sql' else 'tree-sitter' end from b_item
+union all select repo, cast(sk as string) || 'Supplier', path, 'raw-sql' from b_item where rf = 'A'"""
 BINDINGS["b_sroute"] = """
-select repo, 'c/' || cast(ck as string) as path, 'GET' as method, '/customers/' || cast(ck as string) || '/{part}' as route, 'Customer' || cast(ck as string) as handler from b_cust"""
+select repo, 'c/' || cast(ck as string) as path, 'GET' as method, '/customers/' || cast(ck as string) || '/{part}' as route, cast(ck as string) || 'Customer' as handler from b_cust"""
 BINDINGS["b_scall"] = """
 select repo, 'o/' || cast(ok as string) as file, 'http://api/Customers/' || cast(ck as string) || '/orders?st=' || st as called from b_order where st <> 'P'"""
 
@@ -222,3 +222,56 @@ select repo, 'd-' || ty as id, 'keep ' || ty || ' parts in one place' as decisio
   min(snake) || ';' || min(w1) as rejected, case when ty = 'promo' then 'Lost' || ty else max(camel) end || ',' || min(w2) as links,
   'lead' as proposed_by, 'active' as status, cast(null as string) as superseded_by from b_part group by repo, ty"""
 
+# -- goals, claims, proposals, diffs -----------------------------------------------------
+BINDINGS["b_goal"] = """
+select repo, 'g' || cast(pk as string) as goal_id, 'Please add ' || w1 || ' ' || w2 || 's tracking to ' || case when sz % 2 = 0 then camel else snake end
+  || ' and build zz' || ty || ' reports with ' || w2 || '_service' as text from b_part
+union all select 'Brand#1', 'c' || cast(conv_id as string) || '-' || cast(turn as string), text from conversations where role = 'user'"""
+BINDINGS["b_claim"] = """
+select repo, 'q' || cast(pk as string) as id, case pk % 7 when 0 then 'model "' || camel || '" exists' when 1 then 'model ' || camel || ' does not exist'
+  when 2 then 'table "' || w2 || 's" is used in more than 12 files' when 3 then '"' || snake || '" is used in at least 12 places' when 4 then 'the thing "ledger' || cast(sz as string) || '" is absent'
+  when 5 then '"zz' || w1 || '" is absent' else 'nothing to see' end as statement from b_part"""
+BINDINGS["b_prop"] = """
+select repo, 'p' || cast(pk as string) as id, 'CREATE TABLE ' || snake || ' (id int); create table if not exists "zz_' || w2 || 's" (x int)'
+  || case when sz % 3 = 0 then '; CREATE TABLE q_' || ty || 's as select 1' else '' end as sql from b_part"""
+BINDINGS["b_diff"] = f"""
+select repo, 'p' || cast(pk as string) as id, 'diff --git a/x b/x' || chr(10) || '--- a/x' || chr(10) || '+++ b/x' || chr(10) || '+CREATE TABLE ' || case when sz % 4 = 0 then 'new_zebra' else snake end
+  || ' (id int)' || chr(10) || '-class Old' || {_cap('w2')} || '(models.Model):' || chr(10) || '+class ' || {_cap('w1')} || 'Ledger(models.Model):' || chr(10)
+  || ' export class Kept' || chr(10) || '+export class Quux' || {_cap('w2')} || 'Service' || chr(10) || '+model ' || camel || ' {{' as diff from b_part"""
+BINDINGS["b_tclaim"] = """
+select repo, name || '-a' as id, 'absence' as type, name as target, cast(null as bigint) as min, cast(null as string) as within, cast(null as string) as exclude from b_gdecl
+union all select repo, name || '-z', 'absence', 'zz' || name, null, null, null from b_gdecl
+union all select repo, name || '-u', 'usage-threshold', name, 9, null, null from b_gdecl
+union all select repo, name || '-i', 'isolation', name, null, 'o/, n/', 'l/' from b_gdecl
+union all select repo, name || '-n', 'isolation', name, null, null, null from b_gdecl where kind = 'django'"""
+
+# -- two snapshots of a source tree ------------------------------------------------------
+BINDINGS["b_fsnap"] = """
+select 'before' as side, repo, 'src/' || ty || '/' || w1 || '/m' || cast(pk as string) || case when pk % 10 = 0 then '.md' else '.ts' end as path, md5(camel) as content_hash, 1 as ver, pk, w1, w2, ty, camel, snake, sz
+  from b_part where sz <= 44
+union all select 'after', repo, case when sz between 20 and 23 then 'moved/' || ty || '/' || w1 || '/m' || cast(pk as string) || case when pk % 10 = 0 then '.md' else '.ts' end when sz = 24 then 'moved/x' || cast(pk as string) || '.ts'
+    else 'src/' || ty || '/' || w1 || '/m' || cast(pk as string) || case when pk % 10 = 0 then '.md' else '.ts' end end,
+  md5(camel || case when sz between 30 and 35 then 'v2' else '' end), case when sz between 30 and 35 then 2 else 1 end, pk, w1, w2, ty, camel, snake, sz
+  from b_part where sz >= 5"""
+BINDINGS["b_fedge"] = """
+select repo, path as from_path, min(path) over (partition by repo, w1) as to_path from b_fsnap where side = 'before'
+union all select repo, path, min(path) over (partition by repo, ty) from b_fsnap where side = 'before'"""
+BINDINGS["b_policy"] = (
+    "select repo, case when length(repo) = 7 then 'preventive' else 'advisory' end as enforcement, 'src/small,moved' as protected, 'src/small/red' as excludes"
+    " from (select distinct repo from b_part) r where repo <> 'Brand#2'"
+)
+BINDINGS["b_decision2"] = """
+select repo, id, decision, because, rejected, links, proposed_by, status, superseded_by from b_decision where id <> 'd-small'
+union all select repo, 'd-small', ' keep it small ', 'because', '', 'Elsewhere', 'lead', 'active', null from b_decision where id = 'd-small'
+union all select repo, 'n-' || w1, 'new ' || w1, 'needed', '', min(camel) || ',' || max(camel), 'lead', 'active', cast(null as string) from b_part group by repo, w1"""
+BINDINGS["b_chain"] = """
+select seg as repo, 'c' || cast(ck as string) as alias, case when ck < 3 then 'root' else 'c' || cast(cast(floor(ck / 3) as bigint) as string) end as target from b_cust where ck > 0
+union all select 'HOUSEHOLD', 'x' || cast(n_nationkey as string), 'y' || cast(n_nationkey as string) from nation
+union all select 'HOUSEHOLD', 'y' || cast(n_nationkey as string), 'x' || cast(n_nationkey as string) from nation
+union all select 'MACHINERY', 'e' || cast(n_nationkey as string), ' ' from nation union all select 'MACHINERY', 'f' || cast(n_nationkey as string), 'e' || cast(n_nationkey as string) from nation"""
+BINDINGS["b_ledger"] = """
+select repo, 'd' || cast(case when ck % 97 = 5 then ck - 1 else ck end as string) as id, case when ck % 50 = 0 then '  ' else 'do ' || seg end as decision, 'because' as because, '' as rejected, seg as links,
+  case when ck % 7 = 0 then 'superseded' else 'active' end as status,
+  case when ck % 49 = 0 then null when ck % 7 = 0 and ck % 3 = 0 then 'd' || cast(ck as string) when ck % 7 = 0 then 'd' || cast(ck + 7 * (ck % 2) + 5 * (ck % 5) as string) when ck % 31 = 1 then 'd1' end as superseded_by
+  from b_cust"""
+
