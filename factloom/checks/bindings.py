@@ -12,6 +12,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 from factloom.checks.binding_sql import BINDINGS
+from factloom.session import cut_lineage
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -84,3 +85,14 @@ def sql(spark: SparkSession, sf_dir: str, query: str) -> DataFrame:
 
 def frame(spark: SparkSession, sf_dir: str, view: str) -> DataFrame:
     return sql(spark, sf_dir, f"select * from {view}")
+
+
+_STORED: dict = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """A table the questions read, such as the catalog: built and written on first use."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STORED:
+        _STORED[key] = cut_lineage(build())
+    return _STORED[key]

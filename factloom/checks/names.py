@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from factloom.checks.bindings import frame, sql
+from factloom.checks.bindings import frame, sql, stored
 from factloom.functions import words
 from factloom.operators import catalog, duplicates, ranking
 from factloom.plans import resolve
-from factloom.session import cut_lineage
 
 QUERIES, ORACLES = {}, {}
 
@@ -21,8 +20,8 @@ def declared(spark, sf):
 
 
 def bound_catalog(spark, sf):
-    """The bound catalog, written once as a stored catalog would be."""
-    return cut_lineage(catalog.build_catalog(declared(spark, sf), frame(spark, sf, "b_hit")))
+    """The bound catalog as a stored table, written once per session and scale."""
+    return stored(spark, sf, "catalog", lambda: catalog.build_catalog(declared(spark, sf), frame(spark, sf, "b_hit")))
 
 
 # Bounded-inflection equality by its definition, over lower-cased ASCII columns a and b.
@@ -107,7 +106,7 @@ select distinct p.repo, p.name, p.term from p join w using (name) where {sw('low
 
 # -- catalog ----------------------------------------------------------------------------
 def concept_catalog(spark, sf):
-    c = bound_catalog(spark, sf)
+    c = catalog.build_catalog(declared(spark, sf), frame(spark, sf, "b_hit"))
     return c.select(
         "repo", "name", F.col("n_sites").cast("bigint").alias("n_sites"), "has_orm", "in_memory", "enum_only",
         F.array_join("fields", ",").alias("fields"), F.array_join("relations", ",").alias("relations"), "table_name", "uses", "use_pairs",

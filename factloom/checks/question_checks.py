@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from factloom.checks.bindings import frame, sql
+from factloom.checks.bindings import frame, sql, stored
 from factloom.checks.graph import DEPENDENTS, structural_symbols
 from factloom.checks.names import CATALOG, RESOLVE, TOKENS, bound_catalog, declared, sw
 from factloom.checks.reports import _big, bound_settings, links
@@ -23,7 +23,7 @@ def star_catalog(spark, sf):
     d = frame(spark, sf, "b_gdecl")
     arr = lambda c: F.filter(F.split(c, ","), lambda x: x != "")
     d = d.withColumn("fields", arr("fields")).withColumn("relations", arr("relations"))
-    return cut_lineage(catalog.build_catalog(d, frame(spark, sf, "b_ghit")))
+    return stored(spark, sf, "star", lambda: catalog.build_catalog(d, frame(spark, sf, "b_ghit")))
 
 
 def evidence(spark, sf):
@@ -205,8 +205,8 @@ o_gl as (select repo, id, unnest(string_split(links, ',')) as link from b_decisi
 o_st as (select h.*, r.verdict, r.canonical, case when r.verdict in ('ACTIVE', 'DECLARED_ONLY', 'STRUCTURAL') and r.canonical is not null then
     case when lower(h.proposed) in (lower(coalesce(c.table_name, r.canonical)), lower(r.canonical)) then 'exempt' else 'blocked' end else 'new' end as status
   from o_head h join o_resolved r on r.repo = h.repo and r.term = h.head left join o_concept c on c.repo = h.repo and c.name = r.canonical),
-o_guard as (select s.repo, s.id, s.pos, s.proposed, s.head, s.verdict, s.canonical, s.status, case when s.status = 'blocked' then min(l.id) end as decision_id
-  from o_st s left join o_gl l on l.repo = s.repo and ({sw('lower(s.head)', 'lower(l.link)')} or lower(l.link) = lower(s.proposed) or lower(l.link) = lower(s.canonical)) group by all)"""
+o_guard as (select s.repo, s.id, s.pos, s.proposed, s.head, s.verdict, s.canonical, s.status, min(l.id) as decision_id
+  from o_st s left join o_gl l on l.repo = s.repo and ({sw('lower(s.head)', 'lower(l.link)')} or lower(l.link) = lower(s.proposed) or lower(l.link) = lower(s.canonical)) and s.status = 'blocked' group by all)"""
 
 
 ORACLES["storage_guard"] = f"with {_guard('b_prop')} select * from o_guard"

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from factloom.checks import graph, history_checks, names, question_checks, reports
+from factloom.checks import governance_checks, graph, history_checks, names, question_checks, reports
 from factloom.checks.bindings import with_views
 
-MODULES = (names, graph, reports, history_checks, question_checks)
+MODULES = (names, graph, reports, history_checks, question_checks, governance_checks)
 QUERIES: dict = {}
 ORACLES: dict = {}
 for _m in MODULES:

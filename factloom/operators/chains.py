@@ -15,28 +15,24 @@ def resolve_chains(edges: DataFrame) -> DataFrame:
     Rows that still point at a node with a successor after that many rounds are in, or lead
     into, a cycle.
     """
-    step = edges.select("repo", "node", F.col("next").alias("root"))
-    open_rows = cut_lineage(step)
-    n = open_rows.count()
+    active = cut_lineage(edges.select("repo", "node", F.col("next").alias("root")))
+    rounds = max(1, active.count()).bit_length() + 1
     done = None
-    rounds = max(1, n).bit_length() + 1
     for _ in range(rounds):
-        jump = open_rows.select("repo", F.col("node").alias("root"), F.col("root").alias("beyond"))
-        joined = open_rows.join(jump, ["repo", "root"], "left")
-        joined = cut_lineage(joined.select("repo", "node", "root", "beyond"))
-        ended = joined.where(F.col("beyond").isNull()).select("repo", "node", "root", F.lit(False).alias("cycle"))
-        done = ended if done is None else done.unionByName(ended)
-        # Ended rows are replaced by their root in the open rows that point at them.
-        moved = joined.where(F.col("beyond").isNotNull()).select("repo", "node", F.col("beyond").alias("root"))
-        ends = ended.select("repo", F.col("node").alias("root"), F.col("root").alias("final"))
+        # Ended rows stay on the looked-up side: who points at one takes its root and ends too.
+        seen = active.withColumn("ended", F.lit(False))
+        if done is not None:
+            seen = seen.unionByName(done.withColumn("ended", F.lit(True)))
+        seen = seen.select("repo", F.col("node").alias("root"), F.col("root").alias("beyond"), "ended")
         hop = cut_lineage(
-            moved.join(ends, ["repo", "root"], "left").select("repo", "node", "root", "final")
+            active.join(seen, ["repo", "root"], "left").select(
+                "repo", "node", F.coalesce("beyond", "root").alias("root"), F.coalesce("ended", F.lit(True)).alias("ended")
+            )
         )
-        done = done.unionByName(
-            hop.where(F.col("final").isNotNull()).select("repo", "node", F.col("final").alias("root"), F.lit(False).alias("cycle"))
-        )
-        open_rows = hop.where(F.col("final").isNull()).select("repo", "node", "root")
-        if open_rows.isEmpty():
-            return done
-    stuck = open_rows.select("repo", "node", F.lit(None).cast("string").alias("root"), F.lit(True).alias("cycle"))
-    return done.unionByName(stuck)
+        finished = hop.where("ended").select("repo", "node", "root")
+        done = finished if done is None else done.unionByName(finished)
+        active = hop.where("not ended").select("repo", "node", "root")
+        if active.isEmpty():
+            break
+    stuck = active.select("repo", "node", F.lit(None).cast("string").alias("root"), F.lit(True).alias("cycle"))
+    return done.withColumn("cycle", F.lit(False)).unionByName(stuck)

@@ -142,7 +142,7 @@ def field_impact(requests: DataFrame, usage: DataFrame, concepts: DataFrame, fil
 
 def change_impact(changes: DataFrame, decls: DataFrame, usage: DataFrame, symbols: DataFrame, routes: DataFrame, edges: DataFrame) -> DataFrame:
     """(repo, what, name, path): concepts, symbols, routes and importers touched by changed files."""
-    ch = changes.select("repo", "path").distinct()
+    ch = cut_lineage(changes.select("repo", "path").distinct())
     touch = lambda df, on: df.join(ch.withColumnRenamed("path", on), ["repo", on], "left_semi")
     row = lambda df, what, name, path: df.select("repo", F.lit(what).alias("what"), F.col(name).alias("name"), F.col(path).alias("path"))
     sites = decls.select("repo", "name", "path").unionByName(usage.select("repo", "name", "path")).distinct()
