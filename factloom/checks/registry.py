@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from factloom.checks import extract_checks, governance_checks, graph, history_checks, manifest_checks, names, question_checks, reports
+from factloom.checks import extract_checks, governance_checks, graph, history_checks, manifest_checks, names, question_checks, reports, stream_checks
 from factloom.checks.bindings import with_views
 
-MODULES = (names, graph, reports, history_checks, question_checks, governance_checks, extract_checks, manifest_checks)
+MODULES = (names, graph, reports, history_checks, question_checks, governance_checks, extract_checks, manifest_checks, stream_checks)
 QUERIES: dict = {}
 ORACLES: dict = {}
 for _m in MODULES:
