@@ -42,12 +42,9 @@ from (select *, case sz % 5 when 0 then 'sql' when 1 then 'django' when 2 then '
   case sz % 5 when 0 then 'sql' when 1 then 'py' when 2 then 'rs' when 3 then 'prisma' else 'ts' end as ext from b_part)"""
 
 BINDINGS["b_hit"] = """
-select d.repo, d.name, 'apps/' || lower(l.l_returnflag) || '/o' || cast(l.l_orderkey as string) || '.py' as path,
+select p.repo, case when p.sz % 5 = 0 then p.snake else p.camel end as name, 'apps/' || lower(l.l_returnflag) || '/o' || cast(l.l_orderkey as string) || '.py' as path,
   case when l.l_linenumber % 2 = 0 then 'raw-sql' else 'tree-sitter' end as kind, cast(l.l_quantity as bigint) as size
-from lineitem l join b_part p on p.pk = l.l_partkey
-join b_decl d on d.repo = p.repo and d.path = 'crates/' || p.ty || '/' || p.w2 || '/f' || cast(p.pk as string)
-  || '.' || case p.sz % 5 when 0 then 'sql' when 1 then 'py' when 2 then 'rs' when 3 then 'prisma' else 'ts' end
-where p.sz % 7 <> 3"""
+from lineitem l join b_part p on p.pk = l.l_partkey where p.sz % 7 <> 3"""
 
 BINDINGS["b_symbol"] = f"""
 select repo, 'src/' || w1 || '/m' || cast(pk as string) || '.ts' as path,
@@ -83,9 +80,7 @@ select distinct repo, term from (
 
 BINDINGS["b_alias"] = """
 select repo, 'legacy_' || ty as alias, case when ty = 'small' then 'Missing' || ty else min(name) end as target
-from (select p.repo, p.ty, d.name from b_part p join b_decl d on d.repo = p.repo and d.path like 'crates/' || p.ty || '/%' ) x
-group by repo, ty"""
-
+from (select repo, split_part(path, '/', 2) as ty, name from b_decl) x group by repo, ty"""
 
 # -- documents as files, their lines as literals ------------------------------------------
 BINDINGS["b_doc"] = """
@@ -196,8 +191,10 @@ select repo, cast(floor(ts_ms / 86400000) as bigint) as snap, concept from b_eve
 BINDINGS["b_snap"] = """
 select repo, cast(floor(ts_ms / 86400000) as bigint) as version, max(ts_ms) as ts_ms, concept, cast(max(id) as bigint) as state,
   case when max(value) > 30 then 'ACTIVE' else 'DECLARED_ONLY' end as verdict from b_event group by repo, cast(floor(ts_ms / 86400000) as bigint), concept"""
-BINDINGS["b_ask"] = """
-select distinct repo, concept, cast(floor(ts_ms / 86400000) as bigint) + d as version from b_event join (select 0 as d union all select 3 union all select -4) x on 1 = 1"""
+BINDINGS["b_ask"] = (
+    "select distinct repo, concept, cast(floor(ts_ms / 86400000) as bigint) + d as version from b_event lateral view explode(array(0, 3, -4)) as d",
+    "select distinct repo, concept, version from (select repo, concept, cast(floor(ts_ms / 86400000) as bigint) + unnest([0, 3, -4]) as version from b_event)",
+)
 
 # -- documents as a file tree ------------------------------------------------------------
 _TREE = """

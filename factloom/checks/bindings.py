@@ -59,6 +59,8 @@ def with_views(query: str) -> str:
     return head + ",\n".join(ctes) + "\n" + q
 
 
+# Fact tables that a catalog keeps on disk: derived once per session, then read as Parquet.
+STORED = frozenset("b_part b_decl b_hit b_symbol b_route b_file b_term b_alias b_cust b_order b_item b_edge b_src b_dsrc b_usrc b_fsnap".split())
 _READ: dict = {}
 
 
@@ -79,7 +81,8 @@ def sql(spark: SparkSession, sf_dir: str, query: str) -> DataFrame:
         if re.search(rf"\b{t}\b", text):
             table(spark, sf_dir, t).createOrReplaceTempView(t)
     for v in needed:
-        spark.sql(_sql(v, 0)).createOrReplaceTempView(v)
+        made = stored(spark, sf_dir, v, lambda v=v: spark.sql(_sql(v, 0))) if v in STORED else spark.sql(_sql(v, 0))
+        made.createOrReplaceTempView(v)
     return spark.sql(query)
 
 

@@ -115,7 +115,7 @@ union all select distinct repo, 'qq' || lower(kind), 'ABSENT', cast(null as bigi
 
 
 def field_impact(spark, sf):
-    req = sql(spark, sf, "select distinct d.repo, d.source as concept, f.field from b_doc d join (select 'The' as field union all select 'ing' union all select 'nd.' union all select 'und' union all select 'que') f on 1 = 1")
+    req = sql(spark, sf, "select distinct repo, source as concept from b_doc").withColumn("field", F.explode(F.array(*[F.lit(x) for x in ("The", "ing", "nd.", "und", "que")])))
     usage = sql(spark, sf, "select repo, source as name, path from b_doc")
     concepts = sql(spark, sf, "select distinct repo, source as name from b_doc").withColumn("fields", F.array(F.lit("the"), F.lit("Que")))
     return questions.field_impact(req, usage, concepts, frame(spark, sf, "b_doc"))

@@ -101,9 +101,13 @@ def first_rows(df: DataFrame, group: list[str], order: list[Column], cap: int |
 
 
 def best_by_word(symbols: DataFrame, name_col: str = "name", path_col: str = "path") -> DataFrame:
-    """(repo, word, inexact, at, hit): the first symbol per word, exact names first, then path and name."""
+    """(repo, word, inexact, at, hit): the first symbol per word, exact names first, then path and name.
+
+    Equal names are folded to their first path before they are cut into words.
+    """
+    first = symbols.groupBy("repo", name_col).agg(F.min(path_col).alias(path_col))
     return (
-        name_words(symbols, name_col, ("repo", path_col))
+        name_words(first, name_col, ("repo", path_col))
         .withColumn("inexact", (F.col("pos") > 0).cast("int"))
         .groupBy("repo", "word")
         .agg(F.min(F.struct("inexact", F.col(path_col).alias("at"), F.col(name_col).alias("hit"))).alias("best"))
