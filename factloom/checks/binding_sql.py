@@ -44,7 +44,7 @@ from (select *, case sz % 5 when 0 then 'sql' when 1 then 'django' when 2 then '
 BINDINGS["b_hit"] = """
 select p.repo, case when p.sz % 5 = 0 then p.snake else p.camel end as name, 'apps/' || lower(l.l_returnflag) || '/o' || cast(l.l_orderkey as string) || '.py' as path,
   case when l.l_linenumber % 2 = 0 then 'raw-sql' else 'tree-sitter' end as kind, cast(l.l_quantity as bigint) as size
-from lineitem l join b_part p on p.pk = l.l_partkey where p.sz % 7 <> 3"""
+from lineitem l join b_part p on p.pk = l.l_partkey where p.sz not between 8 and 14"""
 
 BINDINGS["b_symbol"] = f"""
 select repo, 'src/' || w1 || '/m' || cast(pk as string) || '.ts' as path,
@@ -98,10 +98,10 @@ select page_id, url, html, split_part(regexp_replace(url, '^https?://', ''), '/'
   regexp_replace(url, '^https?://[^/]+', '') as local, split_part(split_part(split_part(url, '/', 5), '?', 1), '#', 1) as num from pages"""
 BINDINGS["b_groute"] = """
 select distinct repo, path, method, route, handler from (
-  select repo, 'p/' || cast(page_id as string) || '.ts' as path, 'GET' as method, '/' || repo || '/:id' as route, 'show_' || repo as handler from b_page where page_id % 10 = 3
+  select repo, 'p/' || cast(page_id as string) || '.ts' as path, 'GET' as method, '/' || repo || '/:id' as route, 'show_' || repo as handler from b_page where num like '1%'
   union all select repo, 'p/' || cast(page_id as string) || '.ts', 'POST', '/' || repo || '/' || num, 'page_' || num from b_page
-  union all select repo, 'p/' || cast(page_id as string) || '.ts', 'GET', '/{slug}', 'slug' from b_page where page_id % 50 = 7
-  union all select repo, 'p/' || cast(page_id as string) || '.ts', 'GET', '/' || repo || '/' || num || '/', 'tail_' || num from b_page where page_id % 4 = 1) r"""
+  union all select repo, 'p/' || cast(page_id as string) || '.ts', 'GET', '/{slug}', 'slug' from b_page where num like '77%'
+  union all select repo, 'p/' || cast(page_id as string) || '.ts', 'GET', '/' || repo || '/' || num || '/', 'tail_' || num from b_page where num like '%5') r"""
 BINDINGS["b_gcall"] = (
     """select repo, 'p/' || cast(page_id as string) || '.ts' as file, url as called from b_page
     union all select repo, file, h as called from (select repo, 'p/' || cast(page_id as string) || '.ts' as file, regexp_extract_all(html, 'href="([^"]+)"', 1) as hs from b_page)
@@ -212,7 +212,7 @@ BINDINGS["b_domain"] = (
     "select repo, unnest(string_split('code,git,docker,systemd,documents,photos,messages,browser', ',')) as name from (select distinct p_brand as repo from part) r",
 )
 BINDINGS["b_project_setting"] = """
-select repo, name, (length(repo) + length(name)) % 2 = 0 as enabled from b_domain where (length(repo) * 3 + length(name)) % 4 = 0"""
+select repo, name, (length(repo) + length(name)) % 2 = 0 as enabled from b_domain where length(repo) + length(name) > 13"""
 BINDINGS["b_shared_setting"] = "select distinct name, length(name) % 2 = 0 as enabled from b_domain where name in ('docker', 'photos', 'git')"
 BINDINGS["b_decision"] = """
 select repo, 'd-' || ty as id, 'keep ' || ty || ' parts in one place' as decision, 'because ' || cast(count(*) as string) || ' parts share it' as because,
@@ -251,8 +251,10 @@ union all select 'after', repo, case when sz between 20 and 23 then 'moved/' ||
   md5(camel || case when sz between 30 and 35 then 'v2' else '' end), case when sz between 30 and 35 then 2 else 1 end, pk, w1, w2, ty, camel, snake, sz
   from b_part where sz >= 5"""
 BINDINGS["b_fedge"] = """
-select repo, path as from_path, min(path) over (partition by repo, w1) as to_path from b_fsnap where side = 'before'
-union all select repo, path, min(path) over (partition by repo, ty) from b_fsnap where side = 'before'"""
+select f.repo, f.path as from_path, h.hub as to_path from b_fsnap f join (select repo, w1, min(path) as hub from b_fsnap where side = 'before' group by repo, w1) h
+  on h.repo = f.repo and h.w1 = f.w1 where f.side = 'before'
+union all select f.repo, f.path, h.hub from b_fsnap f join (select repo, ty, min(path) as hub from b_fsnap where side = 'before' group by repo, ty) h
+  on h.repo = f.repo and h.ty = f.ty where f.side = 'before'"""
 BINDINGS["b_policy"] = (
     "select repo, case when length(repo) = 7 then 'preventive' else 'advisory' end as enforcement, 'src/small,moved' as protected, 'src/small/red' as excludes"
     " from (select distinct repo from b_part) r where repo <> 'Brand#2'"
@@ -271,4 +273,8 @@ select repo, 'd' || cast(case when ck % 97 = 5 then ck - 1 else ck end as string
   case when ck % 7 = 0 then 'superseded' else 'active' end as status,
   case when ck % 49 = 0 then null when ck % 7 = 0 and ck % 3 = 0 then 'd' || cast(ck as string) when ck % 7 = 0 then 'd' || cast(ck + 7 * (ck % 2) + 5 * (ck % 5) as string) when ck % 31 = 1 then 'd1' end as superseded_by
   from b_cust"""
-
+BINDINGS["b_namepair"] = (
+    "select repo, name, term from (select repo, case when sz > 25 then camel else snake end as name, array(w1 || 's', w2, ty || 'ing', 'un' || w1, camel, w2 || '_' || ty) as ts from b_part)"
+    " lateral view explode(ts) as term",
+    "select repo, case when sz > 25 then camel else snake end as name, unnest([w1 || 's', w2, ty || 'ing', 'un' || w1, camel, w2 || '_' || ty]) as term from b_part",
+)

@@ -148,7 +148,7 @@ def _objects(spark, sf, side):
     decls = s.select("repo", "path", F.col("camel").alias("name"), F.lit("prisma").alias("kind"), F.col("snake").alias("table_name"), F.when(v2, one("w1", "w2")).otherwise(one("w2")).alias("fields"), one("ty").alias("relations"))
     symbols = s.select("repo", "path", F.concat("w1", F.lit("Fn"), "pk").alias("name"), F.lit("Function").alias("kind"), F.col("w2").alias("source"))
     imports = s.select("repo", F.col("path").alias("from_path"), F.when(v2, F.concat("w1", F.lit("/new"))).otherwise(F.col("w1")).alias("to_module"), one("w2").alias("names"))
-    routes = s.where("sz % 2 = 0").select("repo", "path", F.lit("GET").alias("method"), F.concat(F.lit("/"), "w2").alias("route"), F.when(v2, "w1").otherwise("w2").alias("handler"))
+    routes = s.where("sz > 20").select("repo", "path", F.lit("GET").alias("method"), F.concat(F.lit("/"), "w2").alias("route"), F.when(v2, "w1").otherwise("w2").alias("handler"))
     return governance.semantic_objects(decls, symbols, imports, routes)
 
 
@@ -167,7 +167,7 @@ _OBJ = """o_obj as (select side, repo, path, object, name, key from (
   select side, repo, path, 'concept' as object, camel as name, camel || '|' || ver as v, camel as key from b_fsnap
   union all select side, repo, path, 'symbol', w1 || 'Fn' || pk, 'x', w1 || 'Fn' || pk from b_fsnap
   union all select side, repo, path, 'relationship', case when ver = 2 then w1 || '/new' else w1 end, 'x', case when ver = 2 then w1 || '/new' else w1 end from b_fsnap
-  union all select side, repo, path, 'route', '/' || w2, 'x', '/' || w2 || case when ver = 2 then 'h1' else 'h2' end from b_fsnap where sz % 2 = 0)),
+  union all select side, repo, path, 'route', '/' || w2, 'x', '/' || w2 || case when ver = 2 then 'h1' else 'h2' end from b_fsnap where sz > 20)),
 o_val as (select side, repo, path, ver from b_fsnap),
 o_ch as (select repo, path, coalesce(old_path, path) as old_path from o_change where status <> '??' and path not like '%.md'),
 o_sb as (select c.repo, c.path, c.old_path, o.object, o.key, o.name, v.ver from o_ch c join o_obj o on o.side = 'before' and o.repo = c.repo and o.path = c.old_path join o_val v on v.side = 'before' and v.repo = c.repo and v.path = c.old_path),

@@ -61,7 +61,7 @@ def workspace_packages(spark, sf):
 QUERIES["workspace_packages"] = workspace_packages
 ORACLES["workspace_packages"] = f"""
 select repo, '@x/' || w2 as name, {fill('w{n}/packages/{b}')} as dir {_T[3]} union all select repo, '@x/tool-' || w1, {fill('w{n}/tools/{a}')} {_T[3]}
-union all select repo, w2 || '-core', {fill('c{n}/crates/{b}')} {_T[3]}"""
+union all select repo, w2 || '-core', {fill('c{n}/crates/{b}')} from b_tpl"""
 
 
 def decision_candidates(spark, sf):

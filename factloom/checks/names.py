@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from factloom.checks.bindings import frame, sql, stored
+from factloom.checks.bindings import frame, stored
 from factloom.functions import words
 from factloom.operators import catalog, duplicates, ranking
 from factloom.plans import resolve
@@ -92,16 +92,14 @@ from t"""
 
 
 def names_concept_pairs(spark, sf):
-    """Column form of the name match, for names against their own repo's short terms."""
-    s = sql(spark, sf, "select distinct s.repo, s.name, t.term from b_symbol s join b_term t on s.repo = t.repo and t.term like '%s'")
-    return s.where(words.names_concept(F.col("name"), F.col("term")))
+    """Column form of the name match, over a name and six words of each part."""
+    return frame(spark, sf, "b_namepair").distinct().where(words.names_concept(F.col("name"), F.col("term")))
 
 
 QUERIES["names_concept_pairs"] = names_concept_pairs
 ORACLES["names_concept_pairs"] = f"""
-with p as (select distinct s.repo, s.name, t.term from b_symbol s join b_term t on s.repo = t.repo and t.term like '%s'),
-w as (select distinct name, lower(unnest(list_append({TOKENS.format('name')}, name))) as word from (select distinct name from b_symbol))
-select distinct p.repo, p.name, p.term from p join w using (name) where {sw('lower(p.term)', 'w.word')}"""
+with w as (select distinct repo, name, term, lower(unnest(list_append({TOKENS.format('name')}, name))) as word from b_namepair)
+select distinct repo, name, term from w where {sw('lower(term)', 'word')}"""
 
 
 # -- catalog ----------------------------------------------------------------------------

@@ -139,7 +139,7 @@ def _owners(spark, sf):
 
 
 def _p_edges(spark, sf):
-    return sql(spark, sf, "select repo, path as from_path, min(path) over (partition by repo) as to_path from b_symbol")
+    return sql(spark, sf, "select s.repo, s.path as from_path, h.hub as to_path from b_symbol s join (select repo, min(path) as hub from b_symbol group by repo) h on h.repo = s.repo")
 
 
 def _p_impact(spark, sf, concepts, targets):

@@ -314,7 +314,7 @@ def register_delta(spark, sf):
     old_files = files.where(~F.startswith("path", F.lit("docs/")))
     return report.register_delta(
         report.register_known(old_c, old_files, s), report.register_known(c, files, s),
-        report.gap_register(old_c, blind_rows.limit(0), early), report.gap_register(c, blind_rows, s),
+        report.gap_register(old_c, blind_rows.where(F.lit(False)), early), report.gap_register(c, blind_rows, s),
     )
 
 

@@ -10,7 +10,7 @@ from factloom.functions.words import is_generic_role_word, match_words, name_tok
 MIN_TOKEN = 5
 
 
-def name_duplicates(concepts: DataFrame, pair_limit: int = 2000) -> DataFrame:
+def name_duplicates(concepts: DataFrame, pair_limit: int = 200) -> DataFrame:
     """Pairs a < b of storage concepts where a token (>= 5 bytes) of a names b.
 
     One row per pair with the first such token of a. A word carried by more than
