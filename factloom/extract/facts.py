@@ -55,8 +55,22 @@ def _rules(files: DataFrame, rules: DataFrame | None) -> DataFrame:
 
 def extract_symbols(files: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     """(repo, path, name, kind, line, observation)."""
-    m = _matched(files, _rules(files, rules), "symbol")
-    return m.where("g1 <> ''").select("repo", "path", F.col("g1").alias("name"), "kind", "line", F.lit(OBSERVATION).alias("observation")).dropDuplicates(["repo", "path", "name", "kind", "line"])
+    m = _matched(files, _rules(files, rules), "symbol").where("g1 <> ''").select("repo", "path", F.col("g1").alias("name"), "kind", "line")
+    m = m.unionByName(_manifest_kinds(files)).withColumn("observation", F.lit(OBSERVATION))
+    return m.dropDuplicates(["repo", "path", "name", "kind", "line"])
+
+
+def _manifest_kinds(files: DataFrame) -> DataFrame:
+    """Named Kubernetes objects: the first shallow name of each YAML document with a kind."""
+    y = files.where(file_ext(F.col("path")).isin("yaml", "yml") & F.contains("content", F.lit("kind:")))
+    docs = y.select("repo", "path", "content", F.posexplode(F.split("content", "(?m)^---")).alias("pos", "doc")).where(F.col("doc").rlike(r"(?m)^kind:\s*\w"))
+    docs = docs.withColumn("name", F.regexp_extract("doc", r"(?m)^\s{0,2}name:\s*(\S+)", 1)).where("name <> ''")
+    # The line of the document's kind: lines before the document, plus lines before its kind.
+    before = F.array_join(F.slice(F.split("content", "(?m)^---"), F.lit(1), F.col("pos")), "---")
+    newlines = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
+    head = F.regexp_extract("doc", r"(?s)^(.*?\n|)kind:", 1)
+    line = newlines(before) + newlines(head) + 1
+    return docs.select("repo", "path", "name", F.lit("Class").alias("kind"), line.cast("int").alias("line"))
 
 
 def extract_imports(files: DataFrame, rules: DataFrame | None = None) -> DataFrame:
@@ -93,7 +107,17 @@ def extract_routes(files: DataFrame, rules: DataFrame | None = None) -> DataFram
     ).select("repo", "path", F.col("v").alias("method"), F.col("app").alias("route"), F.when(F.col("v") == "ANY", "unknown").otherwise(F.col("v")).alias("handler"))
     server = place.where(F.col("srv").isNotNull()).select("repo", "path", server_api_method(F.col("path")).alias("method"), F.col("srv").alias("route"), file_stem(F.col("path")).alias("handler"))
     rpc = _service_rpcs(files)
-    return coded.unionByName(page).unionByName(api).unionByName(server).unionByName(rpc).distinct()
+    return coded.unionByName(page).unionByName(api).unionByName(server).unionByName(rpc).unionByName(_api_paths(files)).distinct()
+
+
+def _api_paths(files: DataFrame) -> DataFrame:
+    """OpenAPI paths with each of their methods."""
+    y = files.where(file_ext(F.col("path")).isin("yaml", "yml") & F.contains("content", F.lit("paths:")))
+    rx = r"(?ms)^  (/[^\n:]*):[ \t]*$(.*?)(?=^ {0,2}\S|\z)"
+    z = F.arrays_zip(F.regexp_extract_all("content", F.lit(rx), F.lit(1)).alias("p"), F.regexp_extract_all("content", F.lit(rx), F.lit(2)).alias("b"))
+    p = y.select("repo", "path", F.explode(z).alias("z"))
+    verb = F.regexp_extract_all(F.col("z.b"), F.lit(r"(?m)^    (get|post|put|patch|delete|head|options):"), F.lit(1))
+    return p.select("repo", "path", F.explode(verb).alias("v"), F.col("z.p").alias("route")).select("repo", "path", F.upper("v").alias("method"), "route", F.lit("").alias("handler"))
 
 
 def _service_rpcs(files: DataFrame) -> DataFrame:
@@ -205,8 +229,9 @@ def function_units(files: DataFrame, exts: tuple[str, ...] | None = None) -> Dat
 def extract_body_literals(files: DataFrame) -> DataFrame:
     """(repo, path, unit, literal): distinct meaningful string literals per function."""
     u = function_units(files)
-    double = F.regexp_extract_all("body", F.lit(r'"((?:[^"\\]|\\[\s\S])*)"'), F.lit(1))
-    either = r"'((?:[^'\\]|\\[\s\S])*)'|" + r'"((?:[^"\\]|\\[\s\S])*)"'
+    # Possessive loops: a literal of any length is matched without recursion.
+    double = F.regexp_extract_all("body", F.lit(r'"((?:[^"\\]++|\\[\s\S])*+)"'), F.lit(1))
+    either = r"'((?:[^'\\]++|\\[\s\S])*+)'|" + r'"((?:[^"\\]++|\\[\s\S])*+)"'
     both = F.concat(F.regexp_extract_all("body", F.lit(either), F.lit(1)), F.regexp_extract_all("body", F.lit(either), F.lit(2)))
     lits = F.array_distinct(F.filter(F.when(F.col("ext") == "rs", double).otherwise(both), is_meaningful_literal))
     return u.select("repo", "path", "unit", F.explode(lits).alias("literal"))
@@ -221,7 +246,7 @@ def extract_call_edges(files: DataFrame) -> DataFrame:
 
 
 COMMENTS = r"(?m)/\*[\s\S]*?\*/|//[^\n]*|^\s*#[^\n]*|^\s*--[^\n]*"
-STRINGS = r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`]*`"
+STRINGS = r"\"(?:[^\"\\\n]++|\\.)*+\"|'(?:[^'\\\n]++|\\.)*+'|`[^`]*`"
 DECLARED = r"\b(?:class|def|fn|struct|interface|enum|trait|function|type|func|model)\s+[A-Za-z_]\w*"
 
 

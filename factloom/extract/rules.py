@@ -142,7 +142,7 @@ symbol("objc", OC, "Function", r"^[-+]\s*\([^)]*\)\s*" + ID, "(")
 imported("objc", OC, r"^#import\s+[<\"]([^>\"]+)[>\"]", "#import")
 symbol("c", C, "Class", r"^(?:typedef\s+)?struct\s+" + ID, "struct")
 symbol("c", ("cpp", "hpp", "cc", "cxx"), "Class", r"^class\s+" + ID, "class")
-symbol("c", C, "Function", r"^(?!return\b|else\b|typedef\b)(?:[A-Za-z_][\w:<>]*[\s*&]+)+" + ID + r"\s*\([^;]*\)\s*\{", "(")
+symbol("c", C, "Function", r"^(?!return\b|else\b|typedef\b)(?:[A-Za-z_][\w:<>]*[\s*&]+){1,12}" + ID + r"\s*\([^;]*\)\s*\{", "(")
 imported("c", C, r"^#include\s+[<\"]([^>\"]+)[>\"]", "#include")
 symbol("scala", ("scala",), "Class", r"^(?:(?:sealed|abstract|final|case|implicit)\s+)*(?:class|object)\s+" + UP, "")
 symbol("scala", ("scala",), "Interface", r"^(?:sealed\s+)?trait\s+" + UP, "trait")
@@ -189,14 +189,11 @@ imported("sql", ("sql",), r"(?i)\breferences\s+[\"`]?" + ID, "")
 symbol("tf", ("tf",), "Class", r"^\s*(?:resource|data)\s+\"[^\"]+\"\s+\"([^\"]+)\"", "\"")
 symbol("tf", ("tf",), "Class", r"^\s*module\s+\"([^\"]+)\"", "module")
 imported("tf", ("tf",), r"\$\{([a-z]\w*(?:\.[a-z]\w*){1,3})\}", "${")
-symbol("k8s", YAML, "Class", r"(?m)^kind:\s*\w+\s*\n(?:.*\n)*?\s{0,2}name:\s*(\S+)", "kind:")
-RULES[-1] = (*RULES[-1][:6], "block", *RULES[-1][7:])
 imported("k8s", YAML, r"(?:configMap(?:Ref|KeyRef)?|secret(?:Ref|KeyRef)?)\s*:\s*\n\s+name:\s*(\S+)", "kind:", mode="block")
 imported("k8s", YAML, r"^\s*(?:serviceAccountName|claimName):\s*(\S+)", "kind:")
 imported("compose", YAML, r"depends_on:[ \t]*\n((?:[ \t]+-[ \t]*\S+[ \t]*(?:\n|$))+)", "depends_on", mode="block")
 imported("ci", YAML, r"^\s*(?:-\s*)?uses:\s*(\S+)", "uses:")
 imported("ci", YAML, r"^\s*needs:\s*\[?\s*([\w\-]+)", "needs:")
-route("openapi", YAML, r"(?m)^  (/[^\n:]*):[ \t]*\n(?:    [^\n]*\n)*?    (get|post|put|patch|delete|head|options):", "paths:", name=1, a=2, mode="block")
 imported("openapi", YAML, r"\$ref:\s*[\"']#/(?:components/schemas|definitions)/(\w+)", "$ref")
 
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Contract version and required keys.
-VERSION = "qaforge.evidence.v1"
+# Contract version (pass another one to exchange with a partner), and the required keys.
+VERSION = "factloom.evidence.v1"
 REQUIRED = ("contract_version", "evidence_type", "source", "observed_at_ms", "target", "confidence", "limitations", "payload")
 
 
@@ -14,20 +14,20 @@ def confidence_of(kind: Column) -> Column:
     return F.when(kind == "browser_page", "medium").when(kind == "http_response", "high").otherwise("low")
 
 
-def envelope(kind: Column, source: Column, target: Column, payload: Column, observed_at_ms: Column, note: Column, commit: Column, confidence: Column | None = None) -> Column:
+def envelope(kind: Column, source: Column, target: Column, payload: Column, observed_at_ms: Column, note: Column, commit: Column, confidence: Column | None = None, version: str = VERSION) -> Column:
     """JSON envelope; the kind decides the confidence unless one is given."""
     kind = F.coalesce(kind, F.lit("architectural_observation"))
     notes = F.when(note.isNotNull(), F.array(note)).otherwise(F.array().cast("array<string>"))
     sure = confidence_of(kind) if confidence is None else F.coalesce(confidence, confidence_of(kind))
     return F.to_json(
         F.struct(
-            F.lit(VERSION).alias("contract_version"), kind.alias("evidence_type"), source.alias("source"), observed_at_ms.alias("observed_at_ms"),
+            F.lit(version).alias("contract_version"), kind.alias("evidence_type"), source.alias("source"), observed_at_ms.alias("observed_at_ms"),
             commit.alias("commit"), target.alias("target"), sure.alias("confidence"), notes.alias("limitations"), payload.alias("payload"),
         )
     )
 
 
-def envelope_error(doc: Column) -> Column:
+def envelope_error(doc: Column, version: str = VERSION) -> Column:
     """Why an envelope is not valid, or null."""
     v = F.try_parse_json(doc)
     keys = F.json_object_keys(doc)
@@ -36,7 +36,7 @@ def envelope_error(doc: Column) -> Column:
     for key in REQUIRED:
         error = error.when(~F.array_contains(keys, key), F.lit(f"missing {key}"))
     return (
-        error.when(~F.get_json_object(doc, "$.contract_version").eqNullSafe(VERSION), "unsupported version")
+        error.when(~F.get_json_object(doc, "$.contract_version").eqNullSafe(version), "unsupported version")
         .when(~at("observed_at_ms").eqNullSafe("BIGINT"), "observed_at_ms is no integer")
         .when(~F.startswith(F.coalesce(at("limitations"), F.lit("")), F.lit("ARRAY")), "limitations is no array")
     )

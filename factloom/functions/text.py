@@ -32,7 +32,8 @@ def age_label(then_ms: Column, now_ms: Column) -> Column:
 
 def sql_fingerprint(sql: Column) -> Column:
     """Literals to ``?``, one space between words, lower case."""
-    s = F.regexp_replace(sql, r"(?s)'(\\.|[^'\\])*('|$)", "?")
+    # The possessive loop reads a literal of any length without recursion.
+    s = F.regexp_replace(sql, r"(?s)'(?:[^'\\]++|\\.)*+(?:'|\\?$)", "?")
     s = F.regexp_replace(s, r"[0-9][0-9.]*", "?")
     s = F.regexp_replace(s, r"\s+", " ")
     return F.trim(F.lower(s))
