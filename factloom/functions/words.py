@@ -106,3 +106,17 @@ def name_words(names: DataFrame, name_col: str, keep: tuple[str, ...] = ("repo",
     """One row per (name, word): pos 0 is the whole name, 1.. are its tokens; words are lower case."""
     words = F.concat(F.array(F.col(name_col)), name_tokens(F.col(name_col)))
     return names.select(*keep, name_col, F.posexplode(F.transform(words, lambda w: F.lower(w))).alias("pos", "word"))
+
+
+def starts(df: DataFrame, col: str, on: tuple[str, ...] = ("repo",)) -> DataFrame:
+    """Distinct first four bytes of the words of a column: same words share them."""
+    return df.select(*on, F.substring(folded(F.col(col)), 1, MIN_PREFIX).alias("start")).distinct()
+
+
+def starting_like(words: DataFrame, wanted: DataFrame | None, on: tuple[str, ...] = ("repo",)) -> DataFrame:
+    """Rows of ``words`` whose word can match at all. Asked terms are few next to a vocabulary, so
+    this drops most words before anything is aggregated or shuffled; AQE picks the join."""
+    if wanted is None:
+        return words
+    keyed = words.withColumn("start", F.substring(folded(F.col("word")), 1, MIN_PREFIX))
+    return keyed.join(wanted, [*on, "start"], "left_semi").drop("start")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.functions.words import match_words, name_words
+from factloom.functions.words import match_words, name_words, starting_like, starts
 
 # Base score per tier; ties are broken by capped use and relation counts.
 EXACT_ORM, EXACT_SQL, TOKEN_ORM, TOKEN_SQL = 2404, 1803, 1202, 601
@@ -32,7 +32,8 @@ def rank_concepts(terms: DataFrame, concepts: DataFrame, top: int = 6) -> DataFr
     each group before its shuffle), so a word found in a third of all names costs ``top``
     rows per term instead of all its names.
     """
-    hits = match_candidates(terms.select("repo", "term"), concept_candidates(concepts, top))
+    wanted = starts(terms, "term")
+    hits = match_candidates(terms.select("repo", "term"), concept_candidates(concepts, top, wanted))
     return rank_candidates(hits, top)
 
 
@@ -47,8 +48,11 @@ def match_candidates(terms: DataFrame, candidates: DataFrame) -> DataFrame:
     return pairs.select("repo", "term", F.explode("rows").alias("r")).select("repo", "term", "r.*")
 
 
-def concept_candidates(concepts: DataFrame, top: int = 6) -> DataFrame:
-    """(repo, word, name, exact, ...): whole names, and the best ``top`` names per token."""
+def concept_candidates(concepts: DataFrame, top: int = 6, wanted: DataFrame | None = None) -> DataFrame:
+    """(repo, word, name, exact, ...): the best ``top`` whole names and names per token of a word.
+
+    ``wanted`` (see ``starts``) keeps only words that some term can match.
+    """
     scored = concepts.select(
         "repo",
         "name",
@@ -56,7 +60,7 @@ def concept_candidates(concepts: DataFrame, top: int = 6) -> DataFrame:
         F.least(F.col("uses"), F.lit(MAX_USES)).cast("int").alias("usage_score"),
         F.least(F.col("n_relations"), F.lit(MAX_RELATIONS)).cast("int").alias("relation_score"),
     )
-    words = name_words(scored, "name", ("repo", "has_orm", "usage_score", "relation_score"))
+    words = starting_like(name_words(scored, "name", ("repo", "has_orm", "usage_score", "relation_score")), wanted)
     words = words.groupBy("repo", "name", "has_orm", "usage_score", "relation_score", "word").agg(F.min("pos").alias("pos"), F.max("pos").alias("last"))
     words = words.select("*", F.explode(F.expr("case when pos = 0 and last > 0 then array(true, false) else array(pos = 0) end")).alias("exact"))
     token_total = tier_score(F.col("exact"), F.col("has_orm")) + F.col("usage_score") + F.col("relation_score")
@@ -100,14 +104,14 @@ def first_rows(df: DataFrame, group: list[str], order: list[Column], cap: int |
     return ranked.where(F.col("_n") <= cap).drop("_n")
 
 
-def best_by_word(symbols: DataFrame, name_col: str = "name", path_col: str = "path") -> DataFrame:
+def best_by_word(symbols: DataFrame, name_col: str = "name", path_col: str = "path", wanted: DataFrame | None = None) -> DataFrame:
     """(repo, word, inexact, at, hit): the first symbol per word, exact names first, then path and name.
 
     Equal names are folded to their first path before they are cut into words.
     """
     first = symbols.groupBy("repo", name_col).agg(F.min(path_col).alias(path_col))
     return (
-        name_words(first, name_col, ("repo", path_col))
+        starting_like(name_words(first, name_col, ("repo", path_col)), wanted)
         .withColumn("inexact", (F.col("pos") > 0).cast("int"))
         .groupBy("repo", "word")
         .agg(F.min(F.struct("inexact", F.col(path_col).alias("at"), F.col(name_col).alias("hit"))).alias("best"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.paths import file_stem
-from factloom.functions.words import match_words, name_words
+from factloom.functions.words import match_words, name_words, starts
 from factloom.session import cut_lineage
 from factloom.operators.ranking import best_by_word, concept_candidates, match_candidates, tier_score
 
@@ -68,7 +68,9 @@ def resolve_terms(
         work = work.withColumn("fixed_uses", F.lit(None).cast("bigint")).withColumn("direct", F.lit(False))
 
     # One candidate list over all rungs, so the terms are matched against one vocabulary.
-    cand = concept_candidates(concepts).withColumn("rung", F.lit(2)).withColumn("inexact", F.lit(0)).withColumn("at", null)
+    search = work.where(~F.col("direct")).select("repo", F.col("search").alias("term"))
+    wanted = starts(search, "term")
+    cand = concept_candidates(concepts, wanted=wanted).withColumn("rung", F.lit(2)).withColumn("inexact", F.lit(0)).withColumn("at", null)
     cols = ["repo", "word", "rung", "inexact", "at", "name"]
     for rung, source in (
         (3, symbols),
@@ -76,9 +78,8 @@ def resolve_terms(
         (5, None if files is None else files.select("repo", "path", file_stem(F.col("path")).alias("name"))),
     ):
         if source is not None:
-            best = best_by_word(source).withColumnRenamed("hit", "name").withColumn("rung", F.lit(rung))
+            best = best_by_word(source, wanted=wanted).withColumnRenamed("hit", "name").withColumn("rung", F.lit(rung))
             cand = cand.unionByName(best.select(*cols), allowMissingColumns=True)
-    search = work.where(~F.col("direct")).select("repo", F.col("search").alias("term"))
     hits = match_candidates(search, cand).groupBy("repo", "term", "rung", "name").agg(
         F.max(F.struct("exact", "has_orm", "usage_score", "relation_score")).alias("c"), F.min(F.struct("inexact", "at")).alias("p")
     )
