@@ -24,7 +24,8 @@ def save_table(df: DataFrame, path: str, by: tuple[str, ...] = ("repo",)) -> Non
     Rows are spread by hash of the whole row inside a repo, so one large repo is written by many
     tasks; AQE sizes the files.
     """
-    df.repartition(*[F.col(c) for c in by], F.expr("pmod(xxhash64(*), 64)")).write.mode("overwrite").option(
+    hashable = [c for c, t in df.dtypes if "map<" not in t]
+    df.repartition(*[F.col(c) for c in by], F.pmod(F.xxhash64(*hashable), F.lit(64))).write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic"
     ).partitionBy(*by).parquet(path)
 

@@ -40,7 +40,7 @@ def test_snapshots_append_by_version(spark, tmp_path):
 
 
 def test_read_tree_and_inventory(spark, tmp_path):
-    for rel, text in {"src/a.py": "x = 1", "node_modules/b.py": "y", "env/pyvenv.cfg": "", "env/lib/c.py": "z", "README.md": "# hi", "q/d.lua": "-"}.items():
+    for rel, text in {"src/a.py": "x = 1", "node_modules/b.py": "y", "env/pyvenv.cfg": "home = /usr", "env/lib/c.py": "z", "README.md": "# hi", "q/d.lua": "-"}.items():
         p = tmp_path / "repo" / rel
         p.parent.mkdir(parents=True, exist_ok=True)
         p.write_text(text)
