@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import licenses, mixing, packing, token_files, toxicity, url_filter
+from factloom.llm import licenses, mixing, packing, substrings, token_files, toxicity, url_filter
 from factloom.llm.spread import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,3 +54,11 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLES["op6_license_scans"] = licenses.scan_sql()
 ORACLES["op3_url_filters"] = url_filter.judge_sql()
+
+
+@query
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.removal_digest(read(spark, sf_dir, "documents"))
+
+
+ORACLES["op2_substring_dedup"] = substrings.digest_sql()

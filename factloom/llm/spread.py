@@ -22,32 +22,63 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def fixed_table(rows: DataFrame) -> np.ndarray:
-    """Sum of the int32 vectors ``counts`` of each ``chunk``, laid end to end on the driver.
+def fixed_table(rows: DataFrame, kind: str = "int32") -> dict[int, np.ndarray]:
+    """The tables that tasks emitted as ``table_rows``, brought together cell by cell on the driver.
 
-    ``rows`` comes from ``table_rows``; the result has as many cells as the table that its tasks
-    filled, whatever the input, so it may be broadcast. Chunks are added up where they land.
+    Counts (int32) are added up to 2**31 - 1, bits (uint8) united. The result has as many cells as one
+    task's table, whatever the input, so it may be broadcast. Chunks are combined where they land.
     """
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
+    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, np.ndarray] = {}
         for batch in batches:
-            for chunk, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                more = np.frombuffer(counts.as_buffer(), np.int32).astype(np.int64)
-                sums[chunk] = sums.get(chunk, 0) + more
-        for chunk, total in sums.items():
-            yield pa.RecordBatch.from_pydict({"chunk": pa.array([chunk], pa.int32()), "counts": pa.array([np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()], pa.binary())})
+            for chunk, cells in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                more = np.frombuffer(cells.as_buffer(), kind)
+                if chunk not in found:
+                    found[chunk] = more.copy()
+                elif kind == "uint8":
+                    found[chunk] |= more
+                else:
+                    found[chunk] = np.minimum(found[chunk].astype(np.int64) + more, 2**31 - 1).astype(np.int32)
+        for chunk, cells in found.items():
+            yield pa.RecordBatch.from_pydict({"chunk": pa.array([chunk], pa.int32()), "cells": pa.array([cells.tobytes()], pa.binary())})
 
     spark = rows.sparkSession
-    summed = rows.select("chunk", "counts").repartition(min(partitions(spark), 64), "chunk").mapInArrow(add, "chunk int, counts binary")
-    parts = sorted((r.chunk, bytes(r.counts)) for r in summed.toLocalIterator())
-    return np.concatenate([np.frombuffer(c, np.int32) for _, c in parts]) if parts else np.zeros(0, np.int32)
+    united = rows.select("chunk", "cells").repartition(min(partitions(spark), 64), "chunk").mapInArrow(unite, "chunk int, cells binary")
+    return {r.chunk: np.frombuffer(bytes(r.cells), kind) for r in united.collect()}
 
 
-def table_rows(counts: np.ndarray) -> tuple[list[int], list[bytes]]:
-    """A task's table as (chunk, counts) rows."""
-    cells = np.minimum(counts, 2**31 - 1).astype(np.int32).reshape(-1, CHUNK)
-    return list(range(len(cells))), [c.tobytes() for c in cells]
+def whole_table(chunks: dict[int, np.ndarray], cells: int, kind: str) -> np.ndarray:
+    table = np.zeros(cells, kind)
+    for chunk, found in chunks.items():
+        table[chunk * CHUNK : (chunk + 1) * CHUNK] = found
+    return table
+
+
+def table_rows(cells: np.ndarray) -> tuple[list[int], list[bytes]]:
+    """The chunks of a task's table that are not all zero, as (chunk, cells) rows."""
+    parts = cells.reshape(-1, CHUNK)
+    used = np.flatnonzero(parts.any(axis=1))
+    return used.tolist(), [parts[k].tobytes() for k in used]
+
+
+def bit_filter(keys: DataFrame, bits: int) -> np.ndarray:
+    """A bitmap of ``bits`` places (a power of two) where the hashes in the first column fall: it never misses one."""
+    places = np.uint64(bits - 1)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(bits, bool)
+        for batch in batches:
+            table[batch.column(0).to_numpy().view(np.uint64) & places] = True
+        chunks, cells = table_rows(np.packbits(table))
+        yield pa.RecordBatch.from_pydict({"chunk": pa.array(chunks, pa.int32()), "cells": pa.array(cells, pa.binary())})
+
+    return whole_table(fixed_table(keys.mapInArrow(mark, "chunk int, cells binary"), "uint8"), bits // 8, "uint8")
+
+
+def may_hold(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = hashes & np.uint64(len(table) * 8 - 1)
+    return (table[at >> np.uint64(3)] >> (7 - (at & np.uint64(7))).astype(np.uint8)) & 1 == 1
 
 
 def in_order(df: DataFrame, keys: list[Column], n: int) -> DataFrame:
