@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import licenses, mixing, packing, substrings, token_files, toxicity, url_filter
+from factloom.llm import licenses, mixing, ngram_join, packing, substrings, token_files, toxicity, url_filter
 from factloom.llm.spread import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,3 +62,11 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op2_substring_dedup"] = substrings.digest_sql()
+
+
+@query
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(read(spark, sf_dir, "documents"))
+
+
+ORACLES["op7_ngram_jaccard"] = ngram_join.components_sql()
