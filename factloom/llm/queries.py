@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import licenses, mixing, ngram_join, packing, substrings, token_files, toxicity, url_filter
+from factloom.llm import licenses, mixing, ngram_join, packing, substrings, token_files, top_products, toxicity, url_filter, vector_range
 from factloom.llm.spread import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +70,29 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op7_ngram_jaccard"] = ngram_join.components_sql()
+
+
+@query
+def op5_vector_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_range.range_links(read(spark, sf_dir, "embeddings"))
+
+
+@query
+def op8_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_products.top_products(read(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op5_vector_range_join"] = """
+with recursive d as (select vec_id, label, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings),
+v as (select vec_id, label, e, sqrt(list_dot_product(e, e)) as n from d),
+fine as (select * from v where n > 0 and isfinite(n)),
+links as materialized (select a.vec_id as x, b.vec_id as y from fine a join fine b on a.label = b.label and a.vec_id <> b.vec_id where list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.93),
+reach(vec_id, root) as (select vec_id, vec_id from d union select y, root from reach join links on reach.vec_id = x),
+low as (select vec_id, min(root) as component_id from reach group by vec_id),
+deg as (select x, count(*) as k from links group by x)
+select vec_id, cast(coalesce(k, 0) as bigint) as n_links, component_id, vec_id = component_id as kept from low left join deg on vec_id = x"""
+ORACLES["op8_top_products"] = """
+with d as (select vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as e from embeddings),
+s as (select a.vec_id as query_id, b.vec_id, cast(list_dot_product(a.e, b.e) as bigint) as score from d a, d b where a.vec_id % 50 = 0 and a.vec_id <> b.vec_id),
+r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from s)
+select query_id, rank, vec_id, score from r where rank <= 5"""
