@@ -130,16 +130,17 @@ def fit(texts: list[bytes], labels: list[int]) -> Model | None:
 
 
 def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[bytes], list[int]]:
-    """The labelled rows to learn from: of the ids with crc32 mod 5 other than 0, those with the smallest hashes.
+    """The labelled rows to learn from: of the ids with crc32 mod 5 other than 0, the ``SAMPLE_ROWS`` with the smallest hashes.
 
-    At most ``SAMPLE_ROWS`` rows with texts of at most ``SAMPLE_TEXT`` bytes reach the driver. Ids with two different
+    Those ids, two numbers each, are broadcast; of their rows at most ``SAMPLE_ROWS``, with texts of at most ``SAMPLE_TEXT`` bytes, reach the driver. Ids with two different
     labels, and null ids, labels or texts, teach nothing.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
     known = known.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("_top")).where("toxic = _top").drop("_top")
     known = known.where("crc32(cast(cast(doc_id as string) as binary)) % 5 <> 0")
+    few = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).where(F.octet_length("text") <= SAMPLE_TEXT)
-    picked = rows.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(SAMPLE_ROWS).collect()
+    picked = rows.join(F.broadcast(few), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(SAMPLE_ROWS).collect()
     return [bytes(r.text) for r in picked], [r.toxic for r in picked]
 
 
