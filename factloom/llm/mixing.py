@@ -200,11 +200,16 @@ def plan_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as ``plan_mix`` takes it, with all its columns."""
+    """The mix itself: each row of ``docs`` as often as ``plan_mix`` takes it, with all its columns.
+
+    Of rows alike in id, source and size the first by text hash are those taken once more.
+    """
     names = docs.columns
-    like = Window.partitionBy("_id", "_source", "_size").orderBy(F.xxhash64("text"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.col("source").cast("string").alias("_source"), word_count(F.col("text")).alias("_size"), "text")
-    rows = rows.withColumn("_copy", F.row_number().over(like).cast("long")).drop("text")
-    plan = plan_mix(docs, **options).where("times > 0").select(*[F.col(c).alias(f"_p_{c}") for c in ("doc_id", "source", "size", "copy", "times")])
-    same = F.col("_id").eqNullSafe(F.col("_p_doc_id")) & F.col("_source").eqNullSafe(F.col("_p_source")) & (F.col("_size") == F.col("_p_size")) & (F.col("_copy") == F.col("_p_copy"))
-    return rows.join(plan, same).select("_row", F.explode(F.sequence(F.lit(1), F.col("_p_times")))).select("_row.*")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.col("source").cast("string").alias("_source"), word_count(F.col("text")).alias("_size"))
+    rows = rows.withColumn("_k", F.xxhash64("_id", "_source", "_size"))
+    plan = plan_mix(docs, **options).groupBy(F.col("doc_id").alias("_i"), F.col("source").alias("_s"), F.col("size").alias("_z")).agg(F.min("times").alias("_low"), (F.sum("times") - F.count("*") * F.min("times")).alias("_more"))
+    plan = plan.where("_low + _more > 0").withColumn("_h", F.xxhash64("_i", "_s", "_z"))
+    same = (F.col("_k") == F.col("_h")) & F.col("_id").eqNullSafe(F.col("_i")) & F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_z"))
+    alike = Window.partitionBy("_k", "_id", "_source", "_size").orderBy(F.xxhash64("_row.text"))
+    taken = rows.join(plan, same).withColumn("_times", F.col("_low") + (F.row_number().over(alike) <= F.col("_more")).cast("long"))
+    return taken.where("_times > 0").select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))).select("_row.*")
