@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.llm.spread import pick
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 # Normalised sentences of public licence notices and their identifiers.
@@ -101,7 +103,7 @@ def scan(df: DataFrame, known: tuple[tuple[str, str], ...] = SENTENCES, rules: t
     Each rule takes the runs of identifiers it matches, so a shorter rule cannot count them again. Null and
     empty texts have no sentences; repeated rows are scanned like any other; other columns are ignored.
     """
-    seq = df.select(F.col("doc_id"), F.coalesce(identifiers(F.col("text"), known), F.lit(",")).alias("seq"))
+    seq = pick(df, "doc_id", "text").select(F.col("doc_id"), F.coalesce(identifiers(F.col("text"), known), F.lit(",")).alias("seq"))
     # the two commas between neighbours let runs of one rule follow each other
     taken = reduce(lambda c, r: F.replace(c, F.lit("," + ",,".join(r[1]) + ","), F.lit(f"<{r[0]}>")), rules, F.replace("seq", F.lit(","), F.lit(",,")))
     return seq.select(

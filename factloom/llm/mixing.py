@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.spread import in_order, partitions, starts_of
+from factloom.llm.spread import column, in_order, numbered, partitions, pick, starts_of
 from factloom.session import cut_lineage
 
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -172,7 +172,7 @@ def plan_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     """
     spark = docs.sparkSession
     like = Window.partitionBy("doc_id", "source", "size").orderBy(F.lit(0))
-    sized = cut_lineage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size")))
+    sized = cut_lineage(pick(docs, "doc_id", "source", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size")))
     units = sized.withColumn("copy", F.row_number().over(like).cast("long"))
     targets = cut_lineage(source_targets(sized, weights, share, most))
     times = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -204,12 +204,13 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
     Of rows alike in id, source and size the first by text hash are those taken once more.
     """
-    names = docs.columns
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.col("source").cast("string").alias("_source"), word_count(F.col("text")).alias("_size"))
+    names = numbered(docs).columns
+    doc_id, source, text = (column(docs, c) for c in ("doc_id", "source", "text"))
+    rows = numbered(docs).select("*", F.col(doc_id).cast("long").alias("_id"), F.col(source).cast("string").alias("_source"), word_count(F.col(text)).alias("_size"))
     rows = rows.withColumn("_k", F.xxhash64("_id", "_source", "_size"))
     plan = plan_mix(docs, **options).groupBy(F.col("doc_id").alias("_i"), F.col("source").alias("_s"), F.col("size").alias("_z")).agg(F.min("times").alias("_low"), (F.sum("times") - F.count("*") * F.min("times")).alias("_more"))
     plan = plan.where("_low + _more > 0").withColumn("_h", F.xxhash64("_i", "_s", "_z"))
     same = (F.col("_k") == F.col("_h")) & F.col("_id").eqNullSafe(F.col("_i")) & F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_z"))
-    alike = Window.partitionBy("_k", "_id", "_source", "_size").orderBy(F.xxhash64("_row.text"))
+    alike = Window.partitionBy("_k", "_id", "_source", "_size").orderBy(F.xxhash64(text))
     taken = rows.join(plan, same).withColumn("_times", F.col("_low") + (F.row_number().over(alike) <= F.col("_more")).cast("long"))
-    return taken.where("_times > 0").select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))).select("_row.*")
+    return taken.where("_times > 0").select(*names, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))).select(*names).toDF(*docs.columns)

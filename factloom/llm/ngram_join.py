@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.spread import bit_filter, components, fixed_table, may_hold, partitions, table_rows, whole_table
+from factloom.llm.spread import bit_filter, column, components, fixed_table, may_hold, numbered, partitions, pick, table_rows, whole_table
 from factloom.llm.text import Rolling, Words, mix, signed, slices
 from factloom.session import cut_lineage
 
@@ -81,7 +81,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     links (null only if all reachable ids are null). Other columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    texts = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     schema = "doc_id long, n long, key long, chunk int, cells binary"
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,12 +165,12 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
 
 def drop_near_copies(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """One row of each component of ``docs``: the one with the component's id, of repeated rows the first by text hash; rows without an id, which no id speaks for, stay."""
-    names = docs.columns
     lost = jaccard_components(docs, n, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("_lost")).distinct()
-    kept = docs.join(lost, F.col("doc_id").cast("long") == F.col("_lost"), "left_anti")
-    again = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    known = kept.where("doc_id is not null").withColumn("_again", F.row_number().over(again)).where("_again = 1")
-    return known.select(*[F.col(f"`{c}`") for c in names]).unionByName(kept.where("doc_id is null"))
+    rows, doc_id, text = numbered(docs), column(docs, "doc_id"), column(docs, "text")
+    kept = rows.join(lost, F.col(doc_id).cast("long") == F.col("_lost"), "left_anti")
+    again = Window.partitionBy(doc_id).orderBy(F.xxhash64(text))
+    known = kept.where(F.col(doc_id).isNotNull()).withColumn("_again", F.row_number().over(again)).where("_again = 1").drop("_again")
+    return known.unionByName(kept.where(F.col(doc_id).isNull())).toDF(*docs.columns)
 
 
 def components_sql(n: int = 3, percent: int = 90, table: str = "documents") -> str:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.encode import encoder, tokenizer_path
-from factloom.llm.spread import partitions
+from factloom.llm.spread import pick
 from factloom.llm.text import slices
 from factloom.session import cut_lineage
 
@@ -86,7 +86,7 @@ def pack(df: DataFrame, tokenizer: str | None = None, size: int = SIZE, open_win
         columns = list(zip(*rows, strict=True)) or [()] * len(names)
         return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if n == "ids" else pa.int64()) for n, c in zip(names, columns, strict=True)], names)
 
-    placed = cut_lineage(df.select(F.col("doc_id").cast("long"), "text").mapInArrow(place, schema))
+    placed = cut_lineage(pick(df, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").mapInArrow(place, schema))
     pieces = placed.where("left_fill is null").drop("left_fill")
     moves = _merge(placed.where("left_fill is not null").select("window", F.col("left_fill").alias("fill")), size, open_windows)
     moved = pieces.join(moves, "window", "left").withColumn("sequence_id", F.coalesce("into", "window"))

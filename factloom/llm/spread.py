@@ -22,6 +22,21 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` with its columns renamed c0, c1, ...: no name of the caller's meets one of ours, not even in another case."""
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+
+
+def column(df: DataFrame, name: str) -> str:
+    """The name that ``numbered`` gives the first column called exactly ``name``."""
+    return f"c{df.columns.index(name)}"
+
+
+def pick(df: DataFrame, *names: str) -> DataFrame:
+    """Only the columns called exactly so."""
+    return numbered(df).select(*[F.col(column(df, n)).alias(n) for n in names])
+
+
 def fixed_table(rows: DataFrame, kind: str = "int32") -> dict[int, np.ndarray]:
     """The tables that tasks emitted as ``table_rows``, brought together cell by cell on the driver.
 

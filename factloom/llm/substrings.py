@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.spread import bit_filter, may_hold
+from factloom.llm.spread import bit_filter, column, may_hold, numbered, pick
 from factloom.llm.text import Rolling, Words, mix, offsets, signed, slices
 from factloom.session import cut_lineage
 
@@ -142,11 +142,11 @@ def keyed_texts(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return docs.where(F.octet_length("text") >= 2 * window - 1).select(F.xxhash64("text").alias("t"), F.octet_length("text").cast("long").alias("len"), F.col("text").cast("binary").alias("text"))
 
 
-def with_spans(docs: DataFrame, window: int = WINDOW, kmer: int = KMER) -> DataFrame:
-    """``docs`` with ``_spans``, joined by text: equal texts have equal repeated windows."""
-    spans = repeated_windows(keyed_texts(docs, window), window, kmer).select(F.col("t").alias("_t"), F.col("len").alias("_len"), F.col("spans").alias("_spans"))
-    keyed = docs.withColumn("_t", F.xxhash64("text")).withColumn("_len", F.octet_length("text").cast("long"))
-    return keyed.join(spans, ["_t", "_len"], "left")
+def with_spans(rows: DataFrame, text: str, window: int = WINDOW, kmer: int = KMER) -> DataFrame:
+    """``rows`` with ``_spans``, joined by their column ``text``: equal texts have equal repeated windows."""
+    spans = repeated_windows(keyed_texts(rows.select(F.col(text).alias("text")), window), window, kmer).select(F.col("t").alias("_t"), F.col("len").alias("_len"), F.col("spans").alias("_spans"))
+    keyed = rows.withColumn("_t", F.xxhash64(text)).withColumn("_len", F.octet_length(text).cast("long"))
+    return keyed.join(spans, ["_t", "_len"], "left").drop("_t", "_len")
 
 
 def _removed(spans: list[int] | None, n: int, window: int) -> np.ndarray:
@@ -184,17 +184,17 @@ def removal_digest(docs: DataFrame, window: int = WINDOW, kmer: int = KMER) -> D
                     ["doc_id", "n_words", "n_removed", "kept_sha256"],
                 )
 
-    rows = with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), window, kmer)
+    rows = with_spans(pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "text", window, kmer)
     return rows.select("doc_id", F.col("text").cast("binary").alias("text"), "_spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, kmer: int = KMER) -> DataFrame:
     """``docs`` with the kept words, joined by one space, as ``text`` where words went; other texts and columns stay as they are."""
-    names, types = docs.columns, docs.schema
+    rows, at = numbered(docs), docs.columns.index("text")
+    names, types = rows.columns, rows.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.get_field_index("text")
             texts = batch.column(at).to_pylist()
             for k, spans in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
                 if spans:
@@ -203,7 +203,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, kmer: int = KMER) -> D
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return with_spans(docs, window, kmer).select(*[F.col(f"`{n}`") for n in names], "_spans").mapInArrow(run, types)
+    return with_spans(rows, column(docs, "text"), window, kmer).select(*names, "_spans").mapInArrow(run, types).toDF(*docs.columns)
 
 
 def digest_sql(window: int = WINDOW, table: str = "documents") -> str:

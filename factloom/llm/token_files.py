@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.encode import encoder, tokenizer_path
-from factloom.llm.spread import in_order, partitions, starts_of
+from factloom.llm.spread import in_order, partitions, pick, starts_of
 from factloom.llm.text import slices
 from factloom.session import checkpoint_folder, cut_lineage
 
@@ -148,7 +148,7 @@ def write_token_files(df: DataFrame, folder: str | None = None, tokenizer: str |
             sink.close()
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "file": [f"{folder.rstrip('/')}/{name}"], "n_docs": pa.array([len(writer.docs)], pa.int64()), "n_ids": pa.array([n], pa.int64())})
 
-    rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = pick(df, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     dealt = in_order(rows, order or [F.col("doc_id"), F.xxhash64("text")], partitions(spark))
     manifest = cut_lineage(dealt.mapInArrow(write, "part int, file string, n_docs long, n_ids long"))
     return starts_of(manifest, "part", "n_ids").withColumnRenamed("_before", "start")

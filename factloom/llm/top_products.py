@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.spread import in_order, partitions
+from factloom.llm.spread import in_order, partitions, pick
 from factloom.llm.vectors import matrix, usable
 from factloom.session import cut_lineage
 
@@ -131,7 +131,7 @@ def top_products(vectors: DataFrame, top: int = TOP, every: int = EVERY, scale:
     are each answered; fewer than ``top`` candidates give fewer ranks; other columns are ignored.
     """
     whole = F.transform(F.col("embedding").cast("array<double>"), lambda x: F.floor(x * F.lit(float(scale))).cast("double"))
-    rows = vectors.where(usable(F.col("embedding"))).select(F.col("vec_id").cast("long").alias("vec_id"), whole.alias("v"))
+    rows = pick(vectors, "vec_id", "embedding").where(usable(F.col("embedding"))).select(F.col("vec_id").cast("long").alias("vec_id"), whole.alias("v"))
     buckets = _blocks(rows, BUCKET)
     asked = _blocks(rows.where(F.col("vec_id") % every == 0), QUERY_BLOCK)
     heads = buckets.groupBy("dim").agg(F.min_by("block", F.struct(-F.col("longest"), F.col("block"))).alias("head"))

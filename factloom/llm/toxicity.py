@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.spread import map_slices
+from factloom.llm.spread import column, map_slices, numbered, pick
 from factloom.llm.text import Words
 
 #: Labelled rows that the model is fitted on: at most this many, of texts of at most so many bytes.
@@ -135,11 +135,11 @@ def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[bytes], list[int]]:
     Those ids, two numbers each, are broadcast; of their rows at most ``SAMPLE_ROWS``, with texts of at most ``SAMPLE_TEXT`` bytes, reach the driver. Ids with two different
     labels, and null ids, labels or texts, teach nothing.
     """
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
+    known = pick(labels, "doc_id", "toxic").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
     known = known.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("_top")).where("toxic = _top").drop("_top")
     known = known.where("crc32(cast(cast(doc_id as string) as binary)) % 5 <> 0")
     few = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).where(F.octet_length("text") <= SAMPLE_TEXT)
+    rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).where(F.octet_length("text") <= SAMPLE_TEXT)
     picked = rows.join(F.broadcast(few), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(SAMPLE_ROWS).collect()
     return [bytes(r.text) for r in picked], [r.toxic for r in picked]
 
@@ -162,7 +162,7 @@ def score(docs: DataFrame, labels: DataFrame, model: Model | None = None) -> Dat
             p = 1 / (1 + np.exp(-np.clip(x @ model.weights, -30, 30)))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p)], ["doc_id", "score"])
 
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(map_slices(run), "doc_id long, score double")
+    scored = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(map_slices(run), "doc_id long, score double")
     held = F.coalesce(F.expr("crc32(cast(cast(doc_id as string) as binary)) % 5 = 0"), F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
@@ -172,10 +172,10 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, model: Model | None = None) -
     model = model or fit(*sample(docs, labels))
     if model is None:
         return docs
-    names = docs.columns
+    rows, text = numbered(docs), column(docs, "text")
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        x = np.c_[(_features(model.ordinary, model.toxic, batch.column("text")) - model.mean) / model.spread, np.ones(batch.num_rows)]
+        x = np.c_[(_features(model.ordinary, model.toxic, batch.column(text)) - model.mean) / model.spread, np.ones(batch.num_rows)]
         yield batch.filter(pa.array(x @ model.weights < 0.0))
 
-    return docs.select(*names).mapInArrow(map_slices(run), docs.schema)
+    return rows.mapInArrow(map_slices(run, text), rows.schema).toDF(*docs.columns)

@@ -10,6 +10,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.llm.spread import pick
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -67,7 +69,7 @@ def judge(pages: DataFrame, rules: Sequence[Rule] | DataFrame | None = None) ->
     spark = pages.sparkSession
     table = rules if isinstance(rules, DataFrame) else _rule_table(spark, default_rules() if rules is None else rules)
     host, path = host_and_path(F.col("url"))
-    rows = pages.select("page_id", F.col("url").cast("string").alias("url")).select("page_id", host.alias("host"), path.alias("path"))
+    rows = pick(pages, "page_id", "url").select("page_id", F.col("url").cast("string").alias("url")).select("page_id", host.alias("host"), path.alias("path"))
     distinct = rows.select("host", "path").distinct()
     address = F.concat("host", "path")
     tokens = distinct.select("host", "path", F.explode(F.array_distinct(F.split(lower(address), "[^0-9a-z]+"))).alias("token")).where("token <> ''")

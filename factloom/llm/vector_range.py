@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.spread import components, partitions
+from factloom.llm.spread import components, partitions, pick
 from factloom.llm.vectors import matrix, usable
 from factloom.session import cut_lineage
 
@@ -33,7 +33,7 @@ def range_links(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """
     spark = vectors.sparkSession
     wide = F.col("embedding").cast("array<double>")
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), wide.alias("v"))
+    rows = pick(vectors, "vec_id", "embedding", "label").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), wide.alias("v"))
     fine = F.coalesce(usable(F.col("v")) & F.exists("v", lambda x: x != 0) & F.col("label").isNotNull(), F.lit(False))
     keyed = rows.withColumn("key", F.when(fine, F.xxhash64("label", F.transform("v", lambda x: x + 0.0)))).withColumn("group", F.when(fine, F.concat(F.size("v").cast("string"), F.lit(":"), F.col("label"))))
     points = cut_lineage(keyed.where("key is not null").groupBy("key").agg(F.first("group").alias("group"), F.first("v").alias("v"), F.count("*").alias("weight")).mapInArrow(_unit, "key long, group string, v array<double>, weight long"))
