@@ -69,5 +69,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return out
         path = f"{folder}/{k}-{name}"
         out.write.parquet(path)
-        docs = spark.read.schema(out.schema).parquet(path)
+        docs = spark.read.parquet(path)
     return docs
