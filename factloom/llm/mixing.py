@@ -21,7 +21,7 @@ from factloom.session import cut_lineage
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, MOST = 1.5, 2.0
-BLOCK = 20_000
+BLOCK = 1_000
 FAN_IN = 5_000
 #: Units decided last that the landing may still trade.
 LANDING = 64
