@@ -47,13 +47,13 @@ ORACLES["extract_route_calls"] = expected(5, ("called",))
 
 def declarations(spark, sf):
     d = facts.extract_declarations(frame(spark, sf, "b_dsrc"))
-    return d.withColumn("fields", F.array_join("fields", ",")).withColumn("relations", F.array_join(F.array_sort("relations"), ",")).drop("line")
+    return d.withColumn("fields", F.array_join("fields", ",")).withColumn("relations", F.array_join(F.array_sort("relations"), ",")).withColumn("line", F.col("line").cast("bigint"))
 
 
 QUERIES["extract_declarations"] = declarations
-_D = expected(2, ("name", "kind", "fields", "relations", "table_name"), DECLS)
+_D = expected(2, ("name", "kind", "fields", "relations", "table_name", "line"), DECLS)
 ORACLES["extract_declarations"] = f"""
-select repo, path, name, kind, fields, array_to_string(list_sort(list_distinct(string_split(relations, ','))), ',') as relations, table_name from ({_D}) x"""
+select repo, path, name, kind, fields, array_to_string(list_sort(list_distinct(string_split(relations, ','))), ',') as relations, table_name, cast(line as bigint) as line from ({_D}) x"""
 
 
 def document_declarations(spark, sf):
@@ -108,16 +108,20 @@ union select repo, 'One_' || w1, {fill('u/{a}{n}.rs')}, 'identifier' {_U[1]}"""
 
 
 def document_identifiers(spark, sf):
-    """Distinct identifiers per document source: the extraction over whole real texts."""
-    d = sql(spark, sf, "select repo, path, regexp_replace(content, '[^A-Za-z0-9 ]', ' ') as content from b_doc")
+    """Distinct identifiers of whole raw documents, read as prose and as code with strings and comments in it."""
+    d = sql(
+        spark, sf,
+        "select repo, path || '.txt' as path, content from b_doc union all"
+        " select repo, path || '.py' as path, 'u = \"http://h/' || cast(doc_id as string) || '#x\"; Use' || cast(doc_id as string) || '()  # Never Counted' || chr(10) || '\"\"\"Doc string, it''s ' || regexp_replace(content, '[\"^]', ' ') || '\"\"\"' || chr(10) || 'class Own: pass' as content from b_doc",
+    )
     return facts.used_identifiers(d).groupBy("repo").agg(F.count(F.lit(1)).alias("uses"), F.countDistinct("ident").alias("idents"))
 
 
 QUERIES["document_identifiers"] = document_identifiers
 ORACLES["document_identifiers"] = """
-with c as (select repo, path, regexp_replace(regexp_replace(content, '[^A-Za-z0-9 ]', ' ', 'g'), '\\b(?:class|def|fn|struct|interface|enum|trait|function|type|func|model)\\s+[A-Za-z_][A-Za-z0-9_]*', ' ', 'g') as t from b_doc),
-r as (select distinct repo, path, unnest(regexp_extract_all(t, '[A-Za-z_][A-Za-z0-9_]*')) as i from c),
-e as (select repo, path, i from r union select repo, path, upper(substr(i, 1, 1)) || substr(i, 2) from r)
+with r as (select distinct repo, path || '.txt' as path, unnest(regexp_extract_all(content, '(?:class|def|enum|fn|func|function|interface|model|struct|trait|type)\\s+[A-Za-z_][A-Za-z0-9_]*|([A-Za-z_][A-Za-z0-9_]*)', 1)) as i from b_doc
+  union select repo, path || '.py', unnest(['u', 'Use' || cast(doc_id as varchar), 'pass']) from b_doc),
+e as (select repo, path, i from r where i <> '' union select repo, path, upper(substr(i, 1, 1)) || substr(i, 2) from r where i <> '')
 select repo, count(*) as uses, count(distinct i) as idents from e group by 1"""
 
 

@@ -198,7 +198,7 @@ QUERIES["storage_guard"] = storage_guard
 
 
 def _guard(source: str) -> str:
-    rx = "(?i)create\\s+table\\s+(?:if\\s+not\\s+exists\\s+)?[\"'`]?([A-Za-z0-9_]+)".replace("'", "''")
+    rx = "(?i)\\bcreate +table +(?:if +not +exists +)?\\W?(\\w+)"
     return f"""o_prop as (select repo, id, unnest(ps) as proposed, generate_subscripts(ps, 1) - 1 as pos from (select repo, id, regexp_extract_all(sql, '{rx}', 1) as ps from {source})),
 o_head as (select *, string_split(rtrim(proposed, 's'), '_')[-1] as head from o_prop), o_ask as (select distinct repo, head as term from o_head), {resolve_for('o_ask')},
 o_gl as (select repo, id, unnest(string_split(links, ',')) as link from b_decision),

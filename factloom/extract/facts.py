@@ -1,177 +1,223 @@
 """Extraction jobs: files in, fact tables out. All map-side: rules travel to the files.
 
-A rule set is a few hundred short rows, so it is joined to the files by extension as a broadcast
-of known size; file contents are never shuffled.
+Our own rule list is a few hundred short rows, so it is joined to the files by extension as a broadcast of known
+size, and file contents are not shuffled; a list that the caller brings is left to the optimizer.
+
+Matches are cut with ``cut_at``: a mark before each match splits the text once, so a piece begins with its match,
+and its line is the sum of the line breaks before it - no second search that could find an earlier look-alike.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.extract.rules import declaration_rules, rules_table
+from factloom.extract.rules import CREATES_TABLE, declaration_rules, rules_table
 from factloom.functions.paths import (
-    app_router_route, file_ext, file_name, file_stem, is_meaningful_literal, line_of, looks_like_path, server_api_method, server_api_route,
+    app_router_route, file_ext, file_name, file_stem, is_meaningful_literal, looks_like_path, page_route, server_api_method, server_api_route,
 )
 
 OBSERVATION = "Lexical"
 
 
-def _matched(files: DataFrame, rules: DataFrame, family: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(repo, path, content, rule columns, line, g1, g2, g3): every match of the family's rules.
+MARK = "\x01"
+
+
+def breaks(text: Column) -> Column:
+    """Number of line breaks."""
+    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+
 
-    The whole text is tested first; only files with a hit are cut into lines.
+def cut_at(text: Column, pattern: Column, first_line: Column | int = 1) -> Column:
+    """Pieces (txt, line) that begin with a match of ``pattern`` and reach to the next one.
+
+    ``first_line`` is the line that ``text`` begins on.
     """
-    r = rules.where(F.col("family") == family).select("lang", "kind", F.explode("exts").alias("ext"), "gate", "pattern", "mode", "name", "a", "b")
-    # Three groups always exist, so absent parts read as empty.
-    r = r.withColumn("rx", F.concat(F.col("pattern"), F.lit("()()()")))
-    f = files.select("repo", "path", "content", file_ext(F.col("path")).alias("ext"))
-    j = f.join(F.broadcast(r), "ext")
-    hit = F.when((F.col("gate") == "") | F.contains("content", F.col("gate")), F.expr("regexp_like(content, concat('(?m)', rx))")).otherwise(False)
-    j = j.where(hit)
-    group = lambda col, pos: F.expr(f"regexp_extract_all({col}, rx, case when {pos} > 0 then {pos} else 0 end)")
-    part = lambda arr, pos: F.expr(f"case when {pos} > 0 then {arr} else '' end")
-    by_line = j.where("mode = 'line'").select("*", F.posexplode(F.split("content", "\n")).alias("at", "txt"))
-    by_line = by_line.where(F.expr("regexp_like(txt, rx)"))
-    by_line = by_line.withColumn("line", F.col("at") + 1).drop("at")
-    zipped = F.arrays_zip(group("txt", "name").alias("x"), group("txt", "a").alias("y"), group("txt", "b").alias("z"))
-    by_line = by_line.withColumn("m", F.explode(zipped)).drop("txt")
-    blocks = j.where("mode = 'block'").withColumn("bx", F.concat(F.lit("(?m)"), F.col("rx")))
-    bgroup = lambda pos: F.expr(f"regexp_extract_all(content, bx, case when {pos} > 0 then {pos} else 0 end)")
-    whole = F.expr("regexp_extract_all(content, bx, 0)")
-    bz = F.arrays_zip(bgroup("name").alias("x"), bgroup("a").alias("y"), bgroup("b").alias("z"), whole.alias("w"))
-    blocks = blocks.withColumn("m", F.explode(bz))
-    blocks = blocks.withColumn("line", line_of(F.col("content"), F.instr("content", F.col("m")["w"])))
-    cols = ["repo", "path", "lang", "kind", "line", "name", "a", "b", *keep]
-    out = by_line.select(*cols, F.col("m")["x"].alias("g1"), F.col("m")["y"].alias("g2"), F.col("m")["z"].alias("g3")).unionByName(
-        blocks.select(*cols, F.col("m")["x"].alias("g1"), F.col("m")["y"].alias("g2"), F.col("m")["z"].alias("g3"))
-    )
-    return out.withColumn("g2", part("g2", "a")).withColumn("g3", part("g3", "b"))
+    marked = F.regexp_replace(F.translate(text, MARK, " "), pattern, F.lit(MARK + "$0"))
+    parts = F.split(marked, MARK)
+    start = first_line if isinstance(first_line, Column) else F.lit(first_line)
+    line = F.struct(start.cast("int").alias("at"), F.array().cast("array<int>").alias("lines"))
+    step = lambda acc, x: F.struct((acc["at"] + breaks(x)).cast("int").alias("at"), F.array_append(acc["lines"], (acc["at"] + breaks(x)).cast("int")).alias("lines"))
+    lines = F.aggregate(parts, line, step, lambda acc: acc["lines"])
+    pieces = F.arrays_zip(F.slice(parts, F.lit(2), F.size(parts) - 1).alias("txt"), F.slice(lines, F.lit(1), F.size(parts) - 1).alias("line"))
+    return F.when(F.size(parts) > 1, pieces).otherwise(F.slice(pieces, 1, 0))
+
 
+def _joined(files: DataFrame, rules: DataFrame, given: bool) -> DataFrame:
+    return files.join(rules if given else F.broadcast(rules), "ext")
 
-def _rules(files: DataFrame, rules: DataFrame | None) -> DataFrame:
-    return rules if rules is not None else rules_table(files.sparkSession)
+
+def _matched(files: DataFrame, rules: DataFrame | None, family: str, keep: tuple[Column, ...] = ()) -> DataFrame:
+    """(repo, path, lang, kind, line, g1, g2, g3, kept columns): every match of the family's rules; an absent part is empty."""
+    table = rules if rules is not None else rules_table(files.sparkSession)
+    r = table.where(F.col("family") == family).select("lang", "kind", F.explode("exts").alias("ext"), "gate", F.concat(F.lit("(?m)"), "pattern", F.lit("()()()")).alias("rx"), "name", "a", "b")
+    f = files.select("repo", "path", "content", file_ext(F.col("path")).alias("ext"), *keep)
+    j = _joined(f, r, rules is not None)
+    j = j.where(F.when((F.col("gate") == "") | F.contains("content", F.col("gate")), F.expr("regexp_like(content, rx)")).otherwise(False))
+    j = j.withColumn("p", F.explode(cut_at(F.col("content"), F.col("rx")))).drop("content")
+    part = lambda pos: F.expr(f"case when {pos} > 0 then regexp_extract(p.txt, rx, case when {pos} > 0 then {pos} else 0 end) else '' end")
+    names = [c for c in f.columns if c not in ("repo", "path", "content", "ext")]
+    return j.select("repo", "path", "lang", "kind", F.col("p.line").alias("line"), part("name").alias("g1"), part("a").alias("g2"), part("b").alias("g3"), *names)
 
 
 def extract_symbols(files: DataFrame, rules: DataFrame | None = None) -> DataFrame:
-    """(repo, path, name, kind, line, observation)."""
-    m = _matched(files, _rules(files, rules), "symbol").where("g1 <> ''").select("repo", "path", F.col("g1").alias("name"), "kind", "line")
-    m = m.unionByName(_manifest_kinds(files)).withColumn("observation", F.lit(OBSERVATION))
+    """(repo, path, name, kind, line, observation). Infrastructure blocks are named as expressions name them: ``aws_s3.logs``."""
+    m = _matched(files, rules, "symbol").where("g1 <> ''")
+    dotted = F.regexp_replace(F.regexp_replace("g1", r"[\s\"]+", "."), r"^\.|\.$", "")
+    m = m.select("repo", "path", F.when(F.col("lang") == "tf", dotted).otherwise(F.col("g1")).alias("name"), "kind", "line")
+    named = _yaml_entries(files).select("repo", "path", "name", F.lit("Class").alias("kind"), "line")
+    m = m.unionByName(_manifest_kinds(files)).unionByName(named).withColumn("observation", F.lit(OBSERVATION))
     return m.dropDuplicates(["repo", "path", "name", "kind", "line"])
 
 
+def _yaml(files: DataFrame, *needles: str) -> DataFrame:
+    some = F.lit(False)
+    for needle in needles:
+        some = some | F.contains("content", F.lit(needle))
+    return files.where(file_ext(F.col("path")).isin("yaml", "yml") & some)
+
+
 def _manifest_kinds(files: DataFrame) -> DataFrame:
-    """Named Kubernetes objects: the first shallow name of each YAML document with a kind."""
-    y = files.where(file_ext(F.col("path")).isin("yaml", "yml") & F.contains("content", F.lit("kind:")))
-    docs = y.select("repo", "path", "content", F.posexplode(F.split("content", "(?m)^---")).alias("pos", "doc")).where(F.col("doc").rlike(r"(?m)^kind:\s*\w"))
-    docs = docs.withColumn("name", F.regexp_extract("doc", r"(?m)^\s{0,2}name:\s*(\S+)", 1)).where("name <> ''")
-    # The line of the document's kind: lines before the document, plus lines before its kind.
-    before = F.array_join(F.slice(F.split("content", "(?m)^---"), F.lit(1), F.col("pos")), "---")
-    newlines = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
-    head = F.regexp_extract("doc", r"(?s)^(.*?\n|)kind:", 1)
-    line = newlines(before) + newlines(head) + 1
-    return docs.select("repo", "path", "name", F.lit("Class").alias("kind"), line.cast("int").alias("line"))
+    """Named Kubernetes objects: the first shallow name of each YAML document with a kind, at the line of the kind."""
+    docs = _yaml(files, "kind:").select("repo", "path", F.explode(cut_at(F.concat(F.lit("---\n"), "content"), F.lit("(?m)^---"), 0)).alias("d"))
+    docs = docs.where(F.col("d.txt").rlike(r"(?m)^kind:[ \t]*\w")).withColumn("name", F.regexp_extract("d.txt", r"(?m)^ {0,2}name:[ \t]*([^\s#]+)", 1)).where("name <> ''")
+    kind = F.element_at(cut_at(F.col("d.txt"), F.lit(r"(?m)^kind:"), F.col("d.line")), 1)
+    return docs.select("repo", "path", "name", F.lit("Class").alias("kind"), kind["line"].alias("line"))
+
+
+# YAML sections whose entries are symbols: where the section is, the indent of its entries, and what their names begin with.
+YAML_SECTIONS = (
+    (r"(?m)^services:[ \t]*$", 2, "Service."),
+    (r"(?m)^jobs:[ \t]*$", 2, "Job."),
+    (r"(?m)^ {2}schemas:[ \t]*$", 4, ""),
+    (r"(?m)^definitions:[ \t]*$", 2, ""),
+)
+
+
+def _yaml_entries(files: DataFrame) -> DataFrame:
+    """(repo, path, name, prefix, body, line): compose services, CI jobs and OpenAPI schemas with the text of each."""
+    found = None
+    y = _yaml(files, "services:", "jobs:", "schemas:", "definitions:").select("repo", "path", "content")
+    for opening, indent, prefix in YAML_SECTIONS:
+        section = y.select("repo", "path", F.explode(cut_at(F.col("content"), F.lit(opening))).alias("s"))
+        # the section ends at the first line that is indented less than its entries
+        inside = F.regexp_extract("s.txt", rf"(?s)^[^\n]*(\n.*?)(?=\n {{0,{indent - 1}}}[^\s#]|\z)", 1)
+        name = r"[A-Z]\w*" if not prefix else r"[\w.-]+"
+        entry = section.withColumn("e", F.explode(cut_at(inside, F.lit(rf"(?m)^ {{{indent}}}{name}:"), F.col("s.line"))))
+        rows = entry.select("repo", "path", F.concat(F.lit(prefix), F.regexp_extract("e.txt", rf"^ *({name}):", 1)).alias("name"), F.lit(prefix).alias("prefix"), F.col("e.txt").alias("body"), F.col("e.line").alias("line"))
+        found = rows if found is None else found.unionByName(rows)
+    return found
+
+
+def _yaml_edges(files: DataFrame) -> DataFrame:
+    """(repo, from_path, to_module, names): ``depends_on`` of services and ``needs`` of jobs, as inline list, list, map or single name."""
+    e = _yaml_entries(files).where("prefix <> ''").withColumn("key", F.when(F.col("prefix") == "Job.", "needs").otherwise("depends_on"))
+    value = F.expr(r"""regexp_extract(body, concat('(?s)\n    ', key, ':[ \t]*(.*?)(?=\n {0,4}[^\\s-]|\\z)'), 1)""")
+    e = e.withColumn("value", value).where("value <> ''")
+    keys = F.regexp_extract_all("value", F.lit(r"(?m)^ {6}([\w.-]+):"), F.lit(1))
+    items = F.regexp_extract_all("value", F.lit(r"(?m)^ +-[ \t]+[\"']?([\w.-]+)"), F.lit(1))
+    inline = F.regexp_extract_all(F.regexp_extract("value", r"^([^\n]*)", 1), F.lit(r"([\w.-]+)"), F.lit(1))
+    every = F.array_distinct(F.concat(inline, items, keys))
+    each = F.explode(F.transform(every, lambda x: F.concat("prefix", x)))
+    return e.select("repo", F.col("path").alias("from_path"), each.alias("to_module"), F.array(F.concat_ws(".", "name", "key")).alias("names"))
 
 
 def extract_imports(files: DataFrame, rules: DataFrame | None = None) -> DataFrame:
-    """(repo, from_path, to_module, names): module strings with the names taken from them."""
-    m = _matched(files, _rules(files, rules), "import").where("g1 <> ''")
-    bare = lambda n: F.trim(F.regexp_replace(n, r"\s+as\s+\w+|^type\s+|[()]|default:", ""))
-    names = F.filter(F.transform(F.split("g2", ","), bare), lambda n: n != "")
-    # A dependency list such as "- a - b" holds one module per item.
-    flat = F.regexp_replace("g1", r"^\s+|\s+$", "")
-    items = F.filter(F.split(flat, r"\s*-\s+|\n\s*-\s+"), lambda x: F.trim(x) != "")
-    modules = F.when(F.startswith(flat, F.lit("- ")), items).otherwise(F.array(flat))
-    m = m.select("repo", F.col("path").alias("from_path"), F.explode(modules).alias("to_module"), names.alias("names"))
-    return m.withColumn("to_module", F.trim("to_module")).dropDuplicates(["repo", "from_path", "to_module", "names"])
+    """(repo, from_path, to_module, names): module strings with the names taken from them; statements may span lines."""
+    m = _matched(files, rules, "import").where("g1 <> ''")
+    bare = lambda n: F.trim(F.regexp_replace(n, r"\s+as\s+\w+|^\s*type\s+|[(){}\s]+", " "))
+    names = F.filter(F.transform(F.split(F.regexp_replace("g2", r"#[^\n]*|//[^\n]*", ""), ","), bare), lambda n: n != "")
+    # several modules in one statement: a block of lines, or a list
+    items = F.transform(F.split("g1", r"[,\n]"), lambda x: F.trim(F.regexp_replace(x, r"\s+as\s+\w+", "")))
+    inner = F.transform(items, lambda x: F.when(F.col("lang") == "go", F.regexp_extract(x, r'^\s*(?:[\w.]+\s+)?"([^"]*)"', 1)).otherwise(x))
+    m = m.select("repo", F.col("path").alias("from_path"), F.explode(F.filter(inner, lambda x: x != "")).alias("to_module"), names.alias("names"))
+    return m.unionByName(_yaml_edges(files)).dropDuplicates(["repo", "from_path", "to_module", "names"])
 
 
 def extract_routes(files: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     """(repo, path, method, route, handler): declared routes, from code and from file places.
 
-    ``${NAME}`` in a route is replaced by a constant of the same file.
+    ``${NAME}`` in a route is replaced by a constant of the same file; a mapping without a path is the root.
     """
-    m = _matched(files, _rules(files, rules), "route", ("content",)).where("g1 <> ''")
+    constant = r"\bconst\s+(\w+)\s*=\s*[\"'`]([^\"'`$\n]*)[\"'`]"
+    pairs = F.arrays_zip(*[F.regexp_extract_all("content", F.lit(constant), F.lit(k)).alias(n) for k, n in ((1, "name"), (2, "value"))])
+    known = F.when(F.contains("content", F.lit("${")), pairs).otherwise(F.slice(pairs, 1, 0)).alias("known")
+    m = _matched(files, rules, "route", (known,)).where("g1 <> '' or g2 <> ''")
     method = F.when(F.col("g2") != "", F.upper("g2")).otherwise(F.upper("kind"))
-    const = F.regexp_extract("g1", r"\$\{(\w+)\}", 1)
-    m = m.withColumn("const", const)
-    text = F.expr(r"""regexp_extract(content, concat('const\\s+', const, '\\s*=\\s*["\'`]([^"\'`$]+)'), 1)""")
-    m = m.withColumn("text", F.when(F.col("const") != "", text).otherwise(""))
-    path = F.expr("case when text = '' then g1 else replace(g1, concat('${', const, '}'), text) end")
-    coded = m.select("repo", "path", method.alias("method"), path.alias("route"), F.col("g3").alias("handler"))
-    place = files.select("repo", "path", app_router_route(F.col("path")).alias("app"), server_api_route(F.col("path")).alias("srv"), F.col("content"))
+    fill = F.aggregate("known", F.col("g1"), lambda acc, x: F.replace(acc, F.concat(F.lit("${"), x["name"], F.lit("}")), x["value"]))
+    coded = m.select("repo", "path", method.alias("method"), F.when(F.col("g1") == "", "/").otherwise(fill).alias("route"), F.col("g3").alias("handler"))
+    place = files.select("repo", "path", app_router_route(F.col("path")).alias("app"), server_api_route(F.col("path")).alias("srv"), page_route(F.col("path")).alias("page"), "content")
     page = place.where(F.col("app").isNotNull() & file_stem(F.col("path")).isin("page")).select("repo", "path", F.lit("GET").alias("method"), F.col("app").alias("route"), F.lit("default").alias("handler"))
-    verbs = F.regexp_extract_all("content", F.lit(r"(?m)^export\s+(?:async\s+)?function\s+(GET|POST|PUT|DELETE|PATCH|HEAD|OPTIONS)\b"), F.lit(1))
+    nuxt = place.where(F.col("page").isNotNull()).select("repo", "path", F.lit("GET").alias("method"), F.col("page").alias("route"), F.lit("default").alias("handler"))
+    verbs = F.regexp_extract_all("content", F.lit(r"(?m)^export[ \t]+(?:(?:async[ \t]+)?function|const|let)[ \t]+([A-Z]+)\b"), F.lit(1))
+    verbs = F.filter(verbs, lambda v: v.isin("DELETE", "GET", "HEAD", "OPTIONS", "PATCH", "POST", "PUT"))
     api = place.where(F.col("app").isNotNull() & file_stem(F.col("path")).isin("route")).withColumn(
         "v", F.explode(F.when(F.size(verbs) > 0, verbs).otherwise(F.array(F.lit("ANY"))))
     ).select("repo", "path", F.col("v").alias("method"), F.col("app").alias("route"), F.when(F.col("v") == "ANY", "unknown").otherwise(F.col("v")).alias("handler"))
     server = place.where(F.col("srv").isNotNull()).select("repo", "path", server_api_method(F.col("path")).alias("method"), F.col("srv").alias("route"), file_stem(F.col("path")).alias("handler"))
-    rpc = _service_rpcs(files)
-    return coded.unionByName(page).unionByName(api).unionByName(server).unionByName(rpc).unionByName(_api_paths(files)).distinct()
+    found = coded
+    for more in (page, nuxt, api, server, _service_rpcs(files), _api_paths(files)):
+        found = found.unionByName(more)
+    return found.distinct()
 
 
 def _api_paths(files: DataFrame) -> DataFrame:
-    """OpenAPI paths with each of their methods."""
-    y = files.where(file_ext(F.col("path")).isin("yaml", "yml") & F.contains("content", F.lit("paths:")))
-    rx = r"(?ms)^  (/[^\n:]*):[ \t]*$(.*?)(?=^ {0,2}\S|\z)"
-    z = F.arrays_zip(F.regexp_extract_all("content", F.lit(rx), F.lit(1)).alias("p"), F.regexp_extract_all("content", F.lit(rx), F.lit(2)).alias("b"))
-    p = y.select("repo", "path", F.explode(z).alias("z"))
-    verb = F.regexp_extract_all(F.col("z.b"), F.lit(r"(?m)^    (get|post|put|patch|delete|head|options):"), F.lit(1))
-    return p.select("repo", "path", F.explode(verb).alias("v"), F.col("z.p").alias("route")).select("repo", "path", F.upper("v").alias("method"), "route", F.lit("").alias("handler"))
+    """OpenAPI paths with each of their methods: entries of the paths section, and the entries below them."""
+    y = _yaml(files, "paths:").select("repo", "path", F.explode(cut_at(F.col("content"), F.lit(r"(?m)^ {2}/[^\n]*?:[ \t]*$|^\S"))).alias("p"))
+    y = y.where(F.startswith("p.txt", F.lit("  /"))).select("repo", "path", F.regexp_extract("p.txt", r"^ *(/[^\n]*?):[ \t]*(?:\n|$)", 1).alias("route"), F.col("p.txt").alias("body"))
+    keys = F.filter(F.regexp_extract_all("body", F.lit(r"(?m)^ {4}([a-z]+):"), F.lit(1)), lambda k: k.isin("delete", "get", "head", "options", "patch", "post", "put"))
+    return y.select("repo", "path", F.explode(F.transform(keys, F.upper)).alias("method"), "route", F.lit("").alias("handler"))
 
 
 def _service_rpcs(files: DataFrame) -> DataFrame:
-    """Remote procedures, each scoped to its service block."""
-    p = files.where(file_ext(F.col("path")) == "proto")
-    rx = r"(?ms)^service\s+(\w+)\s*\{(.*?)^\}"
-    z = F.arrays_zip(F.regexp_extract_all("content", F.lit(rx), F.lit(1)).alias("s"), F.regexp_extract_all("content", F.lit(rx), F.lit(2)).alias("t"))
-    s = p.select("repo", "path", F.explode(z).alias("z"))
-    r = s.select("repo", "path", F.col("z.s").alias("s"), F.explode(F.regexp_extract_all(F.col("z.t"), F.lit(r"rpc\s+(\w+)\s*\("), F.lit(1))).alias("rpc"))
-    return r.select("repo", "path", F.lit("RPC").alias("method"), F.concat(F.lit("/"), "s", F.lit("/"), "rpc").alias("route"), F.col("rpc").alias("handler"))
+    """Remote procedures, each scoped to its service: every declaration at the margin opens a scope."""
+    s = files.where(file_ext(F.col("path")) == "proto").select("repo", "path", F.explode(cut_at(F.col("content"), F.lit(r"(?m)^[a-z]+[ \t]+\w+"))).alias("s"))
+    s = s.withColumn("service", F.regexp_extract("s.txt", r"^service[ \t]+(\w+)", 1)).where("service <> ''")
+    r = s.select("repo", "path", "service", F.explode(F.regexp_extract_all("s.txt", F.lit(r"(?m)^[ \t]*rpc[ \t]+(\w+)"), F.lit(1))).alias("rpc"))
+    return r.select("repo", "path", F.lit("RPC").alias("method"), F.concat(F.lit("/"), "service", F.lit("/"), "rpc").alias("route"), F.col("rpc").alias("handler"))
 
 
 def extract_route_calls(files: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     """(repo, file, called): outbound HTTP and socket literals that look like a path."""
-    m = _matched(files, _rules(files, rules), "call")
+    m = _matched(files, rules, "call")
     return m.where(looks_like_path(F.col("g1"))).select("repo", F.col("path").alias("file"), F.col("g1").alias("called")).distinct()
 
 
 # -- declarations -----------------------------------------------------------------------
-TEST_MODULE = r"(?ms)^\s*#\s*\[\s*cfg\s*\(\s*test\s*\)\s*\]\s*mod\s+\w+\s*\{.*?^\}"
-CREATE = r"""(?i)create\s+table\s+(?:if\s+not\s+exists\s+)?["'`]?([A-Za-z0-9_]+)["'`]?\s*(?:\(|as\b)"""
+# A Rust test module, up to the brace that closes it at the margin: matched so that nothing in it is.
+TEST_MODULE = r"(?m)^[ \t]*#\[cfg\(test\)\]\s*mod\s+\w+\s*\{(?:\n(?!\})[^\n]*)*+"
+CREATE = rf"(?i){CREATES_TABLE}\s*(?:\(|as\s)"
 
 
 def _sql_declarations(files: DataFrame) -> DataFrame:
     """CREATE TABLE with a column list or AS; comments only count in .sql files, tests never."""
-    path, ext = F.col("path"), file_ext(F.col("path"))
+    path, ext = F.col("path"), F.coalesce(file_ext(F.col("path")), F.lit(""))
     dirs = F.split(path, "/")
     tests = F.arrays_overlap(dirs, F.array(*[F.lit(x) for x in ("test", "tests", "__tests__")])) | F.contains(file_name(path), F.lit(".test.")) | F.contains(file_name(path), F.lit(".spec."))
-    allowed = ~tests | F.array_contains(dirs, "fixtures") | (F.coalesce(ext, F.lit("")) == "sql")
-    has = F.contains("content", F.lit("CREATE TABLE")) | F.contains("content", F.lit("create table"))
-    lines = F.filter(F.split("content", "\n"), lambda x: ~x.rlike(r"^\s*(//|#|--|\*)"))
-    text = F.when(F.coalesce(ext, F.lit("")) == "sql", F.col("content")).otherwise(F.array_join(lines, "\n"))
-    found = files.where(allowed & has).select("repo", "path", "content", F.explode(F.regexp_extract_all(text, F.lit(CREATE), F.lit(1))).alias("name"))
+    allowed = ~tests | F.array_contains(dirs, "fixtures") | (ext == "sql")
+    # comment lines are emptied, not dropped, so that lines keep their numbers
+    lines = F.transform(F.split("content", "\n"), lambda x: F.when(x.rlike(r"^\s*(?://|#|--|\*)"), "").otherwise(x))
+    text = F.when(ext == "sql", F.col("content")).otherwise(F.array_join(lines, "\n"))
+    found = files.where(allowed & F.col("content").rlike(CREATE)).select("repo", "path", F.explode(cut_at(text, F.lit(CREATE))).alias("p"))
     none = F.array().cast("array<string>")
-    return found.select(
-        "repo", "path", line_of(F.col("content"), F.instr("content", F.col("name"))).alias("line"), "name", F.lit("sql").alias("kind"),
-        none.alias("fields"), none.alias("relations"), F.col("name").alias("table_name"),
-    )
+    name = F.regexp_extract("p.txt", CREATE, 1)
+    return found.select("repo", "path", F.col("p.line").alias("line"), name.alias("name"), F.lit("sql").alias("kind"), none.alias("fields"), none.alias("relations"), name.alias("table_name"))
 
 
 def extract_declarations(files: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     """(repo, path, line, name, kind, fields, relations, table_name)."""
     r = rules if rules is not None else declaration_rules(files.sparkSession)
     r = r.withColumn("ext", F.explode("exts")).drop("exts")
-    ext = file_ext(F.col("path"))
-    text = F.when(ext == "rs", F.regexp_replace("content", TEST_MODULE, "")).otherwise(F.col("content"))
-    f = files.select("repo", "path", ext.alias("ext"), text.alias("content"), file_name(F.col("path")).alias("fname"))
-    j = f.join(F.broadcast(r), "ext").where((F.col("file") == "") | (F.col("file") == F.col("fname")))
+    f = files.select("repo", "path", file_ext(F.col("path")).alias("ext"), "content", file_name(F.col("path")).alias("fname"))
+    j = _joined(f, r, rules is not None).where((F.col("file") == "") | (F.col("file") == F.col("fname")))
     # A schema.rb file declares tables only.
     j = j.where(~((F.col("kind") == "rails") & (F.col("fname") == "schema.rb")))
     j = j.where(F.when((F.col("gate") == "") | F.contains("content", F.col("gate")), F.expr("regexp_like(content, block)")).otherwise(False))
-    grab = lambda pos: F.expr(f"regexp_extract_all(content, block, {pos})")
-    j = j.withColumn("z", F.explode(F.arrays_zip(grab("name").alias("n"), grab("head").alias("h"), grab("body").alias("t"), grab("0").alias("w"))))
-    j = j.select("*", F.col("z.n").alias("decl"), F.expr("case when head > 0 then z.h else '' end").alias("head_text"), F.expr("case when body > 0 then z.t else '' end").alias("body_text"), F.col("z.w").alias("whole")).drop("z")
+    whole = F.when(F.col("ext") == "rs", F.concat(F.lit(TEST_MODULE + "|"), "block")).otherwise(F.col("block"))
+    j = j.withColumn("p", F.explode(cut_at(F.col("content"), whole)))
+    j = j.where((F.col("ext") != "rs") | ~F.col("p.txt").rlike("^" + TEST_MODULE))
+    group = lambda pos: F.expr(f"case when {pos} > 0 then regexp_extract(p.txt, block, {pos}) else '' end")
+    j = j.select("*", group("name").alias("decl"), group("head").alias("head_text"), group("body").alias("body_text"))
     # Accept and reject read "head NUL body SOH path".
     probe = F.concat("head_text", F.lit("\x00"), "body_text", F.lit("\x01"), F.when(F.contains("path", F.lit("Models/")), F.lit("Models")).otherwise(F.lit("")))
     j = j.withColumn("probe", probe)
@@ -186,12 +232,9 @@ def extract_declarations(files: DataFrame, rules: DataFrame | None = None) -> Da
     table = (
         F.when(named != "", named)
         .when(F.col("default_table") == "name", F.col("decl"))
-        .when((F.col("default_table") == "lower_if_table") & F.col("head_text").rlike(r"table\s?=\s?True"), F.lower("decl"))
+        .when((F.col("default_table") == "lower_if_table") & F.col("head_text").rlike(r"\btable\s*=\s*True"), F.lower("decl"))
     )
-    out = j.select(
-        "repo", "path", line_of(F.col("content"), F.instr("content", F.col("whole"))).alias("line"), F.col("decl").alias("name"), "kind",
-        F.col("fs").alias("fields"), F.filter("rs", lambda x: x != F.col("decl")).alias("relations"), table.alias("table_name"),
-    )
+    out = j.select("repo", "path", F.col("p.line").alias("line"), F.col("decl").alias("name"), "kind", F.col("fs").alias("fields"), F.filter("rs", lambda x: x != F.col("decl")).alias("relations"), table.alias("table_name"))
     return out.unionByName(_sql_declarations(files))
 
 
@@ -245,19 +288,39 @@ def extract_call_edges(files: DataFrame) -> DataFrame:
     return c.where(~F.col("callee").isin(*NOT_CALLS) & (F.col("callee") != F.col("caller"))).distinct()
 
 
-COMMENTS = r"(?m)/\*[\s\S]*?\*/|//[^\n]*|^\s*#[^\n]*|^\s*--[^\n]*"
-STRINGS = r"\"(?:[^\"\\\n]++|\\.)*+\"|'(?:[^'\\\n]++|\\.)*+'|`[^`]*`"
-DECLARED = r"\b(?:class|def|fn|struct|interface|enum|trait|function|type|func|model)\s+[A-Za-z_]\w*"
+# One pass from left to right: strings, comments and declared names are consumed, group 1 is an identifier in use.
+_DECLARED = r"(?:class|def|enum|fn|func|function|interface|model|struct|trait|type)\s+[A-Za-z_]\w*"
+_DOUBLE, _SINGLE, _BACK = r'"(?:[^"\\\n]++|\\.)*+"', r"'(?:[^'\\\n]++|\\.)*+'", r"`[^`]*+`"
+_SLASHES, _HASH, _DASHES = r"/\*(?:[^*]++|\*(?!/))*+\*/|//[^\n]*+", r"#[^\n]*+", r"--[^\n]*+"
+_TRIPLE = r'"""(?:[^"]++|"(?!""))*+"""|' + r"'''(?:[^']++|'(?!''))*+'''"
+LEXERS = (
+    (("py",), (_TRIPLE, _DOUBLE, _SINGLE, _HASH)),
+    (("rb", "jbuilder", "ex", "exs", "yaml", "yml", "gd", "tf", "graphql", "gql", "feature"), (_DOUBLE, _SINGLE, _HASH)),
+    (("php",), (_SLASHES, _DOUBLE, _SINGLE, _HASH)),
+    (("sql", "hs"), (_DOUBLE, _SINGLE, _DASHES)),
+    # a single quote also opens a lifetime
+    (("rs",), (_SLASHES, _DOUBLE, r"'(?:[^'\\\n]|\\[^\n]{1,8}?)'")),
+    (("ts", "tsx", "js", "jsx", "mjs", "cjs", "mts", "cts", "vue", "go", "java", "kt", "cs", "swift", "m", "mm", "c", "h", "cpp", "hpp", "cc", "cxx", "scala", "dart", "proto", "prisma"), (_SLASHES, _DOUBLE, _SINGLE, _BACK)),
+)
+_IN_USE = r"([A-Za-z_]\w*)"
+# An import statement: to the end of its line, or of the brackets it opens.
+_IMPORT = r"(?m)^[ \t]*(?:pub[ \t]+)?(?:export|from|import|use)\b(?:\([^)]*\)|\{[^}]*\}|[^\n;({])*"
 
 
 def used_identifiers(files: DataFrame) -> DataFrame:
-    """(repo, path, ident): identifiers a file uses outside comments, strings and its own
-    declarations, with import aliases resolved and a capitalised variant of each."""
-    code = F.regexp_replace(F.regexp_replace("content", COMMENTS, " "), STRINGS, " ")
-    f = files.select("repo", "path", code.alias("code"))
-    raw = F.array_distinct(F.regexp_extract_all(F.regexp_replace("code", DECLARED, " "), F.lit(r"[A-Za-z_]\w*"), F.lit(0)))
-    pair = r"\b([A-Za-z_]\w*)\s+as\s+([A-Za-z_]\w*)"
-    lines = F.array_join(F.filter(F.split("code", "\n"), lambda x: x.rlike(r"^\s*(?:import|from|use|pub use|export)\b")), "\n")
+    """(repo, path, ident): identifiers a file uses outside comments, strings and its own declarations.
+
+    Import aliases are resolved, and each identifier comes with a capitalised variant. Files of other kinds
+    are prose: all their words count.
+    """
+    ext = file_ext(F.col("path"))
+    rx = F.lit(f"{_DECLARED}|{_IN_USE}")
+    for exts, parts in LEXERS:
+        rx = F.when(ext.isin(*exts), F.lit("|".join((*parts, _DECLARED, _IN_USE)))).otherwise(rx)
+    f = files.select("repo", "path", "content", rx.alias("rx"))
+    raw = F.filter(F.array_distinct(F.expr("regexp_extract_all(content, rx, 1)")), lambda x: x != "")
+    pair = r"([A-Za-z_]\w*)[ \t]+as[ \t]+([A-Za-z_]\w*)"
+    lines = F.array_join(F.regexp_extract_all("content", F.lit(_IMPORT), F.lit(0)), "\n")
     aliases = F.arrays_zip(F.regexp_extract_all(lines, F.lit(pair), F.lit(1)).alias("real"), F.regexp_extract_all(lines, F.lit(pair), F.lit(2)).alias("alias"))
     f = f.select("repo", "path", raw.alias("raw"), aliases.alias("al"))
     real = F.transform(F.filter("al", lambda x: F.array_contains(F.col("raw"), x["alias"])), lambda x: x["real"])
@@ -284,10 +347,12 @@ def usage_hits(files: DataFrame, concepts: DataFrame) -> DataFrame:
 
 
 def source_excerpt(files: DataFrame, spots: DataFrame, around: int = 2) -> DataFrame:
-    """(repo, path, line, excerpt): numbered lines around each spot, cut inside the file's row."""
-    j = spots.select("repo", "path", "line").distinct().join(files.select("repo", "path", "content"), ["repo", "path"])
-    j = j.withColumn("ls", F.split(F.regexp_replace("content", "\n$", ""), "\n")).where((F.col("line") >= 1) & (F.col("line") <= F.size("ls")))
-    start = F.greatest(F.col("line") - around, F.lit(1))
-    j = j.withColumn("start", start.cast("int")).withColumn("stop", F.least(F.col("line") + around, F.size("ls")).cast("int"))
-    text = F.transform(F.sequence("start", "stop"), lambda i: F.concat(i.cast("string"), F.lit(": "), F.element_at("ls", i)))
-    return j.select("repo", "path", "line", F.array_join(text, "\n").alias("excerpt"))
+    """(repo, path, line, excerpt): numbered lines around each spot. The spots of a file meet its text once, and it is split once."""
+    asked = spots.select("repo", "path", "line").distinct().groupBy("repo", "path").agg(F.collect_set("line").alias("asked"))
+    j = asked.join(files.select("repo", "path", "content"), ["repo", "path"])
+    j = j.select("repo", "path", "asked", F.split(F.regexp_replace("content", "\n$", ""), "\n").alias("ls"))
+    inside = F.filter("asked", lambda n: (n >= 1) & (n <= F.size("ls")))
+    number = lambda n: F.sequence(F.greatest(n - around, F.lit(1)).cast("int"), F.least(n + around, F.size("ls")).cast("int"))
+    text = lambda n: F.array_join(F.transform(number(n), lambda i: F.concat(i.cast("string"), F.lit(": "), F.element_at("ls", i))), "\n")
+    cut = F.transform(inside, lambda n: F.struct(n.alias("line"), text(n).alias("excerpt")))
+    return j.select("repo", "path", F.explode(cut).alias("c")).select("repo", "path", "c.line", "c.excerpt")

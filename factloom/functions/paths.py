@@ -116,12 +116,6 @@ def in_skipped_dir(path: Column) -> Column:
     return F.arrays_overlap(dirs, F.array(*[F.lit(d) for d in SKIP_DIRS]))
 
 
-def line_of(text: Column, offset: Column) -> Column:
-    """1-based line of a 1-based character offset."""
-    head = F.substring(text, F.lit(1), offset - 1)
-    return F.length(head) - F.length(F.replace(head, F.lit("\n"), F.lit(""))) + 1
-
-
 def bracket_route(segs: Column) -> Column:
     """``[id]`` to ``:id``, ``[...x]`` to ``*``; ``(group)`` segments are dropped."""
     kept = F.filter(segs, lambda s: ~s.rlike(r"^\(.*\)$"))
@@ -155,3 +149,11 @@ def server_api_route(path: Column) -> Column:
 def server_api_method(path: Column) -> Column:
     verb = F.regexp_extract(file_stem(path), _VERB, 1)
     return F.when(verb == "", F.lit("ANY")).otherwise(F.upper(verb))
+
+
+def page_route(path: Column) -> Column:
+    """Route of a ``pages/**.vue`` file, else null: ``[id]`` to ``:id`` and ``[...x]`` to ``*x`` anywhere in a segment, ``index`` is no segment."""
+    inner = F.regexp_extract(path, r"^(?:.*?/)?pages/(.*)\.vue$", 1)
+    parts = F.filter(F.split(inner, "/"), lambda s: (s != "") & (F.lower(s) != "index"))
+    named = F.regexp_replace(F.regexp_replace(F.array_join(parts, "/"), r"\[\.\.\.(\w+)\]", "*$1"), r"\[(\w+)\]", ":$1")
+    return F.when(path.rlike(r"^(.*/)?pages/.+\.vue$"), F.concat(F.lit("/"), named))
