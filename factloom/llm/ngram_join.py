@@ -2,7 +2,8 @@
 
 Shingles are ordered by how often the corpus holds them (a fixed-size count table) and then by hash; sets that
 reach the threshold share one of their rarest shingles. Inverted lists of those prefix shingles are sorted by
-position, so a pair whose positions leave too few shingles is skipped without a look at the sets. The set
+position, so a pair whose positions leave too few shingles, or whose bit maps differ in too many places, is skipped
+without a look at the sets. The set
 that comes first in a list is compared with all others; the sets linked to it take over its answer
 (their component) and skip each other. Only list members whose answers still differ are paired.
 """
@@ -22,6 +23,8 @@ from factloom.session import cut_lineage
 
 #: Cells of the count table that orders shingles, and places of the bitmap of candidate sets: 4 MB each.
 COUNT_CELLS, FILTER_BITS = 1 << 20, 1 << 25
+#: Bits of a set's own map. Two maps differ in no more places than their sets differ in shingles.
+MAP_BITS = 1024
 
 
 class Sets:
@@ -46,6 +49,14 @@ class Sets:
         self.keys = signed(mix(sums[self.bounds[1:]] - sums[self.bounds[:-1]] + self.sizes.astype(np.uint64)))
 
 
+    def maps(self) -> pa.Array:
+        """For each text the parity of its shingles over ``MAP_BITS`` places, as longs."""
+        rows = len(self.sizes)
+        place = np.repeat(np.arange(rows), self.sizes) * MAP_BITS + (mix(self.hashes ^ np.uint64(0x5851F42D4C957F2D)) & np.uint64(MAP_BITS - 1)).astype(np.int64)
+        bits = np.packbits((np.bincount(place, minlength=rows * MAP_BITS) & 1).astype(bool)).view(np.int64)
+        return pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * (MAP_BITS // 64), pa.int32()), pa.array(bits))
+
+
 class Fresh:
     """Which sets of a task are met for the first time."""
 
@@ -82,7 +93,9 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     """
     spark = docs.sparkSession
     texts = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    schema = "doc_id long, n long, key long, chunk int, cells binary"
+    schema = "doc_id long, n long, key long, map array<long>, chunk int, cells binary"
+
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fresh, counts = Fresh(), np.zeros(COUNT_CELLS, np.int64)
@@ -92,9 +105,10 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
                 for k in fresh.rows(sets):
                     np.add.at(counts, (sets.hashes[sets.bounds[k] : sets.bounds[k + 1]] & np.uint64(COUNT_CELLS - 1)).astype(np.int64), 1)
                 rows = part.num_rows
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets.sizes.astype(np.int64)), pa.array(sets.keys), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], ["doc_id", "n", "key", "chunk", "cells"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets.sizes.astype(np.int64)), pa.array(sets.keys), sets.maps(), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names)
         chunks, cells = table_rows(np.minimum(counts, 2**31 - 1).astype(np.int32))
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(chunks), pa.int64())] * 3 + [pa.array(chunks, pa.int32()), pa.array(cells, pa.binary())], ["doc_id", "n", "key", "chunk", "cells"])
+        none = pa.nulls(len(chunks), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(chunks), pa.list_(pa.int64())), pa.array(chunks, pa.int32()), pa.array(cells, pa.binary())], names)
 
     measured = cut_lineage(texts.mapInArrow(measure, schema))
     table = spark.sparkContext.broadcast(whole_table(fixed_table(measured.where("chunk is not null")), COUNT_CELLS, "int32"))
@@ -128,20 +142,31 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
 
     pair = lambda x, y: (F.least(f"{x}.key", f"{y}.key").alias("a"), F.greatest(f"{x}.key", f"{y}.key").alias("b"))
     heads = lists.where(F.col("x.key") != F.col("head.key")).where(_may_link("x", "head", percent)).select(*pair("x", "head")).distinct()
-    wanted = spark.sparkContext.broadcast(bit_filter(lists.select("x.key"), FILTER_BITS))
-
-    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fresh = Fresh()
-        for batch in batches:
-            for part in slices(batch, "text"):
-                sets = Sets(part.column(1), n)
-                found = [k for k in fresh.rows(sets) if may_hold(wanted.value, sets.keys[k : k + 1].view(np.uint64))[0]]
-                values = pa.array([signed(sets.hashes[sets.bounds[k] : sets.bounds[k + 1]]) for k in found], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(sets.keys[found]), values], ["key", "members"])
+    maps = measured.where("n > 0").select("key", "n", "map").dropDuplicates(["key"])
 
-    members = cut_lineage(texts.mapInArrow(fetch, "key long, members array<long>").groupBy("key").agg(F.first("members").alias("members")))
+    def near(pairs: DataFrame) -> DataFrame:
+        """Pairs whose maps differ in few enough places for the sets to link."""
+        side = lambda k, n, m: maps.select(F.col("key").alias(k), F.col("n").alias(n), F.col("map").alias(m))
+        both = pairs.join(side("a", "na", "ma"), "a").join(side("b", "nb", "mb"), "b")
+        apart = F.aggregate(F.zip_with("ma", "mb", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("long")), F.lit(0).cast("long"), lambda t, x: t + x)
+        return cut_lineage(both.where(apart <= F.col("na") + F.col("nb") - 2 * _least_overlap(F.col("na"), F.col("nb"), percent)).select("a", "b"))
 
     def verified(pairs: DataFrame) -> DataFrame:
+        """Links among the pairs: their sets, fetched from the texts, are intersected."""
+        pairs = near(pairs)
+        wanted = spark.sparkContext.broadcast(bit_filter(pairs.select("a").unionAll(pairs.select("b")), FILTER_BITS))
+
+        def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            fresh = Fresh()
+            for batch in batches:
+                for part in slices(batch, "text"):
+                    sets = Sets(part.column(1), n)
+                    found = [k for k in fresh.rows(sets) if may_hold(wanted.value, sets.keys[k : k + 1].view(np.uint64))[0]]
+                    values = pa.array([signed(sets.hashes[sets.bounds[k] : sets.bounds[k + 1]]) for k in found], pa.list_(pa.int64()))
+                    yield pa.RecordBatch.from_arrays([pa.array(sets.keys[found]), values], ["key", "members"])
+
+        members = texts.mapInArrow(fetch, "key long, members array<long>").groupBy("key").agg(F.first("members").alias("members"))
+        members = cut_lineage(members)
         both = pairs.join(members.select(F.col("key").alias("a"), F.col("members").alias("x")), "a").join(members.select(F.col("key").alias("b"), F.col("members").alias("y")), "b")
         common = F.size(F.array_intersect("x", "y"))
         sized = both.select("a", "b", common.alias("common"), (F.size("x") + F.size("y")).alias("both"))
