@@ -131,7 +131,8 @@ def repeated_windows(texts: DataFrame, window: int = WINDOW, kmer: int = KMER) -
     shared = single.groupBy("node", "words").agg(F.count("*").alias("k")).where("k > 1").select("node", "words")
     parts = single.join(shared, ["node", "words"]).groupBy("node", "context").agg(F.bit_or("bit").alias("bits"))
     whole = contexts.where("n > 1").select("node", "context", F.lit((1 << 30) - 1).cast("long").alias("bits"))
-    bits = whole.unionByName(parts).groupBy("node", "context").agg(F.bit_or("bits").alias("bits"))
+    # written, so that the join below deals both sides anew and a hot context can be split
+    bits = cut_lineage(whole.unionByName(parts).groupBy("node", "context").agg(F.bit_or("bits").alias("bits")))
     hits = places.select("node", "context", "t", "len", "lo", "size").join(bits, ["node", "context"])
     packed = F.shiftleft("lo", 30).bitwiseOR(F.col("bits").bitwiseAND(F.expr("shiftleft(1L, size) - 1")))
     return hits.groupBy("t", "len").agg(F.collect_set(packed).alias("spans"))
