@@ -214,11 +214,21 @@ def duplicate_logic(spark, sf):
 
 
 QUERIES["duplicate_logic"] = duplicate_logic
-ORACLES["duplicate_logic"] = f"""with {_LIT},
-f as (select repo, txt, count(*) as df from lit group by 1, 2),
-cand as (select distinct a.repo, a.path as a, b.path as b from lit a join f using (repo, txt) join lit b on b.repo = a.repo and b.txt = a.txt and a.path < b.path where df between 2 and 15)
-select c.repo, c.a as a_path, 'body' as a_unit, c.b as b_path, 'body' as b_unit, count(*) as shared
-from cand c join lit x on x.repo = c.repo and x.path = c.a join lit y on y.repo = c.repo and y.path = c.b and y.txt = x.txt group by 1, 2, 4 having count(*) >= 3"""
+_GROUPS = """u as (select repo, path, list_sort(list(txt)) as ls from lit group by 1, 2),
+grp as (select repo, ls, min(path) as g, max(path) as last from u group by 1, 2)"""
+ORACLES["duplicate_logic"] = f"""with {_LIT}, {_GROUPS},
+gl as (select repo, g, last, unnest(ls) as txt from grp),
+twin as (select a.repo, a.g as a, b.g as b, count(*) as shared from gl a join gl b on b.repo = a.repo and b.txt = a.txt and a.g < b.g group by all)
+select repo, a as a_path, 'body' as a_unit, b as b_path, 'body' as b_unit, shared from twin where shared >= 3"""
+
+
+def logic_groups(spark, sf):
+    return duplicates.logic_groups(_literals(spark, sf))
+
+
+QUERIES["logic_groups"] = logic_groups
+ORACLES["logic_groups"] = f"""with {_LIT}, {_GROUPS}
+select repo, g as group_path, 'body' as group_unit, path, 'body' as unit, cast(len(ls) as bigint) as literals from u join grp using (repo, ls)"""
 
 
 def boilerplate(spark, sf):

@@ -332,9 +332,26 @@ tv as (select distinct repo, lower(t) as token from tok where length(t) >= 5),
 wv as (select distinct repo, word from w),
 m as (select tv.repo, tv.token, wv.word from tv join wv on tv.repo = wv.repo and {sw('tv.token', 'wv.word')}),
 pairs as (select a.repo, a.name as a, w.name as b, arg_min(lower(a.t), a.pos) as shared_token from tok a join m on m.repo = a.repo and m.token = lower(a.t)
-  join w on w.repo = m.repo and w.word = m.word where a.name < w.name group by 1, 2, 3)
-select p.repo, p.a, p.b, p.shared_token, x.has_orm <> y.has_orm as needs_alias, 'pair' as form
-from pairs p join st x on x.repo = p.repo and x.name = p.a join st y on y.repo = p.repo and y.name = p.b"""
+  join w on w.repo = m.repo and w.word = m.word where a.name < w.name group by 1, 2, 3)"""
+_DUPLICATES = ORACLES["name_duplicates"]
+ORACLES["name_duplicates"] += """,
+bear as (select repo, lower(t) as token, name, min(pos) as pos from tok where length(t) >= 5 group by 1, 2, 3),
+hit as (select distinct m.repo, m.token, w.name from m join w on w.repo = m.repo and w.word = m.word),
+rel as (select repo, token, name, 'bearer' as role, cast(pos as bigint) as pos from bear union all select repo, token, name, 'match', null from hit)
+select repo, token, name, role, pos, has_orm from rel join st using (repo, name) where (repo, token) in (select (repo, token) from hit group by repo, token having count(*) > 1)"""
+
+
+def name_duplicate_pairs(spark, sf):
+    """All pairs of the names that aliases point to."""
+    c = bound_catalog(spark, sf)
+    return duplicates.duplicate_pairs(duplicates.name_duplicates(c), frame(spark, sf, "b_alias").select("repo", F.col("target").alias("name")))
+
+
+QUERIES["name_duplicate_pairs"] = name_duplicate_pairs
+ORACLES["name_duplicate_pairs"] = f"""{_DUPLICATES}
+select p.repo, p.a, p.b, p.shared_token, x.has_orm <> y.has_orm as needs_alias
+from pairs p join st x on x.repo = p.repo and x.name = p.a join st y on y.repo = p.repo and y.name = p.b
+where exists (select 1 from b_alias l where l.repo = p.repo and l.target in (p.a, p.b))"""
 
 
 def name_families(spark, sf):
@@ -348,4 +365,4 @@ tok as (select repo, name, lower(unnest({TOKENS.format('name')})) as t from o_co
 fam as (select repo, t as token, count(*) as members from tok where length(t) >= 5
   and t not in ({', '.join(repr(w) for w in words.GENERIC_ROLE_WORDS)}) group by 1, 2 having count(*) >= 3),
 free as (select * from fam where not exists (select 1 from b_alias a where a.repo = fam.repo and {sw('fam.token', "replace(a.alias, 'legacy_', '')")}))
-select repo, token, members from free qualify row_number() over (partition by repo order by members desc, token) <= 5"""
+select repo, token, members from free"""

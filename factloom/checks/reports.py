@@ -372,20 +372,20 @@ def glance(spark, sf):
 
 
 QUERIES["glance"] = glance
-_DUP = name_checks.ORACLES["name_duplicates"].split(",\nst as", 1)[1].rsplit("\nselect", 1)
+_DUP = name_checks.ORACLES["name_duplicate_pairs"].split(",\nst as", 1)[1].split("\nselect p.repo", 1)
 ORACLES["glance"] = f"""with {CATALOG}, {STALE},
 st as{_DUP[0]},
-dup as (select p.repo, count(*) filter (x.has_orm <> y.has_orm) as n from pairs p join st x on x.repo = p.repo and x.name = p.a join st y on y.repo = p.repo and y.name = p.b group by 1),
+dup as (select p.repo, unnest([p.a, p.b]) as name from pairs p join st x on x.repo = p.repo and x.name = p.a join st y on y.repo = p.repo and y.name = p.b where x.has_orm <> y.has_orm),
+dn as (select repo, count(distinct name) as n from dup group by 1),
 ftok as (select repo, lower(unnest({TOKENS.format('name')})) as t from o_concept where table_name is not null),
 fam as (select repo, t as token, count(*) as members from ftok where length(t) >= 5 group by 1, 2 having count(*) >= 3),
 lk as (select repo, lower(unnest(string_split(links, ','))) as l from b_decision),
-free as (select * from fam where not exists (select 1 from lk where lk.repo = fam.repo and {sw('fam.token', 'lk.l')})
-  qualify row_number() over (partition by repo order by members desc, token) <= 5),
-fr as (select repo, count(*) as families, string_agg(token, ', ' order by token) as undecided_families from free group by 1),
+free as (select * from fam where not exists (select 1 from lk where lk.repo = fam.repo and {sw('fam.token', 'lk.l')})),
+fr as (select repo, count(*) as families, string_agg(token, ', ' order by token) filter (k <= 5) as undecided_families from (select *, row_number() over (partition by repo order by token) as k from free) group by 1),
 ev as (select 'Brand#' || substr(repo, 2) as repo, ts_ms, id from b_event qualify row_number() over (partition by repo order by ts_ms desc, id desc) <= 5),
 er as (select repo, count(*) as recent_changes, max(ts_ms) as last_change_ms from ev group by 1),
 ce as (select repo, count(*) as concepts from o_concept group by 1),
 sa as (select repo, count(*) as stale_aliases from o_stale group by 1), de as (select repo, count(distinct id) as decisions from b_decision group by 1)
-select ce.repo, concepts, coalesce(dup.n, 0) as needs_alias, coalesce(stale_aliases, 0) as stale_aliases, coalesce(decisions, 0) as decisions, coalesce(families, 0) as families,
+select ce.repo, concepts, coalesce(dn.n, 0) as needs_alias, coalesce(stale_aliases, 0) as stale_aliases, coalesce(decisions, 0) as decisions, coalesce(families, 0) as families,
   coalesce(recent_changes, 0) as recent_changes, last_change_ms, coalesce(undecided_families, '') as undecided_families
-from ce left join dup using (repo) left join sa using (repo) left join de using (repo) left join fr using (repo) left join er using (repo)"""
+from ce left join dn using (repo) left join sa using (repo) left join de using (repo) left join fr using (repo) left join er using (repo)"""

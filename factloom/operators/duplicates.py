@@ -5,72 +5,57 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.functions.words import is_generic_role_word, match_words, name_tokens, name_words, same_word
+from factloom.functions.words import is_generic_role_word, match_words, name_tokens, name_words
 
 MIN_TOKEN = 5
 
 
-def name_duplicates(concepts: DataFrame, pair_limit: int = 200) -> DataFrame:
-    """Pairs a < b of storage concepts where a token (>= 5 bytes) of a names b.
+def name_duplicates(concepts: DataFrame) -> DataFrame:
+    """(repo, token, name, role, pos, has_orm): which storage concepts meet through which token.
 
-    One row per pair with the first such token of a. A word carried by more than
-    ``pair_limit`` names of a repo would give a number of pairs that grows with the square,
-    so its names come as a *family* instead: one row per member against the first member
-    (form ``family``). All members of a family are pairwise duplicates through that word, so
-    the rows hold the whole relation in linear size.
+    A ``bearer`` has the token (>= 5 bytes) at position ``pos`` of its name; a ``match`` has a word that the token
+    names, ``pos`` is null. A bearer and a match of one token, bearer first by name, are near duplicates; the
+    relation holds all pairs in linear size. Tokens that only one name meets are left out.
     """
     storage = concepts.where(F.col("table_name").isNotNull()).select("repo", "name", "has_orm")
     words = name_words(storage, "name", ("repo", "has_orm"))
-    b_words = words.select("repo", "word", F.col("name").alias("b"), F.col("has_orm").alias("b_orm")).distinct()
-    a_tokens = (
+    named = words.select("repo", "word", "name", "has_orm").distinct()
+    bearers = (
         words.where((F.col("pos") > 0) & (F.octet_length("word") >= MIN_TOKEN))
-        .groupBy("repo", "word", "name")
-        .agg(F.min("pos").alias("pos"), F.first("has_orm").alias("a_orm"))
-        .select("repo", F.col("word").alias("token"), F.col("name").alias("a"), "pos", "a_orm")
+        .groupBy("repo", F.col("word").alias("token"), "name")
+        .agg(F.min("pos").cast("bigint").alias("pos"), F.first("has_orm").alias("has_orm"))
     )
-    sizes = b_words.groupBy("repo", "word").agg(F.count(F.lit(1)).alias("members"))
-    hot = sizes.where(F.col("members") > pair_limit).select("repo", "word")
-    pairs_of_words = match_words(a_tokens, b_words, "token", "word", ("repo",))
-    cold = pairs_of_words.join(hot, ["repo", "word"], "left_anti").join(
-        hot.select("repo", F.col("word").alias("token")), ["repo", "token"], "left_anti"
-    )
-    pairs = (
-        a_tokens.join(cold, ["repo", "token"])
-        .join(b_words, ["repo", "word"])
-        .where(F.col("a") < F.col("b"))
-        .groupBy("repo", "a", "b")
-        .agg(
-            F.min_by("token", "pos").alias("shared_token"),
-            F.first(F.col("a_orm") != F.col("b_orm")).alias("needs_alias"),
-        )
-        .withColumn("form", F.lit("pair"))
-    )
-    # Hot words: every name reached by the word, against the first one.
-    hot_pairs = pairs_of_words.join(hot, ["repo", "word"], "left_semi").unionByName(
-        pairs_of_words.join(hot.select("repo", F.col("word").alias("token")), ["repo", "token"], "left_semi")
-    ).distinct()
-    members = (
-        hot_pairs.join(b_words, ["repo", "word"])
-        .groupBy("repo", "token", "b")
-        .agg(F.first("b_orm").alias("b_orm"))
-    )
-    anchors = members.groupBy("repo", "token").agg(F.min(F.struct(F.col("b"), F.col("b_orm"))).alias("first"))
-    family = (
-        members.join(anchors, ["repo", "token"])
-        .where(F.col("b") > F.col("first.b"))
-        .select(
-            "repo",
-            F.col("first.b").alias("a"),
-            "b",
-            F.col("token").alias("shared_token"),
-            (F.col("first.b_orm") != F.col("b_orm")).alias("needs_alias"),
-            F.lit("family").alias("form"),
-        )
-    )
-    return pairs.select("repo", "a", "b", "shared_token", "needs_alias", "form").unionByName(family)
+    met = match_words(bearers, named, "token", "word", ("repo",)).join(named, ["repo", "word"])
+    matches = met.groupBy("repo", "token", "name").agg(F.first("has_orm").alias("has_orm"))
+    shared = matches.groupBy("repo", "token").agg(F.count(F.lit(1)).alias("names")).where("names > 1").select("repo", "token")
+    rows = bearers.withColumn("role", F.lit("bearer")).unionByName(matches.withColumn("role", F.lit("match")).withColumn("pos", F.lit(None).cast("bigint")))
+    return rows.join(shared, ["repo", "token"]).select("repo", "token", "name", "role", "pos", "has_orm")
+
 
+def duplicate_pairs(relation: DataFrame, asked: DataFrame) -> DataFrame:
+    """Pairs (repo, a, b, shared_token, needs_alias), a < b, of the names in ``asked`` (repo, name), with the first token of a they share."""
+    bearers = relation.where("role = 'bearer'").select("repo", "token", F.col("name").alias("a"), "pos", F.col("has_orm").alias("a_orm"))
+    matches = relation.where("role = 'match'").select("repo", "token", F.col("name").alias("b"), F.col("has_orm").alias("b_orm"))
+    names = asked.select("repo", "name").distinct()
+    first = bearers.join(names.withColumnRenamed("name", "a"), ["repo", "a"]).join(matches, ["repo", "token"])
+    second = matches.join(names.withColumnRenamed("name", "b"), ["repo", "b"]).join(bearers, ["repo", "token"])
+    both = first.unionByName(second).where("a < b")
+    return both.groupBy("repo", "a", "b").agg(F.min_by("token", "pos").alias("shared_token"), F.first(F.col("a_orm") != F.col("b_orm")).alias("needs_alias"))
 
-def name_families(concepts: DataFrame, decision_links: DataFrame, cap: int | None = 5, min_size: int = 3) -> DataFrame:
+
+def names_needing_alias(relation: DataFrame) -> DataFrame:
+    """(repo, name): names with a near duplicate of the other storage kind, from least and greatest names alone."""
+    kind = F.struct((F.col("role") == "bearer").alias("bearer"), "has_orm")
+    last = F.max(F.when((F.col("role") == "match") & F.col("has_orm"), F.col("name"))).alias("last_orm"), F.max(F.when((F.col("role") == "match") & ~F.col("has_orm"), F.col("name"))).alias("last_plain")
+    first = F.min(F.when((F.col("role") == "bearer") & F.col("has_orm"), F.col("name"))).alias("first_orm"), F.min(F.when((F.col("role") == "bearer") & ~F.col("has_orm"), F.col("name"))).alias("first_plain")
+    ends = relation.groupBy("repo", "token").agg(*last, *first)
+    other_last = F.when(F.col("has_orm"), F.col("last_plain")).otherwise(F.col("last_orm"))
+    other_first = F.when(F.col("has_orm"), F.col("first_plain")).otherwise(F.col("first_orm"))
+    needs = F.when(kind["bearer"], other_last > F.col("name")).otherwise(other_first < F.col("name"))
+    return relation.join(ends, ["repo", "token"]).where(needs).select("repo", "name").distinct()
+
+
+def name_families(concepts: DataFrame, decision_links: DataFrame, cap: int | None = None, min_size: int = 3) -> DataFrame:
     """Non-generic tokens shared by at least ``min_size`` storage concepts and linked by no decision."""
     storage = concepts.where(F.col("table_name").isNotNull()).select("repo", "name")
     tokens = storage.select("repo", "name", F.explode(name_tokens(F.col("name"))).alias("t"))
@@ -88,50 +73,49 @@ def name_families(concepts: DataFrame, decision_links: DataFrame, cap: int | Non
     return free.withColumn("n", F.row_number().over(order)).where(F.col("n") <= cap).drop("n")
 
 
-def duplicate_logic(literals: DataFrame, min_shared: int = 3, max_df: int = 15) -> DataFrame:
-    """Units in different files that share at least ``min_shared`` literals.
+def _unit_literals(literals: DataFrame) -> DataFrame:
+    """(repo, u, h): distinct literals of each unit, as a pair of hashes."""
+    return literals.select("repo", F.struct("path", "unit").alias("u"), F.struct(F.xxhash64("literal").alias("h1"), F.hash("literal").alias("h2")).alias("h")).distinct()
+
+
+def logic_groups(literals: DataFrame) -> DataFrame:
+    """(repo, group_path, group_unit, path, unit, literals): units with equal literal sets, under the first of them.
 
-    ``literals`` is (repo, path, unit, literal). A pair must share one literal found in 2 to
-    ``max_df`` units of the repo (a literal of more units is boilerplate by the rule of this
-    check, and stays visible through ``boilerplate_literals``); all common literals count.
-    Rare literals are counted in the pairing join, boilerplate ones by intersecting the two
-    units' own arrays, so no group of copies is ever paired in full.
+    Copies meet through a commutative signature of their sets, however many there are.
     """
-    lit = literals.select(
-        "repo", F.struct("path", "unit").alias("u"), F.xxhash64("literal").alias("h1"), F.hash("literal").alias("h2")
-    ).select("repo", "u", F.struct("h1", "h2").alias("h")).distinct()
-    freq = lit.groupBy("repo", "h").agg(F.count(F.lit(1)).alias("df"))
-    rare_keys = freq.where((F.col("df") >= 2) & (F.col("df") <= max_df)).select("repo", "h")
-    common_keys = freq.where(F.col("df") > max_df).select("repo", "h")
-    rare = lit.join(rare_keys, ["repo", "h"], "left_semi")
-    groups = rare.groupBy("repo", "h").agg(F.array_sort(F.collect_list("u")).alias("us"))
-    left = groups.select("repo", "us", F.posexplode("us").alias("i", "a"))
-    pairs = (
-        left.select("repo", "a", F.explode(F.expr("slice(us, i + 2, size(us))")).alias("b"))
-        .where(F.col("a.path") != F.col("b.path"))
-        .groupBy("repo", "a", "b")
-        .agg(F.count(F.lit(1)).alias("rare_shared"))
-    )
-    common = (
-        lit.join(common_keys, ["repo", "h"], "left_semi").groupBy("repo", "u").agg(F.collect_set("h").alias("hs"))
-    )
-    counted = (
-        pairs.join(common.select("repo", F.col("u").alias("a"), F.col("hs").alias("ha")), ["repo", "a"], "left")
-        .join(common.select("repo", F.col("u").alias("b"), F.col("hs").alias("hb")), ["repo", "b"], "left")
-        .withColumn("shared", F.col("rare_shared") + F.coalesce(F.size(F.array_intersect("ha", "hb")), F.lit(0)))
-    )
-    return counted.where(F.col("shared") >= min_shared).select(
-        "repo",
-        F.col("a.path").alias("a_path"),
-        F.col("a.unit").alias("a_unit"),
-        F.col("b.path").alias("b_path"),
-        F.col("b.unit").alias("b_unit"),
-        F.col("shared").cast("bigint").alias("shared"),
+    sets = _unit_literals(literals).groupBy("repo", "u").agg(
+        F.count(F.lit(1)).alias("literals"), F.sum(F.col("h.h1").cast("decimal(38,0)")).alias("s1"), F.bit_xor("h.h1").alias("s2"), F.sum(F.col("h.h2").cast("bigint")).alias("s3")
     )
+    key = ["repo", "literals", "s1", "s2", "s3"]
+    first = sets.groupBy(*key).agg(F.min("u").alias("g"))
+    return sets.join(first, key).select("repo", F.col("g.path").alias("group_path"), F.col("g.unit").alias("group_unit"), "u.path", "u.unit", "literals")
+
+
+def duplicate_logic(literals: DataFrame, min_shared: int = 3) -> DataFrame:
+    """Pairs (repo, a_path, a_unit, b_path, b_unit, shared) of groups with at least ``min_shared`` common literals.
+
+    ``literals`` is (repo, path, unit, literal). Groups are those of ``logic_groups``, named by their first unit; their
+    copies are duplicates by membership. No literal is too common to count: two sets that share k literals
+    share one beyond the k - 1 most common of each, so only those open a pair, rarest first. Groups whose units
+    all lie in one file are no pair.
+    """
+    groups = logic_groups(literals).withColumn("g", F.struct(F.col("group_path").alias("path"), F.col("group_unit").alias("unit")))
+    files = groups.groupBy("repo", "g").agg(F.min("path").alias("first_file"), F.max("path").alias("last_file"))
+    lit = _unit_literals(literals).join(files.select("repo", F.col("g").alias("u")), ["repo", "u"], "left_semi")
+    freq = lit.groupBy("repo", "h").agg(F.count(F.lit(1)).alias("df"))
+    by_unit = Window.partitionBy("repo", "u")
+    ranked = lit.join(freq, ["repo", "h"]).withColumn("at", F.row_number().over(by_unit.orderBy("df", "h"))).withColumn("n", F.count(F.lit(1)).over(by_unit))
+    open_ = ranked.where((F.col("at") <= F.col("n") - (min_shared - 1)) & (F.col("df") > 1)).select("repo", "h", "u")
+    pairs = open_.select("repo", "h", F.col("u").alias("a")).join(open_.select("repo", "h", F.col("u").alias("b")), ["repo", "h"]).where("a < b").select("repo", "a", "b").distinct()
+    sets = lit.groupBy("repo", "u").agg(F.collect_set("h").alias("hs")).join(files.withColumnRenamed("g", "u"), ["repo", "u"])
+    side = lambda k: sets.select("repo", F.col("u").alias(k), F.col("hs").alias(f"{k}_hs"), F.col("first_file").alias(f"{k}_first"), F.col("last_file").alias(f"{k}_last"))
+    both = pairs.join(side("a"), ["repo", "a"]).join(side("b"), ["repo", "b"])
+    both = both.where((F.least("a_first", "b_first") != F.greatest("a_last", "b_last"))).withColumn("shared", F.size(F.array_intersect("a_hs", "b_hs")).cast("bigint"))
+    return both.where(F.col("shared") >= min_shared).select("repo", F.col("a.path").alias("a_path"), F.col("a.unit").alias("a_unit"), F.col("b.path").alias("b_path"), F.col("b.unit").alias("b_unit"), "shared")
 
 
 def boilerplate_literals(literals: DataFrame, max_df: int = 15) -> DataFrame:
-    """Literals used by more than ``max_df`` units: too common to open a pair."""
+    """Literals used by more than ``max_df`` units: the common ground of a repo."""
     return (
         literals.groupBy("repo", "literal")
         .agg(F.countDistinct("path", "unit").alias("units"))

@@ -94,13 +94,14 @@ def tour(concepts: DataFrame, aliases: DataFrame, decisions: DataFrame) -> DataF
 def glance(
     concepts: DataFrame, duplicates: DataFrame, stale: DataFrame, decisions: DataFrame, families: DataFrame, events: DataFrame, recent: int = 5
 ) -> DataFrame:
-    """One row per repo: counts, pairs that need an alias, stale aliases, families without a decision, newest changes."""
+    """One row per repo: counts, names with a near duplicate of the other storage kind (``duplicates`` is the linear relation), stale aliases, families without a decision, newest changes."""
+    from factloom.operators.duplicates import names_needing_alias
     from factloom.operators.history import newest_per_repo
 
     n = F.count(F.lit(1))
     base = concepts.groupBy("repo").agg(n.alias("concepts"))
     parts = (
-        duplicates.where("needs_alias").groupBy("repo").agg(n.alias("needs_alias")),
+        names_needing_alias(duplicates).groupBy("repo").agg(n.alias("needs_alias")),
         stale.groupBy("repo").agg(n.alias("stale_aliases")),
         decisions.groupBy("repo").agg(F.countDistinct("id").alias("decisions")),
         families.groupBy("repo").agg(n.alias("families")),

@@ -80,25 +80,29 @@ def test_ranking_prelimit_is_lossless(spark):
     assert got == sorted(want)
 
 
-def test_hot_words_come_as_a_linear_family(spark):
-    d = decls(spark, *[(f"Ledger{chr(65 + i)}", "prisma", "t") for i in range(12)])
-    cat = concepts(spark, d)
-    full = duplicates.name_duplicates(cat)
-    assert full.count() == 66 and full.where("form = 'pair'").count() == 66
-    star = duplicates.name_duplicates(cat, pair_limit=5)
-    assert star.where("form = 'family'").count() == 11
-    members = {r.a for r in star.collect()} | {r.b for r in star.collect()}
-    assert len(members) == 12
-
-
-def test_duplicate_logic_counts_common_literals_and_skips_pure_boilerplate(spark):
+def test_name_relation_is_linear_and_holds_all_pairs(spark):
+    d = decls(spark, *[(f"Ledger{chr(65 + i // 26)}{chr(65 + i % 26)}", "prisma", "t") for i in range(500)], ("OrderItem", "prisma", "t"), ("OrderLine", "sql", "t"), ("Ordering", "prisma", "t"), ("Orders", "prisma", "t"))
+    rel = duplicates.name_duplicates(concepts(spark, d)).cache()
+    assert rel.where("token = 'ledger'").count() == 1000
+    every = duplicates.duplicate_pairs(rel, rel.select("repo", "name"))
+    assert every.where("shared_token = 'ledger'").count() == 500 * 499 // 2
+    assert pairs(every.where("a like 'Order%'"), "a", "b", "shared_token") == [("OrderItem", "OrderLine", "order"), ("OrderItem", "Ordering", "order"), ("OrderItem", "Orders", "order"), ("OrderLine", "Ordering", "order"), ("OrderLine", "Orders", "order"), ("Ordering", "Orders", "ordering")]
+    assert duplicates.duplicate_pairs(rel, rel.where("name = 'LedgerAA'").select("repo", "name")).count() == 499
+    want = {n for r in every.where("needs_alias").collect() for n in (r.a, r.b)}
+    assert {r.name for r in duplicates.names_needing_alias(rel).collect()} == want
+
+
+def test_duplicate_logic_has_no_frequency_limit(spark):
     rows = []
     for u in range(30):
-        rows += [(f"f{u}", "shared boilerplate one"), (f"f{u}", "shared boilerplate two")]
-    for u in (1, 2):
-        rows.append((f"f{u}", "a rare literal here"))
+        rows += [(f"f{u:02}", "shared boilerplate one"), (f"f{u:02}", "shared boilerplate two")]
+    for u in (1, 2, 3):
+        rows.append((f"f{u:02}", "a rare literal here"))
+    rows += [("f03", "one more of its own"), ("f30", "shared boilerplate one"), ("f30", "shared boilerplate two"), ("f30", "a rare literal here"), ("f30", "and another text")]
     lit = spark.createDataFrame([("r", p, "u", t) for p, t in rows], "repo string, path string, unit string, literal string")
-    assert pairs(duplicates.duplicate_logic(lit), "a_path", "b_path", "shared") == [("f1", "f2", 3)]
+    assert pairs(duplicates.duplicate_logic(lit), "a_path", "b_path", "shared") == [("f01", "f03", 3), ("f01", "f30", 3), ("f03", "f30", 3)]
+    copies = duplicates.logic_groups(lit)
+    assert copies.where("group_path = 'f00'").count() == 27 and pairs(copies.where("group_path = 'f01'"), "path") == [("f01",), ("f02",)]
 
 
 def test_as_of_is_the_latest_earlier_version(spark):

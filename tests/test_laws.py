@@ -113,7 +113,8 @@ def test_blind_spot_is_not_absence(spark):
 
 def test_name_duplicates_split_risk_and_missing_alias(spark):
     d = decls(spark, ("ArticleComment", "prisma", "a"), ("ArticleLike", "prisma", "b"), ("articles", "sql", "articles"), ("Plain", "rust"))
-    got = pairs(duplicates.name_duplicates(concepts(spark, d)), "a", "b", "shared_token", "needs_alias")
+    rel = duplicates.name_duplicates(concepts(spark, d))
+    got = pairs(duplicates.duplicate_pairs(rel, rel.select("repo", "name")), "a", "b", "shared_token", "needs_alias")
     assert got == [("ArticleComment", "ArticleLike", "article", False), ("ArticleComment", "articles", "article", True), ("ArticleLike", "articles", "article", True)]
 
 
