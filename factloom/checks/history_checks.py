@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from factloom.checks.bindings import frame
@@ -9,6 +11,8 @@ from factloom.checks.names import TOKENS, sw
 from factloom.functions.text import age_label
 from factloom.functions.words import GENERIC_ROLE_WORDS
 from factloom.operators import catalog, catalog_diff, history
+from factloom.session import checkpoint_folder
+from factloom.sources import store
 
 QUERIES, ORACLES = {}, {}
 
@@ -43,6 +47,46 @@ QUERIES["archived_history"] = archived_history
 ORACLES["archived_history"] = f"select repo, id, ts_ms, kind, ts_ms < {CUTOFF} and kind not in ({PROTECTED}) as archived from b_event"
 
 
+def _scratch(spark):
+    return f"{checkpoint_folder(spark).rstrip('/')}/store-{uuid.uuid4().hex}"
+
+
+def stored_events(spark, sf):
+    """Events written in two batches, one of them twice, and read back."""
+    d, ev = _scratch(spark), frame(spark, sf, "b_event").select("repo", "id", "ts_ms", "kind", "concept")
+    parts = {"early": ev.where(F.col("ts_ms") < CUTOFF), "late": ev.where(F.col("ts_ms") >= CUTOFF)}
+    for batch in ("early", "late", "early"):
+        store.append_events(parts[batch], d, batch)
+    return store.read_events(spark, d)
+
+
+QUERIES["stored_events"] = stored_events
+ORACLES["stored_events"] = "select repo, id, ts_ms, kind, concept from b_event"
+
+
+def stored_archive(spark, sf):
+    """The timeline split into two stores, read back as one history."""
+    d, ev = _scratch(spark), frame(spark, sf, "b_event").select("repo", "id", "ts_ms", "kind")
+    store.append_events(ev, f"{d}/live", "all")
+    store.archive_events(spark, f"{d}/live", f"{d}/old", f"{d}/kept", CUTOFF)
+    return history.full_history(store.read_events(spark, f"{d}/kept"), store.read_events(spark, f"{d}/old"))
+
+
+QUERIES["stored_archive"] = stored_archive
+ORACLES["stored_archive"] = ORACLES["archived_history"]
+
+
+def stored_catalog(spark, sf):
+    """A catalog stored by repo, each repo saved again over itself."""
+    d, c = _scratch(spark), _catalogs(spark, sf)
+    for df in (c[0], c[1]):
+        store.save_table(df.select("repo", "name", "table_name"), d)
+    return store.load_table(spark, d)
+
+
+QUERIES["stored_catalog"] = stored_catalog
+
+
 def event_ages(spark, sf):
     e = frame(spark, sf, "b_event")
     return e.select("repo", "id", age_label(F.col("ts_ms"), F.lit(NOW)).alias("age"))
@@ -150,6 +194,9 @@ o_new as (select repo, case when name like 'Cold%' then 'Chilled' || substr(name
   from b_decl where path not like '%/gear/%' group by 1, 2)"""
 
 
+ORACLES["stored_catalog"] = f"with {_OLD} select repo, name, table_name from o_new union all select repo, name, table_name from o_old where repo not in (select repo from o_new)"
+
+
 def _catalogs(spark, sf):
     d = frame(spark, sf, "b_decl").withColumn("fields", F.filter(F.split("fields", ","), lambda x: x != "")).withColumn("relations", F.array().cast("array<string>"))
     old = catalog.assemble_concepts(d.where(~F.contains("path", F.lit("/nut/"))))

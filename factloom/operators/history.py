@@ -31,8 +31,8 @@ def newest_per_repo(events: DataFrame, limit: int) -> DataFrame:
 
 
 def archive_split(events: DataFrame, cutoff_ms: int) -> tuple[DataFrame, DataFrame]:
-    """(live, archived): old events of unprotected kinds leave, everything else stays."""
-    leaves = (F.col("ts_ms") < cutoff_ms) & ~F.col("kind").isin(*PROTECTED_KINDS)
+    """(live, archived): old events of unprotected kinds leave, everything else stays, also what has no kind or time."""
+    leaves = F.coalesce((F.col("ts_ms") < cutoff_ms) & ~F.col("kind").isin(*PROTECTED_KINDS), F.lit(False))
     return events.where(~leaves), events.where(leaves)
 
 

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from factloom.functions.paths import file_dir, file_ext, file_name, in_skipped_dir
 
-MAX_FILE_BYTES = 2_000_000
-
 # Languages and the extensions they are known by.
 LANGUAGES = {
     "Rust": ("rs",),
@@ -40,17 +38,16 @@ LANGUAGES = {
 SCHEMA_EXTS = ("prisma", "sql")
 UNSUPPORTED = {"Shell": ("sh", "bash", "zsh", "fish")}
 # Extensions known to hold no source code.
-NON_CODE_EXTS = tuple(
-    """
-    md markdown txt rst adoc json toml ini cfg conf lock lockb env editorconfig gitignore gitattributes
-    code-workspace tsbuildinfo png jpg jpeg gif svg ico bmp webp avif woff woff2 ttf eot otf css scss sass less
-    html htm xml csv tsv log map pdf zip tar gz 7z rar mp3 mp4 wav mov avi webm wasm sh bat ps1 makefile
-    dockerfile license lic ipynb pyc class o so dylib dll a exe db sqlite sqlite3 db-wal db-shm db-journal icns
-    bak tag example local development template mod sum service plist unit 1 man rdoc tex doc docx epub pptx xlsx
-    dbml jsonl patch snap desktop ru mdx erb vsix tgz pak asar nupkg crx appimage deb rpm msi dmg bin dat raw
-    node whl egg jar aar war apk ipa
-    """.split()
-)
+NON_CODE_EXTS = (
+    "md", "markdown", "txt", "rst", "adoc", "json", "toml", "ini", "cfg", "conf", "lock", "lockb", "env", "editorconfig", "gitignore",
+    "gitattributes", "code-workspace", "tsbuildinfo", "png", "jpg", "jpeg", "gif", "svg", "ico", "bmp", "webp", "avif", "woff", "woff2", "ttf", "eot",
+    "otf", "css", "scss", "sass", "less", "html", "htm", "xml", "csv", "tsv", "log", "map", "pdf", "zip", "tar", "gz", "7z", "rar", "mp3", "mp4",
+    "wav", "mov", "avi", "webm", "wasm", "sh", "bat", "ps1", "makefile", "dockerfile", "license", "lic", "ipynb", "pyc", "class", "o", "so", "dylib",
+    "dll", "a", "exe", "db", "sqlite", "sqlite3", "db-wal", "db-shm", "db-journal", "icns", "bak", "tag", "example", "local", "development",
+    "template", "mod", "sum", "service", "plist", "unit", "1", "man", "rdoc", "tex", "doc", "docx", "epub", "pptx", "xlsx", "dbml", "jsonl", "patch",
+    "snap", "desktop", "ru", "mdx", "erb", "vsix", "tgz", "pak", "asar", "nupkg", "crx", "appimage", "deb", "rpm", "msi", "dmg", "bin", "dat", "raw",
+    "node", "whl", "egg", "jar", "aar", "war", "apk", "ipa",
+)
 SCANNABLE_EXTS = tuple(e for group in (*LANGUAGES.values(), SCHEMA_EXTS, *UNSUPPORTED.values()) for e in group)
 # Extensions of the two metadata-only listings.
 DOCUMENT_EXTS = ("pdf", "docx", "txt", "md", "odt")
@@ -90,10 +87,10 @@ def venv_roots(files: DataFrame) -> DataFrame:
     return marked.unionByName(files.select("repo", shaped.alias("dir"))).where(F.col("dir") != "").distinct()
 
 
-def visible_files(files: DataFrame, excludes: DataFrame | None = None) -> DataFrame:
-    """Files outside skipped directories, environments and the repo's excluded prefixes."""
+def visible_files(files: DataFrame, excludes: DataFrame | None = None, tree: DataFrame | None = None) -> DataFrame:
+    """Files outside skipped directories, environments and the repo's excluded prefixes. ``tree`` lists the files that mark environments, by default ``files``."""
     kept = files.where(~in_skipped_dir(F.col("path")))
-    roots = venv_roots(files)
+    roots = venv_roots(files if tree is None else tree)
     if excludes is not None:
         bare = excludes.select("repo", F.regexp_replace("prefix", "/+$", "").alias("dir"))
         roots = roots.unionByName(bare).distinct()
@@ -102,11 +99,23 @@ def visible_files(files: DataFrame, excludes: DataFrame | None = None) -> DataFr
     return kept.join(hidden, ["repo", "path"], "left_anti")
 
 
-def scannable_files(files: DataFrame, excludes: DataFrame | None = None, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
-    """The scan set: known extension and not too large. Both filters come before any join."""
+def scannable_files(files: DataFrame, excludes: DataFrame | None = None, max_bytes: int | None = None) -> DataFrame:
+    """The scan set: files of a known extension, and not larger than ``max_bytes`` if that is given.
+
+    Both are plain filters on the files, so a reader that prunes by size gets the size; environments are found in a
+    listing of names alone. What ``max_bytes`` leaves out is in ``oversized_files``.
+    """
     ext = file_ext(F.col("path"))
-    wanted = files.where((ext.isin(*SCANNABLE_EXTS) & (F.col("size") <= max_bytes)) | (file_name(F.col("path")) == "pyvenv.cfg"))
-    return visible_files(wanted, excludes).where(ext.isin(*SCANNABLE_EXTS))
+    wanted = files.where(ext.isin(*SCANNABLE_EXTS))
+    if max_bytes is not None:
+        wanted = wanted.where(F.col("size") <= max_bytes)
+    return visible_files(wanted, excludes, files.select("repo", "path"))
+
+
+def oversized_files(files: DataFrame, max_bytes: int, excludes: DataFrame | None = None) -> DataFrame:
+    """(repo, path, size) of visible files of a known extension that a scan with ``max_bytes`` leaves out."""
+    large = files.where(file_ext(F.col("path")).isin(*SCANNABLE_EXTS) & (F.col("size") > max_bytes)).select("repo", "path", "size")
+    return visible_files(large, excludes, files.select("repo", "path"))
 
 
 def unclassified_files(files: DataFrame, excludes: DataFrame | None = None) -> DataFrame:
@@ -116,11 +125,12 @@ def unclassified_files(files: DataFrame, excludes: DataFrame | None = None) -> D
     return visible_files(files, excludes).select("repo", "path", ext.alias("ext")).where(odd)
 
 
-def blind_files(files: DataFrame, excludes: DataFrame | None = None) -> DataFrame:
-    """(repo, path) no extractor can read: unsupported languages and unclassified files."""
+def blind_files(files: DataFrame, excludes: DataFrame | None = None, max_bytes: int | None = None) -> DataFrame:
+    """(repo, path) no extractor reads: unsupported languages, unclassified files and those over ``max_bytes``."""
     shell = [e for g in UNSUPPORTED.values() for e in g]
     known = visible_files(files, excludes).where(file_ext(F.col("path")).isin(*shell)).select("repo", "path")
-    return known.unionByName(unclassified_files(files, excludes).select("repo", "path"))
+    known = known.unionByName(unclassified_files(files, excludes).select("repo", "path"))
+    return known if max_bytes is None else known.unionByName(oversized_files(files, max_bytes, excludes).select("repo", "path")).distinct()
 
 
 def folder_listing(files: DataFrame, folder: str, exts: tuple[str, ...], domain: str) -> DataFrame:

@@ -116,13 +116,12 @@ def compose_services(files: DataFrame) -> DataFrame:
 
 
 # -- notes that read like decisions ---------------------------------------------------------
-# Words that make a heading a rule heading, and the most bullets taken per file.
-RULE_WORDS = "constraint|convention|rule|guideline|principle|decision"
-MAX_SEEDS = 30
+# Words that make a heading a rule heading.
+RULE_WORDS = ("constraint", "convention", "decision", "guideline", "principle", "rule")
 
 
-def decision_candidates(readmes: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """(repo, path, id, decision): bullets under rule-like headings, verbatim, minus known ones."""
+def decision_candidates(readmes: DataFrame, known: DataFrame | None = None, cap: int | None = None) -> DataFrame:
+    """(repo, path, id, decision): bullets under rule-like headings, verbatim, minus known ones; at most ``cap`` a file if given."""
     lines = readmes.select("repo", "path", F.posexplode(F.split("content", "\n")).alias("n", "raw")).withColumn("t", F.ltrim("raw"))
     is_head = F.startswith("t", F.lit("#"))
     title = F.trim(F.regexp_replace("t", "^#+", ""))
@@ -134,8 +133,9 @@ def decision_candidates(readmes: DataFrame, known: DataFrame | None = None) -> D
         F.sum(is_head.cast("int")).over(run).alias("sec_no"),
     )
     text = F.trim(F.regexp_extract("t", r"^[-*+] (.*)$", 1))
-    b = lines.where(~F.col("head") & F.coalesce(F.col("section").rlike(RULE_WORDS), F.lit(False))).withColumn("decision", text).where(F.col("decision") != "")
-    b = b.withColumn("at", F.row_number().over(Window.partitionBy("repo", "path").orderBy("n"))).where(F.col("at") <= MAX_SEEDS)
+    b = lines.where(~F.col("head") & F.coalesce(F.col("section").rlike("|".join(RULE_WORDS)), F.lit(False))).withColumn("decision", text).where(F.col("decision") != "")
+    if cap is not None:
+        b = b.withColumn("at", F.row_number().over(Window.partitionBy("repo", "path").orderBy("n"))).where(F.col("at") <= cap)
     b = b.withColumn("i", F.row_number().over(Window.partitionBy("repo", "path", "sec_no").orderBy("n")))
     out = b.select("repo", "path", F.concat_ws("-", slugify(F.col("heading")), "i").alias("id"), "decision")
     if known is not None:
