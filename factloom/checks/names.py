@@ -163,12 +163,13 @@ ORACLES["symbol_links"] = f"with {_LINKS} select * from o_linked"
 
 def concept_symbols(spark, sf):
     linked = catalog.link_symbols(frame(spark, sf, "b_symbol"), frame(spark, sf, "b_decl").select("repo", "name").distinct())
-    return catalog.symbols_of_concepts(linked).orderBy("repo", "concept", "kind", "name", "path")
+    return catalog.symbols_of_concepts(linked)
 
 
 QUERIES["concept_symbols"] = concept_symbols
 ORACLES["concept_symbols"] = f"""with {_LINKS}
-select repo, linked_concept as concept, kind, name, path, line from o_linked where linked_concept is not null"""
+select repo, linked_concept as concept, kind, name, path, line, row_number() over (partition by repo, linked_concept order by kind, name, path, line) as position
+from o_linked where linked_concept is not null"""
 
 
 def file_fact_list(spark, sf):

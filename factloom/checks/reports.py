@@ -163,27 +163,26 @@ union all select repo, 'decision links something known', id, c || ' links' from
 
 
 def query_audit(spark, sf):
-    return summary.query_audit(frame(spark, sf, "b_log"), threshold=3, keep_first=40)
+    return summary.query_audit(frame(spark, sf, "b_log"), threshold=3)
 
 
 QUERIES["query_audit"] = query_audit
 ORACLES["query_audit"] = """
-with l as (select * from b_log qualify row_number() over (partition by repo, op_id order by seq) <= 40),
-f as (select *, trim(lower(regexp_replace(regexp_replace(regexp_replace(sql, '''[^'']*''', '?', 'g'), '[0-9][0-9.]*', '?', 'g'), '\\s+', ' ', 'g'))) as fingerprint from l),
+with f as (select *, trim(lower(regexp_replace(regexp_replace(regexp_replace(sql, '''[^'']*''', '?', 'g'), '[0-9][0-9.]*', '?', 'g'), '\\s+', ' ', 'g'))) as fingerprint from b_log),
 g as (select repo, fingerprint, count(*) as executions, count(distinct bind_key) as bind_keys, cast(sum(elapsed_us) as bigint) as elapsed_us, arg_min(sql, (op_id, seq)) as example_sql from f group by 1, 2)
 select *, (bind_keys >= 3 and executions >= 3) or executions >= 12 as suspicious from g"""
 
 
 # -- inventory ----------------------------------------------------------------------------
 def scan_set(spark, sf):
-    t = inventory.scannable_files(frame(spark, sf, "b_tree"), frame(spark, sf, "b_exclude"), max_bytes=20000)
+    t = inventory.scannable_files(frame(spark, sf, "b_tree"), frame(spark, sf, "b_exclude"))
     return t.select("repo", "path", "size")
 
 
 QUERIES["scan_set"] = scan_set
 _VISIBLE = "not (path like 'node_modules/%' or path like 'src/vendor/%' or path like 'legacy/%' or path like 'env1/%')"
 ORACLES["scan_set"] = f"""
-select repo, path, size from b_tree where {_VISIBLE} and split_part(path, '.', 2) in ('py', 'ts', 'rs', 'sql', 'sh') and size <= 20000"""
+select repo, path, size from b_tree where {_VISIBLE} and split_part(path, '.', 2) in ('py', 'ts', 'rs', 'sql', 'sh')"""
 
 
 def unclassified(spark, sf):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.operators.chains import resolve_chains
@@ -172,14 +172,10 @@ def link_symbols(symbols: DataFrame, concepts: DataFrame) -> DataFrame:
 
 
 def symbols_of_concepts(linked: DataFrame) -> DataFrame:
-    """Symbols per concept in (kind, name) order, with their position.
-
-    The order number is global within a concept; concepts with many symbols are ordered by
-    Spark's sort, not collected.
-    """
-    return linked.where(F.col("linked_concept").isNotNull()).select(
-        "repo", F.col("linked_concept").alias("concept"), "kind", "name", "path", "line"
-    )
+    """Symbols per concept with their ``position`` in (kind, name, path, line) order, from 1."""
+    found = linked.where(F.col("linked_concept").isNotNull()).select("repo", F.col("linked_concept").alias("concept"), "kind", "name", "path", "line")
+    order = Window.partitionBy("repo", "concept").orderBy("kind", "name", "path", "line")
+    return found.withColumn("position", F.row_number().over(order).cast("bigint"))
 
 
 def file_facts(decls: DataFrame, linked: DataFrame) -> DataFrame:

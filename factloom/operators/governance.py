@@ -16,7 +16,11 @@ MANY_DEPENDENTS = 10
 
 # -- aliases and decisions ------------------------------------------------------------
 def canonical_aliases(aliases: DataFrame) -> DataFrame:
-    """(repo, alias, root, error): transitive targets; cycles and empty targets are errors."""
+    """(repo, alias, root, error): transitive targets. Cycles, empty targets and aliases with several targets are errors, one row each;
+    a chain that leads to such an alias ends there."""
+    per = aliases.groupBy("repo", "alias").agg(F.countDistinct("target").alias("targets"), F.min("target").alias("target"))
+    several = cut_lineage(per.where("targets > 1").select("repo", "alias"))
+    aliases = per.where("targets <= 1").select("repo", "alias", F.coalesce("target", F.lit("")).alias("target"))
     empty = aliases.where(F.trim("target") == "")
     edges = aliases.where(F.trim("target") != "").select("repo", F.col("alias").alias("node"), F.col("target").alias("next"))
     chains = cut_lineage(resolve_chains(edges))
@@ -24,7 +28,9 @@ def canonical_aliases(aliases: DataFrame) -> DataFrame:
     out = chains.join(bad, ["repo", "root"], "left")
     error = F.when(F.col("cycle"), "alias cycle").when(F.col("to_empty"), "empty alias target")
     rows = out.select("repo", F.col("node").alias("alias"), F.when(error.isNull(), F.col("root")).alias("root"), error.alias("error"))
-    return rows.unionByName(empty.select("repo", "alias", F.lit(None).cast("string").alias("root"), F.lit("empty alias target").alias("error")))
+    return rows.unionByName(empty.select("repo", "alias", F.lit(None).cast("string").alias("root"), F.lit("empty alias target").alias("error"))).unionByName(
+        several.select("repo", "alias", F.lit(None).cast("string").alias("root"), F.lit("several alias targets").alias("error"))
+    )
 
 
 def normal_decisions(decisions: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.extract.rules import CREATES_TABLE, EXPORTED, GAP, PAD, WORD, modifiers, quoted
+from factloom.functions.paths import file_stem
 from factloom.functions.words import is_generic_role_word, match_words, name_tokens, name_words
 from factloom.operators.imports import fold_path
 from factloom.operators.ranking import concept_candidates, first_rows
@@ -343,12 +344,20 @@ def readiness(changes: DataFrame, fresh: DataFrame, plans: DataFrame, impacts: D
 def fan_out_terms(terms: DataFrame, repos: DataFrame, concepts: DataFrame, **evidence) -> DataFrame:
     """(term, repo, verdict, canonical): each term in every registered repo that knows it.
 
-    Repos are found through their vocabulary, so terms and repos are never crossed; a last row
-    per term (repo null, verdict ``ELSEWHERE_ABSENT``) counts the registered repos without a hit.
+    Repos are found through their vocabulary - the words of concepts, aliases, symbols, handlers and file names that
+    ``evidence`` brings - so terms and repos are never crossed; a last row per term (repo null, verdict
+    ``ELSEWHERE_ABSENT``) counts the registered repos without a hit.
     """
     t = terms.select("term").distinct()
-    live = concepts.join(repos.select("repo").distinct(), "repo", "left_semi")
-    words = concept_candidates(live, 1).select("repo", "word").distinct()
+    known = repos.select("repo").distinct()
+    live = concepts.join(known, "repo", "left_semi")
+    words = concept_candidates(live, 1).select("repo", "word")
+    named = {"symbols": F.col("name"), "aliases": F.col("alias"), "routes": F.col("handler"), "files": file_stem(F.col("path"))}
+    for source, name in named.items():
+        if evidence.get(source) is not None:
+            some = evidence[source].join(known, "repo", "left_semi").select("repo", name.alias("name")).where("name is not null").distinct()
+            words = words.unionByName(name_words(some, "name").select("repo", "word"))
+    words = words.distinct()
     near = match_words(t, words, "term", "word").join(words, "word").select("repo", "term").distinct()
     hits = cut_lineage(resolve_terms(near, live, **evidence).where(F.col("canonical").isNotNull()).select("term", "repo", "verdict", "canonical"))
     total = repos.select("repo").distinct().count()
