@@ -9,7 +9,7 @@ fitted by penalised logistic regression.
 
 from __future__ import annotations
 
-from collections import Counter
+import pickle
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -129,10 +129,11 @@ def fit(texts: list[bytes], labels: list[int]) -> Model | None:
     return Model(ordinary, toxic, *_logistic(_features(ordinary, toxic, column), y.astype(float)))
 
 
-def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[bytes], list[int]]:
-    """The labelled rows to learn from: of the ids with crc32 mod 5 other than 0, the ``SAMPLE_ROWS`` with the smallest hashes.
+def fit_on(docs: DataFrame, labels: DataFrame) -> Model | None:
+    """Fits the model in one task on a bounded sample, of which only the model reaches the driver.
 
-    Those ids, two numbers each, are broadcast; of their rows at most ``SAMPLE_ROWS``, with texts of at most ``SAMPLE_TEXT`` bytes, reach the driver. Ids with two different
+    The sample: of the labelled ids with crc32 mod 5 other than 0 the ``SAMPLE_ROWS`` with the smallest hashes, two numbers
+    each, which are broadcast; of their rows those with texts of at most ``SAMPLE_TEXT`` bytes. Ids with two different
     labels, and null ids, labels or texts, teach nothing.
     """
     known = pick(labels, "doc_id", "toxic").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
@@ -140,8 +141,18 @@ def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[bytes], list[int]]:
     known = known.where("crc32(cast(cast(doc_id as string) as binary)) % 5 <> 0")
     few = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
     rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).where(F.octet_length("text") <= SAMPLE_TEXT)
-    picked = rows.join(F.broadcast(few), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(SAMPLE_ROWS).collect()
-    return [bytes(r.text) for r in picked], [r.toxic for r in picked]
+    picked = rows.join(F.broadcast(few), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(SAMPLE_ROWS).select("text", "toxic")
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, marks = [], []
+        for batch in batches:
+            texts += batch.column(0).to_pylist()
+            marks += batch.column(1).to_pylist()
+        yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(tuple(found) if (found := fit(texts, marks)) else None)], pa.binary())})
+
+    found = picked.coalesce(1).mapInArrow(learn, "model binary").first()
+    content = pickle.loads(bytes(found.model)) if found else None
+    return Model(*content) if content else None
 
 
 def score(docs: DataFrame, labels: DataFrame, model: Model | None = None) -> DataFrame:
@@ -151,7 +162,7 @@ def score(docs: DataFrame, labels: DataFrame, model: Model | None = None) -> Dat
     gain. Without a label of each kind to learn from every score is 0. Repeated rows score alike; a null id is
     not held out; other columns are ignored.
     """
-    model = model or fit(*sample(docs, labels))
+    model = model or fit_on(docs, labels)
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         n = batch.num_rows
@@ -169,7 +180,7 @@ def score(docs: DataFrame, labels: DataFrame, model: Model | None = None) -> Dat
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, model: Model | None = None) -> DataFrame:
     """The rows of ``docs`` that score below 0.5, with all their columns; scored where they lie, without a join."""
-    model = model or fit(*sample(docs, labels))
+    model = model or fit_on(docs, labels)
     if model is None:
         return docs
     rows, text = numbered(docs), column(docs, "text")
