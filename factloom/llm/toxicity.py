@@ -28,6 +28,8 @@ LEVEL = 9
 ORDINARY_DICT, TOXIC_DICT = 16_384, 4_096
 #: A word is telling if toxic texts hold it at least so often as ordinary ones, and at least so many do.
 LEAST_RATIO, LEAST_TEXTS = 3.0, 3
+#: Share of toxic texts from which on a telling word is put into their dictionary whole.
+LEAST_SHARE = 0.05
 LONGEST = 64
 CLOSING = b"0123456789ABCDEFGHIJKLMNOPQRSTUV"
 GAINS = np.arange(1, 9)
@@ -123,7 +125,10 @@ def fit(texts: list[bytes], labels: list[int]) -> Model | None:
     in_ordinary = np.bincount(word[label == 0], minlength=len(words))
     ratio = (in_toxic / max(1, (y == 1).sum())) / ((in_ordinary + 1) / (y == 0).sum())
     telling = [k for k in np.lexsort((np.arange(len(words)), -ratio)) if ratio[k] > LEAST_RATIO and in_toxic[k] >= LEAST_TEXTS]
-    toxic = _trained([b" " + words[k] + b" " for k in telling for _ in range(int(in_toxic[k]))], TOXIC_DICT)
+    trained = _trained([b" " + words[k] + b" " for k in telling for _ in range(int(in_toxic[k]))], TOXIC_DICT)
+    # the trained dictionary keeps frequent pieces; telling words that many toxic texts hold follow whole
+    common = [words[k] for k in reversed(telling) if in_toxic[k] >= LEAST_SHARE * (y == 1).sum()]
+    toxic = trained + (b" " + b" ".join(common) + b" ")[-TOXIC_DICT:]
     plain = [t for t, label in zip(texts, labels, strict=True) if label == 0]
     ordinary = _trained([b" " + w + b" " for t in plain for w in t.lower().split()][:200_000], ORDINARY_DICT)
     return Model(ordinary, toxic, *_logistic(_features(ordinary, toxic, column), y.astype(float)))
