@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.spread import bit_filter, column, may_hold, numbered, pick
-from factloom.llm.text import Rolling, Words, mix, offsets, signed, slices
+from factloom.llm.text import Rolling, Words, mix, signed, slices
 from factloom.session import cut_lineage
 
 WINDOW, KMER = 35, 6
@@ -57,13 +57,6 @@ class Paths:
     def contexts(self, at: np.ndarray) -> np.ndarray:
         return self.rolling.of(self.lo[at], self.lo[at] + self.size[at] - 1 + self.window)
 
-    def windows(self, at: np.ndarray) -> list[bytes]:
-        size = self.size[at]
-        ends = np.cumsum(size)
-        start = np.repeat(self.lo[at] - (ends - size), size) + np.arange(size.sum())
-        raw = self.rolling.of(start, start + self.window).tobytes()
-        return [raw[8 * (e - s) : 8 * e] for e, s in zip(ends.tolist(), size.tolist(), strict=True)]
-
 
 class Twice:
     """Which rows of a task hold a text seen less than twice: more copies tell nothing new."""
@@ -98,7 +91,7 @@ def repeated_windows(texts: DataFrame, window: int = WINDOW, kmer: int = KMER) -
 
     counted = texts.mapInArrow(nodes, "node long").groupBy("node").count().where("count > 1").select("node")
     known = texts.sparkSession.sparkContext.broadcast(bit_filter(counted, FILTER_BITS))
-    schema = "node long, context long, t long, len long, lo long, size int, windows binary"
+    schema = "node long, context long, t long, len long, lo long, size int"
 
     def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         twice = Twice()
@@ -112,23 +105,35 @@ def repeated_windows(texts: DataFrame, window: int = WINDOW, kmer: int = KMER) -
                 doc = found.doc[at]
                 t, size = part.column(0).to_numpy()[doc], part.column(1).to_numpy()[doc]
                 cols = [signed(found.node[at]), signed(found.contexts(at)), t, size, found.lo[at] - found.first[doc], found.size[at].astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(found.windows(at), pa.binary())], [x.split()[0] for x in schema.split(", ")])
+                yield pa.RecordBatch.from_arrays([*map(pa.array, cols)], [x.split()[0] for x in schema.split(", ")])
 
     places = cut_lineage(texts.mapInArrow(paths, schema))
-    contexts = cut_lineage(places.groupBy("node", "context").agg(F.count("*").alias("n"), F.max("windows").alias("windows")))
+    contexts = cut_lineage(places.groupBy("node", "context").agg(F.count("*").alias("n")))
     branching = contexts.groupBy("node").count().where("count > 1").select("node")
+    split = texts.sparkSession.sparkContext.broadcast(bit_filter(branching, FILTER_BITS))
 
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The single windows of the contexts of branching nodes, each context once a task."""
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
-            raw = batch.column(2)
-            size = np.diff(offsets(raw)[0]) // 8
-            bit = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            node, context = (np.repeat(batch.column(k).to_numpy(), size) for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(context), pa.array(offsets(raw)[1].view(np.int64)), pa.array((1 << bit).astype(np.int64))], ["node", "context", "words", "bit"])
-
-    single = contexts.join(branching, "node").select("node", "context", "windows").mapInArrow(opened, "node long, context long, words long, bit long")
-    # a window in two contexts: each context takes part once, its own recurrences are whole already
-    shared = single.groupBy("node", "words").agg(F.count("*").alias("k")).where("k > 1").select("node", "words")
+            for part in slices(batch, "text"):
+                found = Paths(part.column(2), window, kmer)
+                at = np.flatnonzero(may_hold(known.value, found.node) & may_hold(split.value, found.node))
+                context, fresh = found.contexts(at), []
+                for k, pair in enumerate(zip(found.node[at].tolist(), context.tolist(), strict=True)):
+                    if pair not in seen:
+                        seen.add(pair)
+                        fresh.append(k)
+                at, context = at[fresh], context[fresh]
+                size = found.size[at]
+                bit = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+                words = found.rolling.of(np.repeat(found.lo[at], size) + bit, np.repeat(found.lo[at], size) + bit + window)
+                cols = [signed(np.repeat(found.node[at], size)), signed(np.repeat(context, size)), signed(words), (1 << bit).astype(np.int64)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, cols)], ["node", "context", "words", "bit"])
+
+    single = cut_lineage(texts.mapInArrow(opened, "node long, context long, words long, bit long"))
+    # a window that two contexts hold is repeated; a context's own recurrences are whole already
+    shared = single.groupBy("node", "words").agg(F.min("context").alias("a"), F.max("context").alias("b")).where("a <> b").select("node", "words")
     parts = single.join(shared, ["node", "words"]).groupBy("node", "context").agg(F.bit_or("bit").alias("bits"))
     whole = contexts.where("n > 1").select("node", "context", F.lit((1 << 30) - 1).cast("long").alias("bits"))
     # written, so that the join below deals both sides anew and a hot context can be split
