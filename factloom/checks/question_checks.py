@@ -44,7 +44,7 @@ def _names(spark, sf):
 
 
 def goal_terms(spark, sf):
-    return _big(questions.goal_terms(frame(spark, sf, "b_goal"), _names(spark, sf)), "position")
+    return _big(questions.goal_terms(frame(spark, sf, "b_goal"), _names(spark, sf), cap=8), "position")
 
 
 QUERIES["goal_terms"] = goal_terms
@@ -63,7 +63,7 @@ ORACLES["goal_terms"] = f"with {GOAL} select * from o_goal"
 
 
 def _intent(spark, sf):
-    return questions.goal_intent(frame(spark, sf, "b_goal"), _names(spark, sf), bound_catalog(spark, sf), **evidence(spark, sf))
+    return questions.goal_intent(frame(spark, sf, "b_goal"), _names(spark, sf), bound_catalog(spark, sf), cap=8, **evidence(spark, sf))
 
 
 def goal_intent(spark, sf):
@@ -135,7 +135,7 @@ select r.repo, r.concept, r.field, r.field in ('the', 'que') as declared, usage_
 def _owners(spark, sf):
     d = declared(spark, sf)
     usage = catalog.attach_usage(frame(spark, sf, "b_hit"), d)
-    return summary.owners(d.select("repo", F.col("name").alias("target")), d, usage)
+    return summary.owners(d.select("repo", F.col("name").alias("target")), d, usage, 6)
 
 
 def _p_edges(spark, sf):
@@ -150,10 +150,10 @@ def _p_impact(spark, sf, concepts, targets):
 
 def goal_plan(spark, sf):
     c = bound_catalog(spark, sf)
-    intent = cut_lineage(questions.goal_intent(frame(spark, sf, "b_goal"), _names(spark, sf), c, **evidence(spark, sf)))
+    intent = cut_lineage(questions.goal_intent(frame(spark, sf, "b_goal"), _names(spark, sf), c, cap=8, **evidence(spark, sf)))
     targets = intent.where("bucket = 'extend'").select("repo", F.col("canonical").alias("target")).distinct()
     gov = governance.governing_decisions(targets, links(spark, sf), by_words=True)
-    return _big(questions.goal_plan(intent, c, _owners(spark, sf), gov, _p_impact(spark, sf, c, targets)).drop("severity"), "position")
+    return _big(questions.goal_plan(intent, c, _owners(spark, sf), gov, _p_impact(spark, sf, c, targets), top=3).drop("severity"), "position")
 
 
 QUERIES["goal_plan"] = goal_plan

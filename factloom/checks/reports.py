@@ -57,7 +57,7 @@ select repo, 'crates/' || split_part(path, '/', 2) as dir, count(distinct path)
 
 
 def top_concepts(spark, sf):
-    return _big(summary.top_concepts(bound_catalog(spark, sf)), "rank")
+    return _big(summary.top_concepts(bound_catalog(spark, sf), 10), "rank")
 
 
 QUERIES["top_concepts"] = top_concepts
@@ -66,7 +66,7 @@ select repo, name, uses, row_number() over (partition by repo order by uses desc
 
 
 def unused_concepts(spark, sf):
-    return summary.unused_concepts(bound_catalog(spark, sf))
+    return summary.unused_concepts(bound_catalog(spark, sf), 15)
 
 
 QUERIES["unused_concepts"] = unused_concepts
@@ -78,7 +78,7 @@ def owners(spark, sf):
     d = frame(spark, sf, "b_decl")
     usage = catalog.attach_usage(frame(spark, sf, "b_hit"), d)
     targets = d.select("repo", F.col("name").alias("target"))
-    return _big(summary.owners(targets, d, usage), "rank")
+    return _big(summary.owners(targets, d, usage, 6), "rank")
 
 
 QUERIES["owner_dirs"] = owners

@@ -55,17 +55,17 @@ def declarations_per_dir(decls: DataFrame) -> DataFrame:
     )
 
 
-def top_concepts(concepts: DataFrame, cap: int = 10) -> DataFrame:
-    """Most used concepts per repo, ties by name."""
+def top_concepts(concepts: DataFrame, cap: int | None = None) -> DataFrame:
+    """Concepts per repo by falling use, ties by name; the first ``cap`` if given."""
     w = Window.partitionBy("repo").orderBy(F.col("uses").desc(), F.col("name"))
-    return concepts.select("repo", "name", "uses").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= cap)
+    return concepts.select("repo", "name", "uses").withColumn("rank", F.row_number().over(w)).where(F.lit(True) if cap is None else F.col("rank") <= cap)
 
 
-def unused_concepts(concepts: DataFrame, cap: int | None = 15) -> DataFrame:
+def unused_concepts(concepts: DataFrame, cap: int | None = None) -> DataFrame:
     return first_rows(concepts.where(F.col("uses") == 0).select("repo", "name"), ["repo"], [F.col("name")], cap)
 
 
-def owners(targets: DataFrame, decls: DataFrame, usage: DataFrame, cap: int | None = 6) -> DataFrame:
+def owners(targets: DataFrame, decls: DataFrame, usage: DataFrame, cap: int | None = None) -> DataFrame:
     """(repo, target, rank, dir, declarations, uses, weight, owner): only declaring dirs may own.
 
     Declarers are ordered by (declarations, uses); every dir weighs 2 per declaration and 1 per use.
