@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Units kept by a worker before its memory of them starts anew (about 200 bytes each).
+#: Units kept by a worker before its memory of them starts anew (about 50 bytes each).
 KEEP_UNITS = 800_000
 _ODD = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]{2}|\A[\s\x0b\x1c-\x1f\x{85}\p{Z}]|[\s\x0b\x1c-\x1f\x{85}\p{Z}]\z|\A\z|\x00"
 
@@ -38,8 +38,8 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.place: dict[str, int] = {}
-        self.ids, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.units = pa.array([], pa.string())
+        self.ids, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int32), np.zeros(0, np.int32)
 
     def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -51,28 +51,35 @@ class Encoder:
         at = np.flatnonzero(self.opens[ids])
         return ids, np.diff(np.r_[at, len(ids)])
 
-    def _learn(self, fresh: list[str]) -> None:
-        later = [u for u in fresh if u[0] != "\0"]
-        first = [u for u in fresh if u[0] == "\0"]
-        a, na = self._joined(later)
-        b, nb = self._whole([u[1:] for u in first])
-        size = np.r_[na, nb]
-        self.place.update(zip(later + first, range(len(self.size), len(self.size) + len(size)), strict=True))
-        self.start = np.r_[self.start, len(self.ids) + np.cumsum(size) - size]
+    def _learn(self, fresh: pa.Array) -> np.ndarray:
+        """Encodes and keeps new units; returns their places."""
+        is_first = pc.starts_with(fresh, "\0")
+        later, first = fresh.filter(pc.invert(is_first)), fresh.filter(is_first)
+        a, na = self._joined(later.to_pylist())
+        b, nb = self._whole(pc.utf8_slice_codeunits(first, 1).to_pylist())
+        size = np.r_[na, nb].astype(np.int32)
+        mask, known = is_first.to_numpy(zero_copy_only=False), len(self.units)
+        places = known + np.where(mask, len(later) + np.cumsum(mask) - 1, np.cumsum(~mask) - 1)
+        self.units = pa.concat_arrays([self.units, later, first])
+        self.start = np.r_[self.start, (len(self.ids) + np.cumsum(size) - size).astype(np.int32)]
         self.size = np.r_[self.size, size]
         self.ids = np.r_[self.ids, a, b]
+        return places
 
     def _by_units(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         split = pc.split_pattern(pc.binary_join_element_wise("\0", texts, ""), " ")
         units = split.flatten().dictionary_encode()
-        words = units.dictionary.to_pylist()
-        if len(self.place) > KEEP_UNITS:
+        if len(self.units) > KEEP_UNITS:
             self._clear()
-        self._learn([w for w in words if w not in self.place])
-        at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))[units.indices.to_numpy()]
+        found = pc.index_in(units.dictionary, value_set=self.units)
+        places = found.fill_null(-1).to_numpy().copy()
+        places[places < 0] = self._learn(units.dictionary.filter(pc.is_null(found)))
+        at = places[units.indices.to_numpy()]
         size = self.size[at]
-        ends = np.cumsum(size)
-        ids = self.ids[np.repeat(self.start[at] - (ends - size), size) + np.arange(size.sum())]
+        ends = np.cumsum(size, dtype=np.int64)
+        place = np.repeat(self.start[at] - (ends - size), size)
+        place += np.arange(len(place))
+        ids = self.ids[place]
         return ids, np.r_[0, ends][split.offsets.to_numpy() - split.offsets[0].as_py()]
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:

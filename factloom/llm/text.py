@@ -6,6 +6,7 @@ modulo 2**64. Memory follows the slice in work: at most ``SLICE_BYTES`` of text
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Iterator
 
@@ -30,14 +31,24 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
-    """The batch in runs of whole rows with about ``SLICE_BYTES`` of text."""
+def release() -> None:
+    """Gives free memory back to the system: workers live on, and what a stage held would count against the next."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
+def slices(batch: pa.RecordBatch, text: str, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of whole rows with about ``size`` bytes of text."""
     if not batch.num_rows:
         return
-    part = np.cumsum(np.diff(offsets(batch.column(text))[0])) // SLICE_BYTES
+    part = np.cumsum(np.diff(offsets(batch.column(text))[0])) // size
     cuts = np.flatnonzero(np.diff(part)) + 1
     for lo, hi in zip(np.r_[0, cuts], np.r_[cuts, batch.num_rows], strict=True):
         yield batch.slice(int(lo), int(hi - lo))
+    release()
 
 
 def offsets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
