@@ -9,6 +9,7 @@ a source are undecided; those land, with the last few decided ones, where the wo
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,8 +23,8 @@ WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, MOST = 1.5, 2.0
 BLOCK = 1_000
 FAN_IN = 5_000
-#: Units decided last that the landing may still trade.
-LANDING = 64
+#: Units decided last that the landing may still trade, and units that a block leaves untouched for the next round.
+LANDING, RESERVE = 64, 16
 SPACE = r"[^\x20\x09-\x0D]+"
 
 
@@ -126,7 +127,7 @@ NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
 
 def _flight(level: int, last: bool):
     def fly(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, flight, recent, out = None, Flight(level), [], []
+        at, flight, recent, out, waiting = None, Flight(level), [], [], deque()
 
         def settle(units: Iterator[tuple[tuple, float]]) -> None:
             for row, chance in units:
@@ -137,7 +138,17 @@ def _flight(level: int, last: bool):
             out.extend(recent[:-LANDING])
             del recent[:-LANDING]
 
+        def enter(row: tuple) -> None:
+            if not last and 0.0 < row[4] < 1.0:
+                waiting.append(row)
+                if len(waiting) <= RESERVE:
+                    return
+                row = waiting.popleft()
+            settle(flight.add(row, row[2], row[4], row[3]))
+
         def close() -> None:
+            out.extend((row, row[4]) for row in waiting)
+            waiting.clear()
             settle(flight.end())
             out.extend(_land(flight.held, recent) if last else ((h[3], h[1]) for h in flight.held))
             recent.clear()
@@ -147,7 +158,7 @@ def _flight(level: int, last: bool):
                 if row[:2] != at:
                     close()
                     at, flight = row[:2], Flight(level)
-                settle(flight.add(row, row[2], row[4], row[3]))
+                enter(row)
             yield _decided(out)
             out.clear()
         close()

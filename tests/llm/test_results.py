@@ -65,7 +65,7 @@ def test_mix_meets_targets_and_reruns_agree(corpus):
     for s in sizes:
         mine = [r for r in plan if r.source == s]
         assert abs(mine[0].target - target[s]) < 1e-6 * total and mine[0].source_size == sizes[s]
-        assert abs(sum(r.taken for r in mine) - target[s]) <= 5
+        assert abs(sum(r.taken for r in mine) - target[s]) <= 20
         assert all(r.taken <= 2 * r.size for r in mine)
     again = mixing.plan_mix(table(corpus, rows).repartition(3)).collect()
     assert sorted((r.doc_id, r.taken) for r in again) == sorted((r.doc_id, r.taken) for r in plan)
