@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm import mixing, ngram_join, packing, substrings, toxicity
-from factloom.llm.spread import ship
+from factloom.llm.spread import column, numbered, ship
 from factloom.session import checkpoint_folder
 
 
@@ -32,7 +32,10 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the words of 35-word windows that occur elsewhere; ``n_chars`` follows the text."""
     ship(spark)
     cut = substrings.remove_repeats(docs)
-    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut
+    if "n_chars" not in docs.columns:
+        return cut
+    size = F.length(column(cut, "text")).cast(docs.schema[docs.columns.index("n_chars")].dataType)
+    return numbered(cut).withColumn(column(cut, "n_chars"), size).toDF(*cut.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
