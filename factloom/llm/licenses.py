@@ -3,6 +3,7 @@ sequence of identifiers of a text is matched against ordered licence rules. Colu
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -91,9 +92,16 @@ def sentences(text: Column) -> Column:
 
 
 def identifiers(text: Column, known: tuple[tuple[str, str], ...] = SENTENCES) -> Column:
-    """The identifiers of the recognised sentences in order, as ``,A,B,``; ``,`` if there are none."""
+    """The identifiers of the recognised sentences in order, as ``,A,B,``; ``,`` if there are none.
+
+    A known sentence may lie in several neighbouring sentences of the text: published notices are wrapped, and
+    have ``;`` and ``v. 2`` inside. From each sentence on the longest known one is taken.
+    """
     names = F.create_map(*[F.lit(x) for name, sentence in known for x in (sentence, name)])
-    found = F.filter(sentences(text), lambda s: s.isin([sentence for _, sentence in known]))
+    longest = sorted((sentence for _, sentence in known), key=len, reverse=True)
+    any_known = "\n(" + "|".join("[ \n]".join(map(re.escape, s.split(" "))) for s in longest) + ")(?=\n)"
+    lines = F.concat(F.lit("\n"), F.array_join(sentences(text), "\n"), F.lit("\n"))
+    found = F.transform(F.regexp_extract_all(lines, F.lit(any_known), F.lit(1)), lambda s: F.translate(s, "\n", " "))
     return F.concat(F.lit(","), F.array_join(F.transform(found, lambda s: F.concat(F.element_at(names, s), F.lit(","))), ""))
 
 
@@ -114,7 +122,7 @@ def scan(df: DataFrame, known: tuple[tuple[str, str], ...] = SENTENCES, rules: t
 
 
 def scan_sql(table: str = "documents", known: tuple[tuple[str, str], ...] = SENTENCES, rules: tuple[tuple[str, tuple[str, ...]], ...] = RULES) -> str:
-    """The same scan in DuckDB SQL, sentence by sentence."""
+    """The scan in DuckDB SQL, sentence by sentence: known sentences that go on over a cut, as in wrapped notices, it does not find."""
     values = ", ".join(f"('{s}', '{n}')" for n, s in known)
     taken = "replace(seq, ',', ',,')"
     for name, ids in rules:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import textwrap
 import zlib
 
 import numpy as np
@@ -197,3 +198,40 @@ def test_license_notices(corpus):
     rows = [(1, "Intro. " + ". ".join(s.capitalize() for s in mit) + ".\n"), (2, ". ".join(bsd)), (3, ".\n".join(bsd[:3])), (4, "Licensed under CC BY-NC 4.0.\nReleased under the MIT License. Licensed under CC BY-NC 4.0."), (5, "MIT"), (6, None)]
     got = {r.doc_id: (r.n_sentences, r.licenses) for r in licenses.scan(corpus.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: (4, "MIT"), 2: (4, "BSD-3-Clause"), 3: (3, "BSD-2-Clause"), 4: (3, "CC-BY-NC-4.0,MIT"), 5: (0, ""), 6: (0, "")}
+
+
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
+GPL2 = """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License along with this program; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA."""
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+MPL = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
+PUBLISHED = {"Apache-2.0": (APACHE, 4), "GPL-2.0-or-later": (GPL2, 4), "MIT": (MIT, 4), "MPL-2.0": (MPL, 1)}
+
+
+def test_published_notices_on_one_line_wrapped_and_as_comments(corpus):
+    rows, want = [], {}
+    for name, (notice, n) in PUBLISHED.items():
+        for width in (10_000, 78, 72, 40):
+            for mark in ("", "# ", " * "):
+                lines = [line for p in notice.split("\n\n") for line in [*textwrap.wrap(p, width, break_on_hyphens=False), ""]]
+                want[len(rows)] = (n, name)
+                rows.append((len(rows), "Copyright (c) 2020 someone\n\n" + "".join(f"{mark}{line}\n" for line in lines) + "code();"))
+    got = {r.doc_id: (r.n_sentences, r.licenses) for r in licenses.scan(corpus.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
+def test_no_license_from_a_part_of_a_sentence_or_of_a_line(corpus):
+    rows = [(0, "Released under the\nMIT"), (1, "not released under the MIT license"), (2, "released under the\nold MIT license"), (3, "Released under the MIT license\nand more")]
+    got = {r.doc_id: r.licenses for r in licenses.scan(corpus.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: "", 1: "", 2: "", 3: "MIT"}
