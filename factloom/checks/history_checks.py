@@ -119,6 +119,13 @@ select repo, kind, events, oldest_ms, newest_ms, case when kind = 'ci_passed' th
   else events || case kind when 'alias_introduced' then ' alias' else ' concept' end || case when events = 1 then '' when kind = 'alias_introduced' then 'es' else 's' end ||
     case kind when 'concept_appeared' then ' appeared: ' when 'concept_renamed' then ' renamed: ' when 'concept_lost_storage' then ' without storage: ' else ' introduced: ' end
     || names || case when events > 10 then ' (+' || (events - 10) || ' more)' else '' end end as sentence from g"""
+QUERIES["history_digest_whole"] = lambda spark, sf: history.history_digest(frame(spark, sf, "b_event"), cap=None)
+ORACLES["history_digest_whole"] = (
+    ORACLES["history_digest"]
+    .replace(" qualify row_number() over (partition by repo order by ts_ms desc, id desc) <= 200", "")
+    .replace(" filter (k <= 10)", "")
+    .replace(" || case when events > 10 then ' (+' || (events - 10) || ' more)' else '' end", "")
+)
 
 
 def repo_registry(spark, sf):

@@ -62,8 +62,17 @@ o_goal as (select repo, goal_id, row_number() over (partition by repo, goal_id o
 ORACLES["goal_terms"] = f"with {GOAL} select * from o_goal"
 
 
-def _intent(spark, sf):
-    return questions.goal_intent(frame(spark, sf, "b_goal"), _names(spark, sf), bound_catalog(spark, sf), cap=8, **evidence(spark, sf))
+def whole_goals(oracle: str) -> str:
+    """The oracle of a goal query over every term of the goals."""
+    return oracle.replace(" qualify position <= 8", "")
+
+
+QUERIES["goal_terms_whole"] = lambda spark, sf: _big(questions.goal_terms(frame(spark, sf, "b_goal"), _names(spark, sf)), "position")
+ORACLES["goal_terms_whole"] = whole_goals(ORACLES["goal_terms"])
+
+
+def _intent(spark, sf, cap=8):
+    return questions.goal_intent(frame(spark, sf, "b_goal"), _names(spark, sf), bound_catalog(spark, sf), cap=cap, **evidence(spark, sf))
 
 
 def goal_intent(spark, sf):
@@ -75,6 +84,8 @@ INTENT = f"""{GOAL}, o_ask as (select distinct repo, term from o_goal), {resolve
 o_intent as (select g.*, r.verdict, r.canonical, case when r.verdict in ('ACTIVE', 'DECLARED_ONLY', 'SYMBOL', 'STRUCTURAL') then 'extend'
   when r.verdict in ('UNKNOWN', 'INSUFFICIENT_COVERAGE') then 'confirm' else 'create' end as bucket from o_goal g join o_resolved r on r.repo = g.repo and r.term = g.term)"""
 ORACLES["goal_intent"] = f"with {INTENT} select * from o_intent"
+QUERIES["goal_intent_whole"] = lambda spark, sf: _big(_intent(spark, sf, cap=None), "position")
+ORACLES["goal_intent_whole"] = whole_goals(ORACLES["goal_intent"])
 
 
 # -- impact --------------------------------------------------------------------------
@@ -148,12 +159,12 @@ def _p_impact(spark, sf, concepts, targets):
     return questions.concept_impact(targets, concepts, linked, _p_edges(spark, sf))
 
 
-def goal_plan(spark, sf):
+def goal_plan(spark, sf, cap=8, top=3):
     c = bound_catalog(spark, sf)
-    intent = cut_lineage(questions.goal_intent(frame(spark, sf, "b_goal"), _names(spark, sf), c, cap=8, **evidence(spark, sf)))
+    intent = cut_lineage(_intent(spark, sf, cap))
     targets = intent.where("bucket = 'extend'").select("repo", F.col("canonical").alias("target")).distinct()
     gov = governance.governing_decisions(targets, links(spark, sf), by_words=True)
-    return _big(questions.goal_plan(intent, c, _owners(spark, sf), gov, _p_impact(spark, sf, c, targets), top=3).drop("severity"), "position")
+    return _big(questions.goal_plan(intent, c, _owners(spark, sf), gov, _p_impact(spark, sf, c, targets), top=top).drop("severity"), "position")
 
 
 QUERIES["goal_plan"] = goal_plan
@@ -167,6 +178,8 @@ ORACLES["goal_plan"] = f"""with {INTENT}, {_OWN}, {_GOV},
 x as (select * from o_intent where bucket = 'extend' qualify row_number() over (partition by repo, goal_id order by position) <= 3)
 select x.repo, x.goal_id, x.position, x.term, x.canonical, w.owner, coalesce(c.relations, '') as related, coalesce(g.decisions, 0) as decisions, coalesce(c.uses, 0) as files
 from x left join o_own w on w.repo = x.repo and w.name = x.canonical left join o_concept c on c.repo = x.repo and c.name = x.canonical left join o_gov g on g.repo = x.repo and g.canonical = x.canonical"""
+QUERIES["goal_plan_whole"] = lambda spark, sf: goal_plan(spark, sf, cap=None, top=None)
+ORACLES["goal_plan_whole"] = whole_goals(ORACLES["goal_plan"]).replace(" qualify row_number() over (partition by repo, goal_id order by position) <= 3", "")
 
 
 def context_cards(spark, sf):

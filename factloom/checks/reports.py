@@ -34,6 +34,8 @@ u as (select repo, name from o_concept where uses = 0 and not enum_only qualify
 n as (select repo, string_agg(name, ', ' order by name) as unused_names from u group by 1)
 select f.repo, files, coalesce(concepts, 0) as concepts, coalesce(used, 0) as used, coalesce(unused, 0) as unused, coalesce(unused_names, '') as unused_names
 from f left join c using (repo) left join n using (repo)"""
+QUERIES["status_counts_whole"] = lambda spark, sf: summary.status_counts(frame(spark, sf, "b_file"), bound_catalog(spark, sf), cap=None)
+ORACLES["status_counts_whole"] = ORACLES["status_counts"].replace(" qualify row_number() over (partition by repo order by name) <= 25", "")
 
 
 def verdict_buckets(spark, sf):
@@ -45,6 +47,8 @@ ORACLES["verdict_buckets"] = f"""with {CATALOG},
 v as (select repo, name, case when uses > 0 then 'ACTIVE' else 'DECLARED_ONLY' end as verdict from o_concept),
 r as (select *, row_number() over (partition by repo, verdict order by name) as n from v)
 select repo, verdict, count(*) as concepts, string_agg(name, ', ' order by name) filter (n <= 25) as names from r group by 1, 2"""
+QUERIES["verdict_buckets_whole"] = lambda spark, sf: summary.verdict_buckets(bound_catalog(spark, sf), cap=None)
+ORACLES["verdict_buckets_whole"] = ORACLES["verdict_buckets"].replace(" filter (n <= 25)", "")
 
 
 def declaring_dirs(spark, sf):
@@ -63,6 +67,8 @@ def top_concepts(spark, sf):
 QUERIES["top_concepts"] = top_concepts
 ORACLES["top_concepts"] = f"""with {CATALOG}
 select repo, name, uses, row_number() over (partition by repo order by uses desc, name) as rank from o_concept qualify rank <= 10"""
+QUERIES["top_concepts_whole"] = lambda spark, sf: _big(summary.top_concepts(bound_catalog(spark, sf)), "rank")
+ORACLES["top_concepts_whole"] = ORACLES["top_concepts"].replace(" qualify rank <= 10", "")
 
 
 def unused_concepts(spark, sf):
@@ -72,13 +78,15 @@ def unused_concepts(spark, sf):
 QUERIES["unused_concepts"] = unused_concepts
 ORACLES["unused_concepts"] = f"""with {CATALOG}
 select repo, name from o_concept where uses = 0 qualify row_number() over (partition by repo order by name) <= 15"""
+QUERIES["unused_concepts_whole"] = lambda spark, sf: summary.unused_concepts(bound_catalog(spark, sf))
+ORACLES["unused_concepts_whole"] = ORACLES["unused_concepts"].replace(" qualify row_number() over (partition by repo order by name) <= 15", "")
 
 
-def owners(spark, sf):
+def owners(spark, sf, cap=6):
     d = frame(spark, sf, "b_decl")
     usage = catalog.attach_usage(frame(spark, sf, "b_hit"), d)
     targets = d.select("repo", F.col("name").alias("target"))
-    return _big(summary.owners(targets, d, usage, 6), "rank")
+    return _big(summary.owners(targets, d, usage, cap), "rank")
 
 
 QUERIES["owner_dirs"] = owners
@@ -90,6 +98,8 @@ w as (select repo, name, arg_min(dir, (-declarations, -uses, dir)) as owner from
 select b.repo, b.name as target, dir, declarations, uses, declarations * 2 + uses as weight, owner,
   row_number() over (partition by b.repo, b.name order by declarations * 2 + uses desc, declarations desc, uses desc, dir) as rank
 from b join w on w.repo = b.repo and w.name = b.name qualify rank <= 6"""
+QUERIES["owner_dirs_whole"] = lambda spark, sf: owners(spark, sf, cap=None)
+ORACLES["owner_dirs_whole"] = ORACLES["owner_dirs"].replace(" qualify rank <= 6", "")
 
 
 def context_efficiency(spark, sf):

@@ -39,8 +39,10 @@ def sql_fingerprint(sql: Column) -> Column:
     return F.trim(F.lower(s))
 
 
-def joined_capped(names: Column, total: Column, cap: int) -> Column:
-    """First ``cap`` names and how many more there are."""
+def joined_capped(names: Column, total: Column, cap: int | None) -> Column:
+    """First ``cap`` names and how many more there are; all names if ``cap`` is None."""
+    if cap is None:
+        return F.array_join(names, ", ")
     shown = F.array_join(F.slice(names, 1, cap), ", ")
     return F.when(total <= cap, shown).otherwise(
         F.concat(shown, F.lit(" (+"), (total - cap).cast("string"), F.lit(" more)"))

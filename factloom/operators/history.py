@@ -40,11 +40,12 @@ def full_history(live: DataFrame, archived: DataFrame) -> DataFrame:
     return live.withColumn("archived", F.lit(False)).unionByName(archived.withColumn("archived", F.lit(True)))
 
 
-def history_digest(events: DataFrame, limit: int | None = None, cap: int = 10) -> DataFrame:
-    """Events per repo, the newest ``limit`` if given, as one row per kind: count, time span and a sentence."""
+def history_digest(events: DataFrame, limit: int | None = None, cap: int | None = 10) -> DataFrame:
+    """Events per repo, the newest ``limit`` if given, as one row per kind: count, time span and a sentence with the first ``cap`` names, all if None."""
     recent = newest_per_repo(events, limit)
     by_kind = Window.partitionBy("repo", "kind").orderBy(*_newest())
-    shown = F.collect_list(F.when(F.col("n") <= cap, F.struct("n", F.col("concept").alias("c"))))
+    name = F.struct("n", F.col("concept").alias("c"))
+    shown = F.collect_list(name if cap is None else F.when(F.col("n") <= cap, name))
     g = (
         recent.withColumn("n", F.row_number().over(by_kind))
         .groupBy("repo", "kind")

@@ -1,4 +1,4 @@
-"""Exact order statistics and capped lists that never gather a group in one task."""
+"""Exact order statistics, and lists of names: with a cap no group is gathered in one task."""
 
 from __future__ import annotations
 
@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 DIGIT_BITS = 12
 
 
-def first_names(df: DataFrame, group: list[str], name: str, cap: int, out: str) -> DataFrame:
-    """First ``cap`` distinct names per group, joined. Spark cuts each group before its shuffle."""
-    w = Window.partitionBy(*group).orderBy(name)
-    top = df.select(*group, name).distinct().withColumn("n", F.row_number().over(w)).where(F.col("n") <= cap)
+def first_names(df: DataFrame, group: list[str], name: str, cap: int | None, out: str) -> DataFrame:
+    """First ``cap`` distinct names per group, joined; all if ``cap`` is None. Spark cuts each group before its shuffle."""
+    top = df.select(*group, name).distinct()
+    if cap is not None:
+        top = top.withColumn("n", F.row_number().over(Window.partitionBy(*group).orderBy(name))).where(F.col("n") <= cap)
     return top.groupBy(*group).agg(F.array_join(F.array_sort(F.collect_list(name)), ", ").alias(out))
 
 

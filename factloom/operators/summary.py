@@ -14,8 +14,8 @@ def zero(c: str) -> Column:
     return F.coalesce(F.col(c), F.lit(0).cast("bigint")).alias(c)
 
 
-def status_counts(files: DataFrame, concepts: DataFrame, cap: int = 25) -> DataFrame:
-    """Per repo: files, concepts, used, unused (enum-only concepts do not count) and the first unused names."""
+def status_counts(files: DataFrame, concepts: DataFrame, cap: int | None = 25) -> DataFrame:
+    """Per repo: files, concepts, used, unused (enum-only concepts do not count) and the first unused names, all if ``cap`` is None."""
     unused = (F.col("uses") == 0) & ~F.col("enum_only")
     f = files.groupBy("repo").agg(F.countDistinct("path").alias("files"))
     c = concepts.groupBy("repo").agg(
@@ -38,8 +38,8 @@ def freshness(repos: DataFrame) -> DataFrame:
     )
 
 
-def verdict_buckets(concepts: DataFrame, cap: int = 25) -> DataFrame:
-    """ACTIVE and DECLARED_ONLY: count and first names."""
+def verdict_buckets(concepts: DataFrame, cap: int | None = 25) -> DataFrame:
+    """ACTIVE and DECLARED_ONLY: count and first names, all if ``cap`` is None."""
     v = concepts.select("repo", "name", F.when(F.col("uses") > 0, "ACTIVE").otherwise("DECLARED_ONLY").alias("verdict"))
     counts = v.groupBy("repo", "verdict").agg(F.count(F.lit(1)).alias("concepts"))
     return counts.join(first_names(v, ["repo", "verdict"], "name", cap, "names"), ["repo", "verdict"])
