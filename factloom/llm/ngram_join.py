@@ -83,17 +83,16 @@ def _may_link(x: str, y: str, percent: int) -> Column:
     return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & (F.least(a - i, b - j) >= _least_overlap(a, b, percent))
 
 
-def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
-    """Per row: ``doc_id``, ``n_shingles``, ``component_id`` for links at 100 * common >= percent * union.
+def _row_key(text: str) -> Column:
+    """Tells rows of one id with different texts apart."""
+    return F.xxhash64(F.col(text).cast("binary"))
 
-    Words are runs outside U+0020 and U+0009 to U+000D, A-Z lower-cased; a set is the distinct n-word shingles, with
-    fewer words the whole sequence, and empty for null or blank texts, which link with nothing. Equal sets (copies and
-    repeated rows) are one set in all steps, however many. ``component_id`` is the smallest id reachable by
-    links (null only if all reachable ids are null). Other columns are ignored; an empty table gives no rows.
-    """
+
+def _labelled(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """Per row: ``doc_id``, ``row`` (its text's hash), ``n`` (shingles), ``key`` of the set and ``root``, which linked sets share."""
     spark = docs.sparkSession
     texts = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    schema = "doc_id long, n long, key long, map array<long>, chunk int, cells binary"
+    schema = "doc_id long, row long, n long, key long, map array<long>, chunk int, cells binary"
 
     names = [x.split()[0] for x in schema.split(", ")]
 
@@ -105,14 +104,14 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
                 for k in fresh.rows(sets):
                     np.add.at(counts, (sets.hashes[sets.bounds[k] : sets.bounds[k + 1]] & np.uint64(COUNT_CELLS - 1)).astype(np.int64), 1)
                 rows = part.num_rows
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets.sizes.astype(np.int64)), pa.array(sets.keys), sets.maps(), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(sets.sizes.astype(np.int64)), pa.array(sets.keys), sets.maps(), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names)
         chunks, cells = table_rows(np.minimum(counts, 2**31 - 1).astype(np.int32))
         none = pa.nulls(len(chunks), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(chunks), pa.list_(pa.int64())), pa.array(chunks, pa.int32()), pa.array(cells, pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(chunks), pa.list_(pa.int64())), pa.array(chunks, pa.int32()), pa.array(cells, pa.binary())], names)
 
-    measured = cut_lineage(texts.mapInArrow(measure, schema))
+    measured = cut_lineage(texts.select("doc_id", "text", _row_key("text").alias("row")).mapInArrow(measure, schema))
     table = spark.sparkContext.broadcast(whole_table(fixed_table(measured.where("chunk is not null")), COUNT_CELLS, "int32"))
-    rows = measured.where("chunk is null").select("doc_id", "n", "key")
+    rows = measured.where("chunk is null").select("doc_id", "row", "n", "key")
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fresh, often = Fresh(), table.value
@@ -182,20 +181,34 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     rest = asked.join(other, "shingle").where(apart).select(*pair("x", "y")).distinct().join(heads, ["a", "b"], "left_anti")
     links = first.unionByName(verified(rest))
     found = components(links).select(F.col("node").alias("key"), "root")
-    labelled = rows.join(found, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    return rows.join(found, "key", "left").withColumn("root", F.coalesce("root", "key"))
+
+
+def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
+    """Per row: ``doc_id``, ``n_shingles``, ``component_id`` for links at 100 * common >= percent * union.
+
+    Words are runs outside U+0020 and U+0009 to U+000D, A-Z lower-cased; a set is the distinct n-word shingles, with
+    fewer words the whole sequence, and empty for null or blank texts, which link with nothing. Equal sets (copies and
+    repeated rows) are one set in all steps, however many. ``component_id`` is the smallest id reachable by
+    links (null only if all reachable ids are null). Other columns are ignored; an empty table gives no rows.
+    """
+    labelled = _labelled(docs, n, percent)
     label = cut_lineage(labelled.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id")))
     joined = labelled.where("n > 0").join(label, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return joined.unionByName(labelled.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
 def drop_near_copies(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """One row of each component of ``docs``: the one with the component's id, of repeated rows the first by text hash; rows without an id, which no id speaks for, stay."""
-    lost = jaccard_components(docs, n, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("_lost")).distinct()
-    rows, doc_id, text = numbered(docs), column(docs, "doc_id"), column(docs, "text")
-    kept = rows.join(lost, F.col(doc_id).cast("long") == F.col("_lost"), "left_anti")
-    again = Window.partitionBy(doc_id).orderBy(F.xxhash64(text))
-    known = kept.where(F.col(doc_id).isNotNull()).withColumn("_again", F.row_number().over(again)).where("_again = 1").drop("_again")
-    return known.unionByName(kept.where(F.col(doc_id).isNull())).toDF(*docs.columns)
+    """One row of each component of ``docs``: the one with the smallest id, then the smallest text hash. An id's rows are told apart by their texts; rows without an id, which no id speaks for, stay."""
+    labelled = _labelled(docs, n, percent).where("doc_id is not null and n > 0")
+    first = cut_lineage(labelled.groupBy("root").agg(F.min(F.struct("doc_id", "row")).alias("first")))
+    lost = labelled.join(first, "root").where(F.struct("doc_id", "row") != F.col("first")).select(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).distinct()
+    rows = numbered(docs)
+    rows = rows.withColumn("_id", F.col(column(docs, "doc_id")).cast("long")).withColumn("_row", _row_key(column(docs, "text")))
+    kept = rows.join(lost, ["_id", "_row"], "left_anti").select(*rows.columns)
+    again = Window.partitionBy("_id", "_row").orderBy("_row")
+    known = kept.where("_id is not null").withColumn("_again", F.row_number().over(again)).where("_again = 1").drop("_again")
+    return known.unionByName(kept.where("_id is null")).drop("_id", "_row").toDF(*docs.columns)
 
 
 def components_sql(n: int = 3, percent: int = 90, table: str = "documents") -> str:

@@ -132,3 +132,9 @@ def test_wide_vectors_match_brute_force(corpus):
     assert {(r.query_id, r.rank): (r.vec_id, r.score) for r in top_products.top_products(vectors(corpus, rows)).collect()} == want
 
 
+def test_near_copies_keep_other_texts_of_a_repeated_id(corpus):
+    some, other, third = (" ".join(f"{p}{k}" for k in range(40)) for p in "abc")
+    # the second text of 2 copies the text of 1; 3 has two texts of its own; the second text of 4 is blank
+    rows = [(1, some, "s"), (2, other, "s"), (2, some, "s"), (3, third, "s"), (3, third[:60], "s"), (3, third, "s"), (4, other + " end", "s"), (4, " ", "s")]
+    got = sorted((r.doc_id, r.text) for r in ngram_join.drop_near_copies(documents(corpus, rows)).collect())
+    assert got == sorted([(1, some), (2, other), (3, third), (3, third[:60]), (4, " ")])
