@@ -24,6 +24,8 @@ from factloom.llm.text import Words
 
 #: Labelled rows that the model is fitted on: at most this many, of texts of at most so many bytes.
 SAMPLE_ROWS, SAMPLE_TEXT = 6_000, 16_384
+#: Words of their ordinary texts that the ordinary dictionary is trained on, evenly from all of them.
+ORDINARY_WORDS = 200_000
 LEVEL = 9
 ORDINARY_DICT, TOXIC_DICT = 16_384, 4_096
 #: A word is telling if toxic texts hold it at least so often as ordinary ones, and at least so many do.
@@ -107,11 +109,24 @@ def _trained(samples: list[bytes], size: int) -> bytes:
         return b"".join(samples)[-size:]
 
 
+def _spread_words(texts: list[bytes], most: int) -> list[bytes]:
+    """The words of the texts, each between spaces; if they are more than ``most``, so many at even distances over all texts."""
+    ends = np.cumsum([len(t.split()) for t in texts])
+    total = int(ends[-1]) if len(ends) else 0
+    at = np.arange(total) if total <= most else np.arange(most) * total // most
+    out, start = [], 0
+    for t, end in zip(texts, ends, strict=True):
+        words = t.lower().split()
+        out += [b" " + words[k - start] + b" " for k in at[np.searchsorted(at, start) : np.searchsorted(at, end)]]
+        start = int(end)
+    return out
+
+
 def fit(texts: list[bytes], labels: list[int]) -> Model | None:
     """Fits dictionaries, thresholds' weights and scale; None unless both labels occur.
 
     The toxic dictionary is trained on the words that tell toxic texts from ordinary ones, each as often as toxic
-    texts hold it; the ordinary one on running text of ordinary texts.
+    texts hold it; the ordinary one on at most ``ORDINARY_WORDS`` words, evenly from all ordinary texts.
     """
     y = np.array(labels)
     if not (y == 1).any() or not (y == 0).any():
@@ -130,7 +145,7 @@ def fit(texts: list[bytes], labels: list[int]) -> Model | None:
     common = [words[k] for k in reversed(telling) if in_toxic[k] >= LEAST_SHARE * (y == 1).sum()]
     toxic = trained + (b" " + b" ".join(common) + b" ")[-TOXIC_DICT:]
     plain = [t for t, label in zip(texts, labels, strict=True) if label == 0]
-    ordinary = _trained([b" " + w + b" " for t in plain for w in t.lower().split()][:200_000], ORDINARY_DICT)
+    ordinary = _trained(_spread_words(plain, ORDINARY_WORDS), ORDINARY_DICT)
     return Model(ordinary, toxic, *_logistic(_features(ordinary, toxic, column), y.astype(float)))
 
 

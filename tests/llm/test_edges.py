@@ -138,3 +138,10 @@ def test_near_copies_keep_other_texts_of_a_repeated_id(corpus):
     rows = [(1, some, "s"), (2, other, "s"), (2, some, "s"), (3, third, "s"), (3, third[:60], "s"), (3, third, "s"), (4, other + " end", "s"), (4, " ", "s")]
     got = sorted((r.doc_id, r.text) for r in ngram_join.drop_near_copies(documents(corpus, rows)).collect())
     assert got == sorted([(1, some), (2, other), (3, third), (3, third[:60]), (4, " ")])
+
+
+def test_ordinary_words_come_from_all_texts():
+    texts = [b"X " * 300, b"", b" y" * 100]
+    got = toxicity._spread_words(texts, 100)
+    assert len(got) == 100 and got.count(b" x ") == 75 and got.count(b" y ") == 25
+    assert toxicity._spread_words(texts, 400) == [b" x "] * 300 + [b" y "] * 100 and toxicity._spread_words([], 5) == []
