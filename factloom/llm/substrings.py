@@ -1,4 +1,4 @@
-"""Substring dedup over a compacted De Bruijn graph of token k-mers.
+"""Substring dedup by minimiser grouping of windows, in place of De Bruijn compaction: no edges are built or joined.
 
 The nodes are k-mers chosen by content: of the k-mers in a window the one with the least hash, so equal
 windows choose alike. The windows that choose one place of a text are a path through its node; their words
