@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.operators.chains import resolve_chains
+from factloom.operators.order_stats import numbered_in_groups
 from factloom.functions.words import match_words, name_words
 
 # Kinds that describe memory layout, not storage.
@@ -174,8 +175,7 @@ def link_symbols(symbols: DataFrame, concepts: DataFrame) -> DataFrame:
 def symbols_of_concepts(linked: DataFrame) -> DataFrame:
     """Symbols per concept with their ``position`` in (kind, name, path, line) order, from 1."""
     found = linked.where(F.col("linked_concept").isNotNull()).select("repo", F.col("linked_concept").alias("concept"), "kind", "name", "path", "line")
-    order = Window.partitionBy("repo", "concept").orderBy("kind", "name", "path", "line")
-    return found.withColumn("position", F.row_number().over(order).cast("bigint"))
+    return numbered_in_groups(found, ["repo", "concept"], [F.col(c) for c in ("kind", "name", "path", "line")], "position")
 
 
 def file_facts(decls: DataFrame, linked: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.session import cut_lineage
+
 DIGIT_BITS = 12
 
 
@@ -16,6 +18,23 @@ def first_names(df: DataFrame, group: list[str], name: str, cap: int | None, out
     return top.groupBy(*group).agg(F.array_join(F.array_sort(F.collect_list(name)), ", ").alias(out))
 
 
+def numbered_in_groups(df: DataFrame, group: list[str], order: list[Column], out: str) -> DataFrame:
+    """Adds the 1-based place of each row within its group in ``order``; a large group is numbered in many tasks.
+
+    Rows are dealt by ranges of group and order, numbered inside each range, and moved on by what earlier ranges hold of the group.
+    """
+    n, names = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.columns
+    dealt = cut_lineage(df.repartitionByRange(n, *group, *order).withColumn("_part", F.spark_partition_id()))
+    inside = dealt.withColumn("_n", F.row_number().over(Window.partitionBy("_part", *group).orderBy(*order)))
+    earlier = Window.partitionBy(*[f"_{g}" for g in group]).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = dealt.groupBy(F.col("_part").alias("_at"), *[F.col(g).alias(f"_{g}") for g in group]).agg(F.count(F.lit(1)).alias("_size"))
+    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(earlier), F.lit(0)))
+    same = F.col("_part") == F.col("_at")
+    for g in group:
+        same = same & F.col(g).eqNullSafe(F.col(f"_{g}"))
+    return inside.join(sizes, same).select(*names, (F.col("_n") + F.col("_before")).cast("bigint").alias(out))
+
+
 def kth_smallest(df: DataFrame, group: list[str], value: str, kth: Column, max_value: int) -> DataFrame:
     """(group, n, value): the element at 0-based rank ``kth`` (an expression over ``n``) per group.
 

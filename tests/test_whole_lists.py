@@ -6,7 +6,7 @@ import pytest
 import __spark_entry__ as entry
 from factloom.checks.bindings import TABLES
 from factloom.checks.compare import rows_of
-from factloom.operators import history, summary
+from factloom.operators import catalog, history, summary
 from helpers import concepts, decls, files
 
 SF = "/root/testdata/sf0.001"
@@ -38,3 +38,14 @@ def test_whole_queries(spark, name):
 
 def test_goal_terms_go_on_after_the_eighth(spark):
     assert entry.queries()["goal_terms_whole"](spark, SF).where("position > 8").count() > 0
+
+
+def test_a_large_concept_is_numbered_in_many_tasks(spark):
+    rows = [("r", "Big", "Class", f"n{k % 700:03d}", f"p{k}", 1) for k in range(2000)] + [("r", "Small", "Class", "n", "p", k) for k in range(3)]
+    linked = spark.createDataFrame(rows, "repo string, linked_concept string, kind string, name string, path string, line int")
+    found = catalog.symbols_of_concepts(linked)
+    got = {(r.concept, r.name, r.path, r.line): r.position for r in found.collect()}
+    big = sorted(r[1:] for r in rows if r[1] == "Big")
+    assert got == {(c, n, p, i): k + 1 for k, (c, _, n, p, i) in enumerate(big)} | {("Small", "n", "p", k): k + 1 for k in range(3)}
+    numbering = [x for x in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Window [row_number" in x]
+    assert numbering and all("_part" in x for x in numbering)
