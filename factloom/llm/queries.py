@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import licenses, mixing, ngram_join, packing, substrings, token_files, top_products, toxicity, url_filter, vector_range
+from factloom.llm import fill_middle, licenses, mixing, ngram_join, packing, quality, substrings, token_align, token_files, top_products, toxicity, url_filter, vector_range
 from factloom.llm.spread import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,3 +96,23 @@ with d as (select vec_id, list_transform(embedding, lambda x: floor(256 * cast(x
 s as (select a.vec_id as query_id, b.vec_id, cast(list_dot_product(a.e, b.e) as bigint) as score from d a, d b where a.vec_id % 50 = 0 and a.vec_id <> b.vec_id),
 r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from s)
 select query_id, rank, vec_id, score from r where rank <= 5"""
+
+
+@query
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_align.link_counts(read(spark, sf_dir, "documents"))
+
+
+@query
+def op12_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    verdicts = quality.judge(read(spark, sf_dir, "documents"))
+    return verdicts.select("doc_id", *quality.FACTS, "base_failed", "kept")
+
+
+@query
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digest(read(spark, sf_dir, "documents"))
+
+
+ORACLES["op12_host_quality"] = quality.judge_sql()
+ORACLES["op13_fill_middle"] = fill_middle.digest_sql()
