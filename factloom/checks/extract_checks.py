@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from factloom.checks.bindings import frame, sql
-from factloom.checks.source_templates import DECLS, expected, fill
+from factloom.checks.source_templates import DECLS, UNITS, expected, fill
 from factloom.extract import facts
 from factloom.functions import paths
 from factloom.operators import catalog
@@ -72,12 +72,14 @@ def body_literals(spark, sf):
 
 
 QUERIES["extract_body_literals"] = body_literals
-_U = {i: f"from b_tpl where pk % 3 = {i}" for i in range(3)}
+_U = {i: f"from b_tpl where pk % {len(UNITS)} = {i}" for i in range(len(UNITS))}
 ORACLES["extract_body_literals"] = f"""
 select repo, {fill('u/{a}{n}.py')} as path, 'one_' || w1 as unit, w1 || ' is a long text' as literal {_U[0]}
 union all select repo, {fill('u/{a}{n}.py')}, 'one_' || w1, w2 || ' is a long text' {_U[0]} union all select repo, {fill('u/{a}{n}.py')}, 'two_' || w2, w1 || ' is a long text' {_U[0]}
 union all select repo, {fill('u/{a}{n}.rs')}, 'one_' || w1, w2 || ' rust literal' {_U[1]} union all select repo, {fill('u/{a}{n}.rs')}, 'two_' || w2, w1 || ' rust literal' {_U[1]}
-union all select repo, {fill('u/{a}{n}.ts')}, 'one_' || w1, w1 || ' js literal' {_U[2]} union all select repo, {fill('u/{a}{n}.ts')}, 'three', 'select * from ' || w1 || '_' || w2 || ' join ' || w2 || '_x' {_U[2]}"""
+union all select repo, {fill('u/{a}{n}.ts')}, 'one_' || w1, w1 || ' js literal' {_U[2]} union all select repo, {fill('u/{a}{n}.ts')}, 'three', 'select * from ' || w1 || '_' || w2 || ' join ' || w2 || '_x' {_U[2]}
+union all select repo, {fill('u/{a}{n}_wide.py')}, 'one_' || w1, w1 || ' is a wide text' {_U[3]} union all select repo, {fill('u/{a}{n}_wide.py')}, 'two_' || w2, w2 || ' is a wide text' {_U[3]}
+union all select repo, {fill('u/{a}{n}_wide.ts')}, 'one_' || w1, w1 || ' wide literal' {_U[4]} union all select repo, {fill('u/{a}{n}_wide.ts')}, 'last_' || w2, w2 || ' wide literal' {_U[4]}"""
 
 
 def call_edges(spark, sf):
@@ -88,7 +90,8 @@ QUERIES["extract_call_edges"] = call_edges
 ORACLES["extract_call_edges"] = f"""
 select repo, {fill('u/{a}{n}.rs')} as from_path, 'one_' || w1 as caller, 'helper_' || w2 as callee {_U[1]} union all select repo, {fill('u/{a}{n}.rs')}, 'one_' || w1, 'make_' || w1 {_U[1]}
 union all select repo, {fill('u/{a}{n}.rs')}, 'two_' || w2, 'other' {_U[1]} union all select repo, {fill('u/{a}{n}.ts')}, 'one_' || w1, 'two_' || w2 {_U[2]}
-union all select repo, {fill('u/{a}{n}.ts')}, 'three', 'find' {_U[2]} union all select repo, {fill('u/{a}{n}.ts')}, 'three', 'go' {_U[2]}"""
+union all select repo, {fill('u/{a}{n}.ts')}, 'three', 'find' {_U[2]} union all select repo, {fill('u/{a}{n}.ts')}, 'three', 'go' {_U[2]}
+union all select repo, {fill('u/{a}{n}_wide.ts')}, 'one_' || w1, 'two_' || w2 {_U[4]} union all select repo, {fill('u/{a}{n}_wide.ts')}, 'last_' || w2, 'go_' || w1 {_U[4]}"""
 
 
 def usage_hits(spark, sf):

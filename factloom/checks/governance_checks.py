@@ -183,7 +183,7 @@ o_m1 as (select repo, path, old_path, object, name, kind, case when object = 'co
 _FDEP = REACH.format(name="sd", starts="(select distinct repo, old_path as key, old_path as path from o_ch)", extra="").replace("b_edge", "b_fedge")
 _DIFF = f"""{CHANGES.replace("union all select distinct repo, '??', 'scratch/' || w1, null from b_part where sz = 3", "")}, {_OBJ} {_FDEP},
 o_dep as (select repo, key, count(*) as n from sd_min where depth > 0 group by 1, 2),
-o_mut as (select m.repo, m.path, m.old_path, m.object, m.name, m.resource, m.kind, coalesce(d.n, 0) as dependents, m.object = 'concept' or coalesce(d.n, 0) >= 10 or m.kind = 'Unknown' as decision_required
+o_mut as (select m.repo, m.path, m.old_path, m.object, m.name, m.resource, m.kind, least(coalesce(d.n, 0), 10) as dependents, m.object = 'concept' or coalesce(d.n, 0) >= 10 or m.kind = 'Unknown' as decision_required
   from o_m1 m left join o_dep d on d.repo = m.repo and d.key = m.old_path)"""
 ORACLES["semantic_diff"] = f"with recursive {_DIFF} select * from o_mut"
 

@@ -41,6 +41,24 @@ select distinct repo, from_path as file, 'imports' as direction, to_path as othe
 union all select distinct repo, to_path, 'imported_by', from_path from hit"""
 
 
+def tail_edges(spark, sf):
+    asked = frame(spark, sf, "b_mimp").join(resolved_imports(spark, sf), ["repo", "from_path", "to_module"], "left_anti")
+    return reach.tail_edges(asked, frame(spark, sf, "b_mfile")).withColumn("matched", F.col("matched").cast("bigint"))
+
+
+QUERIES["tail_edges"] = tail_edges
+ORACLES["tail_edges"] = f"""with {_IMPORTS},
+f0 as (select distinct repo, path, lower(regexp_replace(regexp_extract(path, '[^/]*$'), '[.][^.]*$', '')) as stem, list_filter(string_split(lower(regexp_replace(path, '[^/]*$', '')), '/'), lambda d: d <> '') as dirs from b_mfile),
+ends as (select repo, path, list_append(dirs, stem) as p from f0 union all select repo, path, dirs from f0 where stem in ('index', 'mod', 'main', '__init__') and len(dirs) > 0),
+w as (select distinct repo, from_path, to_module, list_filter(regexp_split_to_array(regexp_replace(lower(to_module), '[.]ts$', ''), '[/.:]+'), lambda d: d <> '') as m from b_mimp i
+  where not exists (select 1 from hit where hit.repo = i.repo and hit.from_path = i.from_path and hit.to_module = i.to_module)),
+pair as (select w.repo, to_module, path, len(list_filter(range(1, least(len(m), len(p)) + 1), lambda i: m[len(m) - i + 1:] = p[len(p) - i + 1:])) as k
+  from (select distinct repo, to_module, m from w) w join ends on ends.repo = w.repo and ends.p[-1] = w.m[-1]),
+best as (select repo, to_module, max(k) as k from pair group by 1, 2)
+select distinct w.repo, w.from_path, w.to_module, pair.path as to_path, best.k as matched from w join best using (repo, to_module) join pair on pair.repo = w.repo and pair.to_module = w.to_module and pair.k = best.k
+where w.from_path <> pair.path"""
+
+
 # -- path and route expressions ------------------------------------------------------------
 def url_parts(spark, sf):
     c = frame(spark, sf, "b_gcall").distinct()

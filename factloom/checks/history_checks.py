@@ -107,7 +107,7 @@ select repo, id, case when ts_ms <= 0 or ts_ms > {NOW} then null when {NOW} - ts
 
 
 def history_digest(spark, sf):
-    return history.history_digest(frame(spark, sf, "b_event"), limit=200)
+    return history.history_digest(frame(spark, sf, "b_event"), cap=10, limit=200)
 
 
 QUERIES["history_digest"] = history_digest
@@ -119,13 +119,10 @@ select repo, kind, events, oldest_ms, newest_ms, case when kind = 'ci_passed' th
   else events || case kind when 'alias_introduced' then ' alias' else ' concept' end || case when events = 1 then '' when kind = 'alias_introduced' then 'es' else 's' end ||
     case kind when 'concept_appeared' then ' appeared: ' when 'concept_renamed' then ' renamed: ' when 'concept_lost_storage' then ' without storage: ' else ' introduced: ' end
     || names || case when events > 10 then ' (+' || (events - 10) || ' more)' else '' end end as sentence from g"""
-QUERIES["history_digest_whole"] = lambda spark, sf: history.history_digest(frame(spark, sf, "b_event"), cap=None)
-ORACLES["history_digest_whole"] = (
-    ORACLES["history_digest"]
-    .replace(" qualify row_number() over (partition by repo order by ts_ms desc, id desc) <= 200", "")
-    .replace(" filter (k <= 10)", "")
-    .replace(" || case when events > 10 then ' (+' || (events - 10) || ' more)' else '' end", "")
-)
+QUERIES["history_digest_whole"] = lambda spark, sf: history.history_list(frame(spark, sf, "b_event"))
+ORACLES["history_digest_whole"] = """
+select repo, kind, count(*) over k as events, min(ts_ms) over k as oldest_ms, max(ts_ms) over k as newest_ms, row_number() over (partition by repo, kind order by ts_ms desc, id desc) as position, concept
+from b_event window k as (partition by repo, kind)"""
 
 
 def repo_registry(spark, sf):

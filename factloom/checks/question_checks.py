@@ -6,14 +6,14 @@ from pyspark.sql import functions as F
 
 from factloom.checks.bindings import frame, sql, stored
 from factloom.checks.graph import DEPENDENTS, structural_symbols
-from factloom.checks.names import CATALOG, RESOLVE, TOKENS, bound_catalog, declared, sw
+from factloom.checks.names import _LINKS, CATALOG, RESOLVE, TOKENS, bound_catalog, declared, sw
 from factloom.checks.reports import _big, bound_settings, links
 from factloom.functions.words import GENERIC_ROLE_WORDS
 from factloom.operators import catalog, governance, history, summary
 from factloom.plans import questions, report
 from factloom.plans.resolve import resolve_terms
 from factloom.session import cut_lineage
-from factloom.sources import changes
+from factloom.sources import changes, inventory
 
 QUERIES, ORACLES = {}, {}
 GENERIC = ", ".join(repr(w) for w in GENERIC_ROLE_WORDS)
@@ -44,7 +44,7 @@ def _names(spark, sf):
 
 
 def goal_terms(spark, sf):
-    return _big(questions.goal_terms(frame(spark, sf, "b_goal"), _names(spark, sf), cap=8), "position")
+    return _big(questions.goal_terms(frame(spark, sf, "b_goal"), _names(spark, sf)), "position")
 
 
 QUERIES["goal_terms"] = goal_terms
@@ -58,21 +58,12 @@ o_rest as (select repo, goal_id, w as term, min(pos) as pos from (select repo, g
     from (select repo, goal_id, regexp_extract_all(lower(text), '[a-z0-9]+') as ws from b_goal)) where length(w) >= 4 and w not in ({_STOPS}) group by 1, 2, 3),
 o_all as (select repo, goal_id, name as term, 0 as late, -length(name) as k from o_exact union all
   select repo, goal_id, term, 1, pos from o_rest r where not exists (select 1 from o_taken t where t.repo = r.repo and t.goal_id = r.goal_id and t.term = r.term)),
-o_goal as (select repo, goal_id, row_number() over (partition by repo, goal_id order by late, k, term) as position, term from o_all qualify position <= 8)"""
+o_goal as (select repo, goal_id, row_number() over (partition by repo, goal_id order by late, k, term) as position, term from o_all)"""
 ORACLES["goal_terms"] = f"with {GOAL} select * from o_goal"
 
 
-def whole_goals(oracle: str) -> str:
-    """The oracle of a goal query over every term of the goals."""
-    return oracle.replace(" qualify position <= 8", "")
-
-
-QUERIES["goal_terms_whole"] = lambda spark, sf: _big(questions.goal_terms(frame(spark, sf, "b_goal"), _names(spark, sf)), "position")
-ORACLES["goal_terms_whole"] = whole_goals(ORACLES["goal_terms"])
-
-
-def _intent(spark, sf, cap=8):
-    return questions.goal_intent(frame(spark, sf, "b_goal"), _names(spark, sf), bound_catalog(spark, sf), cap=cap, **evidence(spark, sf))
+def _intent(spark, sf):
+    return questions.goal_intent(frame(spark, sf, "b_goal"), _names(spark, sf), bound_catalog(spark, sf), **evidence(spark, sf))
 
 
 def goal_intent(spark, sf):
@@ -84,8 +75,6 @@ INTENT = f"""{GOAL}, o_ask as (select distinct repo, term from o_goal), {resolve
 o_intent as (select g.*, r.verdict, r.canonical, case when r.verdict in ('ACTIVE', 'DECLARED_ONLY', 'SYMBOL', 'STRUCTURAL') then 'extend'
   when r.verdict in ('UNKNOWN', 'INSUFFICIENT_COVERAGE') then 'confirm' else 'create' end as bucket from o_goal g join o_resolved r on r.repo = g.repo and r.term = g.term)"""
 ORACLES["goal_intent"] = f"with {INTENT} select * from o_intent"
-QUERIES["goal_intent_whole"] = lambda spark, sf: _big(_intent(spark, sf, cap=None), "position")
-ORACLES["goal_intent_whole"] = whole_goals(ORACLES["goal_intent"])
 
 
 # -- impact --------------------------------------------------------------------------
@@ -146,7 +135,7 @@ select r.repo, r.concept, r.field, r.field in ('the', 'que') as declared, usage_
 def _owners(spark, sf):
     d = declared(spark, sf)
     usage = catalog.attach_usage(frame(spark, sf, "b_hit"), d)
-    return summary.owners(d.select("repo", F.col("name").alias("target")), d, usage, 6)
+    return summary.owners(d.select("repo", F.col("name").alias("target")), d, usage)
 
 
 def _p_edges(spark, sf):
@@ -159,12 +148,12 @@ def _p_impact(spark, sf, concepts, targets):
     return questions.concept_impact(targets, concepts, linked, _p_edges(spark, sf))
 
 
-def goal_plan(spark, sf, cap=8, top=3):
+def goal_plan(spark, sf):
     c = bound_catalog(spark, sf)
-    intent = cut_lineage(_intent(spark, sf, cap))
+    intent = cut_lineage(_intent(spark, sf))
     targets = intent.where("bucket = 'extend'").select("repo", F.col("canonical").alias("target")).distinct()
     gov = governance.governing_decisions(targets, links(spark, sf), by_words=True)
-    return _big(questions.goal_plan(intent, c, _owners(spark, sf), gov, _p_impact(spark, sf, c, targets), top=top).drop("severity"), "position")
+    return _big(questions.goal_plan(intent, c, _owners(spark, sf), gov, _p_impact(spark, sf, c, targets)), "position")
 
 
 QUERIES["goal_plan"] = goal_plan
@@ -174,12 +163,32 @@ o_own as (select repo, name, arg_min(dir, (-declarations, dir)) as owner from o_
 _GOV = f"""o_link as (select repo, id, unnest(string_split(links, ',')) as link from b_decision),
 o_gw as (select distinct repo, canonical, lower(unnest(list_append({TOKENS.format('canonical')}, canonical))) as word from o_intent where bucket = 'extend'),
 o_gov as (select w.repo, w.canonical, count(distinct l.id) as decisions from o_gw w join o_link l on l.repo = w.repo and {sw('w.word', 'lower(l.link)')} group by 1, 2)"""
-ORACLES["goal_plan"] = f"""with {INTENT}, {_OWN}, {_GOV},
-x as (select * from o_intent where bucket = 'extend' qualify row_number() over (partition by repo, goal_id order by position) <= 3)
-select x.repo, x.goal_id, x.position, x.term, x.canonical, w.owner, coalesce(c.relations, '') as related, coalesce(g.decisions, 0) as decisions, coalesce(c.uses, 0) as files
-from x left join o_own w on w.repo = x.repo and w.name = x.canonical left join o_concept c on c.repo = x.repo and c.name = x.canonical left join o_gov g on g.repo = x.repo and g.canonical = x.canonical"""
-QUERIES["goal_plan_whole"] = lambda spark, sf: goal_plan(spark, sf, cap=None, top=None)
-ORACLES["goal_plan_whole"] = whole_goals(ORACLES["goal_plan"]).replace(" qualify row_number() over (partition by repo, goal_id order by position) <= 3", "")
+# impact over the star of imports: who owns the hub is reached by all other files
+_SEVERE = f"""{_LINKS.replace("o_name as (select distinct repo, name from b_decl)", "o_name as (select distinct repo, name from o_concept)")},
+o_hub as (select repo, min(path) as hub, count(distinct path) as n from b_symbol group by 1),
+o_holder as (select repo, linked_concept as name, path from o_linked where linked_concept is not null union select repo, name, path from o_linked),
+o_star as (select o.repo, o.name, h.n - count(*) as structural from o_holder o join o_hub h on h.repo = o.repo group by o.repo, o.name, h.n having bool_or(o.path = h.hub)),
+o_rel1 as (select distinct repo, name as dependent, unnest(string_split(relations, ',')) as target from o_concept where relations <> ''),
+o_rel2 as (select repo, target, count(*) as dependents from o_rel1 group by 1, 2),
+o_severe0 as (select a.repo, a.name, coalesce(c.uses, 0) as uses, coalesce(r.dependents, 0) as dependents, coalesce(s.structural, 0) as structural
+  from (select repo, name from o_concept union select repo, name from b_symbol) a left join o_concept c on c.repo = a.repo and c.name = a.name left join o_rel2 r on r.repo = c.repo and r.target = c.name left join o_star s on s.repo = a.repo and s.name = a.name),
+o_severe as (select *, case when uses > 8 or dependents > 3 or structural > 5 then 'HIGH' when uses + dependents + structural > 0 then 'MODERATE' else 'NONE' end as severity from o_severe0)"""
+ORACLES["goal_plan"] = f"""with {INTENT}, {_OWN}, {_GOV}, {_SEVERE},
+x as (select * from o_intent where bucket = 'extend')
+select x.repo, x.goal_id, x.position, x.term, x.canonical, w.owner, coalesce(c.relations, '') as related, coalesce(g.decisions, 0) as decisions, coalesce(s.severity, 'NONE') as severity, coalesce(c.uses, 0) as files
+from x left join o_severe s on s.repo = x.repo and s.name = x.canonical left join o_own w on w.repo = x.repo and w.name = x.canonical left join o_concept c on c.repo = x.repo and c.name = x.canonical left join o_gov g on g.repo = x.repo and g.canonical = x.canonical"""
+
+
+def _repos(spark, sf):
+    return sql(
+        spark, sf,
+        "select repo, '/srv/' || repo as root, 'a' || cast(count(*) as string) as indexed_commit, case when count(*) % 3 = 0 then 'b' else 'a' || cast(count(*) as string) end as current_commit,"
+        " case when count(*) % 5 = 0 then null else count(*) % 2 = 0 end as dirty from b_part group by repo union all select 'ghost', '/srv/ghost', null, 'x', false",
+    )
+
+
+_FRESH = """o_repo as (select repo, '/srv/' || repo as root, case when count(*) % 3 = 0 then 'stale_commit' when count(*) % 5 = 0 then 'unknown' when count(*) % 2 = 0 then 'stale_worktree' else 'fresh' end as freshness
+  from b_part group by repo union all select 'ghost', '/srv/ghost', 'unknown')"""
 
 
 def context_cards(spark, sf):
@@ -188,18 +197,25 @@ def context_cards(spark, sf):
     targets = answers.where("canonical is not null").select("repo", F.col("canonical").alias("target")).distinct()
     ev = sql(spark, sf, "select repo, name as concept, size as ts_ms from b_hit")
     gaps = report.gap_register(c, frame(spark, sf, "b_blind"), bound_settings(spark, sf))
-    return questions.context_card(answers, _owners(spark, sf), _p_impact(spark, sf, c, targets), ev, gaps).drop("severity")
+    gov = governance.governing_decisions(targets, links(spark, sf), by_words=True)
+    cover = inventory.coverage_report(frame(spark, sf, "b_tree"), frame(spark, sf, "b_exclude"))
+    return questions.context_card(answers, _owners(spark, sf), _p_impact(spark, sf, c, targets), ev, gaps, gov, summary.freshness(_repos(spark, sf)), cover)
 
 
 QUERIES["context_cards"] = context_cards
 from factloom.checks.reports import GAPS, SETTINGS  # noqa: E402
+from factloom.checks.reports import ORACLES as REPORTS  # noqa: E402
 
-ORACLES["context_cards"] = f"""with {RESOLVE}, {_OWN}, {SETTINGS}, {GAPS},
+_CARD_GOV = _GOV.replace("from o_intent where bucket = 'extend'", "from o_resolved where canonical is not null")
+ORACLES["context_cards"] = f"""with {RESOLVE}, {_OWN}, {SETTINGS}, {GAPS}, {_SEVERE}, {_CARD_GOV}, {_FRESH},
 g as (select repo, count(*) as gaps from o_gap group by 1),
-h as (select repo, name, count(*) as changes, max(size) as last_change_ms from b_hit group by 1, 2)
-select r.repo, r.term, r.verdict, r.canonical, w.owner, coalesce(c.uses, 0) as files, coalesce(h.changes, 0) as changes, h.last_change_ms, coalesce(g.gaps, 0) as gaps
-from o_resolved r left join o_own w on w.repo = r.repo and w.name = r.canonical left join o_concept c on c.repo = r.repo and c.name = r.canonical
-left join h on h.repo = r.repo and h.name = r.canonical left join g on g.repo = r.repo"""
+h as (select repo, name, count(*) as changes, max(size) as last_change_ms from b_hit group by 1, 2),
+v as (select repo, cast(sum(files) filter (support = 'supported') as bigint) as yes, cast(sum(files) filter (support <> 'supported') as bigint) as no from ({REPORTS['coverage_report']}) c group by 1)
+select r.repo, r.term, r.verdict, r.canonical, case when r.verdict in ('ACTIVE', 'DECLARED_ONLY', 'SYMBOL', 'STRUCTURAL') then 'extend' when r.verdict in ('UNKNOWN', 'INSUFFICIENT_COVERAGE') then 'confirm' else 'create' end as plan,
+  w.owner, coalesce(s.severity, 'NONE') as severity, coalesce(s.uses, 0) as files, coalesce(s.dependents, 0) as dependents, coalesce(s.structural, 0) as structural, coalesce(d.decisions, 0) as decisions,
+  coalesce(h.changes, 0) as changes, h.last_change_ms, coalesce(g.gaps, 0) as gaps, coalesce(f.freshness, 'unknown') as freshness, coalesce(v.yes, 0) as covered_files, coalesce(v.no, 0) as uncovered_files
+from o_resolved r left join o_own w on w.repo = r.repo and w.name = r.canonical left join o_severe s on s.repo = r.repo and s.name = r.canonical left join o_gov d on d.repo = r.repo and d.canonical = r.canonical
+left join h on h.repo = r.repo and h.name = r.canonical left join g on g.repo = r.repo left join o_repo f on f.repo = r.repo left join v on v.repo = r.repo"""
 
 
 # -- guard, gate ------------------------------------------------------------------------
@@ -299,18 +315,6 @@ from b_tclaim t left join o_impact i on i.repo = t.repo and i.target = t.target
 
 
 # -- readiness, fan-out, places -----------------------------------------------------------
-def _repos(spark, sf):
-    return sql(
-        spark, sf,
-        "select repo, '/srv/' || repo as root, 'a' || cast(count(*) as string) as indexed_commit, case when count(*) % 3 = 0 then 'b' else 'a' || cast(count(*) as string) end as current_commit,"
-        " case when count(*) % 5 = 0 then null else count(*) % 2 = 0 end as dirty from b_part group by repo union all select 'ghost', '/srv/ghost', null, 'x', false",
-    )
-
-
-_FRESH = """o_repo as (select repo, '/srv/' || repo as root, case when count(*) % 3 = 0 then 'stale_commit' when count(*) % 5 = 0 then 'unknown' when count(*) % 2 = 0 then 'stale_worktree' else 'fresh' end as freshness
-  from b_part group by repo union all select 'ghost', '/srv/ghost', 'unknown')"""
-
-
 def freshness(spark, sf):
     return summary.freshness(_repos(spark, sf)).select("repo", "freshness")
 

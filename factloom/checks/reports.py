@@ -23,7 +23,7 @@ def _big(df, *cols):
 
 
 def status_counts(spark, sf):
-    return summary.status_counts(frame(spark, sf, "b_file"), bound_catalog(spark, sf))
+    return summary.status_counts(frame(spark, sf, "b_file"), bound_catalog(spark, sf), 25)
 
 
 QUERIES["status_counts"] = status_counts
@@ -34,12 +34,16 @@ u as (select repo, name from o_concept where uses = 0 and not enum_only qualify
 n as (select repo, string_agg(name, ', ' order by name) as unused_names from u group by 1)
 select f.repo, files, coalesce(concepts, 0) as concepts, coalesce(used, 0) as used, coalesce(unused, 0) as unused, coalesce(unused_names, '') as unused_names
 from f left join c using (repo) left join n using (repo)"""
-QUERIES["status_counts_whole"] = lambda spark, sf: summary.status_counts(frame(spark, sf, "b_file"), bound_catalog(spark, sf), cap=None)
-ORACLES["status_counts_whole"] = ORACLES["status_counts"].replace(" qualify row_number() over (partition by repo order by name) <= 25", "")
+QUERIES["status_counts_whole"] = lambda spark, sf: summary.status_list(frame(spark, sf, "b_file"), bound_catalog(spark, sf))
+ORACLES["status_counts_whole"] = f"""with {CATALOG},
+f as (select repo, count(distinct path) as files from b_file group by 1),
+c as (select repo, count(*) as concepts, count(*) filter (uses > 0) as used, count(*) filter (uses = 0 and not enum_only) as unused from o_concept group by 1)
+select f.repo, files, coalesce(concepts, 0) as concepts, coalesce(used, 0) as used, coalesce(unused, 0) as unused, u.name
+from f left join c using (repo) left join (select repo, name from o_concept where uses = 0 and not enum_only) u on u.repo = f.repo"""
 
 
 def verdict_buckets(spark, sf):
-    return summary.verdict_buckets(bound_catalog(spark, sf))
+    return summary.verdict_buckets(bound_catalog(spark, sf), 25)
 
 
 QUERIES["verdict_buckets"] = verdict_buckets
@@ -47,8 +51,10 @@ ORACLES["verdict_buckets"] = f"""with {CATALOG},
 v as (select repo, name, case when uses > 0 then 'ACTIVE' else 'DECLARED_ONLY' end as verdict from o_concept),
 r as (select *, row_number() over (partition by repo, verdict order by name) as n from v)
 select repo, verdict, count(*) as concepts, string_agg(name, ', ' order by name) filter (n <= 25) as names from r group by 1, 2"""
-QUERIES["verdict_buckets_whole"] = lambda spark, sf: summary.verdict_buckets(bound_catalog(spark, sf), cap=None)
-ORACLES["verdict_buckets_whole"] = ORACLES["verdict_buckets"].replace(" filter (n <= 25)", "")
+QUERIES["verdict_buckets_whole"] = lambda spark, sf: summary.verdict_list(bound_catalog(spark, sf))
+ORACLES["verdict_buckets_whole"] = f"""with {CATALOG},
+v as (select repo, name, case when uses > 0 then 'ACTIVE' else 'DECLARED_ONLY' end as verdict from o_concept)
+select repo, verdict, count(*) over (partition by repo, verdict) as concepts, name from v"""
 
 
 def declaring_dirs(spark, sf):
@@ -82,11 +88,11 @@ QUERIES["unused_concepts_whole"] = lambda spark, sf: summary.unused_concepts(bou
 ORACLES["unused_concepts_whole"] = ORACLES["unused_concepts"].replace(" qualify row_number() over (partition by repo order by name) <= 15", "")
 
 
-def owners(spark, sf, cap=6):
+def owners(spark, sf):
     d = frame(spark, sf, "b_decl")
     usage = catalog.attach_usage(frame(spark, sf, "b_hit"), d)
     targets = d.select("repo", F.col("name").alias("target"))
-    return _big(summary.owners(targets, d, usage, cap), "rank")
+    return _big(summary.owners(targets, d, usage), "rank")
 
 
 QUERIES["owner_dirs"] = owners
@@ -97,9 +103,8 @@ b as (select repo, name, dir, coalesce(declarations, 0) as declarations, coalesc
 w as (select repo, name, arg_min(dir, (-declarations, -uses, dir)) as owner from b where declarations > 0 group by 1, 2)
 select b.repo, b.name as target, dir, declarations, uses, declarations * 2 + uses as weight, owner,
   row_number() over (partition by b.repo, b.name order by declarations * 2 + uses desc, declarations desc, uses desc, dir) as rank
-from b join w on w.repo = b.repo and w.name = b.name qualify rank <= 6"""
-QUERIES["owner_dirs_whole"] = lambda spark, sf: owners(spark, sf, cap=None)
-ORACLES["owner_dirs_whole"] = ORACLES["owner_dirs"].replace(" qualify rank <= 6", "")
+from b join w on w.repo = b.repo and w.name = b.name"""
+
 
 
 def context_efficiency(spark, sf):

@@ -4,7 +4,7 @@ Our own rule list is a few hundred short rows, so it is joined to the files by e
 size, and file contents are not shuffled; a list that the caller brings is left to the optimizer.
 
 Matches are cut with ``cut_at``: a mark before each match splits the text once, so a piece begins with its match,
-and its line is the sum of the line breaks before it - no second search that could find an earlier look-alike.
+and its line is that of its mark - no second search that could find an earlier look-alike.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.extract.brackets import balanced
+from factloom.extract.calls import called_routes, object_routes
 from factloom.extract.rules import CREATES_TABLE, declaration_rules, rules_table
 from factloom.functions.paths import (
     app_router_route, file_ext, file_name, file_stem, is_meaningful_literal, looks_like_path, page_route, server_api_method, server_api_route,
@@ -23,23 +25,18 @@ OBSERVATION = "Lexical"
 MARK = "\x01"
 
 
-def breaks(text: Column) -> Column:
-    """Number of line breaks."""
-    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
-
-
 def cut_at(text: Column, pattern: Column, first_line: Column | int = 1) -> Column:
     """Pieces (txt, line) that begin with a match of ``pattern`` and reach to the next one.
 
-    ``first_line`` is the line that ``text`` begins on.
+    ``first_line`` is the line that ``text`` begins on. Lines are numbered once, and each gives its number to the marks on it,
+    so the work grows with the text and its matches, not with their product.
     """
     marked = F.regexp_replace(F.translate(text, MARK, " "), pattern, F.lit(MARK + "$0"))
     parts = F.split(marked, MARK)
+    marks = lambda line: F.length(line) - F.length(F.replace(line, F.lit(MARK), F.lit("")))
     start = first_line if isinstance(first_line, Column) else F.lit(first_line)
-    line = F.struct(start.cast("int").alias("at"), F.array().cast("array<int>").alias("lines"))
-    step = lambda acc, x: F.struct((acc["at"] + breaks(x)).cast("int").alias("at"), F.array_append(acc["lines"], (acc["at"] + breaks(x)).cast("int")).alias("lines"))
-    lines = F.aggregate(parts, line, step, lambda acc: acc["lines"])
-    pieces = F.arrays_zip(F.slice(parts, F.lit(2), F.size(parts) - 1).alias("txt"), F.slice(lines, F.lit(1), F.size(parts) - 1).alias("line"))
+    lines = F.flatten(F.transform(F.split(marked, "\n"), lambda line, k: F.array_repeat((start + k).cast("int"), marks(line))))
+    pieces = F.arrays_zip(F.slice(parts, F.lit(2), F.size(parts) - 1).alias("txt"), lines.alias("line"))
     return F.when(F.size(parts) > 1, pieces).otherwise(F.slice(pieces, 1, 0))
 
 
@@ -47,17 +44,16 @@ def _joined(files: DataFrame, rules: DataFrame, given: bool) -> DataFrame:
     return files.join(rules if given else F.broadcast(rules), "ext")
 
 
-def _matched(files: DataFrame, rules: DataFrame | None, family: str, keep: tuple[Column, ...] = ()) -> DataFrame:
-    """(repo, path, lang, kind, line, g1, g2, g3, kept columns): every match of the family's rules; an absent part is empty."""
+def _matched(files: DataFrame, rules: DataFrame | None, family: str) -> DataFrame:
+    """(repo, path, lang, kind, line, g1, g2, g3): every match of the family's rules; an absent part is empty."""
     table = rules if rules is not None else rules_table(files.sparkSession)
     r = table.where(F.col("family") == family).select("lang", "kind", F.explode("exts").alias("ext"), "gate", F.concat(F.lit("(?m)"), "pattern", F.lit("()()()")).alias("rx"), "name", "a", "b")
-    f = files.select("repo", "path", "content", file_ext(F.col("path")).alias("ext"), *keep)
+    f = files.select("repo", "path", "content", file_ext(F.col("path")).alias("ext"))
     j = _joined(f, r, rules is not None)
     j = j.where(F.when((F.col("gate") == "") | F.contains("content", F.col("gate")), F.expr("regexp_like(content, rx)")).otherwise(False))
     j = j.withColumn("p", F.explode(cut_at(F.col("content"), F.col("rx")))).drop("content")
     part = lambda pos: F.expr(f"case when {pos} > 0 then regexp_extract(p.txt, rx, case when {pos} > 0 then {pos} else 0 end) else '' end")
-    names = [c for c in f.columns if c not in ("repo", "path", "content", "ext")]
-    return j.select("repo", "path", "lang", "kind", F.col("p.line").alias("line"), part("name").alias("g1"), part("a").alias("g2"), part("b").alias("g3"), *names)
+    return j.select("repo", "path", "lang", "kind", F.col("p.line").alias("line"), part("name").alias("g1"), part("a").alias("g2"), part("b").alias("g3"))
 
 
 def extract_symbols(files: DataFrame, rules: DataFrame | None = None) -> DataFrame:
@@ -135,17 +131,13 @@ def extract_imports(files: DataFrame, rules: DataFrame | None = None) -> DataFra
 
 
 def extract_routes(files: DataFrame, rules: DataFrame | None = None) -> DataFrame:
-    """(repo, path, method, route, handler): declared routes, from code and from file places.
+    """(repo, path, method, route, handler): declared routes, from calls and decorators, other code and file places.
 
-    ``${NAME}`` in a route is replaced by a constant of the same file; a mapping without a path is the root.
+    A mapping without a path is the root.
     """
-    constant = r"\bconst\s+(\w+)\s*=\s*[\"'`]([^\"'`$\n]*)[\"'`]"
-    pairs = F.arrays_zip(*[F.regexp_extract_all("content", F.lit(constant), F.lit(k)).alias(n) for k, n in ((1, "name"), (2, "value"))])
-    known = F.when(F.contains("content", F.lit("${")), pairs).otherwise(F.slice(pairs, 1, 0)).alias("known")
-    m = _matched(files, rules, "route", (known,)).where("g1 <> '' or g2 <> ''")
+    m = _matched(files, rules, "route").where("g1 <> '' or g2 <> ''")
     method = F.when(F.col("g2") != "", F.upper("g2")).otherwise(F.upper("kind"))
-    fill = F.aggregate("known", F.col("g1"), lambda acc, x: F.replace(acc, F.concat(F.lit("${"), x["name"], F.lit("}")), x["value"]))
-    coded = m.select("repo", "path", method.alias("method"), F.when(F.col("g1") == "", "/").otherwise(fill).alias("route"), F.col("g3").alias("handler"))
+    coded = m.select("repo", "path", method.alias("method"), F.when(F.col("g1") == "", "/").otherwise(F.col("g1")).alias("route"), F.col("g3").alias("handler"))
     place = files.select("repo", "path", app_router_route(F.col("path")).alias("app"), server_api_route(F.col("path")).alias("srv"), page_route(F.col("path")).alias("page"), "content")
     page = place.where(F.col("app").isNotNull() & file_stem(F.col("path")).isin("page")).select("repo", "path", F.lit("GET").alias("method"), F.col("app").alias("route"), F.lit("default").alias("handler"))
     nuxt = place.where(F.col("page").isNotNull()).select("repo", "path", F.lit("GET").alias("method"), F.col("page").alias("route"), F.lit("default").alias("handler"))
@@ -156,7 +148,7 @@ def extract_routes(files: DataFrame, rules: DataFrame | None = None) -> DataFram
     ).select("repo", "path", F.col("v").alias("method"), F.col("app").alias("route"), F.when(F.col("v") == "ANY", "unknown").otherwise(F.col("v")).alias("handler"))
     server = place.where(F.col("srv").isNotNull()).select("repo", "path", server_api_method(F.col("path")).alias("method"), F.col("srv").alias("route"), file_stem(F.col("path")).alias("handler"))
     found = coded
-    for more in (page, nuxt, api, server, _service_rpcs(files), _api_paths(files)):
+    for more in (called_routes(files), object_routes(files), page, nuxt, api, server, _service_rpcs(files), _api_paths(files)):
         found = found.unionByName(more)
     return found.distinct()
 
@@ -196,8 +188,8 @@ def _sql_declarations(files: DataFrame) -> DataFrame:
     tests = F.arrays_overlap(dirs, F.array(*[F.lit(x) for x in ("test", "tests", "__tests__")])) | F.contains(file_name(path), F.lit(".test.")) | F.contains(file_name(path), F.lit(".spec."))
     allowed = ~tests | F.array_contains(dirs, "fixtures") | (ext == "sql")
     # comment lines are emptied, not dropped, so that lines keep their numbers
-    lines = F.transform(F.split("content", "\n"), lambda x: F.when(x.rlike(r"^\s*(?://|#|--|\*)"), "").otherwise(x))
-    text = F.when(ext == "sql", F.col("content")).otherwise(F.array_join(lines, "\n"))
+    bare = F.regexp_replace("content", r"(?m)^[ \t]*+(?://|#|--|\*)[^\n]*+", "")
+    text = F.when(ext == "sql", F.col("content")).otherwise(bare)
     found = files.where(allowed & F.col("content").rlike(CREATE)).select("repo", "path", F.explode(cut_at(text, F.lit(CREATE))).alias("p"))
     none = F.array().cast("array<string>")
     name = F.regexp_extract("p.txt", CREATE, 1)
@@ -239,11 +231,16 @@ def extract_declarations(files: DataFrame, rules: DataFrame | None = None) -> Da
 
 
 # -- units: bodies, literals, calls, identifiers ------------------------------------------------
+def _braced(family: str) -> str:
+    return rf"\{{{balanced(family)}\}}"
+
+
+# A function at the margin and its body: parameters and braces as they close; a Python body is what is indented below.
 UNIT = {
-    "py": r"(?ms)^(?:async\s+)?def\s+(\w+)(.*?)(?=^\S|\z)",
-    "rs": r"(?ms)^(?:pub\s+)?(?:async\s+)?fn\s+(\w+)(.*?)^\}",
-    "ts": r"(?ms)^(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s+(\w+)(.*?)^\}",
-    "arrow": r"(?ms)^(?:export\s+)?const\s+(\w+)\s*=\s*(?:async\s*)?\([^)]*\)[^=\n]*=>\s*\{(.*?)^\}",
+    "py": rf"(?m)^(?:async[ \t]+)?def[ \t]+(\w+)([ \t]*\({balanced('py')}\)[^\n]*+(?:\n(?:[ \t][^\n]*+)?+(?=\n|\z))*+)",
+    "rs": rf"(?m)^(?:(?:pub(?:\([^()\n]*\))?|async|const|unsafe|extern[ \t]+\"\w+\")[ \t]+)*+fn[ \t]+(\w+)([^{{;]*+{_braced('rs')})",
+    "ts": rf"(?m)^(?:(?:export|default|async)[ \t]+)*+function\b[ \t]*\*?[ \t]*(\w+)([^(\n]*+\({balanced('js')}\)[^{{;\n]*+{_braced('js')})",
+    "arrow": rf"(?m)^(?:export[ \t]+)?(?:const|let)[ \t]+(\w+)[^=\n]*=\s*(?:async\b\s*)?(?:\({balanced('js')}\)|\w+)[^=;{{\n]*=>\s*({_braced('js')})",
 }
 JS_EXTS = ("ts", "tsx", "js", "jsx", "mjs", "cjs")
 NOT_CALLS = (

@@ -17,6 +17,9 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from factloom.extract.brackets import balanced
+from factloom.extract.calls import CLIENTS, VERBS
+
 RULE_SCHEMA = "family string, lang string, kind string, exts array<string>, gate string, pattern string, name int, a int, b int"
 
 # -- pieces of grammar ------------------------------------------------------------------------
@@ -25,9 +28,11 @@ PAD = r"[ \t]*"
 WORD = r"([A-Za-z_]\w*)"
 TYPE = r"([A-Z]\w*)"
 DOTTED = r"([A-Za-z_][\w.]*)"
-# What stands between brackets, two levels deep, whatever its length.
-INSIDE = r"(?:[^()]++|\((?:[^()]++|\([^()]*+\))*+\))*+"
-HTTP = r"([Gg]et|GET|[Pp]ost|POST|[Pp]ut|PUT|[Pp]atch|PATCH|[Dd]elete|DELETE)"
+# What stands between brackets, strings and comments included, whatever its length.
+INSIDE = balanced("c", 8)
+# The HTTP methods that carry a route, one list for all languages: lower case, capitalised, upper case.
+METHODS = VERBS[:5]
+HTTP, HTTP_TITLE, HTTP_UPPER = ("|".join(map(case, METHODS)) for case in (str, str.title, str.upper))
 
 
 def quoted(marks: str = "\"'`") -> str:
@@ -75,15 +80,9 @@ rule("symbol", "ts", JS, rf"(?:\.emit|@OnEvent)\(\s*{quoted()}", "Event")
 rule("import", "ts", WEB, rf"^{PAD}(?:import|export)\b[^;'\"{{}}]*(?:\{{([^}}]*)\}})?[^;'\"{{}}]*\bfrom\s*{quoted()}", gate="from", name=2, a=1)
 rule("import", "ts", WEB, rf"^{PAD}import{PAD}{quoted()}", gate="import")
 rule("import", "ts", JS, rf"\b(?:const|let|var){GAP}([^=;]*?)\s*=\s*require\(\s*{quoted()}", gate="require", name=2, a=1)
-ROUTERS = ("api", "app", "router", "server")
-rule("route", "ts", JS, rf"\b{words(ROUTERS)}\.(get|post|put|patch|delete)\(\s*{quoted()}\s*,[^;{{}}]*?{WORD}\s*\)\s*;?{PAD}$", name=2, a=1, b=3)
-_METHOD = rf"(?:(?:public|private|protected|async){GAP})*{WORD}\s*\("
-rule("route", "ts", JS, annotated("@", r"(Get|Post|Put|Patch|Delete)", rf"\(\s*{quoted()}?\s*\)", _METHOD), name=2, a=1, b=3)
-rule("route", "ts", JS, rf"\bpath\s*:\s*{quoted()}\s*,\s*component\s*:\s*{WORD}", "GET", gate="component", b=2)
 rule("route", "ts", JS, rf"\b(?:gql|graphql)\s*`\s*(query|mutation|subscription)\s+{WORD}", gate="`", name=2, a=1, b=2)
-CLIENTS = ("apiClient", "axios", "httpClient")
-for _client in (r"fetch", rf"{words(CLIENTS)}\s*\.\s*(?:get|post|put|patch|delete)", r"new\s+WebSocket"):
-    rule("call", "ts", WEB, rf"\b{_client}\s*\(\s*{quoted()}")
+for _client in (r"fetch", rf"(?<![\w$]){CLIENTS}\s*\.\s*(?:{HTTP})", r"new\s+WebSocket"):
+    rule("call", "ts", WEB, rf"(?<![\w$.]){_client}\s*\(\s*{quoted()}")
 rule("symbol", "vue", ("vue",), f"^{PAD}{modifiers(('export', 'async'))}function{GAP}{WORD}", "Function")
 rule("symbol", "vue", ("vue",), rf"^{PAD}name\s*:\s*{quoted()}", "Class")
 
@@ -92,19 +91,16 @@ PY = ("py",)
 declares("py", PY, {"Class": ("class",), "Function": ("def",)}, ("async",), indent="")
 rule("import", "py", PY, rf"^{PAD}from{GAP}([\w.]+){GAP}import{GAP}(\([^)]*\)|[^\n#(]+)", a=2)
 rule("import", "py", PY, rf"^{PAD}import{GAP}([\w.]+(?:{PAD},{PAD}[\w.]+|{GAP}as{GAP}\w+)*)")
-_DEF = rf"(?:async{GAP})?def{GAP}{WORD}"
-rule("route", "py", PY, annotated(r"@\w+\.", r"(get|post|put|patch|delete)", rf"\(\s*{quoted(chr(34) + chr(39))}", _DEF), gate="@", name=2, a=1, b=3)
-rule("route", "py", PY, annotated(r"@\w+\.", "route", rf"\(\s*{quoted(chr(34) + chr(39))}(?:[^\n]*?\bmethods\s*=\s*[\[(]\s*[\"'](\w+))?", _DEF), gate=".route", a=2, b=3)
 rule("route", "py", PY, rf"\b(?:re_)?path\(\s*r?{quoted(chr(34) + chr(39))}\s*,\s*([\w.]+)", gate="path(", b=2)
-rule("call", "py", PY, rf"^[^@\n]*\.\s*(?:get|post|put|patch|delete)\(\s*f?{quoted(chr(34) + chr(39))}")
+rule("call", "py", PY, rf"^[^@\n]*\.\s*(?:{HTTP})\(\s*f?{quoted(chr(34) + chr(39))}")
 rule("call", "py", PY, rf"\b[Ww]eb[Ss]ockets?\w*\.connect\(\s*f?{quoted(chr(34) + chr(39))}", gate="connect")
 
 # -- Rust ---------------------------------------------------------------------------------------
 RS = ("rs",)
 declares("rs", RS, {"Class": ("struct", "enum"), "Interface": ("trait",), "Function": ("fn",)}, ("async", "unsafe", "const"), must="pub", indent="")
 rule("import", "rs", RS, rf"^{PAD}(?:pub{GAP})?use{GAP}([\w:]*\w)(?:::(?:\{{([^;]*)\}}|\*))?(?:{GAP}as{GAP}\w+)?\s*;", gate="use", a=2)
-rule("route", "rs", RS, rf"\.route\(\s*{quoted(chr(34))}\s*,\s*(?:\w+::)*(get|post|put|patch|delete)\(\s*([\w:]+)", b=3, a=2)
-rule("route", "rs", RS, annotated(r"#\[", r"(get|post|put|patch|delete)", rf"\(\s*{quoted(chr(34))}", rf"(?:pub{GAP})?(?:async{GAP})?fn{GAP}{WORD}"), gate="#[", name=2, a=1, b=3)
+rule("route", "rs", RS, rf"\.route\(\s*{quoted(chr(34))}\s*,\s*(?:\w+::)*({HTTP})\(\s*([\w:]+)", b=3, a=2)
+rule("route", "rs", RS, annotated(r"#\[", rf"({HTTP})", rf"\(\s*{quoted(chr(34))}", rf"(?:pub{GAP})?(?:async{GAP})?fn{GAP}{WORD}"), gate="#[", name=2, a=1, b=3)
 rule("call", "rs", RS, rf"\bconnect_async\s*\(\s*{quoted(chr(34))}")
 
 # -- Go, Java, Kotlin ---------------------------------------------------------------------------
@@ -120,20 +116,20 @@ declares("java", JVM, {"Class": ("class", "enum", "record", "object"), "Interfac
 declares("java", ("kt",), {"Function": ("fun",)}, (*VISIBLE, "suspend", "inline"), name=rf"(?:<[^>\n]*>{PAD})?{WORD}", indent="")
 rule("import", "java", JVM, rf"^import{GAP}(?:static{GAP})?([\w.]+\*?)")
 _SPRING = rf"(?:\(\s*(?:(?:(?:value|path)\s*=\s*)?\{{?\s*{quoted(chr(34))})?{INSIDE}\))?"
-rule("route", "java", JVM, annotated("@", r"(Get|Post|Put|Patch|Delete)Mapping\b", _SPRING, r"[^\n(;]*?(\w+)\s*\("), gate="Mapping", name=2, a=1, b=3)
+rule("route", "java", JVM, annotated("@", rf"({HTTP_TITLE})Mapping\b", _SPRING, r"[^\n(;]*?(\w+)\s*\("), gate="Mapping", name=2, a=1, b=3)
 
 # -- Ruby, Elixir, PHP, C# ----------------------------------------------------------------------
 RUBY = ("rb", "jbuilder")
 declares("rb", RUBY, {"Class": ("class", "module")}, name=r"([A-Z][\w:]*)", indent="")
 declares("rb", RUBY, {"Function": ("def",)}, name=r"(?:self\.)?([a-z_]\w*[?!=]?)")
 rule("import", "rb", ("rb",), rf"^{PAD}require(?:_relative)?{GAP}{quoted(chr(34) + chr(39))}")
-rule("route", "rb", ("rb",), rf"^{PAD}(get|post|put|patch|delete){GAP}{quoted(chr(34) + chr(39))}(?:\s*,\s*to:\s*{quoted(chr(34) + chr(39))})?", name=2, a=1, b=3)
+rule("route", "rb", ("rb",), rf"^{PAD}({HTTP}){GAP}{quoted(chr(34) + chr(39))}(?:\s*,\s*to:\s*{quoted(chr(34) + chr(39))})?", name=2, a=1, b=3)
 rule("route", "rb", ("rb",), rf"^{PAD}resources?{GAP}:(\w+)", "RESOURCE", b=1)
 EX = ("ex", "exs")
 declares("ex", EX, {"Class": ("defmodule",)}, name=r"([A-Z][\w.]*)")
 declares("ex", EX, {"Function": ("def",)}, name=r"([a-z_]\w*[?!]?)")
 rule("import", "ex", EX, rf"^{PAD}(?:alias|import|use){GAP}([A-Z][\w.]*)")
-rule("route", "ex", EX, rf"^{PAD}(get|post|put|patch|delete){GAP}{quoted(chr(34))}\s*,\s*([\w.]+)", name=2, a=1, b=3)
+rule("route", "ex", EX, rf"^{PAD}({HTTP}){GAP}{quoted(chr(34))}\s*,\s*([\w.]+)", name=2, a=1, b=3)
 PHP = ("php",)
 declares("php", PHP, {"Class": ("class",), "Interface": ("interface",)}, ("abstract", "final", "readonly"), indent="")
 declares("php", PHP, {"Function": ("function",)}, indent="", after=r"\s*\(")
@@ -143,13 +139,13 @@ CS_WORDS = ("abstract", "async", "override", "partial", "sealed", "static", "vir
 declares("cs", CS, {"Class": ("class", "struct", "record", "enum"), "Interface": ("interface",)}, CS_WORDS, must="public", name=TYPE)
 rule("symbol", "cs", CS, rf"^{PAD}public{GAP}{modifiers(CS_WORDS)}[\w.<>\[\],?]+{GAP}{TYPE}\s*\(", "Function")
 rule("import", "cs", CS, rf"^using{GAP}(?:static{GAP})?([\w.]+)\s*;")
-rule("route", "cs", CS, annotated(r"\[Http", r"(Get|Post|Put|Delete|Patch)", rf"(?:\(\s*{quoted(chr(34))}\s*\))?\]", rf"public{GAP}[^\n(]*?(\w+)\s*\("), gate="[Http", name=2, a=1, b=3)
+rule("route", "cs", CS, annotated(r"\[Http", rf"({HTTP_TITLE})", rf"(?:\(\s*{quoted(chr(34))}\s*\))?\]", rf"public{GAP}[^\n(]*?(\w+)\s*\("), gate="[Http", name=2, a=1, b=3)
 
 # -- Swift, Objective-C, C, C++, Scala, Dart ----------------------------------------------------
 SWIFT = ("swift",)
 declares("swift", SWIFT, {"Class": ("class", "struct", "enum", "actor"), "Interface": ("protocol",), "Function": ("func",)}, ("public", "open", "internal", "final", "private"), indent="")
 rule("import", "swift", SWIFT, rf"^import{GAP}([\w.]+)")
-rule("route", "swift", SWIFT, rf"\b{words((*ROUTERS, 'routes'))}\.(get|post|put|patch|delete)\(\s*{quoted(chr(34))}(?:[^\n]*?\buse:\s*([\w.]+))?", name=2, a=1, b=3)
+rule("route", "swift", SWIFT, rf"\b{words(('app', 'router', 'routes', 'server'))}\.({HTTP})\(\s*{quoted(chr(34))}(?:[^\n]*?\buse:\s*([\w.]+))?", name=2, a=1, b=3)
 OC = ("m", "mm")
 declares("objc", OC, {"Class": ("@interface", "@implementation"), "Interface": ("@protocol",)}, indent="")
 rule("symbol", "objc", OC, rf"^[+-]\s*\([^()\n]*\)\s*{WORD}", "Function")
@@ -175,12 +171,12 @@ declares("hs", HS, {"Class": ("data", "newtype")}, name=r"([A-Z][\w']*)", indent
 declares("hs", HS, {"Interface": ("class",)}, name=r"(?:[^\n]*=>[ \t]*)?([A-Z][\w']*)", indent="")
 rule("symbol", "hs", HS, r"^([a-z_][\w']*)[ \t]*::", "Function")
 rule("import", "hs", HS, rf"^import{GAP}(?:qualified{GAP})?([A-Z][\w.]*)")
-rule("route", "hs", HS, rf"^{PAD}(/\S*){GAP}[A-Z]\w*R{GAP}(GET|POST|PUT|PATCH|DELETE)\b", a=2)
+rule("route", "hs", HS, rf"^{PAD}(/\S*){GAP}[A-Z]\w*R{GAP}({HTTP_UPPER})\b", a=2)
 CLJ = ("clj", "cljs")
 LISP = r"([A-Za-z][^\s()\[\]{}\"]*)"
 for _kind, _forms in (("Function", ("defn", "defn-")), ("Class", ("defrecord", "deftype")), ("Interface", ("defprotocol",))):
     rule("symbol", "clj", CLJ, rf"\({words(_forms)}\s+{LISP}", _kind)
-rule("route", "clj", CLJ, rf"\((GET|POST|PUT|DELETE|PATCH|ANY|HEAD)\s+{quoted(chr(34))}", name=2, a=1)
+rule("route", "clj", CLJ, rf"\(({HTTP_UPPER}|ANY|HEAD|OPTIONS)\s+{quoted(chr(34))}", name=2, a=1)
 GQL = ("graphql", "gql")
 declares("gql", GQL, {"Class": ("type", "input", "enum", "union", "scalar"), "Interface": ("interface",)}, ("extend",), name=TYPE, indent="")
 rule("route", "gql", GQL, rf"^{PAD}(query|mutation|subscription){GAP}{WORD}", name=2, a=1, b=2)
@@ -254,7 +250,7 @@ _TO = words(("ManyToMany", "ManyToOne", "OneToMany", "OneToOne"))
 _HEAD_END = r"[^\x00]*\x00"
 
 DECL_RULES = [
-    _decl("prisma", PRISMA, rf"(?m)^{PAD}model{GAP}(\w+){PAD}\{{([^}}]*)\}}", body=2, fields=rf"(?m)^{PAD}([A-Za-z]\w*){GAP}[A-Za-z]",
+    _decl("prisma", PRISMA, rf"(?m)^{PAD}model{GAP}(\w+){PAD}\{{({balanced('prisma', 6)})\}}", body=2, fields=rf"(?m)^{PAD}([A-Za-z]\w*){GAP}[A-Za-z]",
           relations=rf"(?m)^{PAD}[A-Za-z]\w*{GAP}(?!{words(SCALARS)}\b){TYPE}", table=rf"@@map\(\s*{quoted(chr(34))}", default="name"),
     _decl("prisma-enum", PRISMA, rf"(?m)^{PAD}enum{GAP}(\w+){PAD}\{{"),
     _decl("django", PY, _PY_CLASS, head=2, body=3, file="models.py", gate="models.", accept=rf"Model\b\s*(?:,{_HEAD_END[:-4]})?\x00|\n {{4}}\w+\s*=\s*models\.|\n {{4}}class{GAP}Meta\b",
@@ -278,10 +274,10 @@ DECL_RULES = [
           relations=r"->(?:belongsTo(?:Many)?|has(?:One|Many)|morphMany)\(\s*(\w+)::class", table=rf"\$table\s*=\s*{quoted(chr(34) + chr(39))}", table_in="file"),
     _decl("jpa", ("java",), rf"@Entity\b((?:\({INSIDE}\))?{_MORE})\s*(?:(?:public|abstract|final)\s+)*class\s+(\w+)", name=2, head=1, gate="@Entity", scope="file",
           relations=rf"@{_TO}\b(?:\({INSIDE}\))?{_MORE}\s*(?:private|protected)\s+(?:(?:Collection|List|Set)<)?(\w+)", table=rf"@Table\s*\([^)]*?\bname\s*=\s*{quoted(chr(34))}", table_in="head"),
-    _decl("gorm", GO, rf"(?m)^type{GAP}(\w+){GAP}struct{PAD}\{{((?:\n(?!\}})[^\n]*)*)\n\}}", body=2, gate="gorm", accept=r"\bgorm(?::|\.Model)", fields=rf"(?m)^{GAP}(\w+){GAP}\S"),
+    _decl("gorm", GO, rf"(?m)^type{GAP}(\w+){GAP}struct{PAD}\{{({balanced('go', 8)})\}}", body=2, gate="gorm", accept=r"\bgorm(?::|\.Model)", fields=rf"(?m)^{GAP}(\w+){GAP}\S"),
     _decl("ecto", EX, rf"(?s)\bdefmodule{GAP}(?:\w+\.)*(\w+){GAP}do\b(.*?\bschema{GAP}\"\w+\"{GAP}do\b)", body=2, gate="schema \"", scope="file",
           relations=rf"(?m)^{PAD}(?:belongs_to|has_many|has_one){GAP}:(\w+)", table=rf"\bschema{GAP}{quoted(chr(34))}"),
-    _decl("rust", RS, rf"(?m)^pub{GAP}struct{GAP}(\w+)[^{{;\n]*\{{([^}}]*)\}}", body=2, fields=rf"(?m)^{GAP}pub{GAP}(\w+)\s*:"),
+    _decl("rust", RS, rf"(?m)^pub{GAP}struct{GAP}(\w+)[^{{;\n]*\{{({balanced('rs', 8)})\}}", body=2, fields=rf"(?m)^{GAP}pub{GAP}(\w+)\s*:"),
 ]
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from factloom.functions.paths import is_documentation, is_protected, is_test_source
 from factloom.functions.words import match_words, name_words
 from factloom.operators.chains import resolve_chains
-from factloom.operators.reach import file_dependents
+from factloom.operators.reach import reach_at_least, reach_counts
 from factloom.session import cut_lineage
 
 MANY_DEPENDENTS = 10
@@ -167,12 +167,13 @@ def semantic_objects(decls: DataFrame | None, symbols: DataFrame | None, imports
 
 
 def semantic_diff(
-    changes: DataFrame, before: DataFrame, after: DataFrame, edges: DataFrame | None = None, unknown: DataFrame | None = None
+    changes: DataFrame, before: DataFrame, after: DataFrame, edges: DataFrame | None = None, unknown: DataFrame | None = None, all_dependents: bool = False
 ) -> DataFrame:
     """(repo, path, old_path, object, name, resource, kind, before, after, dependents, decision_required).
 
     ``changes`` is the output of ``changed_files``; only objects of changed files take part.
-    ``unknown`` is (repo, path, reason) of files whose identities are ambiguous.
+    ``unknown`` is (repo, path, reason) of files whose identities are ambiguous. ``dependents`` counts up to ``MANY_DEPENDENTS``,
+    all that a decision depends on, unless ``all_dependents`` are asked for.
     """
     ch = changes.where(~is_documentation(F.col("path"))).select("repo", "status", "path", F.coalesce("old_path", "path").alias("old_path"))
     ch = cut_lineage(ch)
@@ -203,8 +204,9 @@ def semantic_diff(
     odd = odd.select("repo", "path", "old_path", F.lit("file").alias("object"), F.col("reason").alias("name"), F.lit("Unknown").alias("kind"), none.alias("before"), none.alias("after"), F.col("path").alias("resource"))
     rows = rows.unionByName(odd)
     if edges is not None:
-        deps = file_dependents(ch.select("repo", F.col("old_path").alias("path")), edges)
-        counts = deps.groupBy("repo", F.col("key").alias("old_path")).agg(F.count(F.lit(1)).alias("dependents"))
+        starts = ch.select("repo", F.col("old_path").alias("key"), F.col("old_path").alias("path"))
+        counts = reach_counts(starts, edges) if all_dependents else reach_at_least(starts, edges, MANY_DEPENDENTS)
+        counts = counts.select("repo", F.col("key").alias("old_path"), F.col("n").alias("dependents"))
         rows = rows.join(counts, ["repo", "old_path"], "left")
         rows = rows.withColumn("dependents", F.coalesce("dependents", F.lit(0).cast("bigint")))
     else:

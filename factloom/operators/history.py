@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions.text import joined_capped, plural
 from factloom.functions.words import names_concept
+from factloom.operators.order_stats import numbered_in_groups
 from factloom.operators.ranking import first_rows
 
 # Kinds that never leave the live history.
@@ -40,22 +41,21 @@ def full_history(live: DataFrame, archived: DataFrame) -> DataFrame:
     return live.withColumn("archived", F.lit(False)).unionByName(archived.withColumn("archived", F.lit(True)))
 
 
-def history_digest(events: DataFrame, limit: int | None = None, cap: int | None = 10) -> DataFrame:
-    """Events per repo, the newest ``limit`` if given, as one row per kind: count, time span and a sentence with the first ``cap`` names, all if None."""
+def history_list(events: DataFrame) -> DataFrame:
+    """(repo, kind, events, oldest_ms, newest_ms, position, concept): every event's name under its kind, newest first, numbered in many tasks."""
+    spans = events.groupBy("repo", "kind").agg(F.count(F.lit(1)).alias("events"), F.min("ts_ms").alias("oldest_ms"), F.max("ts_ms").alias("newest_ms"))
+    placed = numbered_in_groups(events.select("repo", "kind", "ts_ms", "id", "concept"), ["repo", "kind"], _newest(), "position")
+    return placed.join(spans, ["repo", "kind"]).select("repo", "kind", "events", "oldest_ms", "newest_ms", "position", "concept")
+
+
+def history_digest(events: DataFrame, cap: int, limit: int | None = None) -> DataFrame:
+    """Events per repo, the newest ``limit`` if given, as one row per kind: count, time span and a sentence with the first ``cap`` names."""
     recent = newest_per_repo(events, limit)
     by_kind = Window.partitionBy("repo", "kind").orderBy(*_newest())
-    name = F.struct("n", F.col("concept").alias("c"))
-    shown = F.collect_list(name if cap is None else F.when(F.col("n") <= cap, name))
-    g = (
-        recent.withColumn("n", F.row_number().over(by_kind))
-        .groupBy("repo", "kind")
-        .agg(
-            F.count(F.lit(1)).alias("events"),
-            F.min("ts_ms").alias("oldest_ms"),
-            F.max("ts_ms").alias("newest_ms"),
-            F.transform(F.array_sort(shown), lambda s: s["c"]).alias("names"),
-        )
-    )
+    # only the first names are numbered: Spark cuts each kind before its shuffle
+    top = recent.select("repo", "kind", "concept", *("ts_ms", "id")).withColumn("n", F.row_number().over(by_kind)).where(F.col("n") <= cap)
+    names = top.groupBy("repo", "kind").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", F.col("concept").alias("c")))), lambda s: s["c"]).alias("names"))
+    g = recent.groupBy("repo", "kind").agg(F.count(F.lit(1)).alias("events"), F.min("ts_ms").alias("oldest_ms"), F.max("ts_ms").alias("newest_ms")).join(names, ["repo", "kind"])
     n = F.col("events")
     listed = joined_capped(F.col("names"), n, cap)
     say = lambda noun, what, suffix="s": F.concat(n.cast("string"), F.lit(" "), plural(n, noun, suffix), F.lit(f" {what}: "), listed)

@@ -1,4 +1,4 @@
-"""Exact order statistics, and lists of names: with a cap no group is gathered in one task."""
+"""Exact order statistics, places within groups and first names: no group is gathered in one task."""
 
 from __future__ import annotations
 
@@ -10,11 +10,10 @@ from factloom.session import cut_lineage
 DIGIT_BITS = 12
 
 
-def first_names(df: DataFrame, group: list[str], name: str, cap: int | None, out: str) -> DataFrame:
-    """First ``cap`` distinct names per group, joined; all if ``cap`` is None. Spark cuts each group before its shuffle."""
+def first_names(df: DataFrame, group: list[str], name: str, cap: int, out: str) -> DataFrame:
+    """First ``cap`` distinct names per group, joined. Spark cuts each group before its shuffle."""
     top = df.select(*group, name).distinct()
-    if cap is not None:
-        top = top.withColumn("n", F.row_number().over(Window.partitionBy(*group).orderBy(name))).where(F.col("n") <= cap)
+    top = top.withColumn("n", F.row_number().over(Window.partitionBy(*group).orderBy(name))).where(F.col("n") <= cap)
     return top.groupBy(*group).agg(F.array_join(F.array_sort(F.collect_list(name)), ", ").alias(out))
 
 
@@ -57,3 +56,20 @@ def kth_smallest(df: DataFrame, group: list[str], value: str, kth: Column, max_v
             *group, "n", (F.col("k") - F.col("before")).alias("k"), (F.col("prefix") * (1 << DIGIT_BITS) + F.col("digit")).alias("prefix")
         )
     return state.select(*group, "n", F.col("prefix").alias(value))
+
+
+def exact_rank(df: DataFrame, group: list[str], value: str, share: float, accuracy: int = 1000) -> DataFrame:
+    """(group, n, value): the element at 0-based rank ``floor(share * n)`` per group, in one pass after a sketch.
+
+    Spark's own quantile sketch, whose rank error is at most ``n / accuracy``, brackets the element; values inside the bracket are counted
+    exactly, those below it only as a number, and values above it are dropped by each task. No value goes to the driver.
+    """
+    margin = 4 / accuracy
+    ends = F.percentile_approx(value, F.array(F.lit(max(0.0, share - margin)), F.lit(min(1.0, share + margin))), F.lit(accuracy))
+    sketch = df.groupBy(*group).agg(F.count(value).alias("n"), ends.alias("b")).select(*group, "n", F.floor(F.col("n") * share).alias("k"), F.col("b")[0].alias("low"), F.col("b")[1].alias("high"))
+    near = df.select(*group, value).join(sketch, group).where(F.col(value) <= F.col("high"))
+    # what lies below the bracket is one row
+    held = near.withColumn(value, F.when(F.col(value) >= F.col("low"), F.col(value))).groupBy(*group, "n", "k", value).agg(F.count(F.lit(1)).alias("c"))
+    run = Window.partitionBy(*group).orderBy(F.col(value).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = held.withColumn("upto", F.sum("c").over(run))
+    return held.where((F.col("upto") > F.col("k")) & F.col(value).isNotNull()).groupBy(*group, "n").agg(F.min(value).alias(value))

@@ -1,8 +1,12 @@
-"""Who depends on what: bounded breadth-first search over edge tables, all starts at once."""
+"""Who depends on what: bounded breadth-first search over edge tables, all starts at once.
+
+The search runs from distinct files, whatever keys they belong to, so its rows follow pairs of files; keys meet its result at
+the end. Targets that hold more than a task's share of the edges are split over several join keys.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.paths import file_stem
@@ -11,33 +15,84 @@ from factloom.session import cut_lineage
 DEPTH = 3
 
 
+def _hubs(back: DataFrame) -> DataFrame:
+    """(repo, path, parts) of the targets with more than a task's share of the edges: at most as many as there are partitions."""
+    share = max(1, back.count() // int(back.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    degree = back.groupBy("repo", "path").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > share)
+    return cut_lineage(degree.select("repo", "path", F.ceil(F.col("n") / share).cast("int").alias("parts")))
+
+
+def _salted(back: DataFrame, hubs: DataFrame) -> DataFrame:
+    """The edges with a ``salt``: those of a hub under as many keys as it has parts."""
+    many = back.join(F.broadcast(hubs), ["repo", "path"], "left")
+    return many.withColumn("salt", F.coalesce(F.pmod(F.hash("from_path"), F.col("parts")), F.lit(0))).drop("parts")
+
+
+def _levels(files: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
+    """(repo, start, path, depth): each file by the first hop that reaches it; depth 0 is the start itself.
+
+    Each hop is one join of the newest layer with the edges and one anti-join with what was seen, and ends in a
+    written table, so the plan stays flat and a lost executor costs one hop.
+    """
+    back = cut_lineage(edges.where("from_path <> to_path").select("repo", F.col("to_path").alias("path"), "from_path").distinct())
+    hubs = _hubs(back)
+    back = _salted(back, hubs)
+    layer = cut_lineage(files.select("repo", "path").distinct().select("repo", F.col("path").alias("start"), "path", F.lit(0).alias("depth")))
+    seen = layer
+    for depth in range(1, hops + 1):
+        keys = F.coalesce(F.sequence(F.lit(0), F.col("parts") - 1), F.array(F.lit(0)))
+        many = layer.join(F.broadcast(hubs), ["repo", "path"], "left").select("repo", "start", "path", F.explode(keys).alias("salt"))
+        step = many.join(back, ["repo", "path", "salt"]).select("repo", "start", F.col("from_path").alias("path")).distinct()
+        layer = cut_lineage(step.join(seen, ["repo", "start", "path"], "left_anti").withColumn("depth", F.lit(depth)))
+        seen = seen.unionByName(layer)
+    return seen
+
+
 def reach(starts: DataFrame, edges: DataFrame, hops: int = DEPTH, extra: DataFrame | None = None) -> DataFrame:
     """(repo, key, path, depth): nodes that reach a start of ``key`` over ``edges`` within ``hops``.
 
     ``starts`` is (repo, key, path), ``edges`` is (repo, from_path, to_path) read backwards,
-    ``extra`` (repo, key, path) joins the first hop. Each hop is one join of the newest layer
-    with the edges and one anti-join with what was seen, and ends in a checkpoint, so the
-    plan stays flat and a lost executor costs one hop. Edges are deduplicated once.
+    ``extra`` (repo, key, path) joins the first hop. Files of several keys are searched once.
     """
-    back = edges.select("repo", F.col("to_path").alias("path"), "from_path").distinct()
-    seen = cut_lineage(starts.select("repo", "key", "path").distinct().withColumn("depth", F.lit(0)))
-    layer = seen
-    for depth in range(1, hops + 1):
-        nxt = layer.join(back, ["repo", "path"]).select("repo", "key", F.col("from_path").alias("path"))
-        if depth == 1 and extra is not None:
-            nxt = nxt.unionByName(extra.select("repo", "key", "path"))
-        layer = cut_lineage(
-            nxt.distinct().join(seen.select("repo", "key", "path"), ["repo", "key", "path"], "left_anti")
-            .withColumn("depth", F.lit(depth))
-        )
-        seen = seen.unionByName(layer)
-    return seen.where(F.col("depth") > 0)
+    own = starts.select("repo", "key", "path", F.lit(0).alias("late"))
+    if extra is not None:
+        own = own.unionByName(extra.select("repo", "key", "path", F.lit(1).alias("late")))
+    members = cut_lineage(own.distinct().withColumnRenamed("path", "start"))
+    found = _levels(members.select("repo", F.col("start").alias("path")), edges, hops)
+    rows = members.join(found, ["repo", "start"]).where(F.col("depth") + F.col("late") <= hops)
+    # a key's own files are found at depth 0
+    return rows.groupBy("repo", "key", "path").agg(F.min(F.col("depth") + F.col("late")).alias("depth")).where("depth > 0")
+
+
+def reach_counts(starts: DataFrame, edges: DataFrame, hops: int = DEPTH, extra: DataFrame | None = None) -> DataFrame:
+    """(repo, key, n): how many nodes ``reach`` returns."""
+    return reach(starts, edges, hops, extra).groupBy("repo", "key").agg(F.count(F.lit(1)).alias("n"))
+
+
+def reach_at_least(starts: DataFrame, edges: DataFrame, n: int, hops: int = DEPTH) -> DataFrame:
+    """(repo, key, n): the number of nodes ``reach`` would return, up to ``n``; exact below it, keys without any left out.
+
+    Every file hands on at most ``n + 1`` of its importers and every key keeps at most as many: where that leaves some out there
+    are ``n`` others without the key's own file, so the answer stays right. ``starts`` has one file per key. Rows are bounded by keys.
+    """
+    few = Window.partitionBy("repo", "path").orderBy("from_path")
+    back = edges.where("from_path <> to_path").select("repo", F.col("to_path").alias("path"), "from_path").distinct()
+    back = cut_lineage(back.withColumn("k", F.row_number().over(few)).where(F.col("k") <= n + 1).drop("k"))
+    kept = Window.partitionBy("repo", "key").orderBy("path")
+    own = cut_lineage(starts.select("repo", "key", "path").distinct())
+    seen = own
+    for _ in range(hops):
+        step = seen.join(back, ["repo", "path"]).select("repo", "key", F.col("from_path").alias("path"))
+        fresh = step.unionByName(seen).distinct().join(own, ["repo", "key", "path"], "left_anti")
+        found = fresh.withColumn("k", F.row_number().over(kept)).where(F.col("k") <= n + 1).drop("k")
+        seen = cut_lineage(found.unionByName(own))
+    counted = seen.join(own, ["repo", "key", "path"], "left_anti").groupBy("repo", "key").agg(F.count(F.lit(1)).alias("n"))
+    return counted.withColumn("n", F.least("n", F.lit(n).cast("bigint")))
 
 
 def file_dependents(files: DataFrame, edges: DataFrame, hops: int = DEPTH) -> DataFrame:
     """(repo, key, path, depth): files that import each file ``key`` within ``hops``."""
-    starts = files.select("repo", F.col("path").alias("key"), "path")
-    return reach(starts, edges, hops)
+    return _levels(files, edges, hops).where("depth > 0").withColumnRenamed("start", "key")
 
 
 def concept_owners(targets: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -51,53 +106,71 @@ def concept_owners(targets: DataFrame, symbols: DataFrame) -> DataFrame:
     return linked.unionByName(named).distinct()
 
 
-def fuzzy_edges(imports: DataFrame, files: DataFrame) -> DataFrame:
-    """Edges by last path stem of the module string, for imports that resolve to no file."""
-    stem = F.regexp_replace(F.element_at(F.split("to_module", r"[/.:\\]+"), -1), r"\s", "")
-    wanted = imports.select("repo", "from_path", F.lower(stem).alias("stem")).where(F.col("stem") != "")
-    known = files.select("repo", F.col("path").alias("to_path"), F.lower(file_stem(F.col("path"))).alias("stem"))
-    return (
-        wanted.join(known, ["repo", "stem"])
-        .where(F.col("from_path") != F.col("to_path"))
-        .select("repo", "from_path", "to_path")
-        .distinct()
-    )
+def _tails(parts: Column, count: int) -> Column:
+    """The last 1, 2, ... ``count`` parts of a list, joined by slashes, as (length, tail)."""
+    n = F.size(parts)
+    return F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.least(n, F.lit(count)), F.lit(1))), lambda k: k <= n), lambda k: F.struct(k.alias("length"), F.array_join(F.slice(parts, F.greatest(n - k + 1, F.lit(1)), k), "/").alias("tail")))
 
 
-def call_file_edges(call_edges: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Caller file to declaring file, one edge per called symbol name."""
-    declared = symbols.select("repo", F.col("name").alias("callee"), F.col("path").alias("to_path")).distinct()
-    return (
-        call_edges.select("repo", "from_path", "callee")
-        .distinct()
-        .join(declared, ["repo", "callee"])
-        .where(F.col("from_path") != F.col("to_path"))
-        .select("repo", "from_path", "to_path")
-    )
+#: A module string names no more parts of a path than this; what stands before them would not tell files apart.
+TAIL_PARTS = 12
+
+
+def tail_edges(imports: DataFrame, files: DataFrame) -> DataFrame:
+    """(repo, from_path, to_module, to_path, matched): files whose path ends like the module string, for imports that resolve to no file.
+
+    ``imports`` is (repo, from_path, to_module) of unresolved imports. A module is read as parts between slashes, dots, colons and backslashes,
+    a file as its folders and stem, case aside; ``index``, ``mod``, ``main`` and ``__init__`` stand for their folder as well. Each import takes the files that match its longest tail,
+    ``matched`` parts long - all of them, so an edge is a resemblance, not a fact. Tails are looked up among distinct
+    tails first; files are joined only at the length that wins.
+    """
+    known = files.select("repo", "path").distinct()
+    stem = F.lower(file_stem(F.col("path")))
+    folders = F.filter(F.split(F.lower(F.regexp_replace("path", "[^/]*$", "")), "/"), lambda x: x != "")
+    as_file = known.select("repo", F.col("path").alias("to_path"), F.concat(folders, F.array(stem)).alias("parts"))
+    as_folder = known.where(stem.isin("index", "mod", "main", "__init__") & (F.size(folders) > 0)).select("repo", F.col("path").alias("to_path"), folders.alias("parts"))
+    ends = as_file.unionByName(as_folder).select("repo", "to_path", F.explode(_tails(F.col("parts"), TAIL_PARTS)).alias("t")).select("repo", "to_path", "t.tail").distinct()
+    bare = F.regexp_replace(F.lower("to_module"), r"\.(?:[cm]?[jt]sx?|vue|py|rb|php|dart|proto|h|hpp)$", "")
+    wanted = imports.select("repo", "from_path", "to_module", F.filter(F.split(bare, r"[/.:\\\s]+"), lambda x: x != "").alias("parts")).distinct()
+    asked = wanted.select("repo", "to_module", "parts").distinct().select("repo", "to_module", F.explode(_tails(F.col("parts"), TAIL_PARTS)).alias("t"))
+    best = asked.select("repo", "to_module", "t.length", "t.tail").join(ends.select("repo", "tail").distinct(), ["repo", "tail"])
+    best = best.groupBy("repo", "to_module").agg(F.max(F.struct("length", "tail")).alias("t")).select("repo", "to_module", "t.length", "t.tail")
+    hits = best.join(ends, ["repo", "tail"]).select("repo", "to_module", "to_path", F.col("length").alias("matched"))
+    return wanted.select("repo", "from_path", "to_module").join(hits, ["repo", "to_module"]).where("from_path <> to_path").select("repo", "from_path", "to_module", "to_path", "matched")
+
+
+def _callers(owners: DataFrame, call_edges: DataFrame | None) -> DataFrame | None:
+    """Direct callers of the targets' own symbols."""
+    if call_edges is None:
+        return None
+    callers = call_edges.select("repo", F.col("callee").alias("symbol"), F.col("from_path")).distinct()
+    return owners.join(callers, ["repo", "symbol"]).select("repo", "key", F.col("from_path").alias("path"))
 
 
 def structural_dependents(
-    targets: DataFrame,
-    symbols: DataFrame,
-    edges: DataFrame,
-    call_edges: DataFrame | None = None,
-    depth: int = DEPTH,
-    follow_calls: bool = False,
-) -> DataFrame:
+    targets: DataFrame, symbols: DataFrame, edges: DataFrame, call_edges: DataFrame | None = None, depth: int = DEPTH, inexact: DataFrame | None = None,
+) -> DataFrame:
     """(repo, target, path, depth): files that depend on the files owning each target.
 
-    Direct callers of the target's own symbols join at depth 1; with ``follow_calls`` call
-    edges are walked at every hop.
+    Direct callers of the target's own symbols join at depth 1. With ``inexact`` edges, as ``tail_edges`` finds them, a fifth column ``exact`` says
+    whether the file is found over ``edges`` and calls alone; its depth is then the one over those.
     """
-    owners = concept_owners(targets, symbols)
-    extra = None
-    if call_edges is not None and follow_calls:
-        edges = edges.unionByName(call_file_edges(call_edges, symbols))
-    elif call_edges is not None:
-        callers = call_edges.select("repo", F.col("callee").alias("symbol"), F.col("from_path")).distinct()
-        extra = owners.join(callers, ["repo", "symbol"]).select("repo", "key", F.col("from_path").alias("path"))
-    found = reach(owners.select("repo", "key", "path"), edges, depth, extra)
-    return found.withColumnRenamed("key", "target")
+    owners = cut_lineage(concept_owners(targets, symbols))
+    starts, extra = owners.select("repo", "key", "path"), _callers(owners, call_edges)
+    found = reach(starts, edges, depth, extra).withColumnRenamed("key", "target")
+    if inexact is None:
+        return found
+    sure = cut_lineage(found)
+    wide = reach(starts, edges.select("repo", "from_path", "to_path").unionByName(inexact.select("repo", "from_path", "to_path")), depth, extra).withColumnRenamed("key", "target")
+    loose = wide.join(sure.select("repo", "target", "path"), ["repo", "target", "path"], "left_anti")
+    return sure.withColumn("exact", F.lit(True)).unionByName(loose.withColumn("exact", F.lit(False)))
+
+
+def structural_counts(targets: DataFrame, symbols: DataFrame, edges: DataFrame, call_edges: DataFrame | None = None, depth: int = DEPTH) -> DataFrame:
+    """(repo, target, structural): how many files ``structural_dependents`` would list for each target."""
+    owners = cut_lineage(concept_owners(targets, symbols))
+    counts = reach_counts(owners.select("repo", "key", "path"), edges, depth, _callers(owners, call_edges))
+    return counts.select("repo", F.col("key").alias("target"), F.col("n").alias("structural"))
 
 
 def via_symbols(dependents: DataFrame, symbols: DataFrame) -> DataFrame:

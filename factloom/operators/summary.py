@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.paths import owning_dir
-from factloom.operators.order_stats import first_names, kth_smallest
+from factloom.operators.order_stats import exact_rank, first_names, numbered_in_groups
 from factloom.operators.ranking import first_rows
 
 
@@ -14,19 +14,25 @@ def zero(c: str) -> Column:
     return F.coalesce(F.col(c), F.lit(0).cast("bigint")).alias(c)
 
 
-def status_counts(files: DataFrame, concepts: DataFrame, cap: int | None = 25) -> DataFrame:
-    """Per repo: files, concepts, used, unused (enum-only concepts do not count) and the first unused names, all if ``cap`` is None."""
-    unused = (F.col("uses") == 0) & ~F.col("enum_only")
+def _usage_counts(files: DataFrame, concepts: DataFrame) -> DataFrame:
     f = files.groupBy("repo").agg(F.countDistinct("path").alias("files"))
-    c = concepts.groupBy("repo").agg(
-        F.count(F.lit(1)).alias("concepts"), F.count_if(F.col("uses") > 0).alias("used"), F.count_if(unused).alias("unused")
-    )
-    names = first_names(concepts.where(unused), ["repo"], "name", cap, "unused_names")
-    return (
-        f.join(c, "repo", "left")
-        .join(names, "repo", "left")
-        .select("repo", "files", zero("concepts"), zero("used"), zero("unused"), F.coalesce("unused_names", F.lit("")).alias("unused_names"))
-    )
+    c = concepts.groupBy("repo").agg(F.count(F.lit(1)).alias("concepts"), F.count_if(F.col("uses") > 0).alias("used"), F.count_if(_unused()).alias("unused"))
+    return f.join(c, "repo", "left").select("repo", "files", zero("concepts"), zero("used"), zero("unused"))
+
+
+def _unused() -> Column:
+    return (F.col("uses") == 0) & ~F.col("enum_only")
+
+
+def status_counts(files: DataFrame, concepts: DataFrame, cap: int) -> DataFrame:
+    """Per repo: files, concepts, used, unused (enum-only concepts do not count) and the first ``cap`` unused names."""
+    names = first_names(concepts.where(_unused()), ["repo"], "name", cap, "unused_names")
+    return _usage_counts(files, concepts).join(names, "repo", "left").withColumn("unused_names", F.coalesce("unused_names", F.lit("")))
+
+
+def status_list(files: DataFrame, concepts: DataFrame) -> DataFrame:
+    """The counts of ``status_counts`` with every unused name as a row; a repo without one has a row with a null name."""
+    return _usage_counts(files, concepts).join(concepts.where(_unused()).select("repo", "name"), "repo", "left")
 
 
 def freshness(repos: DataFrame) -> DataFrame:
@@ -38,13 +44,23 @@ def freshness(repos: DataFrame) -> DataFrame:
     )
 
 
-def verdict_buckets(concepts: DataFrame, cap: int | None = 25) -> DataFrame:
-    """ACTIVE and DECLARED_ONLY: count and first names, all if ``cap`` is None."""
+def _verdicts(concepts: DataFrame) -> tuple[DataFrame, DataFrame]:
     v = concepts.select("repo", "name", F.when(F.col("uses") > 0, "ACTIVE").otherwise("DECLARED_ONLY").alias("verdict"))
-    counts = v.groupBy("repo", "verdict").agg(F.count(F.lit(1)).alias("concepts"))
+    return v, v.groupBy("repo", "verdict").agg(F.count(F.lit(1)).alias("concepts"))
+
+
+def verdict_buckets(concepts: DataFrame, cap: int) -> DataFrame:
+    """ACTIVE and DECLARED_ONLY: count and first ``cap`` names."""
+    v, counts = _verdicts(concepts)
     return counts.join(first_names(v, ["repo", "verdict"], "name", cap, "names"), ["repo", "verdict"])
 
 
+def verdict_list(concepts: DataFrame) -> DataFrame:
+    """The counts of ``verdict_buckets`` with every name as a row."""
+    v, counts = _verdicts(concepts)
+    return v.join(counts, ["repo", "verdict"]).select("repo", "verdict", "concepts", "name")
+
+
 def declarations_per_dir(decls: DataFrame) -> DataFrame:
     """Declaring files per owning directory."""
     return (
@@ -56,9 +72,11 @@ def declarations_per_dir(decls: DataFrame) -> DataFrame:
 
 
 def top_concepts(concepts: DataFrame, cap: int | None = None) -> DataFrame:
-    """Concepts per repo by falling use, ties by name; the first ``cap`` if given."""
-    w = Window.partitionBy("repo").orderBy(F.col("uses").desc(), F.col("name"))
-    return concepts.select("repo", "name", "uses").withColumn("rank", F.row_number().over(w)).where(F.lit(True) if cap is None else F.col("rank") <= cap)
+    """Concepts per repo by falling use, ties by name; the first ``cap`` if given, else all, ranked in many tasks."""
+    some, order = concepts.select("repo", "name", "uses"), [F.col("uses").desc(), F.col("name")]
+    if cap is None:
+        return numbered_in_groups(some, ["repo"], order, "rank").withColumn("rank", F.col("rank").cast("int"))
+    return some.withColumn("rank", F.row_number().over(Window.partitionBy("repo").orderBy(*order))).where(F.col("rank") <= cap)
 
 
 def unused_concepts(concepts: DataFrame, cap: int | None = None) -> DataFrame:
@@ -114,10 +132,7 @@ def context_efficiency(concepts: DataFrame, decls: DataFrame, usage: DataFrame,
     the most used concepts, and the reduction in percent (0 to 99.9, null without data)."""
     per_concept = concept_bytes(decls, usage, files)
     positive = per_concept.where(F.col("bytes") > 0)
-    largest = positive.agg(F.max("bytes")).first()[0] or 0
-    median = kth_smallest(positive, ["repo"], "bytes", F.floor(F.col("n") / 2), int(largest)).select(
-        "repo", F.col("bytes").alias("median_bytes")
-    )
+    median = exact_rank(positive, ["repo"], "bytes", 0.5).select("repo", F.col("bytes").alias("median_bytes"))
     top = top_concepts(concepts, sample).select("repo", "name")
     means = (
         top.join(answer_bytes(concepts), ["repo", "name"])

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.extract.brackets import records
 from factloom.extract.rules import CREATES_TABLE, EXPORTED, GAP, PAD, WORD, modifiers, quoted
 from factloom.functions.paths import file_stem
 from factloom.functions.words import is_generic_role_word, match_words, name_tokens, name_words
 from factloom.operators.imports import fold_path
 from factloom.operators.ranking import concept_candidates, first_rows
-from factloom.operators.reach import structural_dependents
+from factloom.operators.reach import structural_counts, structural_dependents
 from factloom.operators.routes import route_callers, routes_for_concepts
 from factloom.operators.summary import declared_dependents, zero
 from factloom.plans.resolve import EXISTING, resolve_terms
@@ -64,12 +65,16 @@ def goal_terms(goals: DataFrame, names: DataFrame, cap: int | None = None) -> Da
     return out.select("repo", "goal_id", "position", "term")
 
 
+def plan_bucket() -> Column:
+    """What a plan does about a verdict: extend what exists, confirm what is not known, create what is absent."""
+    return F.when(F.col("verdict").isin(*EXISTING), "extend").when(F.col("verdict").isin("UNKNOWN", "INSUFFICIENT_COVERAGE"), "confirm").otherwise("create")
+
+
 def goal_intent(goals: DataFrame, names: DataFrame, concepts: DataFrame, cap: int | None = None, **evidence) -> DataFrame:
     """(repo, goal_id, position, term, verdict, canonical, bucket): extend, confirm or create."""
     terms = cut_lineage(goal_terms(goals, names, cap))
     answers = resolve_terms(terms.select("repo", "term"), concepts, **evidence).select("repo", "term", "verdict", "canonical")
-    bucket = F.when(F.col("verdict").isin(*EXISTING), "extend").when(F.col("verdict").isin("UNKNOWN", "INSUFFICIENT_COVERAGE"), "confirm").otherwise("create")
-    return terms.join(answers, ["repo", "term"]).select("repo", "goal_id", "position", "term", "verdict", "canonical", bucket.alias("bucket"))
+    return terms.join(answers, ["repo", "term"]).select("repo", "goal_id", "position", "term", "verdict", "canonical", plan_bucket().alias("bucket"))
 
 
 # -- impact ---------------------------------------------------------------------------
@@ -90,7 +95,7 @@ def concept_impact(
     n = F.count(F.lit(1))
     used = concepts.select("repo", F.col("name").alias("target"), F.col("uses").alias("files"))
     dep = declared_dependents(concepts).groupBy("repo", "target").agg(n.alias("dependents"))
-    far = structural_dependents(t, symbols, edges, call_edges).groupBy("repo", "target").agg(n.alias("structural"))
+    far = structural_counts(t, symbols, edges, call_edges)
     out = t.join(used, ["repo", "target"], "left").join(dep, ["repo", "target"], "left").join(far, ["repo", "target"], "left")
     if routes is not None and calls is not None:
         owned = routes_for_concepts(routes, t.select("repo", F.col("target").alias("name")))
@@ -169,20 +174,33 @@ def goal_plan(intent: DataFrame, concepts: DataFrame, owners: DataFrame, governi
     )
 
 
-def context_card(answers: DataFrame, owners: DataFrame, impact: DataFrame, events: DataFrame, gaps: DataFrame) -> DataFrame:
-    """One row per (repo, term): the answer with owner, impact, recorded changes and open gaps."""
+def context_card(
+    answers: DataFrame, owners: DataFrame, impact: DataFrame, events: DataFrame, gaps: DataFrame, governing: DataFrame, repos: DataFrame, coverage: DataFrame,
+) -> DataFrame:
+    """One row per (repo, term): the answer with owner, impact, plan, decisions, recorded changes, and what is not known.
+
+    ``plan`` is what a change would do: extend the concept, create it, or confirm first. ``governing`` is (repo, target, id), ``repos`` is (repo, freshness),
+    ``coverage`` (repo, support, files): files in supported languages, and others that may hold what was not found.
+    """
     n = F.count(F.lit(1))
     own = owners.where("rank = 1").select("repo", F.col("target").alias("canonical"), "owner")
     imp = impact.select("repo", F.col("target").alias("canonical"), "severity", "files", "dependents", "structural")
+    dec = governing.groupBy("repo", F.col("target").alias("canonical")).agg(n.alias("decisions"))
     hist = events.groupBy("repo", F.col("concept").alias("canonical")).agg(n.alias("changes"), F.max("ts_ms").alias("last_change_ms"))
-    open_gaps = gaps.groupBy("repo").agg(n.alias("gaps"))
-    out = answers.select("repo", "term", "verdict", "canonical")
-    for part in (own, imp, hist):
+    per_repo = (
+        gaps.groupBy("repo").agg(n.alias("gaps")),
+        repos.select("repo", "freshness"),
+        coverage.groupBy("repo").agg(F.sum(F.when(F.col("support") == "supported", F.col("files"))).alias("covered_files"), F.sum(F.when(F.col("support") != "supported", F.col("files"))).alias("uncovered_files")),
+    )
+    out = answers.select("repo", "term", "verdict", "canonical", plan_bucket().alias("plan"))
+    for part in (own, imp, dec, hist):
         out = out.join(part, ["repo", "canonical"], "left")
-    out = out.join(open_gaps, "repo", "left")
+    for part in per_repo:
+        out = out.join(part, "repo", "left")
     return out.select(
-        "repo", "term", "verdict", "canonical", "owner", F.coalesce("severity", F.lit("NONE")).alias("severity"), zero("files"), zero("changes"), "last_change_ms", zero("gaps")
-    )
+        "repo", "term", "verdict", "canonical", "plan", "owner", F.coalesce("severity", F.lit("NONE")).alias("severity"), zero("files"), zero("dependents"), zero("structural"), zero("decisions"), zero("changes"),
+        "last_change_ms", zero("gaps"), F.coalesce("freshness", F.lit("unknown")).alias("freshness"), zero("covered_files"), zero("uncovered_files"),
+    )
 
 
 # -- guard and gate ------------------------------------------------------------------
@@ -221,14 +239,19 @@ def storage_guard(proposals: DataFrame, concepts: DataFrame, links: DataFrame, *
     return out.select("repo", "id", "pos", "proposed", "head", "verdict", "canonical", "status", cite.alias("decision_id"))
 
 
-# A schema model, an exported class, a class on a model base.
-NEW_DECLARATIONS = (rf"(?m)^{PAD}model{GAP}{WORD}{PAD}\{{", rf"(?m)^{PAD}export{GAP}{modifiers(EXPORTED)}class{GAP}{WORD}", rf"(?m)^{PAD}class{GAP}{WORD}\s*\([^)]*Model")
+# A declaration's head: what stands before the keyword, the keyword, the name, and the brace or the bases after it.
+HEAD = rf"(?m)^{PAD}({modifiers(EXPORTED)})(class|model){GAP}{WORD}{PAD}(\{{|\([^)]*\))?"
+
+
+def declared_names(text: Column) -> Column:
+    """Names that a text declares as storage: models with a body, classes that a module exports, classes on a base that is a model."""
+    storage = lambda r: F.when(r[1] == "model", F.startswith(r[3], F.lit("{"))).otherwise(F.contains(r[0], F.lit("export")) | (F.startswith(r[3], F.lit("(")) & F.contains(r[3], F.lit("Model"))))
+    return F.array_distinct(F.transform(F.filter(records(text, HEAD, 4), storage), lambda r: r[2]))
 
 
 def name_warnings(texts: DataFrame, concepts: DataFrame) -> DataFrame:
     """(repo, id, declared, collides_with, token): new declarations whose name hits a concept."""
-    every = F.concat(*[F.regexp_extract_all("text", F.lit(rx), F.lit(1)) for rx in NEW_DECLARATIONS])
-    new = texts.select("repo", "id", F.explode(F.array_distinct(every)).alias("declared")).where(F.octet_length("declared") >= 4)
+    new = texts.select("repo", "id", F.explode(declared_names(F.col("text"))).alias("declared")).where(F.octet_length("declared") >= 4)
     new = new.join(concepts.select("repo", F.col("name").alias("declared")), ["repo", "declared"], "left_anti")
     tokens = new.select("repo", "id", "declared", F.posexplode(name_tokens(F.col("declared"))).alias("pos", "token"))
     tokens = tokens.where((F.octet_length("token") >= 4) & ~is_generic_role_word(F.col("token")))
@@ -260,6 +283,12 @@ def change_gate(
 
 
 # -- claims ------------------------------------------------------------------------------
+# How a statement says that a name is in use, what its number adds to the least number of files, and how it says that a name is absent.
+USES = ("used in", "used by", "used across")
+LEAST = {"more than": 1, "over": 1, "at least": 0, "no fewer than": 0}
+ABSENT = ("does not exist", "doesn't exist", "is absent", "is missing", "^no ")
+
+
 def free_claims(claims: DataFrame, concepts: DataFrame, **evidence) -> DataFrame:
     """(repo, id, subject, kind, verdict, found) for statements (repo, id, statement).
 
@@ -268,9 +297,9 @@ def free_claims(claims: DataFrame, concepts: DataFrame, **evidence) -> DataFrame
     """
     s, low = F.col("statement"), F.lower(F.trim("statement"))
     subject = F.coalesce(*[F.nullif(F.regexp_extract(s, rf"""(?s)^.*?(?:{quoted()}|\b([A-Z]\w+))""", k), F.lit("")) for k in (1, 2)], F.lit(""))
-    usage = rf"used in{GAP}(?:(more than|at least){GAP})?(\d+)"
-    bound, more = F.regexp_extract(low, usage, 2), F.regexp_extract(low, usage, 1) == "more than"
-    negation = low.rlike("does not exist|doesn't exist|is absent|^no ")
+    usage = rf"(?:{'|'.join(USES)}){GAP}(?:({'|'.join(LEAST)}){GAP})?(\d+)"
+    bound, more = F.regexp_extract(low, usage, 2), F.regexp_extract(low, usage, 1).isin(*[k for k, v in LEAST.items() if v])
+    negation = low.rlike("|".join(ABSENT))
     c = claims.select(
         "repo", "id", subject.alias("subject"),
         F.when(bound != "", "usage").when(negation, "absence").otherwise("existence").alias("kind"),

@@ -76,10 +76,10 @@ def register_delta(before: DataFrame, after: DataFrame, gaps_before: DataFrame,
     return deltas.unionByName(changed)
 
 
-def tour(concepts: DataFrame, aliases: DataFrame, decisions: DataFrame) -> DataFrame:
-    """(repo, section, position, text): what to know first. ``decisions`` has rejected as an array."""
-    important = top_concepts(concepts, 8).select("repo", F.lit("important").alias("section"), F.col("rank").alias("position"), F.col("name").alias("text"))
-    ignorable = unused_concepts(concepts, 10).select("repo", F.lit("ignorable").alias("section"), F.lit(0).alias("position"), F.col("name").alias("text"))
+def tour(concepts: DataFrame, aliases: DataFrame, decisions: DataFrame, important: int | None = 8, ignorable: int | None = 10) -> DataFrame:
+    """(repo, section, position, text): what to know first. ``decisions`` has rejected as an array; None for all of a section."""
+    important = top_concepts(concepts, important).select("repo", F.lit("important").alias("section"), F.col("rank").alias("position"), F.col("name").alias("text"))
+    ignorable = unused_concepts(concepts, ignorable).select("repo", F.lit("ignorable").alias("section"), F.lit(0).alias("position"), F.col("name").alias("text"))
     by_alias = aliases.select("repo", F.lit("mistake").alias("section"), F.lit(0).alias("position"), F.concat(F.col("alias"), F.lit(" is "), F.col("target")).alias("text"))
     rejected = decisions.select(
         "repo", F.lit("mistake").alias("section"), F.lit(1).alias("position"), "id", F.explode("rejected").alias("r")
@@ -92,7 +92,7 @@ def tour(concepts: DataFrame, aliases: DataFrame, decisions: DataFrame) -> DataF
 
 
 def glance(
-    concepts: DataFrame, duplicates: DataFrame, stale: DataFrame, decisions: DataFrame, families: DataFrame, events: DataFrame, recent: int = 5
+    concepts: DataFrame, duplicates: DataFrame, stale: DataFrame, decisions: DataFrame, families: DataFrame, events: DataFrame, recent: int = 5, undecided: int = 5
 ) -> DataFrame:
     """One row per repo: counts, names with a near duplicate of the other storage kind (``duplicates`` is the linear relation), stale aliases, families without a decision, newest changes."""
     from factloom.operators.duplicates import names_needing_alias
@@ -110,7 +110,7 @@ def glance(
     for p in parts:
         out = out.join(p, "repo", "left")
     last = newest_per_repo(events, recent).groupBy("repo").agg(n.alias("recent_changes"), F.max("ts_ms").alias("last_change_ms"))
-    suggest = first_names(families, ["repo"], "token", 5, "undecided_families")
+    suggest = first_names(families, ["repo"], "token", undecided, "undecided_families")
     out = out.join(last, "repo", "left").join(suggest, "repo", "left")
     counts = ("needs_alias", "stale_aliases", "decisions", "families", "recent_changes")
     return out.select("repo", "concepts", *[zero(c) for c in counts], "last_change_ms", F.coalesce("undecided_families", F.lit("")).alias("undecided_families"))

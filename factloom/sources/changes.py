@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.operators.order_stats import numbered_in_groups
+
 
 def _pair(gone: DataFrame, came: DataFrame, key: list[str]) -> DataFrame:
-    w = lambda p: Window.partitionBy(*key).orderBy(p)
-    left = gone.withColumn("n", F.row_number().over(w("old_path")))
-    right = came.withColumn("n", F.row_number().over(w("path")))
+    """The n-th path that went with the n-th that came, of each key; a heap of equal files is numbered in many tasks."""
+    left = numbered_in_groups(gone, key, [F.col("old_path")], "n")
+    right = numbered_in_groups(came, key, [F.col("path")], "n")
     return left.join(right, [*key, "n"]).select("repo", "old_path", "path")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions.paths import file_dir, file_name
 from factloom.functions.words import slugify
+from factloom.session import cut_lineage
 
 NODE = "struct<resource_type:string,name:string,original_file_path:string,relation_name:string,depends_on:struct<nodes:array<string>>>"
 
@@ -17,8 +18,7 @@ def _nodes(files: DataFrame) -> DataFrame:
     root = F.regexp_replace(F.col("path"), r"(^|/)(target|dbt)/manifest\.json$", "")
     parsed = F.from_json("content", f"nodes map<string,{NODE}>")["nodes"]
     m = hit.select("repo", F.col("path").alias("manifest"), F.when(root == "", "").otherwise(F.concat(root, F.lit("/"))).alias("prefix"), parsed.alias("nodes"))
-    # Dependencies are looked up in the manifest's own map, so no join is needed.
-    return m.select("repo", "manifest", "prefix", "nodes", F.explode("nodes").alias("id", "n"))
+    return m.select("repo", "manifest", "prefix", F.explode("nodes").alias("id", "n"))
 
 
 def _placed(prefix, raw):
@@ -42,14 +42,13 @@ def lineage_symbols(files: DataFrame) -> DataFrame:
 
 def lineage_imports(files: DataFrame) -> DataFrame:
     """(repo, from_path, to_module): one edge per dependency; the id when its file is unknown."""
-    n = _nodes(files).where(F.col("n.resource_type").isin("model", "source") & (F.coalesce("n.name", F.lit("")) != ""))
-    d = n.select("repo", "manifest", "prefix", "nodes", "n", F.explode("n.depends_on.nodes").alias("dep"))
-    to = F.try_element_at("nodes", F.col("dep"))["original_file_path"]
-    return d.select(
-        "repo",
-        F.coalesce(_placed(F.col("prefix"), F.col("n.original_file_path")), F.col("manifest")).alias("from_path"),
-        F.coalesce(_placed(F.col("prefix"), to), F.col("dep")).alias("to_module"),
-    ).distinct()
+    nodes = cut_lineage(_nodes(files).select("repo", "manifest", "prefix", "id", "n"))
+    n = nodes.where(F.col("n.resource_type").isin("model", "source") & (F.coalesce("n.name", F.lit("")) != ""))
+    d = n.select("repo", "manifest", "prefix", F.col("n.original_file_path").alias("of"), F.explode("n.depends_on.nodes").alias("id"))
+    known = nodes.select("repo", "manifest", "id", F.col("n.original_file_path").alias("to"))
+    d = d.join(known, ["repo", "manifest", "id"], "left")
+    from_path, to = F.coalesce(_placed(F.col("prefix"), F.col("of")), F.col("manifest")), F.coalesce(_placed(F.col("prefix"), F.col("to")), F.col("id"))
+    return d.select("repo", from_path.alias("from_path"), to.alias("to_module")).distinct()
 
 
 # -- workspaces -------------------------------------------------------------------------
