@@ -4,12 +4,14 @@ Vectors are sorted by length and cut into buckets. A query's k-th best score in
 threshold: a bucket whose longest vector cannot reach it is not visited. In a visited bucket the threshold over
 both lengths is a least cosine; where that is high, coordinates prune (a vector whose largest query
 coordinates lie outside the cone is skipped), else lengths do (vectors too short are skipped). What
-is left is verified by integer products.
+is left is verified by integer products, exact at any size: in floating point where all of them stay below 2**53,
+else in 64 bits, else in Python's integers. Bounds are floating-point with a slack well above rounding.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +28,8 @@ BUCKET, QUERY_BLOCK = 4096, 1024
 #: From this least cosine on coordinates prune better than lengths; so many coordinates are looked at.
 STEEP, FOCUS = 0.6, 3
 NO_ID = np.iinfo(np.int64).max
+#: Components are held within this, so that inner products of some ten thousand of them fit into 38 digits.
+MOST_COMPONENT = 1 << 56
 
 BLOCKS = "block long, dim int, longest double, ids binary, cells binary"
 
@@ -42,7 +46,7 @@ def _blocks(rows: DataFrame, size: int) -> DataFrame:
                 ids, cells = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
                 for lo in range(0, n, size):
                     some = cells[lo : lo + size]
-                    yield pa.RecordBatch.from_pylist([{"block": name, "dim": some.shape[1], "longest": float(np.sqrt((some * some).sum(1).max())), "ids": ids[lo : lo + size].tobytes(), "cells": some.astype(np.int64).tobytes()}], schema=_schema)
+                    yield pa.RecordBatch.from_pylist([{"block": name, "dim": some.shape[1], "longest": float(lengths(some).max()), "ids": ids[lo : lo + size].tobytes(), "cells": some.tobytes()}], schema=_schema)
                     name += 1
             held, n = [], 0
 
@@ -58,7 +62,7 @@ def _blocks(rows: DataFrame, size: int) -> DataFrame:
         yield from flush()
 
     _schema = pa.schema([("block", pa.int64()), ("dim", pa.int32()), ("longest", pa.float64()), ("ids", pa.binary()), ("cells", pa.binary())])
-    length = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
+    length = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     sized = rows.select("vec_id", "v", F.size("v").alias("dim"), length.alias("length"))
     dealt = in_order(sized, [F.col("dim"), -F.col("length"), F.col("vec_id")], partitions(rows.sparkSession)).select("vec_id", "v", "dim")
     return cut_lineage(dealt.mapInArrow(cut, BLOCKS))
@@ -70,18 +74,33 @@ def _runs(values: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _load(ids: bytes, cells: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(ids, np.int64), np.frombuffer(cells, np.int64).reshape(-1, dim).astype(float)
+    return np.frombuffer(ids, np.int64), np.frombuffer(cells, np.int64).reshape(-1, dim)
+
+
+def lengths(cells: np.ndarray) -> np.ndarray:
+    return np.sqrt((cells.astype(float) ** 2).sum(1))
+
+
+def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of all rows of ``a`` with all rows of ``b``, exact; as Python integers where 64 bits may not hold one."""
+    most = int(np.abs(a).max(initial=0)) * int(np.abs(b).max(initial=0)) * a.shape[1]
+    if most < 1 << 53:
+        return (a.astype(float) @ b.T.astype(float)).astype(np.int64)
+    return a @ b.T if most < 1 << 63 else a.astype(object) @ b.T.astype(object)
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, own: int, top: int) -> list[tuple[int, int]]:
     """The ``top`` highest scores, ties to the smaller id, without the query's own id."""
     other = ids != own
     scores, ids = scores[other], ids[other]
-    if len(scores) > top:
-        least = np.partition(scores, len(scores) - top)[len(scores) - top]
-        at = scores >= least
+    if scores.dtype == object:
+        order = sorted(range(len(ids)), key=lambda k: (-scores[k], ids[k]))[:top]
+    elif len(scores) > top:
+        at = scores >= np.partition(scores, len(scores) - top)[len(scores) - top]
         scores, ids = scores[at], ids[at]
-    order = np.lexsort((ids, -scores))[:top]
+        order = np.lexsort((ids, -scores))[:top]
+    else:
+        order = np.lexsort((ids, -scores))
     return [(int(scores[k]), int(ids[k])) for k in order]
 
 
@@ -90,25 +109,25 @@ class Bucket:
 
     def __init__(self, ids: np.ndarray, cells: np.ndarray):
         self.ids, self.cells = ids, cells
-        self.length = np.sqrt((cells * cells).sum(1))
+        self.length = lengths(cells)
         self.unit = cells / np.maximum(self.length, 1e-300)[:, None]
 
     def search(self, own: np.ndarray, queries: np.ndarray, least: np.ndarray, top: int) -> Iterator[tuple[int, list[tuple[int, int]]]]:
         """Per query its best of this bucket among those that reach ``least``; all of the best if ties meet it."""
-        norms = np.sqrt((queries * queries).sum(1))
+        norms = lengths(queries)
         reach = norms * self.length.max(initial=0.0)
         cosine = np.where(reach > 0, least / np.maximum(reach, 1e-300), np.where(least > 0, np.inf, -np.inf))
         slack = 1e-9
         for k in np.flatnonzero((cosine >= STEEP) & (cosine <= 1 + slack)):
             rows = self._by_coordinates(queries[k] / norms[k], min(1.0, cosine[k]), slack)
-            yield int(k), _best(self.cells[rows] @ queries[k], self.ids[rows], own[k], top)
+            yield int(k), _best(products(queries[k : k + 1], self.cells[rows])[0], self.ids[rows], own[k], top)
         flat = np.flatnonzero(cosine < STEEP)
         for lo in range(0, len(flat), 256):
             some = flat[lo : lo + 256]
             # lengths fall along the bucket: a prefix is long enough
             enough = np.where(least[some] > 0, least[some] / np.maximum(norms[some], 1e-300), -1.0) * (1 - slack)
             n = len(self.length) - np.searchsorted(self.length[::-1], enough, side="left")
-            scores = queries[some] @ self.cells[: n.max(initial=0)].T
+            scores = products(queries[some], self.cells[: n.max(initial=0)])
             for row, k, m in zip(scores, some, n, strict=True):
                 yield int(k), _best(row[:m], self.ids[:m], own[k], top)
 
@@ -125,12 +144,14 @@ class Bucket:
 def top_products(vectors: DataFrame, top: int = TOP, every: int = EVERY, scale: int = SCALE) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id``, ``score``: for each row with an id divisible by ``every`` its ``top`` best other rows.
 
-    Components become floor(scale * x), x in double precision; the score is their integer inner product; ties go to
+    Components become floor(scale * x), x in double precision, held within 2**56; the score is their integer inner product, by
+    whose exact value rows are ranked; one beyond 64 bits is given as the nearest long. Ties go to
     the smaller id, rows without an id last. Rows with the query's own id are its own. Vectors that are null, empty or hold null
     or non-finite components take no part; vectors meet only with as many components. Repeated query rows
     are each answered; fewer than ``top`` candidates give fewer ranks; other columns are ignored.
     """
-    whole = F.transform(F.col("embedding").cast("array<double>"), lambda x: F.floor(x * F.lit(float(scale))).cast("double"))
+    most = F.lit(MOST_COMPONENT)
+    whole = F.transform(F.col("embedding").cast("array<double>"), lambda x: F.greatest(F.least(F.floor(x * F.lit(float(scale))), most), -most))
     rows = pick(vectors, "vec_id", "embedding").where(usable(F.col("embedding"))).select(F.col("vec_id").cast("long").alias("vec_id"), whole.alias("v"))
     buckets = _blocks(rows, BUCKET)
     asked = _blocks(rows.where(F.col("vec_id") % every == 0), QUERY_BLOCK)
@@ -144,7 +165,7 @@ def top_products(vectors: DataFrame, top: int = TOP, every: int = EVERY, scale:
                 for k, best in bucket.search(own, queries, least.copy(), top):
                     if len(best) == top:
                         least[k] = best[-1][0]
-                yield pa.RecordBatch.from_pydict({"block": [r["block"]], "least": pa.array([least.tobytes()], pa.binary()), "reach": pa.array([(np.where(least > 0, least, 0) / np.maximum(np.sqrt((queries * queries).sum(1)), 1e-300)).min()], pa.float64())})
+                yield pa.RecordBatch.from_pydict({"block": [r["block"]], "least": pa.array([least.tobytes()], pa.binary()), "reach": pa.array([(np.where(least > 0, least, 0) / np.maximum(lengths(queries), 1e-300)).min()], pa.float64())})
 
     head = buckets.join(heads.select(F.col("head").alias("block")), "block").select("dim", F.col("ids").alias("head_ids"), F.col("cells").alias("head_cells"))
     least = cut_lineage(asked.join(head, "dim").mapInArrow(first, "block long, least binary, reach double"))
@@ -161,9 +182,12 @@ def top_products(vectors: DataFrame, top: int = TOP, every: int = EVERY, scale:
                 own, queries = _load(r["ids"], r["cells"], r["dim"])
                 found = Bucket(*_load(r["bucket_ids"], r["bucket_cells"], r["dim"])).search(own, queries, np.frombuffer(r["least"]), top)
                 out = [(r["q"], j, int(own[j]), None if i == NO_ID else i, s) for j, best in found for s, i in best]
-                yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], pa.int64()) for c in range(5)], ["q", "j", "query_id", "vec_id", "score"])
+                cells = [pa.array([o[c] for o in out], pa.int64()) for c in range(4)] + [pa.array([Decimal(o[4]) for o in out], pa.decimal128(38, 0))]
+                yield pa.RecordBatch.from_arrays(cells, ["q", "j", "query_id", "vec_id", "score"])
 
-    scored = pairs.mapInArrow(search, "q long, j long, query_id long, vec_id long, score long")
+    scored = pairs.mapInArrow(search, "q long, j long, query_id long, vec_id long, score decimal(38,0)")
     w = Window.partitionBy("q", "j").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last())
     ranked = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
-    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    low, high = (F.lit(Decimal(x)).cast("decimal(38,0)") for x in (-(2**63), 2**63 - 1))
+    held = F.greatest(F.least("score", high), low).cast("long")
+    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", held.alias("score"))

@@ -15,6 +15,6 @@ def usable(v: Column) -> Column:
 
 
 def matrix(column: pa.Array) -> np.ndarray:
-    """Rows of a list<double> column of one common length."""
+    """Rows of a column of lists of numbers, all of one length."""
     flat = column.flatten().to_numpy()
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
