@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.extract.brackets import balanced
+from factloom.extract.brackets import balanced, records
 from factloom.extract.calls import called_routes, object_routes
 from factloom.extract.rules import CREATES_TABLE, declaration_rules, rules_table
 from factloom.functions.paths import (
@@ -118,6 +118,17 @@ def _yaml_edges(files: DataFrame) -> DataFrame:
     return e.select("repo", F.col("path").alias("from_path"), each.alias("to_module"), F.array(F.concat_ws(".", "name", "key")).alias("names"))
 
 
+def _scene_imports(files: DataFrame) -> DataFrame:
+    """(repo, from_path, to_module, names): resources of scenes, each with the nodes that instance it, met by its id inside the file."""
+    attribute = lambda text, name: F.regexp_extract(text, rf'(?<![\w]){name}="?([^"\s\])]+)', 1)
+    resource = F.transform(records(F.col("content"), r"(?m)^\[ext_resource\b([^\]\n]*)\]", 1), lambda r: F.named_struct(F.lit("module"), attribute(r[0], "path"), F.lit("id"), attribute(r[0], "id")))
+    name = lambda text: F.regexp_extract(text, r'\bname="([^"\n]*)"', 1)
+    node = F.transform(records(F.col("content"), r"(?m)^\[node\b([^\n]*)\]", 1), lambda r: F.named_struct(F.lit("name"), name(r[0]), F.lit("id"), F.regexp_extract(r[0], r'\binstance=ExtResource\(\s*"?([^")\s]+)', 1)))
+    scenes = files.where((file_ext(F.col("path")) == "tscn") & F.contains("content", F.lit("res://"))).select("repo", "path", F.explode(resource).alias("r"), node.alias("nodes"))
+    names = F.transform(F.filter("nodes", lambda x: x["id"] == F.col("r.id")), lambda x: x["name"])
+    return scenes.where(F.startswith("r.module", F.lit("res://"))).select("repo", F.col("path").alias("from_path"), F.col("r.module").alias("to_module"), names.alias("names"))
+
+
 def extract_imports(files: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     """(repo, from_path, to_module, names): module strings with the names taken from them; statements may span lines."""
     m = _matched(files, rules, "import").where("g1 <> ''")
@@ -127,7 +138,7 @@ def extract_imports(files: DataFrame, rules: DataFrame | None = None) -> DataFra
     items = F.transform(F.split("g1", r"[,\n]"), lambda x: F.trim(F.regexp_replace(x, r"\s+as\s+\w+", "")))
     inner = F.transform(items, lambda x: F.when(F.col("lang") == "go", F.regexp_extract(x, r'^\s*(?:[\w.]+\s+)?"([^"]*)"', 1)).otherwise(x))
     m = m.select("repo", F.col("path").alias("from_path"), F.explode(F.filter(inner, lambda x: x != "")).alias("to_module"), names.alias("names"))
-    return m.unionByName(_yaml_edges(files)).dropDuplicates(["repo", "from_path", "to_module", "names"])
+    return m.unionByName(_yaml_edges(files)).unionByName(_scene_imports(files)).dropDuplicates(["repo", "from_path", "to_module", "names"])
 
 
 def extract_routes(files: DataFrame, rules: DataFrame | None = None) -> DataFrame:

@@ -191,7 +191,6 @@ declares("gd", GD, {"Class": ("class_name",), "Function": ("func",), "Event": ("
 GODOT = r"\"\*?(res://[^\"\n]+)\""
 rule("import", "gd", GD, rf"\b(?:pre)?load\(\s*{GODOT}", gate="res://")
 rule("symbol", "tscn", ("tscn",), rf"^\[node{GAP}name={quoted(chr(34))}", "Class")
-rule("import", "tscn", ("tscn",), rf"^\[ext_resource\b[^\]\n]*\bpath={GODOT}", gate="res://")
 rule("import", "godot", ("godot",), rf"^\w+{PAD}={PAD}{GODOT}", gate="res://")
 rule("symbol", "godot", ("godot",), rf"^(\w+){PAD}={PAD}\"\*res://", "Class", gate="res://")
 

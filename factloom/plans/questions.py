@@ -129,10 +129,10 @@ def field_impact(requests: DataFrame, usage: DataFrame, concepts: DataFrame, fil
     ident = lambda f: f.rlike("^[a-z0-9_]+$")
     with_text = files.select("repo", "path", "content").join(want, ["repo", "path"])
     direct = F.array_intersect("fields", tokens)
-    rest = F.filter(F.filter("fields", lambda f: ~ident(f)), lambda f: F.contains(low, f))
-    seen = with_text.select("repo", "path", low.alias("low"), F.explode(F.array_union(direct, rest)).alias("field"))
-    edge_ok = F.expr(r"field rlike '^[a-z0-9_]+$' or low rlike concat('(^|[^a-z0-9_])', '\\Q', field, '\\E', '($|[^a-z0-9_])')")
-    seen = seen.where(edge_ok).select("repo", "path", "field")
+    # other fields are looked for in the text, at word edges; only the names of those found leave the row
+    edges = lambda f: F.regexp_like(low, F.concat(F.lit(r"(^|[^a-z0-9_])\Q"), f, F.lit(r"\E($|[^a-z0-9_])")))
+    rest = F.filter("fields", lambda f: F.when(ident(f), False).when(F.contains(low, f), edges(f)).otherwise(False))
+    seen = with_text.select("repo", "path", F.explode(F.array_union(direct, rest)).alias("field"))
     n = F.count(F.lit(1))
     hits = r.join(u, ["repo", "concept"]).join(seen, ["repo", "path", "field"]).groupBy("repo", "concept", "field").agg(n.alias("field_files"))
     total = u.groupBy("repo", "concept").agg(n.alias("usage_files"))

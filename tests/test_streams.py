@@ -52,6 +52,21 @@ def test_facts_follow_a_revert_a_deletion_and_the_signature(spark, tmp_path):
     assert read() == [] and read("new concepts") == [("a", "v1")]
 
 
+def test_superseded_facts_leave_the_store(spark, tmp_path):
+    """Rounds on one file of three leave one generation, and a file that is never touched keeps its facts."""
+    d = str(tmp_path)
+    extract = lambda df: df.select("repo", "path", F.explode(F.split("content", " ")).alias("fact"))
+    for k in range(12):
+        rows = [("r", "a", k, k, f"a{k} more")] + ([("r", "b", 1, 1, "b here"), ("r", "c", 1, 1, "c here")] if k == 0 else [])
+        spark.createDataFrame(rows, FILE).coalesce(1).write.mode("append").parquet(f"{d}/in")
+        jobs.incremental_facts(jobs.file_stream(spark, f"{d}/in", FILE, per_trigger=1), extract, f"{d}/out", f"{d}/keys", f"{d}/cp").awaitTermination()
+        # one generation, and until the next batch what it came from
+        assert spark.read.parquet(f"{d}/out").select("repo", "path", "batch").distinct().count() <= 3 * (2 + jobs.SUPERSEDED) + 1
+    got = pairs(jobs.current_facts(spark, f"{d}/out", f"{d}/keys", "repo string, path string, fact string"), "path", "fact")
+    assert got == [("a", "a11"), ("a", "more"), ("b", "b"), ("b", "here"), ("c", "c"), ("c", "here")]
+    assert len(jobs._batches(spark, f"{d}/out")) <= 4
+
+
 def test_fan_out_reaches_symbols(spark):
     c = concepts(spark, decls(spark, ("Order", "prisma", "Order")))
     repos = spark.createDataFrame([("r",), ("s",)], "repo string")

@@ -7,7 +7,7 @@ import __spark_entry__ as entry
 from factloom.checks.bindings import TABLES
 from factloom.checks.compare import rows_of
 from factloom.operators import catalog, history, summary
-from helpers import concepts, decls, files
+from helpers import concepts, decls, files, pairs
 
 SF = "/root/testdata/sf0.001"
 NAMES = [f"Name{k:02d}" for k in range(40)]
@@ -15,18 +15,22 @@ NAMES = [f"Name{k:02d}" for k in range(40)]
 
 def test_counts_list_every_name(spark):
     c = concepts(spark, decls(spark, *[(n, "class") for n in NAMES]))
-    [status] = summary.status_counts(files(spark, a="x"), c, cap=None).collect()
-    [bucket] = summary.verdict_buckets(c, cap=None).collect()
-    assert status.unused_names == bucket.names == ", ".join(NAMES)
+    assert pairs(summary.status_list(files(spark, a="x"), c), "files", "unused", "name") == [(1, 40, n) for n in NAMES]
+    assert pairs(summary.verdict_list(c), "verdict", "concepts", "name") == [("DECLARED_ONLY", 40, n) for n in NAMES]
+    [status] = summary.status_counts(files(spark, a="x"), c, 3).collect()
+    [bucket] = summary.verdict_buckets(c, 3).collect()
+    assert status.unused_names == bucket.names == ", ".join(NAMES[:3]) and (status.unused, bucket.concepts) == (40, 40)
 
 
 def test_digest_lists_every_name(spark):
     rows = [("r", f"e{k}", 1000 - k, "concept_appeared", n) for k, n in enumerate(NAMES)]
-    [got] = history.history_digest(spark.createDataFrame(rows, "repo string, id string, ts_ms long, kind string, concept string"), cap=None).collect()
-    assert got.sentence == f"40 concepts appeared: {', '.join(NAMES)}"
+    events = spark.createDataFrame(rows, "repo string, id string, ts_ms long, kind string, concept string")
+    assert pairs(history.history_list(events), "position", "events", "concept") == [(k + 1, 40, n) for k, n in enumerate(NAMES)]
+    [got] = history.history_digest(events, cap=2).collect()
+    assert got.sentence == f"40 concepts appeared: {NAMES[0]}, {NAMES[1]} (+38 more)"
 
 
-@pytest.mark.parametrize("name", ("goal_terms_whole", "top_concepts_whole", "status_counts_whole", "verdict_buckets_whole", "history_digest_whole"))
+@pytest.mark.parametrize("name", ("goal_terms", "top_concepts_whole", "status_counts_whole", "verdict_buckets_whole", "history_digest_whole"))
 def test_whole_queries(spark, name):
     con = duckdb.connect()
     con.execute("set timezone='UTC'")
@@ -37,7 +41,7 @@ def test_whole_queries(spark, name):
 
 
 def test_goal_terms_go_on_after_the_eighth(spark):
-    assert entry.queries()["goal_terms_whole"](spark, SF).where("position > 8").count() > 0
+    assert entry.queries()["goal_terms"](spark, SF).where("position > 8").count() > 0
 
 
 def test_a_large_concept_is_numbered_in_many_tasks(spark):
