@@ -22,7 +22,10 @@ from factloom.llm.text import offsets, slices
 
 @dataclass(frozen=True)
 class Plan:
-    """Shares in hundredths; sentinels open prefix, suffix and middle and must not occur in a text that is cut."""
+    """Shares in hundredths; sentinels open prefix, suffix and middle and must not occur in a text that is cut.
+
+    No sentinel may begin another, and what one begins with may not stand inside one: so a text's end and a sentinel never make another.
+    """
 
     seed: str = "7"
     cut: int = 100
@@ -31,6 +34,11 @@ class Plan:
     suffix: str = "<S>"
     middle: str = "<M>"
 
+    def __post_init__(self) -> None:
+        pairs = [(a, b) for i, a in enumerate(self.marks) for j, b in enumerate(self.marks) if i != j]
+        if not all(self.marks) or any(b.startswith(a) for a, b in pairs) or any(a[0] in b[1:] for a in self.marks for b in self.marks):
+            raise ValueError(f"sentinels {self.marks} cannot be told apart")
+
     @property
     def marks(self) -> tuple[str, str, str]:
         return self.prefix, self.suffix, self.middle
@@ -140,7 +148,8 @@ def transform(df: DataFrame, plan: Plan = Plan()) -> DataFrame:
 
 def restore(text: Column, form: Column, plan: Plan = Plan()) -> Column:
     """The text that ``transform`` was given, from its output and form alone."""
-    parts = F.split(text, "|".join("\\Q" + m + "\\E" for m in plan.marks))
+    escaped = lambda mark: "".join(c if c.isalnum() or not c.isascii() else "\\" + c for c in mark)
+    parts = F.split(text, "|".join(map(escaped, plan.marks)))
     psm = F.concat(parts[1], parts[3], parts[2])
     spm = F.concat(parts[2], parts[3], parts[1])
     return F.when(form == "psm", psm).when(form == "spm", spm).otherwise(text)

@@ -222,6 +222,9 @@ def test_middles_match_brute_force_and_come_back(corpus, plan):
     back = sorted([(r.doc_id, r.restored_sha256) for r in fill_middle.digest(table(corpus, rows), plan).collect()], key=str)
     assert back == sorted([(i, sha(t)) for i, t, _ in rows], key=str)
     assert fill_middle.transform(table(corpus, []), plan).collect() == []
+    for marks in (("<", "<P>", "<S>"), ("aa", "b", "c"), ("x<", "<y", "z"), ("", "a", "b"), ("a", "a", "b")):
+        with pytest.raises(ValueError):
+            fill_middle.Plan("7", 100, 50, *marks)
 
 
 # -- exact products of large components ------------------------------------------------------------
