@@ -3,6 +3,9 @@
 ``STAGES`` lists (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame whose
 rows are written as Parquet and read again as the next stage's ``docs``. All stages but the last return the
 columns of ``documents``; the last returns the pieces of the packed sequences.
+
+In every stage a null text counts as empty, texts of any length are worked on whole, rows that repeat are rows like any other, rows without an
+id are kept or dropped by their text alone, further columns pass through whatever their names, and no rows give no rows.
 """
 
 from __future__ import annotations
@@ -18,18 +21,27 @@ from factloom.session import checkpoint_folder
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the compression-distance classifier scores below 0.5; it learns from ``labels``, where ids not in ``docs`` teach nothing."""
+    """Rows that the compression-distance classifier scores below 0.5; it learns from ``labels``, where ids not in ``docs`` teach nothing.
+
+    Empty and null texts hold nothing toxic and stay; without a labelled row of either kind all rows stay.
+    """
     return toxicity.drop_toxic(docs, ship(spark).read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group whose five-word shingles have a Jaccard similarity of 0.8 or more, along links."""
+    """One row of each group whose five-word shingles have a Jaccard similarity of 0.8 or more, along links.
+
+    Repeated rows are copies of each other: one stays. Texts without a word are like no other and all stay.
+    """
     ship(spark)
     return ngram_join.drop_near_copies(docs, n=5, percent=80)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the words of 35-word windows that occur elsewhere; ``n_chars`` follows the text."""
+    """Texts without the words of 35-word windows that occur elsewhere; ``n_chars`` follows the text.
+
+    A text that loses no word stays as it is, a null one null; one that loses all words stays as an empty row.
+    """
     ship(spark)
     cut = substrings.remove_repeats(docs)
     if "n_chars" not in docs.columns:
@@ -39,13 +51,16 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row as often as the mix of the sources to their targets takes it: not at all, once or twice."""
+    """Each row as often as the mix of the sources to their targets takes it: not at all, once or twice.
+
+    Rows without a source are a source of their own; texts without a word weigh nothing and are taken as the draw falls.
+    """
     ship(spark)
     return mixing.mix(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents' token ids in sequences of at most 1024."""
+    """Pieces of the documents' token ids in sequences of at most 1024; a null or empty text is its end id alone."""
     ship(spark)
     return packing.pack(docs)
 
