@@ -34,6 +34,13 @@ def test_an_unfinished_snapshot_waits(spark, tmp_path):
     assert [g for g in got if g[0] == 2] == [(2, "architecture_version", "2", None), (2, "concept_appeared", "Cloud", None), (2, "concept_lost_storage", "Bench", None)]
 
 
+def test_rows_that_come_too_late_are_listed(spark, tmp_path):
+    d = str(tmp_path)
+    diff(spark, d, [snap(2, "Apple", "Bench"), snap(1, "Apple", "Cloud"), snap(2, "Apple") + snap(3, "Apple")], 1)
+    late = pairs(jobs.stored(spark, f"{d}/log/late", jobs.SNAPSHOT), "snap", "name")
+    assert late == [(1, "Apple"), (1, "Cloud")]
+
+
 def test_facts_follow_a_revert_a_deletion_and_the_signature(spark, tmp_path):
     d = str(tmp_path)
     extract = lambda df: df.select("repo", "path", F.col("content").alias("fact"))
