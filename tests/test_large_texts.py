@@ -23,3 +23,12 @@ def test_long_manifests_do_not_overflow(spark):
     f = source(spark, [("k.yaml", "kind: Config\n" + filler + "---\nkind: Service\nmetadata:\n  name: web\n"), ("o.yaml", "paths:\n  /a:\n" + "      x: 1\n" * 60_000 + "    get:\n    post:\n")])
     assert pairs(facts.extract_symbols(f), "path", "name", "line") == [("k.yaml", "web", 60_003)]
     assert pairs(facts.extract_routes(f), "method", "route") == [("GET", "/a"), ("POST", "/a")]
+
+
+def test_long_handlers_and_bodies_do_not_overflow(spark):
+    """Bodies of a megabyte, with many brackets beside each other and some inside each other."""
+    body = "  call(a, [b, { c: 'd)' }]); // it's (\n" * 30_000
+    f = source(spark, [("a.ts", "app.get('/x', auth, async (req, res) => {\n" + body + "});\nfunction go() {\n" + body + "}\n"), ("m.prisma", "model A {\n" + '  f Json @default("{}")\n' * 30_000 + "}\n")])
+    assert pairs(facts.extract_routes(f), "method", "route", "handler") == [("GET", "/x", "get")]
+    assert facts.function_units(f).where("unit = 'go'").select(F.length("body").alias("n")).first().n > len(body)
+    assert facts.extract_declarations(f).select(F.size("fields").alias("n")).first().n == 30_000
