@@ -339,7 +339,7 @@ select *, case when guard = 'blocked' then 'blocked' when plan = 'complete' and
 
 
 def fan_out_status(spark, sf):
-    status = summary.status_counts(frame(spark, sf, "b_file"), bound_catalog(spark, sf)).drop("unused_names")
+    status = summary.usage_counts(frame(spark, sf, "b_file"), bound_catalog(spark, sf))
     return questions.fan_out_status(_repos(spark, sf), status)
 
 

@@ -14,7 +14,8 @@ def zero(c: str) -> Column:
     return F.coalesce(F.col(c), F.lit(0).cast("bigint")).alias(c)
 
 
-def _usage_counts(files: DataFrame, concepts: DataFrame) -> DataFrame:
+def usage_counts(files: DataFrame, concepts: DataFrame) -> DataFrame:
+    """Per repo: files, concepts, used and unused; enum-only concepts do not count as unused."""
     f = files.groupBy("repo").agg(F.countDistinct("path").alias("files"))
     c = concepts.groupBy("repo").agg(F.count(F.lit(1)).alias("concepts"), F.count_if(F.col("uses") > 0).alias("used"), F.count_if(_unused()).alias("unused"))
     return f.join(c, "repo", "left").select("repo", "files", zero("concepts"), zero("used"), zero("unused"))
@@ -25,14 +26,14 @@ def _unused() -> Column:
 
 
 def status_counts(files: DataFrame, concepts: DataFrame, cap: int) -> DataFrame:
-    """Per repo: files, concepts, used, unused (enum-only concepts do not count) and the first ``cap`` unused names."""
+    """``usage_counts`` and the first ``cap`` unused names of each repo."""
     names = first_names(concepts.where(_unused()), ["repo"], "name", cap, "unused_names")
-    return _usage_counts(files, concepts).join(names, "repo", "left").withColumn("unused_names", F.coalesce("unused_names", F.lit("")))
+    return usage_counts(files, concepts).join(names, "repo", "left").withColumn("unused_names", F.coalesce("unused_names", F.lit("")))
 
 
 def status_list(files: DataFrame, concepts: DataFrame) -> DataFrame:
     """The counts of ``status_counts`` with every unused name as a row; a repo without one has a row with a null name."""
-    return _usage_counts(files, concepts).join(concepts.where(_unused()).select("repo", "name"), "repo", "left")
+    return usage_counts(files, concepts).join(concepts.where(_unused()).select("repo", "name"), "repo", "left")
 
 
 def freshness(repos: DataFrame) -> DataFrame:
