@@ -29,7 +29,7 @@ WORD = r"([A-Za-z_]\w*)"
 TYPE = r"([A-Z]\w*)"
 DOTTED = r"([A-Za-z_][\w.]*)"
 # What stands between brackets, strings and comments included, whatever its length.
-INSIDE = balanced("c", 8)
+INSIDE = balanced("c", 5)
 # The HTTP methods that carry a route, one list for all languages: lower case, capitalised, upper case.
 METHODS = VERBS[:5]
 HTTP, HTTP_TITLE, HTTP_UPPER = ("|".join(map(case, METHODS)) for case in (str, str.title, str.upper))
@@ -249,7 +249,7 @@ _TO = words(("ManyToMany", "ManyToOne", "OneToMany", "OneToOne"))
 _HEAD_END = r"[^\x00]*\x00"
 
 DECL_RULES = [
-    _decl("prisma", PRISMA, rf"(?m)^{PAD}model{GAP}(\w+){PAD}\{{({balanced('prisma', 6)})\}}", body=2, fields=rf"(?m)^{PAD}([A-Za-z]\w*){GAP}[A-Za-z]",
+    _decl("prisma", PRISMA, rf"(?m)^{PAD}model{GAP}(\w+){PAD}\{{({balanced('prisma', 3)})\}}", body=2, fields=rf"(?m)^{PAD}([A-Za-z]\w*){GAP}[A-Za-z]",
           relations=rf"(?m)^{PAD}[A-Za-z]\w*{GAP}(?!{words(SCALARS)}\b){TYPE}", table=rf"@@map\(\s*{quoted(chr(34))}", default="name"),
     _decl("prisma-enum", PRISMA, rf"(?m)^{PAD}enum{GAP}(\w+){PAD}\{{"),
     _decl("django", PY, _PY_CLASS, head=2, body=3, file="models.py", gate="models.", accept=rf"Model\b\s*(?:,{_HEAD_END[:-4]})?\x00|\n {{4}}\w+\s*=\s*models\.|\n {{4}}class{GAP}Meta\b",
@@ -273,10 +273,10 @@ DECL_RULES = [
           relations=r"->(?:belongsTo(?:Many)?|has(?:One|Many)|morphMany)\(\s*(\w+)::class", table=rf"\$table\s*=\s*{quoted(chr(34) + chr(39))}", table_in="file"),
     _decl("jpa", ("java",), rf"@Entity\b((?:\({INSIDE}\))?{_MORE})\s*(?:(?:public|abstract|final)\s+)*class\s+(\w+)", name=2, head=1, gate="@Entity", scope="file",
           relations=rf"@{_TO}\b(?:\({INSIDE}\))?{_MORE}\s*(?:private|protected)\s+(?:(?:Collection|List|Set)<)?(\w+)", table=rf"@Table\s*\([^)]*?\bname\s*=\s*{quoted(chr(34))}", table_in="head"),
-    _decl("gorm", GO, rf"(?m)^type{GAP}(\w+){GAP}struct{PAD}\{{({balanced('go', 8)})\}}", body=2, gate="gorm", accept=r"\bgorm(?::|\.Model)", fields=rf"(?m)^{GAP}(\w+){GAP}\S"),
+    _decl("gorm", GO, rf"(?m)^type{GAP}(\w+){GAP}struct{PAD}\{{({balanced('go', 3)})\}}", body=2, gate="gorm", accept=r"\bgorm(?::|\.Model)", fields=rf"(?m)^{GAP}(\w+){GAP}\S"),
     _decl("ecto", EX, rf"(?s)\bdefmodule{GAP}(?:\w+\.)*(\w+){GAP}do\b(.*?\bschema{GAP}\"\w+\"{GAP}do\b)", body=2, gate="schema \"", scope="file",
           relations=rf"(?m)^{PAD}(?:belongs_to|has_many|has_one){GAP}:(\w+)", table=rf"\bschema{GAP}{quoted(chr(34))}"),
-    _decl("rust", RS, rf"(?m)^pub{GAP}struct{GAP}(\w+)[^{{;\n]*\{{({balanced('rs', 8)})\}}", body=2, fields=rf"(?m)^{GAP}pub{GAP}(\w+)\s*:"),
+    _decl("rust", RS, rf"(?m)^pub{GAP}struct{GAP}(\w+)[^{{;\n]*\{{({balanced('rs', 3)})\}}", body=2, fields=rf"(?m)^{GAP}pub{GAP}(\w+)\s*:"),
 ]
 
 

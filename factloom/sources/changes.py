@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.operators.order_stats import numbered_in_groups
 
 
-def _pair(gone: DataFrame, came: DataFrame, key: list[str]) -> DataFrame:
-    """The n-th path that went with the n-th that came, of each key; a heap of equal files is numbered in many tasks."""
-    left = numbered_in_groups(gone, key, [F.col("old_path")], "n")
-    right = numbered_in_groups(came, key, [F.col("path")], "n")
+def _pair(gone: DataFrame, came: DataFrame, key: list[str], heaps: bool) -> DataFrame:
+    """The n-th path that went with the n-th that came, of each key; where ``heaps`` may share a key they are numbered in many tasks."""
+    if heaps:
+        left, right = numbered_in_groups(gone, key, [F.col("old_path")], "n"), numbered_in_groups(came, key, [F.col("path")], "n")
+    else:
+        w = lambda p: Window.partitionBy(*key).orderBy(p)
+        left, right = gone.withColumn("n", F.row_number().over(w("old_path"))), came.withColumn("n", F.row_number().over(w("path")))
     return left.join(right, [*key, "n"]).select("repo", "old_path", "path")
 
 
@@ -28,10 +31,10 @@ def changed_files(before: DataFrame, after: DataFrame, untracked: DataFrame | No
     tail = lambda p: F.array_join(F.slice(F.split(p, "/"), F.greatest(F.size(F.split(p, "/")) - 2, F.lit(1)), F.lit(3)), "/")
     gone = both.where(F.col("new_hash").isNull()).select("repo", F.col("path").alias("old_path"), F.col("old_hash").alias("hash"), tail("path").alias("tail"))
     came = both.where(F.col("old_hash").isNull()).select("repo", "path", F.col("new_hash").alias("hash"), tail("path").alias("tail"))
-    near = _pair(gone, came, ["repo", "hash", "tail"])
+    near = _pair(gone, came, ["repo", "hash", "tail"], False)
     rest_gone = gone.join(near, ["repo", "old_path"], "left_anti").drop("tail")
     rest_came = came.join(near, ["repo", "path"], "left_anti").drop("tail")
-    moved = near.unionByName(_pair(rest_gone, rest_came, ["repo", "hash"]))
+    moved = near.unionByName(_pair(rest_gone, rest_came, ["repo", "hash"], True))
     row = lambda df, status, path, old: df.select("repo", F.lit(status).alias("status"), F.col(path).alias("path"), (F.col(old) if old else F.lit(None).cast("string")).alias("old_path"))
     out = (
         row(moved, "R", "path", "old_path")
