@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions.paths import file_dir, segments
+from factloom.session import unbroadcast
 
 # Extensions tried for relative imports and package entry files.
 RELATIVE_EXTS = ("ts", "tsx", "js", "jsx", "mjs", "cjs", "vue", "dart")
@@ -36,7 +37,7 @@ def resolve_imports(imports: DataFrame, files: DataFrame, packages: DataFrame |
     Every import becomes a few candidate paths that are equi-joined with the file list.
     Relative imports need exactly one hit; the other forms take their first hit.
     """
-    known = files.select("repo", F.col("path").alias("to_path")).distinct()
+    known = unbroadcast(files.select("repo", F.col("path").alias("to_path")).distinct())
     asked = imports.select("repo", "from_path", "to_module").distinct()
     module = F.col("to_module")
     relative = module.rlike(r"^\.\.?/")
@@ -70,7 +71,7 @@ def resolve_imports(imports: DataFrame, files: DataFrame, packages: DataFrame |
 
 
 def _package_candidates(asked: DataFrame, packages: DataFrame, known: DataFrame) -> DataFrame:
-    pkg = packages.select("repo", F.col("name").alias("package"), "dir")
+    pkg = unbroadcast(packages.select("repo", F.col("name").alias("package"), "dir"))
     whole = asked.withColumn("package", F.col("to_module")).join(pkg, ["repo", "package"])
     entry = [F.concat(F.col("dir"), F.lit(f"{s}/index.{e}")) for e in INDEX_EXTS for s in ("", "/src")]
     rows = whole.select("repo", "from_path", "to_module", F.lit(False).alias("strict"), F.explode(_ranked(*entry)).alias("c"))
