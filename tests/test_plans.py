@@ -7,7 +7,7 @@ import __spark_entry__ as entry
 SF = "/root/testdata/sf0.01"
 
 
-@pytest.mark.parametrize("name", ("resolved_imports", "file_imports"))
+@pytest.mark.parametrize("name", ("resolved_imports", "file_imports", "tail_edges"))
 def test_files_and_imports_are_not_broadcast(spark, name):
     plan = entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
