@@ -1,6 +1,7 @@
 """Plans at size: sides that grow with the input are not gathered in the driver, however small their files are."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 
@@ -11,3 +12,22 @@ SF = "/root/testdata/sf0.01"
 def test_files_and_imports_are_not_broadcast(spark, name):
     plan = entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_a_route_of_many_files_and_paths_is_made_by_several_tasks(spark):
+    from factloom.operators import routes
+
+    declared = spark.range(1500).selectExpr("'r' as repo", "'f' || id as path", "'GET' as method", "'/a/:id' as route", "'h' as handler")
+    seen = spark.range(1500).selectExpr("'r' as repo", "'/a/' || id % 1000 as path", "cast(if(id % 1000 < 900, 500, 200) as bigint) as status")
+    got = routes.contradicted_routes(declared, seen).withColumn("task", F.spark_partition_id())
+    tasks = got.groupBy("task").agg(F.count(F.lit(1)).alias("n"), F.sum("observed").alias("seen")).collect()
+    assert (sum(t.n for t in tasks), sum(t.seen for t in tasks), len(tasks) > 1) == (1500 * 900, 1500 * 1400, True)
+
+
+def test_a_stream_gets_as_many_files_as_its_input_has_tasks(spark, tmp_path):
+    from factloom.checks import stream_checks
+
+    few, many = spark.range(1000).repartition(1), spark.range(1000).repartition(7)
+    for n, df in ((2, few), (14, many)):
+        stream_checks._stream_of(spark, df, f"{tmp_path}/{n}")
+        assert stream_checks._files(spark, f"{tmp_path}/{n}") == n
