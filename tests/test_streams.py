@@ -59,6 +59,15 @@ def test_facts_follow_a_revert_a_deletion_and_the_signature(spark, tmp_path):
     assert read() == [] and read("new concepts") == [("a", "v1")]
 
 
+def test_extracted_facts_are_counted_after_they_left_the_store(spark, tmp_path):
+    d = str(tmp_path)
+    extract = lambda df: df.select("repo", "path", F.explode(F.split("content", " ")).alias("fact"))
+    for k, (path, text) in enumerate((("a", "one two"), ("a", "three"), ("a", "four five six"), ("b", "seven"))):
+        spark.createDataFrame([("r", path, k, k, text)], FILE).coalesce(1).write.mode("append").parquet(f"{d}/in")
+        jobs.incremental_facts(jobs.file_stream(spark, f"{d}/in", FILE, per_trigger=1), extract, f"{d}/out", f"{d}/keys", f"{d}/cp", superseded=0, extracted=f"{d}/extracted").awaitTermination()
+    assert spark.read.parquet(f"{d}/extracted").agg(F.sum("facts")).first()[0] == 7
+
+
 def test_superseded_facts_leave_the_store(spark, tmp_path):
     """Rounds on one file of three leave one generation, and a file that is never touched keeps its facts."""
     d = str(tmp_path)
