@@ -152,14 +152,14 @@ def _objects(spark, sf, side):
     return governance.semantic_objects(decls, symbols, imports, routes)
 
 
-def _mutations(spark, sf):
+def _mutations(spark, sf, all_dependents=False):
     ch = changes.changed_files(_snap(spark, sf, "before"), _snap(spark, sf, "after"))
     odd = _snap(spark, sf, "after").where("sz = 31").select("repo", "path", F.lit("twice").alias("reason"))
-    return governance.semantic_diff(ch, _objects(spark, sf, "before"), _objects(spark, sf, "after"), frame(spark, sf, "b_fedge"), odd)
+    return governance.semantic_diff(ch, _objects(spark, sf, "before"), _objects(spark, sf, "after"), frame(spark, sf, "b_fedge"), odd, all_dependents)
 
 
 def semantic_diff(spark, sf):
-    return _mutations(spark, sf).select("repo", "path", "old_path", "object", "name", "resource", "kind", "dependents", "decision_required")
+    return _mutations(spark, sf, all_dependents=True).select("repo", "path", "old_path", "object", "name", "resource", "kind", "dependents", "decision_required")
 
 
 QUERIES["semantic_diff"] = semantic_diff
@@ -185,7 +185,7 @@ _DIFF = f"""{CHANGES.replace("union all select distinct repo, '??', 'scratch/' |
 o_dep as (select repo, key, count(*) as n from sd_min where depth > 0 group by 1, 2),
 o_mut as (select m.repo, m.path, m.old_path, m.object, m.name, m.resource, m.kind, least(coalesce(d.n, 0), 10) as dependents, m.object = 'concept' or coalesce(d.n, 0) >= 10 or m.kind = 'Unknown' as decision_required
   from o_m1 m left join o_dep d on d.repo = m.repo and d.key = m.old_path)"""
-ORACLES["semantic_diff"] = f"with recursive {_DIFF} select * from o_mut"
+ORACLES["semantic_diff"] = f"with recursive {_DIFF.replace('least(coalesce(d.n, 0), 10)', 'coalesce(d.n, 0)')} select * from o_mut"
 
 
 # -- governed diff -----------------------------------------------------------------------

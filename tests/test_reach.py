@@ -111,3 +111,10 @@ def test_exact_rank_is_the_sorted_element(spark):
             v = sorted(x for h, x in rows if h == g)
             want[g] = (len(v), v[int(share * len(v))])
         assert {r.g: (r.n, r.v) for r in order_stats.exact_rank(df, ["g"], "v", share).collect()} == want
+
+
+def test_the_registered_diff_counts_all_dependents(spark):
+    import __spark_entry__ as entry
+
+    top = entry.queries()["semantic_diff"](spark, "/root/testdata/sf0.01").selectExpr("max(dependents)").first()[0]
+    assert top > governance.MANY_DEPENDENTS
