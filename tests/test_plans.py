@@ -31,3 +31,17 @@ def test_a_stream_gets_as_many_files_as_its_input_has_tasks(spark, tmp_path):
     for n, df in ((2, few), (14, many)):
         stream_checks._stream_of(spark, df, f"{tmp_path}/{n}")
         assert stream_checks._files(spark, f"{tmp_path}/{n}") == n
+
+
+def test_usage_rows_are_dealt_by_their_number(spark, monkeypatch):
+    from factloom.operators import catalog
+
+    decls = spark.createDataFrame([("r", "A", "own")], "repo string, name string, path string")
+    hits = spark.range(4000).selectExpr("if(id < 0, 's', 'r') as repo", "if(id % 4 = 0, 'B', 'A') as name", "if(id = 1, 'own', 'f' || id % 500) as path", "if(id < 2000, 'x', 'y') as kind")
+    monkeypatch.setattr(catalog, "TASK_ROWS", 500, raising=False)
+    usage = catalog.attach_usage(hits, decls)
+    assert usage.withColumn("task", F.spark_partition_id()).select("task").distinct().count() > 4
+    plan = usage._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and ", 8)" in plan, plan
+    got = catalog.usage_counts(usage).collect()
+    assert [tuple(r) for r in got] == [("r", "A", 375, 750)]
