@@ -118,3 +118,13 @@ def test_the_registered_diff_counts_all_dependents(spark):
 
     top = entry.queries()["semantic_diff"](spark, "/root/testdata/sf0.01").selectExpr("max(dependents)").first()[0]
     assert top > governance.MANY_DEPENDENTS
+
+
+def test_layers_are_not_compared_with_those_before(spark):
+    """Distances also hold where walks lead back, and no hop but the last grouping shuffles what earlier hops found."""
+    edges = [("a", "b"), ("b", "a"), ("c", "a"), ("b", "c"), ("d", "b"), ("a", "a")]
+    e, s, _ = tables(spark, edges, [("k", "a")], [("x", "a")])
+    found = reach._levels(s, e, 3)
+    assert {(r.start, r.path): r.depth for r in found.collect()} == {("a", "a"): 0, ("a", "b"): 1, ("a", "c"): 1, ("a", "d"): 2}
+    assert "LeftAnti" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("/cut-" in f for f in set(found.inputFiles())) > 0 and {(r.key, r.path): r.depth for r in reach.reach(s, e, 3).collect()} == plain([("k", "a")], edges, 3)
