@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from factloom.checks.bindings import TABLES
@@ -53,3 +54,14 @@ def test_a_large_concept_is_numbered_in_many_tasks(spark):
     assert got == {(c, n, p, i): k + 1 for k, (c, _, n, p, i) in enumerate(big)} | {("Small", "n", "p", k): k + 1 for k in range(3)}
     numbering = [x for x in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Window [row_number" in x]
     assert numbering and all("_part" in x for x in numbering)
+
+
+def test_files_and_facts_are_dealt_by_their_rows(spark, monkeypatch):
+    """Equal paths are few bytes; as many tasks meet files and facts as their rows need."""
+    monkeypatch.setattr(catalog, "TASK_ROWS", 10)
+    known = spark.range(60).select(F.lit("r").alias("repo"), F.concat(F.lit("f"), "id").alias("path"), (F.col("id") < 20).alias("declares"))
+    facts = known.where("declares").select("repo", "path", F.explode(F.array(F.lit("A"), F.lit("B"))).alias("name"), F.lit("concept").alias("what"))
+    got = catalog.file_counts(known, facts)
+    assert "REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString()
+    assert {(r.declares, r.what): (r.files, r.names) for r in got.collect()} == {(True, "concept"): (20, 40), (False, None): (40, 0)}
+    assert "hashpartitioning(repo" in got._jdf.queryExecution().executedPlan().toString() and ", 6)" in got._jdf.queryExecution().executedPlan().toString()
