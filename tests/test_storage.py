@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from factloom import session
+from factloom.checks.bindings import stored
 from factloom.extract import facts
 from factloom.operators.history import full_history
 from factloom.session import checkpoint_folder, cut_lineage
@@ -88,6 +89,6 @@ def test_cut_lineage_writes_to_the_checkpoint_folder(spark):
 def test_a_table_that_packs_well_is_read_by_many_tasks(spark):
     """Files of alike texts take few bytes; what is read from a written table is dealt by its rows all the same."""
     alike = spark.range(0, 2 * session.FILE_ROWS + 1, 1, 1).select(F.lit("r").alias("repo"), F.concat(F.lit("a"), "id", F.lit(".sql")).alias("path"), F.lit("create table t (id int);").alias("content"))
-    written = session.cut_lineage(alike)
+    written = stored(spark, "alike", "files", lambda: alike)
     assert len(written.inputFiles()) == 3 and written.rdd.getNumPartitions() > 1
     assert facts.extract_declarations(written).count() == alike.count()
