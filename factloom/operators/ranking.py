@@ -107,11 +107,12 @@ def first_rows(df: DataFrame, group: list[str], order: list[Column], cap: int |
 def best_by_word(symbols: DataFrame, name_col: str = "name", path_col: str = "path", wanted: DataFrame | None = None) -> DataFrame:
     """(repo, word, inexact, at, hit): the first symbol per word, exact names first, then path and name.
 
-    Equal names are folded to their first path before they are cut into words.
+    Equal names are folded to their first path before they are cut into words. With ``wanted`` words that no term can match are dropped
+    where the names are read, so nothing is shuffled for them.
     """
-    first = symbols.groupBy("repo", name_col).agg(F.min(path_col).alias(path_col))
+    rows = symbols.select("repo", path_col, name_col) if wanted is not None else symbols.groupBy("repo", name_col).agg(F.min(path_col).alias(path_col))
     return (
-        starting_like(name_words(first, name_col, ("repo", path_col)), wanted)
+        starting_like(name_words(rows, name_col, ("repo", path_col)), wanted)
         .withColumn("inexact", (F.col("pos") > 0).cast("int"))
         .groupBy("repo", "word")
         .agg(F.min(F.struct("inexact", F.col(path_col).alias("at"), F.col(name_col).alias("hit"))).alias("best"))

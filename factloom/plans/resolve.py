@@ -69,7 +69,8 @@ def resolve_terms(
 
     # One candidate list over all rungs, so the terms are matched against one vocabulary.
     search = work.where(~F.col("direct")).select("repo", F.col("search").alias("term"))
-    wanted = starts(search, "term")
+    # written, so that its size is known before the names are read: a short list goes to where they are, a long one is joined
+    wanted = cut_lineage(starts(search, "term"))
     cand = concept_candidates(concepts, wanted=wanted).withColumn("rung", F.lit(2)).withColumn("inexact", F.lit(0)).withColumn("at", null)
     cols = ["repo", "word", "rung", "inexact", "at", "name"]
     for rung, source in (
