@@ -25,6 +25,8 @@ STOP_WORDS = (
     "every", "feature", "the", "and", "for", "add", "create", "user", "users",
 )
 IDENT = r"[A-Za-z0-9_]+"
+#: Goals that one task takes.
+GOAL_ROWS = 200_000
 
 
 # -- intent -----------------------------------------------------------------------------
@@ -32,37 +34,32 @@ def goal_terms(goals: DataFrame, names: DataFrame, cap: int | None = None) -> Da
     """(repo, goal_id, position, term) of each goal text: names written out in it, longest
     first, then its other words of at least four letters that are no stop words.
 
-    ``goals`` is (repo, goal_id, text), ``names`` is (repo, name). A name that is one
-    identifier is found by equality with the text's identifiers; any other name is found through
-    its first identifier and then checked in the text.
+    ``goals`` is (repo, goal_id, text), ``names`` is (repo, name). Names are found through their first identifier among
+    the identifiers of the texts, without the texts; each goal then meets its names once, where those that are more than one
+    identifier are checked in the text and its other words are counted off.
     """
     low = F.lower("text")
     runs = F.array_distinct(F.regexp_extract_all(low, F.lit(IDENT), F.lit(0)))
-    at_run = goals.select("repo", "goal_id", low.alias("low"), F.explode(runs).alias("run"))
-    n = names.select("repo", F.lower("name").alias("name")).distinct()
-    n = n.withColumn("run", F.regexp_extract("name", IDENT, 0)).where(F.col("run") != "")
-    plain = F.col("name") == F.col("run")
-    single = at_run.drop("low").join(n.where(plain), ["repo", "run"]).select("repo", "goal_id", "name")
-    edge = "(^|[^a-z0-9_])"
-    phrase = (
-        at_run.join(n.where(~plain), ["repo", "run"])
-        .where(F.expr(rf"low rlike concat('{edge}', '\\Q', name, '\\E', '($|[^a-z0-9_])')"))
-        .select("repo", "goal_id", "name")
-    )
-    exact = single.unionByName(phrase).distinct()
-    taken = exact.select("repo", "goal_id", F.explode(F.array_union(name_tokens(F.col("name")), F.array("name"))).alias("term")).distinct()
-    words = F.regexp_extract_all(low, F.lit("[a-z0-9]+"), F.lit(0))
-    rest = goals.select("repo", "goal_id", F.posexplode(words).alias("pos", "term"))
-    rest = rest.where((F.length("term") >= 4) & ~F.col("term").isin(*STOP_WORDS))
-    rest = rest.groupBy("repo", "goal_id", "term").agg(F.min("pos").alias("pos")).join(taken, ["repo", "goal_id", "term"], "left_anti")
-    every = exact.select("repo", "goal_id", F.col("name").alias("term"), F.lit(0).alias("late"), (-F.octet_length("name")).alias("k")).unionByName(
-        rest.select("repo", "goal_id", "term", F.lit(1).alias("late"), F.col("pos").alias("k"))
-    )
-    order = Window.partitionBy("repo", "goal_id").orderBy("late", "k", "term")
-    out = every.withColumn("position", F.row_number().over(order))
+    first = lambda name: F.regexp_extract(name, IDENT, 0)
+    n = names.select("repo", F.lower("name").alias("name")).distinct().withColumn("run", first(F.col("name")))
+    n = cut_lineage(n.where(F.col("run") != ""))
+    met = goals.select("repo", "goal_id", F.explode(runs).alias("run")).join(n, ["repo", "run"])
+    null = F.lit(None).cast("string")
+    rows = goals.select("repo", "goal_id", low.alias("low"), null.alias("name")).unionByName(met.select("repo", "goal_id", null.alias("low"), "name"))
+    parts = max(1, -(-goals.count() // GOAL_ROWS))
+    one = rows.repartition(parts, "repo", "goal_id").groupBy("repo", "goal_id").agg(F.collect_list("low").alias("lows"), F.collect_set("name").alias("names"))
+    edges = lambda text, name: F.regexp_like(text, F.concat(F.lit(r"(^|[^a-z0-9_])\Q"), name, F.lit(r"\E($|[^a-z0-9_])")))
+    written = lambda name: F.exists("lows", lambda text: F.when(F.contains(text, name), edges(text, name)).otherwise(False))
+    one = one.withColumn("names", F.filter("names", lambda name: F.when(name == first(name), True).otherwise(written(name))))
+    by_length = F.array_sort(F.transform("names", lambda name: F.struct((-F.octet_length(name)).alias("k"), name.alias("term"))))
+    taken = F.flatten(F.transform("names", lambda name: F.array_union(name_tokens(name), F.array(name))))
+    words = lambda text: F.transform(F.regexp_extract_all(text, F.lit("[a-z0-9]+"), F.lit(0)), lambda term, pos: F.struct(pos.alias("k"), term.alias("term")))
+    told = F.filter(F.flatten(F.transform("lows", words)), lambda w: (F.length(w["term"]) >= 4) & ~w["term"].isin(*STOP_WORDS))
+    terms = lambda pairs: F.transform(pairs, lambda w: w["term"])
+    every = F.concat(terms(by_length), F.array_except(terms(F.array_sort(told)), taken))
     if cap is not None:
-        out = out.where(F.col("position") <= cap)
-    return out.select("repo", "goal_id", "position", "term")
+        every = F.slice(every, 1, cap)
+    return one.select("repo", "goal_id", F.posexplode(every).alias("position", "term")).withColumn("position", F.col("position") + 1)
 
 
 def plan_bucket() -> Column:
