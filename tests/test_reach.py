@@ -128,3 +128,31 @@ def test_layers_are_not_compared_with_those_before(spark):
     assert {(r.start, r.path): r.depth for r in found.collect()} == {("a", "a"): 0, ("a", "b"): 1, ("a", "c"): 1, ("a", "d"): 2}
     assert "LeftAnti" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert sum("/cut-" in f for f in set(found.inputFiles())) > 0 and {(r.key, r.path): r.depth for r in reach.reach(s, e, 3).collect()} == plain([("k", "a")], edges, 3)
+
+
+def test_a_search_for_some_files_reads_only_edges_that_lead_from_them(spark):
+    for seed in (8, 9):
+        edges, starts, late = graph(seed)
+        e, s, x = tables(spark, edges, starts, late)
+        asked = {f"f{k}" for k in range(0, 120, 7)} | {"x3", "nowhere"}
+        ends = spark.createDataFrame([("r", p) for p in asked] * 2, "repo string, path string")
+        want = {k: d for k, d in plain(starts, edges, 3, late).items() if k[1] in asked}
+        assert {(r.key, r.path): r.depth for r in reach.reach(s, e, 3, x, ends).collect()} == want
+    chain = [("a", "b"), ("b", "c"), ("c", "d"), ("d", "e"), ("b", "a")] + [(f"x{k}", "c") for k in range(200)]
+    e, s, _ = tables(spark, chain, [("k", "d")], [("x", "a")])
+    kept, known = reach._leading(e, spark.createDataFrame([("r", "a")], "repo string, path string"), 3)
+    assert pairs(kept, "from_path", "to_path") == [("a", "b"), ("b", "a"), ("b", "c"), ("c", "d")] and pairs(known, "path") == [("a",), ("b",), ("c",), ("d",)]
+
+
+def test_claims_search_only_files_that_lie_outside(spark, monkeypatch):
+    """The same answers as over all dependents; few files are asked for, all of them if a repo has many prefix lists."""
+    import __spark_entry__ as entry
+    from factloom.plans import questions
+
+    asked, whole = [], questions.structural_dependents
+    monkeypatch.setattr(questions, "structural_dependents", lambda *a, ends=None, **k: asked.append(ends) or whole(*a, ends=ends, **k))
+    run = lambda: pairs(entry.queries()["typed_claims"](spark, "/root/testdata/sf0.001"), "repo", "id", "type", "target", "verdict", "outside")
+    few = run()
+    monkeypatch.setattr(questions, "PREFIX_LISTS", 0)
+    assert few == run() and any(r[-1] for r in few)
+    assert asked[0].where("path like 'l/%' or path like 'o/%'").isEmpty() and not asked[0].isEmpty() and asked[1] is None
