@@ -319,6 +319,27 @@ def free_claims(claims: DataFrame, concepts: DataFrame, **evidence) -> DataFrame
     return c.select("repo", "id", "subject", "kind", verdict.alias("verdict"), "found")
 
 
+#: So many different prefix lists of a repo are tried on each of its files; with more, all dependents are searched.
+PREFIX_LISTS = 32
+
+
+def _outside(rule: Column, path: Column) -> Column:
+    """The path starts with no prefix of ``within`` and none of ``exclude``."""
+    prefixes = lambda col: F.filter(F.transform(F.split(F.coalesce(col, F.lit("")), ","), lambda p: F.trim(p)), lambda p: p != "")
+    inside = lambda col: F.exists(prefixes(col), lambda p: F.startswith(path, p))
+    return ~inside(rule["within"]) & ~inside(rule["exclude"])
+
+
+def _files_outside(iso: DataFrame, files: DataFrame) -> DataFrame | None:
+    """(repo, path): files that lie outside for some claim of their repo; None if the claims have too many different prefix lists to ask that of every file."""
+    rules = cut_lineage(iso.select("repo", F.struct("within", "exclude").alias("rule")).distinct())
+    if not rules.groupBy("repo").count().where(F.col("count") > PREFIX_LISTS).isEmpty():
+        return None
+    per_repo = rules.groupBy("repo").agg(F.collect_list("rule").alias("rules"))
+    some = files.join(per_repo, "repo").where(F.exists("rules", lambda r: _outside(r, F.col("path"))))
+    return some.select("repo", "path").distinct()
+
+
 def typed_claims(claims: DataFrame, concepts: DataFrame, usage: DataFrame, symbols: DataFrame, edges: DataFrame, call_edges: DataFrame | None = None, **evidence) -> DataFrame:
     """(repo, id, verdict, found) for (repo, id, type, target, min, within, exclude).
 
@@ -331,12 +352,14 @@ def typed_claims(claims: DataFrame, concepts: DataFrame, usage: DataFrame, symbo
     c = cut_lineage(c.join(concepts.select("repo", F.col("name").alias("canonical"), "uses"), ["repo", "canonical"], "left"))
     iso = c.where("type = 'isolation' and within is not null")
     used = iso.join(usage.select("repo", F.col("name").alias("canonical"), "path").distinct(), ["repo", "canonical"])
-    deps = structural_dependents(iso.select("repo", "target"), symbols, edges, call_edges)
+    # only files that lie outside for some claim can speak against one
+    files = edges.select("repo", F.col("from_path").alias("path"))
+    if call_edges is not None:
+        files = files.unionByName(call_edges.select("repo", F.col("from_path").alias("path")))
+    deps = structural_dependents(iso.select("repo", "target"), symbols, edges, call_edges, ends=_files_outside(iso, files))
     near = iso.join(deps.select("repo", "target", "path"), ["repo", "target"])
     cols = ["repo", "id", "within", "exclude", "path"]
-    prefixes = lambda col: F.filter(F.transform(F.split(F.coalesce(col, F.lit("")), ","), lambda p: F.trim(p)), lambda p: p != "")
-    inside = lambda col: F.exists(prefixes(F.col(col)), lambda p: F.startswith(F.col("path"), p))
-    outside = used.select(*cols).unionByName(near.select(*cols)).where(~inside("within") & ~inside("exclude"))
+    outside = used.select(*cols).unionByName(near.select(*cols)).where(_outside(F.struct("within", "exclude"), F.col("path")))
     bad = outside.select("repo", "id", "path").distinct().groupBy("repo", "id").agg(F.count(F.lit(1)).alias("outside"))
     c = c.join(bad, ["repo", "id"], "left")
     exists = F.col("found").isin(*EXISTING)
