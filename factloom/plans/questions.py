@@ -70,7 +70,7 @@ def plan_bucket() -> Column:
 def goal_intent(goals: DataFrame, names: DataFrame, concepts: DataFrame, cap: int | None = None, **evidence) -> DataFrame:
     """(repo, goal_id, position, term, verdict, canonical, bucket): extend, confirm or create."""
     terms = cut_lineage(goal_terms(goals, names, cap))
-    answers = resolve_terms(terms.select("repo", "term"), concepts, **evidence).select("repo", "term", "verdict", "canonical")
+    answers = cut_lineage(resolve_terms(terms.select("repo", "term"), concepts, **evidence).select("repo", "term", "verdict", "canonical"))
     return terms.join(answers, ["repo", "term"]).select("repo", "goal_id", "position", "term", "verdict", "canonical", plan_bucket().alias("bucket"))
 
 
@@ -156,15 +156,19 @@ def change_impact(changes: DataFrame, decls: DataFrame, usage: DataFrame, symbol
 
 # -- plan and context -----------------------------------------------------------------
 def goal_plan(intent: DataFrame, concepts: DataFrame, owners: DataFrame, governing: DataFrame, impact: DataFrame, top: int | None = None) -> DataFrame:
-    """Existing concepts per goal, the first ``top`` if given, with owner, relations, decisions and impact."""
+    """Existing concepts per goal, the first ``top`` if given, with owner, relations, decisions and impact.
+
+    What is known of a concept is brought together once, however many goals name it.
+    """
     ext = first_rows(intent.where("bucket = 'extend'"), ["repo", "goal_id"], [F.col("position")], top)
     own = owners.where("rank = 1").select("repo", F.col("target").alias("canonical"), "owner")
     rel = concepts.select("repo", F.col("name").alias("canonical"), F.array_join("relations", ",").alias("related"))
     dec = governing.groupBy("repo", F.col("target").alias("canonical")).agg(F.count(F.lit(1)).alias("decisions"))
     imp = impact.select("repo", F.col("target").alias("canonical"), "severity", "files")
-    out = ext
+    known = ext.select("repo", "canonical").distinct()
     for part in (own, rel, dec, imp):
-        out = out.join(part, ["repo", "canonical"], "left")
+        known = known.join(part, ["repo", "canonical"], "left")
+    out = ext.join(cut_lineage(known), ["repo", "canonical"], "left")
     return out.select(
         "repo", "goal_id", "position", "term", "canonical", "owner", F.coalesce("related", F.lit("")).alias("related"), zero("decisions"),
         F.coalesce("severity", F.lit("NONE")).alias("severity"), zero("files"),

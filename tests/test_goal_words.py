@@ -34,3 +34,14 @@ def test_unmatched_names_are_not_shuffled(spark):
     keep = [r for r in pairs(best_by_word(symbols), "repo", "word", "inexact", "at", "hit") if r[0] == "r" and r[1].startswith("clie")]
     assert pairs(got, "repo", "word", "inexact", "at", "hit") == keep == [("r", "client", 0, "a0", "client"), ("r", "clients", 0, "b", "Clients")]
     assert _plan(got).count("Exchange hashpartitioning") == 1
+
+
+def test_what_is_known_of_a_concept_meets_the_goals_once(spark):
+    intent = spark.createDataFrame([("r", f"g{k}", 1, "order", "ACTIVE", "Order", "extend") for k in range(3)] + [("r", "g0", 2, "new", "ABSENT", None, "create")], "repo string, goal_id string, position int, term string, verdict string, canonical string, bucket string")
+    concepts = spark.createDataFrame([("r", "Order", ["Line", "Item"])], "repo string, name string, relations array<string>")
+    owners = spark.createDataFrame([("r", "Order", 1, "src/a"), ("r", "Order", 2, "src/b")], "repo string, target string, rank int, owner string")
+    governing = spark.createDataFrame([("r", "Order", "d1"), ("r", "Order", "d2")], "repo string, target string, id string")
+    impact = spark.createDataFrame([("r", "Order", "HIGH", 9)], "repo string, target string, severity string, files long")
+    out = questions.goal_plan(intent, concepts, owners, governing, impact)
+    assert pairs(out, "goal_id", "position", "canonical", "owner", "related", "decisions", "severity", "files") == [(f"g{k}", 1, "Order", "src/a", "Line,Item", 2, "HIGH", 9) for k in range(3)]
+    assert sum("Join" in line for line in _plan(out).splitlines()) == 1
