@@ -156,3 +156,16 @@ def test_claims_search_only_files_that_lie_outside(spark, monkeypatch):
     monkeypatch.setattr(questions, "PREFIX_LISTS", 0)
     assert few == run() and any(r[-1] for r in few)
     assert asked[0].where("path like 'l/%' or path like 'o/%'").isEmpty() and not asked[0].isEmpty() and asked[1] is None
+
+
+def test_files_that_nobody_imports_are_met_by_the_last_hop_alone(spark, monkeypatch):
+    """No hop but the last reads or writes the leaves of a tree, and rows of the last are dealt over as many tasks as they need."""
+    edges = [(f"m{k}", "top") for k in range(10)] + [(f"leaf{k}", f"m{k % 10}") for k in range(600)] + [(f"leaf{k}", "top") for k in range(0, 600, 3)]
+    starts, late = [("top", "top"), ("m1", "m1"), ("leaf", "leaf9")], [("late", "m2"), ("late", "leaf5")]
+    e, s, x = tables(spark, edges, starts, late)
+    want, cut, rows = plain(starts, edges, 3, late), reach.cut_lineage, []
+    monkeypatch.setattr(reach, "cut_lineage", lambda df, **k: rows.append(cut(df, **k)) or rows[-1])
+    monkeypatch.setattr(reach, "TASK_ROWS", 50)
+    found = reach.reach(s, e, 3, x)
+    assert {(r.key, r.path): r.depth for r in found.collect()} == want and len(want) > 700
+    assert sum(t.count() for t in rows) < 100
