@@ -136,3 +136,15 @@ def test_chains_and_cycles(spark):
     got = {r.node: (r.root, r.cycle) for r in chains.resolve_chains(df).collect()}
     assert all(got[f"n{i}"] == ("n37", False) for i in range(37))
     assert all(got[k] == (None, True) for k in ("x", "y", "z", "into", "s"))
+
+
+def test_pairs_of_a_common_literal_are_dealt_over_many_tasks(spark, monkeypatch):
+    """The same pairs, each once, when a literal has many tasks' share of them; no task is given more than a few shares."""
+    monkeypatch.setattr(duplicates, "TASK_ROWS", 100)
+    rows = [("r", f"f{k:02}", "body", f"common literal {t}") for k in range(60) for t in range(3)] + [("r", f"f{k:02}", "body", f"its own literal {k}") for k in range(60)]
+    lit = spark.createDataFrame(rows, "repo string, path string, unit string, literal string")
+    open_ = duplicates._unit_literals(lit.where("literal like 'common%'")).select("repo", "h", "u")
+    made, parts = duplicates._opened_pairs(open_)
+    assert made.count() == 60 * 59 // 2 and parts == -(-3 * made.count() // 100) == made.rdd.getNumPartitions()
+    found = duplicates.duplicate_logic(lit)
+    assert found.count() == found.where("shared = 3 and a_path < b_path").distinct().count() == 60 * 59 // 2
