@@ -24,6 +24,32 @@ def test_a_route_of_many_files_and_paths_is_made_by_several_tasks(spark):
     assert (sum(t.n for t in tasks), sum(t.seen for t in tasks), len(tasks) > 1) == (1500 * 900, 1500 * 1400, True)
 
 
+def crossed(spark, n):
+    """One route that ``n`` files declare and ``n`` failing paths answer."""
+    declared = spark.range(n).selectExpr("'r' as repo", "'f' || id as path", "'GET' as method", "'/a/:id' as route", "'h' as handler")
+    return declared, spark.range(n).selectExpr("'r' as repo", "'/a/' || id as path", "500L as status")
+
+
+def test_what_goes_to_the_cells_of_a_route_is_cut_on_both_sides(spark, monkeypatch):
+    from factloom.operators import routes
+
+    dealt, frame = [], type(spark.range(1))
+    real = frame.repartition
+
+    def spy(self, *a):
+        lists = [F.size(c) for c, kind in self.dtypes if kind.startswith("array")]
+        dealt.append(self.agg(F.sum(lists[0] if lists else F.lit(1))).first()[0])
+        return real(self, *a)
+
+    monkeypatch.setattr(routes, "ROUTE_ROWS", 2500)
+    monkeypatch.setattr(frame, "repartition", spy)
+    got = routes.contradicted_routes(*crossed(spark, 1000))
+    monkeypatch.undo()
+    assert got.select("file", "called").distinct().count() == got.count() == 1000 * 1000
+    # each file for a twentieth of the paths, and the other way round; before, each path for every twentieth row
+    assert len(dealt) == 2 and sum(dealt) <= 2 * 1000 * 20
+
+
 def test_a_stream_gets_as_many_files_as_its_input_has_tasks(spark, tmp_path):
     from factloom.checks import stream_checks
 
