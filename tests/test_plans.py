@@ -50,6 +50,21 @@ def test_what_goes_to_the_cells_of_a_route_is_cut_on_both_sides(spark, monkeypat
     assert len(dealt) == 2 and sum(dealt) <= 2 * 1000 * 20
 
 
+def test_a_stream_of_contradictions_is_written_by_as_many_tasks_as_it_has_rows(spark, tmp_path, monkeypatch):
+    from factloom.operators import routes
+    from factloom.streaming import jobs
+
+    declared, seen = crossed(spark, 1000)
+    seen.coalesce(1).write.parquet(f"{tmp_path}/in")
+    monkeypatch.setattr(routes, "ROUTE_ROWS", 10_000)
+    monkeypatch.setattr(routes, "TASK_ROWS", 50_000, raising=False)
+    jobs.observed_contradictions(jobs.file_stream(spark, f"{tmp_path}/in", seen.schema), declared, f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
+    out = spark.read.parquet(f"{tmp_path}/out")
+    assert out.select("file", "called", "status").distinct().count() == out.count() == 1000 * 1000
+    files = list((tmp_path / "out").glob("batch=*/*.parquet"))
+    assert len(files) > 10 and sum(f.stat().st_size for f in files) < 1_000_000
+
+
 def test_a_stream_gets_as_many_files_as_its_input_has_tasks(spark, tmp_path):
     from factloom.checks import stream_checks
 
