@@ -95,7 +95,8 @@ def concept_impact(
     far = structural_counts(t, symbols, edges, call_edges)
     out = t.join(used, ["repo", "target"], "left").join(dep, ["repo", "target"], "left").join(far, ["repo", "target"], "left")
     if routes is not None and calls is not None:
-        owned = routes_for_concepts(routes, t.select("repo", F.col("target").alias("name")))
+        # read three times over: for masks, for paths and for the owners
+        owned = cut_lineage(routes_for_concepts(routes, t.select("repo", F.col("target").alias("name"))))
         by_route = route_callers(owned, calls).groupBy("repo", F.col("concept").alias("target")).agg(n.alias("callers"))
         out = out.join(by_route, ["repo", "target"], "left")
     else:

@@ -86,3 +86,38 @@ def test_usage_rows_are_dealt_by_their_number(spark, monkeypatch):
     assert "REPARTITION_BY_NUM" in plan and ", 8)" in plan, plan
     got = catalog.usage_counts(usage).collect()
     assert [tuple(r) for r in got] == [("r", "A", 375, 750)]
+
+
+def test_hits_are_counted_without_a_join(spark):
+    """The counts of the catalog are those of the usage rows, also without paths or kinds, of names that nobody declares, and in declaring files."""
+    from factloom.operators import catalog
+    from helpers import DECL, HIT
+
+    decls = spark.createDataFrame([("r", p, 1, n, "sql", [], [], None) for n, p in (("A", "own"), ("A", None), ("B", "b"), ("C", "c"))], DECL)
+    rows = [("r", "A", "own", "x"), ("r", "A", "f", "x"), ("r", "A", "f", None), ("r", "A", "g", "x"), ("r", "A", "g", "x"), ("r", "A", None, "x"), ("r", "A", "own", None), ("r", "B", "own", "y"), ("r", "Z", "f", "x"), ("s", "A", "f", "x")]
+    hits = spark.createDataFrame(rows, HIT)
+    got = catalog.build_catalog(decls, hits)
+    counted = {(r.repo, r.name): (r.uses, r.use_pairs) for r in catalog.usage_counts(catalog.attach_usage(hits, decls)).collect()}
+    assert {(r.repo, r.name): (r.uses, r.use_pairs) for r in got.collect()} == counted | {("r", "C"): (0, 0)} and counted[("r", "A")] == (2, 4)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" not in plan and "LeftAnti" not in plan
+
+
+def test_words_are_keyed_by_all_tasks(spark):
+    from factloom.functions import words
+
+    names = spark.range(300).selectExpr("'r' as repo", "'name' || id as name")
+    got = words.match_words(names, names.withColumnRenamed("name", "other"), "name", "other", ("repo",))
+    assert got.where("name = 'name7'").count() > 1
+    assert got._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") == 2
+
+
+def test_matched_routes_are_read_not_made_again(spark):
+    """Calls and routes of a search for callers are shaped once, not for their masks and for their paths."""
+    from factloom.operators import routes
+
+    r = spark.createDataFrame([("r", "A", "/a/:id", "GET", "p", "h"), ("r", "A", "/b", "GET", "p", "h")], "repo string, concept string, route string, method string, path string, handler string")
+    calls = spark.createDataFrame([("r", "f", "/a/1"), ("r", "g", "/a/{x}"), ("r", "g", "/c")], "repo string, file string, called string")
+    got = routes.match_routes(r, calls)
+    assert sorted((x.route, x.called) for x in got.collect()) == [("/a/:id", "/a/1"), ("/a/:id", "/a/{x}")]
+    assert all("/cut-" in f for f in got.inputFiles()) and got.inputFiles()
